@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .fingerprints import compare_with_next
 from .gumbel_encode import sample_encode
+from .licenses import scan_licenses
+from .quality_rules import assess
+from .sharding import shard
 from .token_counts import count_tokens
 
 
@@ -20,6 +23,18 @@ def op2_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def op3_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assess(table(spark, sf_dir, "documents"))
+
+
 def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
