@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .chat_format import format_chats, read_back, tricky_conversation
 from .common import table
 from .fingerprints import compare_with_next
 from .gumbel_encode import sample_encode
 from .licenses import scan_licenses
+from .mixing import decide
 from .quality_rules import assess
 from .sharding import shard
 from .token_counts import count_tokens
@@ -35,6 +37,15 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_chats(turns.unionByName(tricky_conversation(spark))))
+
+
+def op9_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decide(table(spark, sf_dir, "documents")).drop("r")
+
+
 def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
