@@ -11,6 +11,7 @@ All texts of a batch are walked together in numpy. Noise comes from a counter-ba
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
-from .lattice import Vocabulary, units_of
+from .lattice import Vocabulary
 
 #: Units whose lattices a worker remembers at most; the store is emptied when it is full. It bounds memory, not results.
-STORE = 150_000
+STORE = 300_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
 class Lattices:
-    """Lattices of units with arcs' probabilities given their start node, most probable arc first."""
+    """Lattices of units with arcs' probabilities given their start node."""
 
     def __init__(self, model: bytes, alpha: float, store: int = STORE) -> None:
         self.vocabulary, self.alpha, self.store = Vocabulary(model), alpha, store
@@ -37,20 +38,20 @@ class Lattices:
     def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_arcs = 0
-        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int64), ("degree", np.int32), ("target", np.int64), ("logp", np.float64), ("cum", np.float64), ("id", np.int64))}
+        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float32), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         a = self.arrays[name]
         if at + len(values) > len(a):
-            a = self.arrays[name] = np.concatenate([a[:at], np.zeros(2 * (at + len(values)) - at, a.dtype)])
+            a = self.arrays[name] = np.concatenate([a[:at], np.zeros(at // 2 + 2 * len(values), a.dtype)])
         a[at : at + len(values)] = values
 
     def add(self, units: list[str]) -> None:
-        a = self.vocabulary.arcs(units)
+        a = self.vocabulary.arcs(units, automaton=False)
         first, size = a["first"], a["size"]
         unit = np.searchsorted(first, a["start"], "right") - 1
         left = (first + size)[unit] - a["start"]
-        order = np.lexsort((a["start"], left))
+        order = np.argsort(left * (int((size + 1).sum()) + 1) + a["start"], kind="stable")
         start, end, left = a["start"][order], a["end"][order], left[order]
         gain = self.alpha * self.vocabulary.arc_scores(a["id"][order])
         rest = np.zeros(int((size + 1).sum()) + 1)  # log of the summed weight from a node to the end of its unit
@@ -64,17 +65,21 @@ class Lattices:
             total = top + np.log(np.add.reduceat(np.exp(v - np.repeat(top, width)), heads))
             rest[start[lo:hi][heads]] = total
             logp[lo:hi] = v - np.repeat(total, width)
-        by_node = np.lexsort((end, -logp, start))
-        start, end, logp, ids = start[by_node], end[by_node], logp[by_node], a["id"][order][by_node]
+        ids = a["id"][order]
         ids = np.where((ids < 0) & (ids >= -128), self.vocabulary.byte_id[np.clip(-1 - ids, 0, 127)], ids)
         nodes = int((size + 1).sum())
-        degree = np.bincount(start, minlength=nodes)
-        head = np.cumsum(degree) - degree
-        cum = np.cumsum(np.exp(logp))
-        cum -= np.repeat((cum - np.exp(logp))[head[degree > 0]], degree[degree > 0])
+        # arcs of a node lie together
+        heads = np.flatnonzero(np.r_[True, np.diff(start) != 0]) if len(start) else np.zeros(0, np.int64)
+        width = np.diff(np.r_[heads, len(start)])
+        degree, head = np.zeros(nodes, np.int64), np.zeros(nodes, np.int64)
+        degree[start[heads]], head[start[heads]] = width, heads
+        p = np.exp(logp)
+        cum = np.cumsum(p)
+        cum -= np.repeat(cum[heads] - p[heads], width)
         self._put("head", self.n_nodes, head + self.n_arcs)
         self._put("degree", self.n_nodes, degree)
         self._put("target", self.n_arcs, end + self.n_nodes)
+        self._put("source", self.n_arcs, start + self.n_nodes)
         for name, values in (("logp", np.minimum(logp, 0)), ("cum", cum), ("id", ids)):
             self._put(name, self.n_arcs, values)
         self.base.update(zip(units, (first + self.n_nodes).tolist(), strict=True))
@@ -101,14 +106,14 @@ class Lattices:
         rows, at, origin, seed = rows[live], at[live], origin[live], seed[live]
         while len(rows):
             u = uniform(seed + (at + origin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-            arc = head[at].copy()
+            arc = head[at].astype(np.int64)
             last = arc + degree[at] - 1
             more = np.flatnonzero((u > cum[arc]) & (arc < last))
             while len(more):
                 arc[more] += 1
                 more = more[(u[more] > cum[arc[more]]) & (arc[more] < last[more])]
             steps.append((rows, arc))
-            at = target[arc]
+            at = target[arc].astype(np.int64)
             live = degree[at] > 0
             rows, at, origin, seed = rows[live], at[live], origin[live], seed[live]
         if not steps:
@@ -131,6 +136,11 @@ def _truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.nda
     return np.where(np.isneginf(location), -np.inf, np.minimum(g, bound))
 
 
+def _truncated_one(location: float, bound: float, u: float) -> float:
+    gap = location - bound
+    return min(bound, location - math.log(math.exp(gap) - math.log(u))) if gap < 700 else bound
+
+
 class _Path:
     """The pieces of one segmentation of one text, and the bounds of the sets that leave it at each piece."""
 
@@ -144,7 +154,7 @@ class _Path:
 def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k segmentations in descending perturbed score: (arcs, log probability, perturbed score,
     log inclusion score), fewer where the lattice has fewer paths. keys: uint64 for each text."""
-    rows = [units_of(t) for t in texts]
+    rows = [lattices.vocabulary.units_of(t) for t in texts]
     lattices.learn(set().union(*rows))
     per_text = np.fromiter(map(len, rows), np.int64, len(rows))
     text_end = np.cumsum(per_text)
@@ -154,7 +164,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
     text_of = np.repeat(np.arange(len(rows)), per_text)
     place = np.cumsum(chars) - chars
     place -= np.repeat(place[(text_end - per_text)[per_text > 0]], per_text[per_text > 0])
-    logp, target, ids_degree = lattices.arrays["logp"], lattices.arrays["target"], lattices.arrays["degree"]
+    logp, target, degree = lattices.arrays["logp"], lattices.arrays["target"], lattices.arrays["degree"]
     seeds = mix64(keys)
     root = -np.log(-np.log(uniform(seeds)))
 
@@ -163,14 +173,14 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
 
     def bounds(arcs: np.ndarray, before: np.ndarray, cap: np.ndarray, seed: np.ndarray, spot: np.ndarray) -> np.ndarray:
         with np.errstate(divide="ignore"):
-            leave = before + np.log(-np.expm1(logp[arcs]))
+            leave = before + np.log(-np.expm1(logp[arcs].astype(np.float64)))
         return _truncated(leave, cap, uniform(seed + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     arcs, unit = lattices.walk(base, noise(_WALK, 0)[text_of], place)
     text = text_of[unit]
     count = np.bincount(text, minlength=len(rows))
     ends = np.cumsum(count)
-    sums = np.cumsum(logp[arcs])
+    sums = np.cumsum(logp[arcs], dtype=np.float64)
     start = np.repeat(np.where(ends > count, np.r_[0.0, sums][ends - count], 0.0), count)
     before = sums - logp[arcs] - start
     spot = np.arange(len(arcs)) - np.repeat(ends - count, count)
@@ -196,16 +206,17 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
             if turn == k:
                 kappa[t] = top
             elif path is not None:
-                head = int(lattices.arrays["head"][_source(lattices, path.arcs[i])])
+                node = lattices.arrays["source"][path.arcs[i]]
+                head = int(lattices.arrays["head"][node])
                 spent = path.spent.setdefault(i, [int(path.arcs[i])])
-                options = np.setdiff1d(np.arange(head, head + int(ids_degree[_source(lattices, path.arcs[i])])), spent)
-                p = np.exp(logp[options])
-                pick = int(options[min(int(np.searchsorted(np.cumsum(p), u_choice[t] * p.sum())), len(options) - 1)])
+                options = np.array([x for x in range(head, head + int(degree[node])) if x not in spent])
+                p = np.exp(logp[options], dtype=np.float64)
+                j = min(int((p.cumsum() < u_choice[t] * p.sum()).sum()), len(options) - 1)
+                pick = int(options[j])
                 spent.append(pick)
-                others = float(p.sum() - np.exp(logp[pick])) if len(options) > 1 else 0.0
-                prefix = float(path.logs[:i].sum())
-                left = np.array([prefix + np.log(others)]) if others > 0 else np.array([-np.inf])
-                path.bound[i] = _truncated(left, np.array([top]), np.array([u_rest[t]]))[0]
+                others = float(p.sum() - p[j]) if len(options) > 1 else 0.0
+                prefix = float(path.logs[:i].sum(dtype=np.float64))
+                path.bound[i] = _truncated_one(prefix + math.log(others), top, float(u_rest[t])) if others > 0 else -np.inf
                 chosen.append((t, path, i, pick, top, prefix))
         if not chosen:
             break
@@ -223,9 +234,9 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
         whose, unit = owner[row], np.concatenate(unit_of)[row]
         count = np.bincount(whose, minlength=len(chosen))
         ends = np.cumsum(count)
-        sums = np.cumsum(logp[arcs])
+        sums = np.cumsum(logp[arcs], dtype=np.float64)
         start = np.repeat(np.r_[0.0, sums][ends - count], count)
-        ahead = np.array([c[5] + logp[c[3]] for c in chosen])
+        ahead = np.array([c[5] + float(logp[c[3]]) for c in chosen])
         before = sums - logp[arcs] - start + ahead[whose]
         spot = np.arange(len(arcs)) - np.repeat(ends - count, count) + 1
         bound = bounds(arcs, before, np.array([c[4] for c in chosen])[whose], set_seed[which][whose], spot)
@@ -235,18 +246,13 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
             scores[t].append(top)
     out = []
     for own, g, least in zip(paths, scores, kappa, strict=True):
-        logs = [float(p.logs.sum()) for p in own]
+        logs = [float(p.logs.sum(dtype=np.float64)) for p in own]
         with np.errstate(over="ignore", divide="ignore"):
             include = [_log_inclusion(x - least) for x in logs]
         out.append([(p.arcs, x, s, w) for p, x, s, w in zip(own, logs, g, include, strict=True)])
     return out
 
 
-def _source(lattices: Lattices, arc: int) -> int:
-    """The node that an arc leaves."""
-    return int(np.searchsorted(lattices.arrays["head"][: lattices.n_nodes], arc, "right")) - 1
-
-
 def _log_inclusion(x: float) -> float:
     """log(1 - exp(-exp(x))): x is a segmentation's log probability less the (k+1)-th perturbed score."""
     if x < -30:

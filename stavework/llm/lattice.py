@@ -2,8 +2,9 @@
 
 A text is written as SentencePiece writes it (a mark in front, a mark for each space). No usable piece has the mark
 anywhere but in front, and none has a newline, so every segmentation of a text is a row of segmentations of its
-units: a unit starts at a mark or is one newline. Units recur, so each is worked out once per worker while it stays
-in a bounded store.
+units: a unit starts at a mark or is one newline, and where no piece has both letters and other characters (as in the public
+files), units also end where letters meet other characters. Units recur, so each is worked out once per worker while it
+stays in a bounded store.
 """
 
 from __future__ import annotations
@@ -15,15 +16,29 @@ import ahocorasick
 import numpy as np
 import sentencepiece
 
+from .common import mix64
+
 MARK = "▁"
 UNITS = re.compile(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+")
+RUNS = re.compile(f"\n|{MARK}?[^\\W\\d_]+|{MARK}?(?:[^\\w{MARK}\n]|[\\d_])+|{MARK}")
+ONE_KIND = re.compile(f"{MARK}?(?:[^\\W\\d_]*|(?:[^\\w{MARK}]|[\\d_])*)")
 #: As in the tokenizer: a character that no piece covers scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 SENTINEL = -1e8
 
 
-def units_of(text: str | None) -> list[str]:
-    return UNITS.findall(MARK + text.replace(" ", MARK)) if text else []
+_STEP = 0x9E3779B97F4A7C15
+
+
+def _prefix(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix polynomial hashes modulo 2**64, and the inverse powers that bring a span's hash to its start."""
+    n = len(points)
+    up, down = np.full(n + 1, np.uint64(_STEP)), np.full(n + 1, np.uint64(pow(_STEP, -1, 1 << 64)))
+    up[0] = down[0] = 1
+    up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix64(points.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
+    return sums, down
 
 
 class Vocabulary:
@@ -46,12 +61,50 @@ class Vocabulary:
         self.unknown_score = float(min(self.score[usable])) - UNKNOWN_PENALTY
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.byte_of = {int(i): b for b, i in enumerate(self.byte_id)}
+        self.pattern = RUNS if all(ONE_KIND.fullmatch(self.pieces[i]) for i in usable) else UNITS
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in usable:
             self.automaton.add_word(self.pieces[i], i)
         self.automaton.make_automaton()
-
-    def arcs(self, units: list[str]) -> dict[str, np.ndarray]:
+        self.longest = int(max(self.length[usable]))
+        self.piece_hashes = self._span_hashes(usable)
+        self.sorted = np.argsort(self.piece_hashes)
+        self.piece_hashes, self.sorted = self.piece_hashes[self.sorted], np.array(usable)[self.sorted]
+        self.seen = np.zeros(1 << 22, bool)
+        self.seen[self.piece_hashes >> np.uint64(42)] = True
+
+    def units_of(self, text: str | None) -> list[str]:
+        return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
+
+    def _span_hashes(self, usable: list[int]) -> np.ndarray:
+        points = np.frombuffer("".join(self.pieces[i] for i in usable).encode("utf-32-le"), np.uint32)
+        end = np.cumsum(self.length[usable])
+        sums, down = _prefix(points)
+        start = end - self.length[usable]
+        return mix64((sums[end] - sums[start]) * down[start])
+
+    def _by_hash(self, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last character of every piece in the text, and its id, by hashes of all short spans.
+
+        room: characters from each position to the end of its unit. Like the automaton, but numpy all through: the automaton is
+        slow at nodes with thousands of children."""
+        sums, down = _prefix(points)
+        at = np.flatnonzero(room > 0)
+        lasts, ids = [], []
+        for n in range(1, self.longest + 1):
+            at = at[room[at] >= n]
+            if not len(at):
+                break
+            h = mix64((sums[at + n] - sums[at]) * down[at])
+            near = np.flatnonzero(self.seen[h >> np.uint64(42)])
+            place = np.minimum(np.searchsorted(self.piece_hashes, h[near]), len(self.sorted) - 1)
+            hit = self.piece_hashes[place] == h[near]
+            lasts.append(at[near[hit]] + n - 1)
+            ids.append(self.sorted[place[hit]])
+        empty = [np.zeros(0, np.int64)]
+        return np.concatenate(lasts or empty), np.concatenate(ids or empty)
+
+    def arcs(self, units: list[str], automaton: bool = True) -> dict[str, np.ndarray]:
         """Lattice arcs of all units, nodes being character positions in the units joined by one newline each.
 
         start, end: nodes. id: a piece, or -1 - code point for a character that no piece of one character covers.
@@ -60,9 +113,15 @@ class Vocabulary:
         size = np.fromiter(map(len, units), np.int64, len(units))
         first = np.cumsum(size + 1) - size - 1
         joined = "\n".join(units)
-        last, ids = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2).T
+        points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if automaton:
+            last, ids = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2).T
+        else:
+            room = np.zeros(len(points), np.int64)
+            inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            room[np.repeat(first, size) + inside] = np.repeat(size, size) - inside
+            last, ids = self._by_hash(points, room)
         start = last + 1 - self.length[ids]
-        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         bare = np.ones(len(joined) + 1, bool)
         bare[(first + size)] = False
         bare[start[self.length[ids] == 1]] = False

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import TOKENIZERS, file_bytes, text_chunks
-from .lattice import Vocabulary, units_of
+from .lattice import Vocabulary
 
 #: Units that a worker remembers at most; the store is emptied when it is full. It bounds memory, not results.
 STORE = 400_000
@@ -22,7 +22,7 @@ class Counter:
         self.scores: dict[str, float] = {}
 
     def count(self, texts: list[str | None]) -> tuple[list[int], list[float]]:
-        units = [units_of(t) for t in texts]
+        units = [self.vocabulary.units_of(t) for t in texts]
         new = list(set().union(*units) - self.known.keys())
         if len(self.known) + len(new) > self.store:
             self.known.clear()
