@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stavework.llm.gumbel_encode import sample_encode
 from stavework.llm.mixing import mix
+from stavework.llm.near_dups import keep_one
 from stavework.llm.quality_rules import keep_good
 
 
@@ -13,6 +14,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs)
 
 
+def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_one(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix(docs)
 
@@ -21,7 +26,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sample_encode(docs)
 
 
-STAGES = [("quality_rules", quality), ("source_mixing", mixing), ("gumbel_encoding", encoding)]
+STAGES = [("quality_rules", quality), ("near_duplicates", near_dups), ("source_mixing", mixing), ("gumbel_encoding", encoding)]
 
 #: Sampling and rounding draw from hashes that SQL of another engine doesn't have.
 ORACLE_SQL: str | None = None

@@ -71,3 +71,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def uniform(x: np.ndarray) -> np.ndarray:
     """Uniform doubles in the open interval (0, 1) from uint64 counters."""
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def buffers(column: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of a column of texts end to end, and the offsets of its values; nulls are empty."""
+    column = column.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return bytes(memoryview(column.buffers()[2] or b"")[offsets[0] : offsets[-1]]), offsets - offsets[0]

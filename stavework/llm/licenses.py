@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix64, text_chunks
+from .common import buffers, text_chunks
+from .grams import FOLDED_ASCII, word_grams
 
 #: Words in a k-gram. The shortest template has two.
 GRAM = 2
@@ -43,48 +44,6 @@ NOTICES = {
     "this source code form is subject to the terms of the mozilla public license": "mpl-2.0",
 }
 
-_P = np.uint64(0x5851F42D4C957F2D | 1)
-
-
-def _wrapping_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2**64, and of its inverse."""
-    inverse = pow(int(_P), -1, 1 << 64)
-    up, down = np.full(n, _P, np.uint64), np.full(n, np.uint64(inverse), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-#: ASCII letters and digits and every byte of a longer character make words; A-Z count as a-z.
-_FOLD = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() and b < 128 or b > 127 else 32 for b in range(256))
-
-
-def gram_hashes(data: bytes, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For texts laid end to end in data (bounds: their offsets): first byte and length of each word, the text it is in, and the
-    hash of the k-gram that starts at it (0 where the text has too few words left)."""
-    folded = np.frombuffer(data.translate(_FOLD), np.uint8)
-    inside = folded != 32
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cut = bounds[:-1][bounds[:-1] < len(folded)]
-    begins[cut] = inside[cut]
-    finishes = inside.copy()
-    finishes[:-1] &= ~inside[1:] | begins[1:]
-    start, end = np.flatnonzero(begins), np.flatnonzero(finishes) + 1
-    up, down = _wrapping_powers(len(folded) + 1)
-    sums = np.zeros(len(folded) + 1, np.uint64)
-    np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
-    word = mix64((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
-    text = np.searchsorted(bounds, start, "right") - 1
-    gram = np.zeros(len(word), np.uint64)
-    n = len(word) - GRAM + 1
-    if n > 0:
-        h = np.zeros(n, np.uint64)
-        for i in range(GRAM):
-            h = mix64(h * _P + word[i : i + n])
-        gram[:n] = np.where(text[:n] == text[GRAM - 1 :], np.where(h == 0, np.uint64(1), h), np.uint64(0))
-    return start, end - start, text, gram
-
-
 def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str, str]) -> DataFrame:
     """One row per k-gram of every template: hash, template, place, words of the k-gram, length, label, whether base.
 
@@ -95,7 +54,7 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
     for t, (phrase, label) in enumerate([*phrases.items(), *notices.items()]):
         words = phrase.split()
         data = phrase.encode()
-        gram = gram_hashes(data, np.array([0, len(data)]))[3]
+        gram = word_grams(data, np.array([0, len(data)]), FOLDED_ASCII, GRAM)[3]
         rows += [(int(g.astype(np.int64)), t, i, " ".join(words[i : i + GRAM]), len(words), label, t < len(phrases)) for i, g in enumerate(gram[: len(words) - GRAM + 1])]
     return spark.createDataFrame(rows, "gram long, template int, place int, words string, size int, label string, base boolean")
 
@@ -112,13 +71,9 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_chunks(batches, "t"):
-            column = b.column("t").fill_null("").cast(pa.large_binary())
-            column = pa.concat_arrays([column])
-            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-            data = bytes(memoryview(column.buffers()[2] or b"")[bounds[0] : bounds[-1]])
-            bounds = bounds - bounds[0]
-            start, size, owner, gram = gram_hashes(data, bounds)
-            n = np.bincount(owner, minlength=len(column))
+            data, bounds = buffers(b.column("t"))
+            start, size, owner, gram = word_grams(data, bounds, FOLDED_ASCII, GRAM)
+            n = np.bincount(owner, minlength=b.num_rows)
             offsets = np.r_[0, np.cumsum(n + 1)].astype(np.int32)
             # each document's list begins with hash 0 at place -1
             where = np.delete(np.arange(offsets[-1]), offsets[:-1]) if len(gram) else np.zeros(0, np.int64)

@@ -12,6 +12,7 @@ from .fingerprints import compare_with_next
 from .gumbel_encode import sample_encode
 from .licenses import scan_licenses
 from .mixing import decide
+from .near_dups import near_duplicates
 from .quality_rules import assess
 from .sharding import shard
 from .token_counts import count_tokens
@@ -37,6 +38,10 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("r")
+
+
 def op8_chat_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return read_back(format_chats(turns.unionByName(tricky_conversation(spark))))
