@@ -3,8 +3,8 @@
 1. A count-min sketch of fixed size holds in how many documents each shingle of SHINGLE words stands, over all documents.
 2. A shingle weighs its count in the document times a mild inverse document frequency. Weighted samples agree
    for two documents with the probability of their weighted Jaccard similarity; ROWS samples make a band key.
-3. Equal texts are one node. In each bucket of nodes with a band key in common, members are compared with the bucket's least node,
-   later with others in turn, until all pairs that no link joins yet have been compared. Links need the
+3. Equal texts are one node. In each bucket of nodes with a band key in common, members are compared with the bucket's leader,
+   the node with most neighbours, later with others in turn, until all pairs that no link joins yet have been compared. Links need the
    exact weighted similarity. Nodes joined by links make a class.
 """
 
@@ -27,9 +27,11 @@ SHINGLE, LEAST, ROWS, BANDS = 5, 0.8, 4, 14
 CELLS, CELL_BLOCK = 1 << 19, 1 << 14
 #: A shingle's weight is 1 for one in all documents and at most this much more for a rare one. A stronger weight would part
 #: near copies in large groups: what they share is frequent by that, and each edit is rare.
-RARE = 0.15
+RARE = 0.05
 #: Members compared with one leader in one task.
 SALT = 2000
+#: Leaders by place in their bucket are taken in ranges whose bounds grow by this factor.
+STRIDE = 8
 _TABLE = 1 << 16
 
 
@@ -208,8 +210,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     signed = checkpointed(_signed(numbered, "t", model))
     nodes = checkpointed(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    sizes = members.groupBy("band", "value").agg(F.min("node").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    sizes = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(members.join(sizes, ["band", "value"]))
+    # a bucket's leader is the member with most neighbours in all buckets: the text that others were made from, if it is there
+    central = members.groupBy("node").agg((-F.sum("size")).alias("rank"))
+    members = members.join(central, "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node"))
+    leaders = members.groupBy("band", "value").agg(F.min("rank").alias("leader"))
+    members = checkpointed(members.join(leaders, ["band", "value"]).select("band", "value", "node", "rank", F.col("leader.node").alias("leader")))
     texts = checkpointed(numbered.join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
 
     pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -220,18 +227,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # buckets whose members are in more than one class: the next leaders by place are compared with later members of other classes
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("band", "value")
-        open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "root")
-        placed = checkpointed(open_.selectExpr("*", "row_number() OVER (PARTITION BY band, value ORDER BY node) AS place"))
+        open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "rank", "root")
+        placed = checkpointed(open_.selectExpr("*", "row_number() OVER (PARTITION BY band, value ORDER BY rank) AS place"))
         most = placed.agg(F.max("place")).first()[0]
         if most is None:
             break
-        leaders = placed.where(F.col("place").between(low, 2 * low - 1)).select("band", "value", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("place").alias("b_place"))
+        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("place").alias("b_place"))
         pairs = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").select(F.col("node").alias("a"), "b").distinct()
         more = checkpointed(_similar(pairs, texts, model))
         if more.limit(1).count():
-            links = links.unionByName(more)
-            roots = components(links)
-        low *= 2
+            # classes joined by the new links, then the classes of all nodes
+            joined = components(more.join(now.select(F.col("node").alias("a"), F.col("root").alias("ra")).distinct(), "a").join(now.select(F.col("node").alias("b"), F.col("root").alias("rb")).distinct(), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+            known = now.select("node", "root").distinct()
+            roots = checkpointed(known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+        low *= STRIDE
 
     by_text = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     rows = numbered.select("r", "k").join(signed.select("r", "digest"), "r").join(by_text, "digest").select("r", "k", "root")
