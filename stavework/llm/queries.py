@@ -10,6 +10,7 @@ from .chat_format import format_chats, read_back, tricky_conversation
 from .common import table
 from .fingerprints import compare_with_next
 from .gumbel_encode import sample_encode
+from .html_text import main_texts
 from .licenses import scan_licenses
 from .mixing import decide
 from .near_dups import near_duplicates
@@ -38,6 +39,10 @@ def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(table(spark, sf_dir, "documents"))
 
 
+def op6_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("r")
 
