@@ -127,7 +127,7 @@ class Weights:
         if found is None:
             out, inside = self.prior((kind, what, dropped))
             found = math.log(inside / out)
-            found = max(-4.0, min(1.0, found)) if kind == "text" else max(-6.0, min(-0.1, found - 0.5))
+            found = max(-4.0, min(1.0, found)) if kind == "text" else -0.3  # a tag not seen on labelled pages
         return found
 
 
