@@ -22,7 +22,7 @@ NAME_WORDS = {
     "drums": "drum drums percussion perc kit batería bateria percusión percusion tambor bateria percussão percussao tambor batterie percussion tambour batteria percussione tamburo schlagzeug perkussion trommel",
 }
 #: Fixed values of the statistical classes and the keep rule.
-MELODY_POLYPHONY, CHORD_POLYPHONY, BASS_PITCH = 1.3, 2.0, 50
+MELODY_POLYPHONY, CHORD_POLYPHONY, BASS_PITCH = 2, 3, 48
 LEAST_NOTES, MOST_EMPTY, LEAST_PITCHES, DRUM_INDEX = 10, 0.8, 3, 9
 PRIORITY = ("melody", "chord", "bass", "drums", "unknown", "filtered")
 
