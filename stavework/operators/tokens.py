@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: Special ids, section markers and vocabulary size.
@@ -13,8 +13,14 @@ RANGES = {
     "Chord": (315, 328, 0), "Tempo": (329, 392, 0), "Program": (393, 521, -1), "TimeSig": (522, 530, 0),
 }
 NAMED = {0: "PAD_None", 1: "BOS_None", 2: "EOS_None", 3: "MASK_None", 4: "Bar_None", 531: "ChordStart_None", 532: "MelodyStart_None"}
-SONG = Window.partitionBy("song_id").orderBy("pos")
-SO_FAR = SONG.rowsBetween(Window.unboundedPreceding, 0)
+
+
+def song() -> WindowSpec:
+    return Window.partitionBy("song_id").orderBy("pos")
+
+
+def so_far() -> WindowSpec:
+    return song().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def vocabulary(spark: SparkSession) -> DataFrame:
@@ -50,7 +56,7 @@ def stripped(tokens: DataFrame) -> DataFrame:
 
 
 def truncated(tokens: DataFrame, most: int = 2048) -> DataFrame:
-    return tokens.withColumn("_n", F.row_number().over(SONG)).where(F.col("_n") <= most).drop("_n")
+    return tokens.withColumn("_n", F.row_number().over(song())).where(F.col("_n") <= most).drop("_n")
 
 
 def context_budget(tokens: DataFrame, most: int = 2048) -> DataFrame:
@@ -62,28 +68,28 @@ def context_budget(tokens: DataFrame, most: int = 2048) -> DataFrame:
 
 def bars(tokens: DataFrame) -> DataFrame:
     """tokens with their bar: a Bar token opens one; what stands before the first is bar 0."""
-    return tokens.withColumn("bar", F.sum((F.col("token_id") == BAR).cast("int")).over(SO_FAR))
+    return tokens.withColumn("bar", F.sum((F.col("token_id") == BAR).cast("int")).over(so_far()))
 
 
 def track_ids(tokens: DataFrame) -> DataFrame:
     """tokens with section M or C: that of the last marker, melody before any."""
     marker = F.when(F.col("token_id") == CHORD_START, "C").when(F.col("token_id") == MELODY_START, "M")
-    return tokens.withColumn("section", F.coalesce(F.last(marker, ignorenulls=True).over(SO_FAR), F.lit("M")))
+    return tokens.withColumn("section", F.coalesce(F.last(marker, ignorenulls=True).over(so_far()), F.lit("M")))
 
 
 def labels(tokens: DataFrame) -> DataFrame:
     """tokens with the next token as label, -100 at the end and at padding."""
-    return tokens.withColumn("label", F.when(F.col("token_id") == PAD, -100).otherwise(F.coalesce(F.lead("token_id").over(SONG), F.lit(-100))))
+    return tokens.withColumn("label", F.when(F.col("token_id") == PAD, -100).otherwise(F.coalesce(F.lead("token_id").over(song()), F.lit(-100))))
 
 
 def ngram_counts(tokens: DataFrame, n: int = 2) -> DataFrame:
-    grams = tokens.select("song_id", *(F.lead("token_id", i).over(SONG).alias(f"t{i}") for i in range(n))).where(f"t{n - 1} IS NOT NULL")
+    grams = tokens.select("song_id", *(F.lead("token_id", i).over(song()).alias(f"t{i}") for i in range(n))).where(f"t{n - 1} IS NOT NULL")
     return grams.groupBy("song_id", *(f"t{i}" for i in range(n))).count()
 
 
 def runs(tokens: DataFrame, least: int = 2) -> DataFrame:
     """Runs of least or more equal tokens: first position, token and length, by islands."""
-    place = F.row_number().over(SONG) - F.row_number().over(Window.partitionBy("song_id", "token_id").orderBy("pos"))
+    place = F.row_number().over(song()) - F.row_number().over(Window.partitionBy("song_id", "token_id").orderBy("pos"))
     return tokens.withColumn("island", place).groupBy("song_id", "token_id", "island").agg(F.min("pos").alias("first_pos"), F.count("*").alias("length")).where(F.col("length") >= least).drop("island")
 
 
@@ -97,7 +103,7 @@ def grammar_violations(tokens: DataFrame) -> DataFrame:
     """Tokens that break Pitch, Velocity, Duration; Position and markers are passed over."""
     kind = token_class(F.col("token_id"))
     solid = tokens.withColumn("class", kind).where(F.col("class").isin("Pitch", "Velocity", "Duration"))
-    before = F.lag("class").over(SONG)
+    before = F.lag("class").over(song())
     wanted = F.when(F.col("class") == "Velocity", "Pitch").when(F.col("class") == "Duration", "Velocity").otherwise("Duration")
     return solid.withColumn("before", before).where((F.col("before").isNotNull() | (F.col("class") != "Pitch")) & ~F.col("before").eqNullSafe(wanted)).select("song_id", "pos", "class", "before")
 
@@ -106,14 +112,14 @@ def polyphonic_melody(tokens: DataFrame) -> DataFrame:
     """Pitches of a melody section while another is open: no duration or marker has closed it."""
     t = track_ids(tokens).withColumn("class", token_class(F.col("token_id")))
     closes = F.col("class").isin("Duration", "ChordStart", "MelodyStart", "Bar").cast("int")
-    t = t.withColumn("segment", F.sum(closes).over(SO_FAR)).where("class = 'Pitch' AND section = 'M'")
+    t = t.withColumn("segment", F.sum(closes).over(so_far())).where("class = 'Pitch' AND section = 'M'")
     order = Window.partitionBy("song_id", "segment").orderBy("pos")
     return t.withColumn("_n", F.row_number().over(order)).where("_n > 1").select("song_id", "pos", "token_id")
 
 
 def bar_regularity(tokens: DataFrame) -> DataFrame:
     """1 less the variation of bar lengths in tokens; 0.5 with under two bars."""
-    gaps = tokens.where(F.col("token_id") == BAR).withColumn("gap", F.lead("pos").over(SONG) - F.col("pos"))
+    gaps = tokens.where(F.col("token_id") == BAR).withColumn("gap", F.lead("pos").over(song()) - F.col("pos"))
     return gaps.groupBy("song_id").agg(F.round(F.when(F.count("gap") < 2, 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.stddev_samp("gap") / F.avg("gap"))), 6).alias("regularity"))
 
 
@@ -164,7 +170,7 @@ def perplexity(tokens: DataFrame) -> DataFrame:
 
 
 def smoothness(tokens: DataFrame) -> DataFrame:
-    steps = tokens.withColumn("step", F.abs(F.col("token_id") - F.lag("token_id").over(SONG)))
+    steps = tokens.withColumn("step", F.abs(F.col("token_id") - F.lag("token_id").over(song())))
     return steps.groupBy("song_id").agg(F.round(1 - F.avg("step") / F.max("step"), 6).alias("smoothness"))
 
 

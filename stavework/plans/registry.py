@@ -20,12 +20,15 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog  # noqa: F401  (registers on import)
+
     return _queries
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return _sql
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _queries["SCA11"](spark, sf_dir)
+    return queries()["SCA11"](spark, sf_dir)
