@@ -24,7 +24,7 @@ from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import Vocabulary
 
 #: Units whose lattices a worker remembers at most; the store is emptied when it is full. It bounds memory, not results.
-STORE = 300_000
+STORE = 600_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
@@ -51,7 +51,7 @@ class Lattices:
         first, size = a["first"], a["size"]
         unit = np.searchsorted(first, a["start"], "right") - 1
         left = (first + size)[unit] - a["start"]
-        order = np.argsort(left * (int((size + 1).sum()) + 1) + a["start"], kind="stable")
+        order = np.argsort(((left * (int((size + 1).sum()) + 1) + a["start"]) << 5) + np.minimum(a["end"] - a["start"], 31))
         start, end, left = a["start"][order], a["end"][order], left[order]
         gain = self.alpha * self.vocabulary.arc_scores(a["id"][order])
         rest = np.zeros(int((size + 1).sum()) + 1)  # log of the summed weight from a node to the end of its unit
@@ -92,7 +92,7 @@ class Lattices:
             self.clear()
             new = units
         if new:
-            self.add(sorted(new))
+            self.add(list(new))
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to the end of its unit by random arcs: the arcs in order, and the row that each belongs to.
@@ -289,7 +289,7 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = hash(model.value), alpha, store
         lattices = _lattices.get(which) or _lattices.setdefault(which, Lattices(model.value, alpha, store))
-        for b in text_chunks(batches, "t", 1_000_000):
+        for b in text_chunks(batches, "t", 2_000_000):
             keys = np.asarray(b.column("s")).astype(np.int64).view(np.uint64)
             found = sample_texts(b.column("t").to_pylist(), keys, lattices, k)
             flat = [(i, j, *x) for i, own in enumerate(found) for j, x in enumerate(own)]
