@@ -180,7 +180,9 @@ def fit(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int
 
     schema = pa.schema([("kind", pa.string()), ("what", pa.string()), ("dropped", pa.bool_()), ("inside", pa.bool_()), ("n", pa.int64())])
     labelled = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("(?i)<(article|main)\\b"))
-    chosen = labelled.orderBy(F.xxhash64("k"), "k").limit(sample)
+    # keys first: pages themselves don't meet in one task; the keys are at most `sample`
+    keys = labelled.select("k").orderBy(F.xxhash64("k"), "k").limit(sample)
+    chosen = labelled.join(F.broadcast(keys), "k", "left_semi")
     counts = chosen.mapInArrow(run, "kind string, what string, dropped boolean, inside boolean, n long").groupBy("kind", "what", "dropped", "inside").agg(F.sum("n").alias("n")).collect()
     return Weights({(r["kind"], r["what"], r["dropped"], r["inside"]): r["n"] for r in counts})
 
