@@ -4,8 +4,8 @@
 2. A shingle weighs its count in the document times a mild inverse document frequency. Weighted samples agree
    for two documents with the probability of their weighted Jaccard similarity; ROWS samples make a band key.
 3. Equal texts are one node. In each bucket of nodes with a band key in common, members are compared with the bucket's leader,
-   the node with most neighbours, later with others in turn, until all pairs that no link joins yet have been compared. Links need the
-   exact weighted similarity. Nodes joined by links make a class.
+   the node with most neighbours, later with others in turn, until all pairs that no link joins yet have been compared, but for
+   those whose samples or summed weights show that they are unlike. Links need the exact weighted similarity. Nodes joined by links make a class.
 """
 
 from __future__ import annotations
@@ -32,6 +32,13 @@ RARE = 0.05
 SALT = 2000
 #: Leaders by place in their bucket are taken in ranges whose bounds grow by this factor.
 STRIDE = 8
+#: Samples that may differ in a pair that is still compared. Each is kept to 4 bits, so at a similarity of 0.8 one differs with a
+#: probability of 0.1875, and more than this many of the 56 do with 0.0001.
+DIFFER = 22
+_UNLIKE = " + ".join(f"bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & {0x1111111111111111}L)".replace("x", f"(brief[{i}] ^ b_brief[{i}])") for i in range(ROWS * BANDS // 16 + 1))
+#: Pairs worth an exact comparison. Two texts are at most as similar as the smaller of their summed weights is to the larger; a
+#: little is left for rounding.
+BOUND = f"least(weight, b_weight) >= {LEAST - 1e-4} * greatest(weight, b_weight) AND {_UNLIKE} <= {DIFFER}"
 _TABLE = 1 << 16
 
 
@@ -98,17 +105,19 @@ class Sampler:
         self.log_c, self.beta = np.log(rng.gamma(2, 1, _TABLE)).astype(np.float32), rng.random(_TABLE).astype(np.float32)
         self.odd = [np.uint64(int(x) | 1) for x in rng.integers(1 << 62, size=ROWS * BANDS)]
 
-    def bands(self, text: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Texts that have shingles, and the BANDS band keys of each."""
+    def bands(self, text: np.ndarray, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts that have shingles, the BANDS band keys of each, and 4 bits of each sample, 16 samples to a number."""
+        words = ROWS * BANDS // 16 + 1
         if not len(h):
-            return np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64)
+            return np.zeros(0, np.int64), np.zeros((0, BANDS), np.int64), np.zeros((0, words), np.int64)
         starts = np.flatnonzero(np.r_[True, np.diff(text) != 0])
         log_w, mixed = np.log(w).astype(np.float32), mix64(h)
         low = (mixed >> np.uint64(32)).astype(np.uint32)
-        keys = np.empty((len(starts), BANDS), np.int64)
+        keys, brief = np.empty((len(starts), BANDS), np.int64), np.zeros((len(starts), words), np.uint64)
         for band in range(BANDS):
             key = np.full(len(starts), np.uint64(band), np.uint64)
-            for odd in self.odd[band * ROWS : (band + 1) * ROWS]:
+            for sample in range(band * ROWS, (band + 1) * ROWS):
+                odd = self.odd[sample]
                 at = (mixed * odd >> np.uint64(48)).astype(np.int32)
                 beta = self.beta[at]
                 t = np.floor(log_w * self.inverse[at] + beta)
@@ -117,9 +126,11 @@ class Sampler:
                 order = order ^ ((order >> 31) & np.int32(0x7FFFFFFF))
                 what = low ^ (t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1))
                 least = np.minimum.reduceat((order.astype(np.int64) << 32) | what.astype(np.int64), starts)
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + (least & 0xFFFFFFFF).astype(np.uint64))
+                drawn = (least & 0xFFFFFFFF).astype(np.uint64)
+                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + drawn)
+                brief[:, sample // 16] |= (mix64(drawn) & np.uint64(15)) << np.uint64(sample % 16 * 4)
             keys[:, band] = key.view(np.int64)
-        return text[starts], keys
+        return text[starts], keys, brief.view(np.int64)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -131,7 +142,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
-    """r, digest (of the text) and bands of every row."""
+    """r, digest (of the text), weight (the sum of its shingles'), brief (4 bits of each sample) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n_docs = model.value
@@ -139,14 +150,17 @@ def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
         for b in text_chunks(batches, "t"):
             data, bounds = buffers(b.column("t"))
             text, h, tf = shingles(data, bounds)
-            which, keys = sampler.bands(text, h, weights(h, tf, sketch, n_docs))
+            w = weights(h, tf, sketch, n_docs)
+            which, keys, short = sampler.bands(text, h, w)
+            total = np.bincount(text, w, b.num_rows).astype(np.float32)
             n = np.zeros(b.num_rows, np.int64)
             n[which] = BANDS
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(keys.ravel()))
+            briefs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n // BANDS * short.shape[1])].astype(np.int32)), pa.array(short.ravel()))
             digests = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(digests, pa.binary()), lists], ["r", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(digests, pa.binary()), pa.array(total), briefs, lists], ["r", "digest", "weight", "brief", "bands"])
 
-    return docs.select("r", F.col(text).alias("t")).mapInArrow(run, "r long, digest binary, bands array<long>")
+    return docs.select("r", F.col(text).alias("t")).mapInArrow(run, "r long, digest binary, weight float, brief array<long>, bands array<long>")
 
 
 def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
@@ -208,18 +222,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n_docs = docs.count()
     model = spark.sparkContext.broadcast((document_frequencies(numbered, "t"), n_docs))
     signed = checkpointed(_signed(numbered, "t", model))
-    nodes = checkpointed(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("bands").alias("bands")))
+    nodes = checkpointed(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("weight").alias("weight"), F.first("brief").alias("brief"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = checkpointed(members.join(sizes, ["band", "value"]))
     # a bucket's leader is the member with most neighbours in all buckets: the text that others were made from, if it is there
     central = members.groupBy("node").agg((-F.sum("size")).alias("rank"))
-    members = members.join(central, "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node"))
+    members = members.join(central, "node").join(nodes.select("node", "weight", "brief"), "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node", "weight", "brief"))
     leaders = members.groupBy("band", "value").agg(F.min("rank").alias("leader"))
-    members = checkpointed(members.join(leaders, ["band", "value"]).select("band", "value", "node", "rank", F.col("leader.node").alias("leader")))
+    members = checkpointed(members.join(leaders, ["band", "value"]).select("band", "value", "node", "weight", "brief", "rank", F.col("leader.node").alias("leader"), F.col("leader.weight").alias("b_weight"), F.col("leader.brief").alias("b_brief")))
     texts = checkpointed(numbered.join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
 
-    pairs = members.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    pairs = members.where("node <> leader").where(BOUND).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     links = checkpointed(_similar(pairs, texts, model))
     roots = components(links)
     low = 2
@@ -227,13 +241,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # buckets whose members are in more than one class: the next leaders by place are compared with later members of other classes
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("band", "value")
-        open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "rank", "root")
+        open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "weight", "brief", "rank", "root")
         placed = checkpointed(open_.selectExpr("*", "row_number() OVER (PARTITION BY band, value ORDER BY rank) AS place"))
         most = placed.agg(F.max("place")).first()[0]
         if most is None:
             break
-        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), F.col("root").alias("b_root"), F.col("place").alias("b_place"))
-        pairs = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").select(F.col("node").alias("a"), "b").distinct()
+        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("brief").alias("b_brief"), F.col("root").alias("b_root"), F.col("place").alias("b_place"))
+        pairs = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(BOUND).select(F.col("node").alias("a"), "b").distinct()
         more = checkpointed(_similar(pairs, texts, model))
         if more.limit(1).count():
             # classes joined by the new links, then the classes of all nodes
