@@ -32,6 +32,11 @@ RARE = 0.05
 SALT = 2000
 #: Leaders by place in their bucket are taken in ranges whose bounds grow by this factor.
 STRIDE = 8
+#: Later leaders and members meet block by block. A block holds at most BLOCK nodes of a bucket, and at most BLOCK_WEIGHT of summed
+#: weight or one node more; its texts are read once for all its pairs with another block.
+BLOCK, BLOCK_WEIGHT = 64, 200_000
+#: Largest table of weights (members by shingles) for a pair of blocks; beyond it pairs are compared one by one.
+DENSE_CELLS = 1 << 22
 #: Samples that may differ in a pair that is still compared. Each is kept to 4 bits, so at a similarity of 0.8 one differs with a
 #: probability of 0.1875, and more than this many of the 56 do with 0.0001.
 DIFFER = 22
@@ -193,6 +198,62 @@ def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
     return dealt.select("a", "b", "t").mapInArrow(run, "a long, b long")
 
 
+def _similar_in_group(group: dict[int, tuple[np.ndarray, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
+    """Similar pairs of a group of nodes: for each its shingles, their weights and the nodes to compare it with."""
+    place = {node: i for i, node in enumerate(group)}
+    sizes = [len(h) for h, _, _ in group.values()]
+    distinct, column = np.unique(np.concatenate([h for h, _, _ in group.values()]), return_inverse=True)
+    found: list[tuple[int, int]] = []
+    if len(distinct) * len(group) > DENSE_CELLS:
+        for a, (h, w, others) in group.items():
+            found += [(a, b) for b in others if weighted_jaccard((h, w), group[b][:2]) >= LEAST]
+        return found
+    table = np.zeros((len(group), len(distinct)))
+    ends = np.cumsum(sizes)
+    for i, (_, w, _) in enumerate(group.values()):
+        table[i, column[ends[i] - sizes[i] : ends[i]]] = w
+    total = table.sum(axis=1)
+    for i, (a, (_, w, others)) in enumerate(group.items()):
+        if others:
+            at = np.array([place[b] for b in others])
+            both = np.minimum(table[np.ix_(at, column[ends[i] - sizes[i] : ends[i]])], w).sum(axis=1)
+            found += [(a, others[j]) for j in np.flatnonzero(both >= LEAST * (total[i] + total[at] - both))]
+    return found
+
+
+def _similar_in_blocks(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
+    """As _similar, for pairs (a, b, group) where a group holds pairs of one block of nodes with another: each text is sent and
+    cut into shingles once a group. A group is at most two blocks, so tasks hold little however large a bucket is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, n_docs = model.value
+        group: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
+        held = None
+
+        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in text_chunks(batches, "t"):
+            text, h, tf = shingles(*buffers(batch.column("t")))
+            w = weights(h, tf, sketch, n_docs)
+            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            found: list[tuple[int, int]] = []
+            for i, (key, node, others) in enumerate(zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("others").to_pylist(), strict=True)):
+                if key != held:
+                    if group:
+                        found += _similar_in_group(group)
+                    group, held = {}, key
+                group[node] = h[cut[i] : cut[i + 1]].copy(), w[cut[i] : cut[i + 1]].copy(), others
+            yield batch_of(found)
+        if group:
+            yield batch_of(_similar_in_group(group))
+
+    sides = pairs.select("group", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select("group", F.col("b").alias("node"), F.lit(None).cast("long").alias("other")).distinct())
+    rows = sides.groupBy("group", "node").agg(F.collect_list("other").alias("others")).join(texts.withColumnRenamed("r", "node"), "node")
+    dealt = rows.repartition("group").sortWithinPartitions("group")
+    return dealt.select("group", "node", "others", "t").mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node joined to it) for every node of links (a, b), by rounds of least neighbour and of root's root."""
     both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -242,13 +303,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("band", "value")
         open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "weight", "brief", "rank", "root")
-        placed = checkpointed(open_.selectExpr("*", "row_number() OVER (PARTITION BY band, value ORDER BY rank) AS place"))
+        order = "OVER (PARTITION BY band, value ORDER BY rank)"
+        placed = open_.selectExpr("*", f"row_number() {order} AS place", f"sum(CAST(weight AS DOUBLE)) {order} AS so_far")
+        # both grow with the place, so a block is a run of places
+        placed = checkpointed(placed.selectExpr("band", "value", "node", "weight", "brief", "root", "place", f"((place DIV {BLOCK}) << 32) + CAST(so_far / {BLOCK_WEIGHT} AS BIGINT) AS block"))
         most = placed.agg(F.max("place")).first()[0]
         if most is None:
             break
-        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), F.col("weight").alias("b_weight"), F.col("brief").alias("b_brief"), F.col("root").alias("b_root"), F.col("place").alias("b_place"))
-        pairs = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(BOUND).select(F.col("node").alias("a"), "b").distinct()
-        more = checkpointed(_similar(pairs, texts, model))
+        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("weight", "brief", "root", "place", "block")))
+        met = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(BOUND)
+        # a pair that shares several buckets is compared in one of them
+        pairs = met.groupBy(F.col("node").alias("a"), "b").agg(F.min(F.struct("band", "value", "block", "b_block")).alias("where")).select("a", "b", F.xxhash64("where").alias("group"))
+        more = checkpointed(_similar_in_blocks(pairs, texts, model))
         if more.limit(1).count():
             # classes joined by the new links, then the classes of all nodes
             joined = components(more.join(now.select(F.col("node").alias("a"), F.col("root").alias("ra")).distinct(), "a").join(now.select(F.col("node").alias("b"), F.col("root").alias("rb")).distinct(), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))

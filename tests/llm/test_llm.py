@@ -234,8 +234,8 @@ def test_weighted_samples_estimate_the_similarity():
     w = rng.random(400) * 3 + 0.1
     v = np.where(rng.random(400) < 0.1, w * 2, w)
     exact = near_dups.weighted_jaccard((np.sort(h), w[np.argsort(h)]), (np.sort(h), v[np.argsort(h)]))
-    _, a = sampler.bands(np.zeros(400, np.int64), h, w)
-    _, b = sampler.bands(np.zeros(400, np.int64), h, v)
+    _, a, _ = sampler.bands(np.zeros(400, np.int64), h, w)
+    _, b, _ = sampler.bands(np.zeros(400, np.int64), h, v)
     assert abs((a == b).mean() - exact**near_dups.ROWS) < 0.4
 
 
@@ -295,3 +295,19 @@ def test_pivot_keeps_words_and_expectations():
         assert ((out > 0) & (out < 1)).sum() <= 1
         mean += out / 4000
     assert np.abs(mean - parts).max() < 0.05
+
+
+def test_blocks_of_pairs(monkeypatch):
+    """Pairs of a group of nodes, by table and one by one, are those that brute force finds."""
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(1, 1 << 62, 400).astype(np.uint64))
+    group = {}
+    for node in range(12):
+        h = np.sort(rng.choice(pool[:150], 140, replace=False)) if node else np.zeros(0, np.uint64)
+        group[node] = h, rng.integers(1, 3, len(h)) + np.zeros(len(h)), list(range(node))
+    group[12] = (*group[5][:2], list(range(12)))
+    truth = {(a, b) for a, (h, w, others) in group.items() for b in others if near_dups.weighted_jaccard((h, w), group[b][:2]) >= near_dups.LEAST}
+    assert (12, 5) in truth
+    assert set(near_dups._similar_in_group(group)) == truth
+    monkeypatch.setattr(near_dups, "DENSE_CELLS", 0)
+    assert set(near_dups._similar_in_group(group)) == truth
