@@ -205,7 +205,7 @@ def jaccard_classes(texts):
     for i in range(len(texts)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if (both and both >= 0.84 * len(sets[i] | sets[j])) or (texts[i] or "") == (texts[j] or ""):
+            if (both and both >= 0.8 * len(sets[i] | sets[j])) or (texts[i] or "") == (texts[j] or ""):
                 root[max(find(i), find(j))] = min(find(i), find(j))
     return [find(i) for i in range(len(texts))]
 
