@@ -44,6 +44,8 @@ _UNLIKE = " + ".join(f"bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsig
 #: Pairs worth an exact comparison. Two texts are at most as similar as the smaller of their summed weights is to the larger; a
 #: little is left for rounding.
 BOUND = f"least(weight, b_weight) >= {LEAST - 1e-4} * greatest(weight, b_weight) AND {_UNLIKE} <= {DIFFER}"
+#: Likewise by the weight of the shingles that some other open node has too (shared): two texts have no more than the smaller of theirs in common.
+SHARED = f"least(shared, b_shared) >= {LEAST - 1e-4} * (weight + b_weight - least(shared, b_shared))"
 _TABLE = 1 << 16
 
 
@@ -168,6 +170,21 @@ def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
     return docs.select("r", F.col(text).alias("t")).mapInArrow(run, "r long, digest binary, weight float, brief array<long>, bands array<long>")
 
 
+def _alone(texts: DataFrame, model: Broadcast) -> DataFrame:
+    """node and alone: summed weight of its shingles that no other node of texts (r and text) has. Counted by shingle with
+    partial counts in each task, so a shingle of all texts is no hot key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, n_docs = model.value
+        for b in text_chunks(batches, "t"):
+            text, h, tf = shingles(*buffers(b.column("t")))
+            node = np.asarray(b.column("r"))[text]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(h.view(np.int64)), pa.array(weights(h, tf, sketch, n_docs).astype(np.float32))], ["node", "h", "w"])
+
+    single = texts.select("r", "t").mapInArrow(run, "node long, h long, w float").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
+    return single.groupBy("node").agg(F.sum("w").alias("alone"))
+
+
 def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
     """Those of pairs (a, b) whose weighted similarity is LEAST or more. texts: r and text.
 
@@ -302,23 +319,31 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         # buckets whose members are in more than one class: the next leaders by place are compared with later members of other classes
         now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         mixed = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("band", "value")
-        open_ = now.join(mixed, ["band", "value"]).select("band", "value", "node", "weight", "brief", "rank", "root")
+        open_ = now.join(mixed, ["band", "value"])
+        if low == 2:
+            # later rounds meet only nodes that are open now. One that shares too little with all the others has no further link
+            open_ = checkpointed(open_.select("band", "value", "node", "weight", "brief", "rank", "leader", "root"))
+            alone = _alone(texts.join(open_.select(F.col("node").alias("r")).distinct(), "r"), model)
+            shared = open_.join(alone, "node", "left").withColumn("shared", F.col("weight") - F.coalesce("alone", F.lit(0.0))).drop("alone")
+            # the bucket's leader keeps the first place: it has been compared already
+            open_ = checkpointed(shared.where(f"shared >= {LEAST - 1e-4} * weight OR node = leader").drop("leader"))
+            members = open_.drop("root")
         order = "OVER (PARTITION BY band, value ORDER BY rank)"
         placed = open_.selectExpr("*", f"row_number() {order} AS place", f"sum(CAST(weight AS DOUBLE)) {order} AS so_far")
         # both grow with the place, so a block is a run of places
-        placed = checkpointed(placed.selectExpr("band", "value", "node", "weight", "brief", "root", "place", f"((place DIV {BLOCK}) << 32) + CAST(so_far / {BLOCK_WEIGHT} AS BIGINT) AS block"))
+        placed = checkpointed(placed.selectExpr("band", "value", "node", "weight", "shared", "brief", "root", "place", f"((place DIV {BLOCK}) << 32) + CAST(so_far / {BLOCK_WEIGHT} AS BIGINT) AS block"))
         most = placed.agg(F.max("place")).first()[0]
         if most is None:
             break
-        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("weight", "brief", "root", "place", "block")))
-        met = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(BOUND)
+        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("weight", "shared", "brief", "root", "place", "block")))
+        met = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(f"{SHARED} AND {BOUND}")
         # a pair that shares several buckets is compared in one of them
         pairs = met.groupBy(F.col("node").alias("a"), "b").agg(F.min(F.struct("band", "value", "block", "b_block")).alias("where")).select("a", "b", F.xxhash64("where").alias("group"))
         more = checkpointed(_similar_in_blocks(pairs, texts, model))
         if more.limit(1).count():
             # classes joined by the new links, then the classes of all nodes
             joined = components(more.join(now.select(F.col("node").alias("a"), F.col("root").alias("ra")).distinct(), "a").join(now.select(F.col("node").alias("b"), F.col("root").alias("rb")).distinct(), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            known = now.select("node", "root").distinct()
+            known = texts.select(F.col("r").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             roots = checkpointed(known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
         low *= STRIDE
 

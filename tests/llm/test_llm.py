@@ -311,3 +311,32 @@ def test_blocks_of_pairs(monkeypatch):
     assert set(near_dups._similar_in_group(group)) == truth
     monkeypatch.setattr(near_dups, "DENSE_CELLS", 0)
     assert set(near_dups._similar_in_group(group)) == truth
+
+
+def test_chained_near_duplicates(spark):
+    """A group of random edits of one text: its classes are those of brute force, through all rounds."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4, 6, 9, 12])):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**7)}"
+        texts.append(" ".join(copy))
+    for i in range(20):  # each differs a little from the one before, and by that more and more from the first
+        copy = texts[-1].split(" ")
+        copy[rng.randrange(200)], copy[rng.randrange(200)] = f"y{i}", f"z{i}"
+        texts.append(" ".join(copy))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = sorted(near_dups.near_duplicates(table).collect(), key=lambda r: r.doc_id)
+    model = spark.sparkContext.broadcast((near_dups.document_frequencies(table), len(texts)))
+    each = [near_dups.shingles(t.encode(), np.array([0, len(t)])) for t in texts]
+    weighed = [(h, near_dups.weights(h, tf, *model.value)) for _, h, tf in each]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and near_dups.weighted_jaccard(weighed[i], weighed[j]) >= near_dups.LEAST:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    assert len(set(root)) > 5
+    assert [r.class_id for r in out] == root
