@@ -20,7 +20,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog  # noqa: F401  (registers on import)
+    from . import catalog, statistics  # noqa: F401  (register on import)
 
     return _queries
 
