@@ -1,10 +1,10 @@
 """Unigram lattices over the words of a text: matches by Aho-Corasick, dynamic programming in numpy over many words at once.
 
-A text is written as SentencePiece writes it (a mark in front, a mark for each space). No usable piece has the mark
-anywhere but in front, and none has a newline, so every segmentation of a text is a row of segmentations of its
-units: a unit starts at a mark or is one newline, and where no piece has both letters and other characters (as in the public
-files), units also end where letters meet other characters. Units recur, so each is worked out once per worker while it
-stays in a bounded store.
+A text is written as SentencePiece writes it (a mark in front, a mark for each space). Where no piece has a mark after another
+character, and none has a newline (as in the public files), every segmentation of a text is a row of segmentations of its
+units: a unit is a run of marks with the word after it or one newline, and where no piece has both letters and other characters,
+units also end where letters meet other characters. Other files are cut at newlines, or not at all if pieces have
+newlines. Units recur, so each is worked out once per worker while it stays in a bounded store.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ import sentencepiece
 from .common import mix64
 
 MARK = "▁"
-UNITS = re.compile(f"\n|{MARK}[^{MARK}\n]*|[^{MARK}\n]+")
-RUNS = re.compile(f"\n|{MARK}?[^\\W\\d_]+|{MARK}?(?:[^\\w{MARK}\n]|[\\d_])+|{MARK}")
-ONE_KIND = re.compile(f"{MARK}?(?:[^\\W\\d_]*|(?:[^\\w{MARK}]|[\\d_])*)")
+UNITS = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+")
+RUNS = re.compile(f"\n|{MARK}*[^\\W\\d_]+|{MARK}*(?:[^\\w{MARK}\n]|[\\d_])+|{MARK}+")
+LINES, WHOLE = re.compile("\n|[^\n]+"), re.compile(".+", re.DOTALL)
+ONE_WORD = re.compile(f"{MARK}*[^{MARK}]*", re.DOTALL)
+ONE_KIND = re.compile(f"{MARK}*(?:[^\\W\\d_]*|(?:[^\\w{MARK}]|[\\d_])*)")
 #: As in the tokenizer: a character that no piece covers scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 SENTINEL = -1e8
@@ -44,16 +46,16 @@ def _prefix(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Vocabulary:
     """The pieces of a SentencePiece model file, read as a unigram vocabulary.
 
-    Left out are control, unknown, unused and byte pieces (bytes serve characters that no piece covers) and pieces
-    with a mark after their first character (runs of spaces). A score under SENTINEL says "never merged" in a
-    byte-pair file; such a piece (the lone mark) takes the lowest true score, so that sums keep their precision.
+    Left out are control, unknown, unused and byte pieces (bytes serve characters that no piece covers), and without
+    space_runs those with a mark after their first character. A score under SENTINEL says "never merged" in a
+    byte-pair file; such a piece (the lone mark, a run of marks) takes the lowest true score, so that sums keep their precision.
     """
 
-    def __init__(self, model: bytes) -> None:
+    def __init__(self, model: bytes, space_runs: bool = True) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.vocab_size()
         self.pieces = [sp.id_to_piece(i) for i in range(n)]
-        usable = [i for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) and p and MARK not in p[1:]]
+        usable = [i for i, p in enumerate(self.pieces) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i)) and p and (space_runs or MARK not in p[1:])]
         self.score = np.zeros(n)
         given = np.array([sp.get_score(i) for i in usable])
         self.score[usable] = np.where(given < SENTINEL, given[given >= SENTINEL].min(), given)
@@ -61,7 +63,13 @@ class Vocabulary:
         self.unknown_score = float(min(self.score[usable])) - UNKNOWN_PENALTY
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
         self.byte_of = {int(i): b for b, i in enumerate(self.byte_id)}
-        self.pattern = RUNS if all(ONE_KIND.fullmatch(self.pieces[i]) for i in usable) else UNITS
+        used = [self.pieces[i] for i in usable]
+        if any("\n" in p for p in used):
+            self.pattern = WHOLE
+        elif not all(map(ONE_WORD.fullmatch, used)):
+            self.pattern = LINES
+        else:
+            self.pattern = RUNS if all(map(ONE_KIND.fullmatch, used)) else UNITS
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for i in usable:
             self.automaton.add_word(self.pieces[i], i)

@@ -16,8 +16,10 @@ STORE = 400_000
 
 
 class Counter:
-    def __init__(self, model: bytes, store: int = STORE) -> None:
-        self.vocabulary, self.store = Vocabulary(model), store
+    """space_runs: whether pieces that are runs of spaces are used. count_tokens uses them, as the library does."""
+
+    def __init__(self, model: bytes, store: int = STORE, space_runs: bool = False) -> None:
+        self.vocabulary, self.store = Vocabulary(model, space_runs), store
         self.known: dict[str, int] = {}
         self.scores: dict[str, float] = {}
 
@@ -52,7 +54,7 @@ def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = hash(model.value), store
-        counter = _counters.get(which) or _counters.setdefault(which, Counter(model.value, store))
+        counter = _counters.get(which) or _counters.setdefault(which, Counter(model.value, store, space_runs=True))
         for b in text_chunks(batches, "t"):
             texts = b.column("t").to_pylist()
             n, s = counter.count(texts)

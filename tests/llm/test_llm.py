@@ -66,6 +66,36 @@ def test_counts_equal_the_library(docs):
     assert counts == [len(library.encode(t)) for t in texts]
 
 
+def unigram_library():
+    """The library's unigram encoder with the scores that Vocabulary uses; no piece is retyped."""
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(file_bytes(MODEL))
+    proto.trainer_spec.model_type = 1
+    low = min(p.score for p in proto.pieces if p.score > SENTINEL)
+    for p in proto.pieces:
+        p.score = max(p.score, low)
+    return sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
+
+
+SPACED = ["a        b", "def f(a):\n    return a\n", "   lead", "trail     ", " " * 40, "x  y   z\n\n  - 1   2.5    |  3\n\t  end", "  \n  ", "é" + " " * 17 + "🎉  日本  語", "a▁ ▁b"]
+
+
+def test_runs_of_spaces_count_as_in_the_library(spark, docs):
+    library = unigram_library()
+    rng = random.Random(4)
+    texts = SPACED + [re.sub(" ", lambda _: " " * rng.choice([1, 1, 2, 3, 8, 20]), r.text[:500]) for r in docs.limit(50).collect()]
+    out = token_counts.count_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {i: len(library.encode(t)) for i, t in enumerate(texts)}
+
+
+def test_runs_of_spaces_are_in_the_sampled_lattice():
+    lattices = gumbel_encode.Lattices(file_bytes(MODEL), 0.0005)
+    (own,) = gumbel_encode.sample_texts(["a    b"], np.array([1], np.uint64), lattices, 1000)
+    pieces = {tuple(lattices.vocabulary.pieces[i] for i in gumbel_encode.token_ids(lattices, x[0])) for x in own}
+    assert len(pieces) == len(paths(lattices.vocabulary, "▁a")) * len(paths(lattices.vocabulary, "▁▁▁▁b"))
+    assert ("▁a", "▁▁▁▁", "b") in pieces and ("▁a", "▁▁▁", "▁b") in pieces
+
+
 def paths(vocabulary, unit):
     """All segmentations of a unit with their scores."""
     a = vocabulary.arcs([unit])
