@@ -11,6 +11,7 @@ All texts of a batch are walked together in numpy. Noise comes from a counter-ba
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
-from .lattice import Vocabulary
+from .lattice import MARK, Vocabulary
 
 #: Units whose lattices a worker remembers at most; the store is emptied when it is full. It bounds memory, not results.
 STORE = 600_000
@@ -278,7 +279,9 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
     """Up to k distinct segmentations of every text, without replacement.
 
     Rows: key, sample (0: highest perturbed score), n_tokens, log_prob, perturbed, log_inclusion (log of the probability that
-    a segmentation is among the k, given the (k+1)-th perturbed score; 0 where the k are all there are), piece_ids.
+    a segmentation is among the k, given the (k+1)-th perturbed score; 0 where the k are all there are), piece_ids, and of
+    the text that the ids are decoded to: decoded_sha256, gives_back (whether it is the text, null being the empty one), and
+    n_marks (mark characters in the text; each is decoded to a space, so gives_back is false for these texts only).
     A null or empty text has one segmentation, the empty one. A null key takes a seed of its own; repeated rows get the
     same segmentations. Other columns are neither read nor returned. A text whose lattice has fewer than k
     paths gives all of them. The model file (under 1 MB) is read on the driver and broadcast.
@@ -291,18 +294,26 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
         lattices = _lattices.get(which) or _lattices.setdefault(which, Lattices(model.value, alpha, store))
         for b in text_chunks(batches, "t", 2_000_000):
             keys = np.asarray(b.column("s")).astype(np.int64).view(np.uint64)
-            found = sample_texts(b.column("t").to_pylist(), keys, lattices, k)
+            texts = [t or "" for t in b.column("t").to_pylist()]
+            found = sample_texts(texts, keys, lattices, k)
             flat = [(i, j, *x) for i, own in enumerate(found) for j, x in enumerate(own)]
             ids = [token_ids(lattices, x[2]) for x in flat]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            marks = [t.count(MARK) for t in texts]
+            digests, same = [], []
+            for (i, *_), row in zip(flat, ids, strict=True):
+                decoded = lattices.vocabulary.decode(row)
+                same.append(decoded == texts[i])
+                digests.append(hashlib.sha256(decoded.encode()).hexdigest())
+            back = [pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array([marks[x[0]] for x in flat], pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [b.column("k").take(pa.array([x[0] for x in flat])), pa.array([x[1] for x in flat], pa.int32()), pa.array(sizes), *(pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)), lists],
-                ["k", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "piece_ids"],
+                [b.column("k").take(pa.array([x[0] for x in flat])), pa.array([x[1] for x in flat], pa.int32()), pa.array(sizes), *(pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)), lists, *back],
+                ["k", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "piece_ids", "decoded_sha256", "gives_back", "n_marks"],
             )
 
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.lit(seed), F.col(key)).alias("s"))
-    out = read.mapInArrow(run, f"k {key_type}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, piece_ids array<int>")
+    out = read.mapInArrow(run, f"k {key_type}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, piece_ids array<int>, decoded_sha256 string, gives_back boolean, n_marks long")
     return out.withColumnRenamed("k", key)
 
 

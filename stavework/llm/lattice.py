@@ -62,7 +62,9 @@ class Vocabulary:
         self.length = np.array([len(p) for p in self.pieces])
         self.unknown_score = float(min(self.score[usable])) - UNKNOWN_PENALTY
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        self.byte_of = {int(i): b for b, i in enumerate(self.byte_id)}
+        self.said = [p.encode() for p in self.pieces]
+        for b, i in enumerate(self.byte_id.tolist()):
+            self.said[i] = bytes([b])
         used = [self.pieces[i] for i in usable]
         if any("\n" in p for p in used):
             self.pattern = WHOLE
@@ -176,6 +178,6 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of a row of token ids: marks become spaces, byte tokens bytes, the mark in front goes."""
-        out = b"".join(bytes([self.byte_of[i]]) if i in self.byte_of else self.pieces[i].encode() for i in map(int, ids))
+        out = b"".join(map(self.said.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
         text = out.decode("utf-8", errors="replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 from stavework.llm import chat_format, fingerprints, gumbel_encode, html_text, licenses, mixing, near_dups, quality_rules, sharding, token_counts
@@ -137,6 +138,18 @@ def test_encoding_round_trip():
         assert {lattices.vocabulary.decode(gumbel_encode.token_ids(lattices, x[0])) for x in own} == {text}
 
 
+def test_decoding_gives_whole_tables_back(spark, docs, odd):
+    marked = spark.createDataFrame([(1, "a▁b ▁"), (2, None), (3, "")], "doc_id long, text string")
+    for table in (docs, odd, marked):
+        want = Counter((r.doc_id, hashlib.sha256((r.text or "").replace("▁", " ").encode()).hexdigest()) for r in table.collect())
+        out = gumbel_encode.sample_encode(table).withColumn("text", gumbel_encode.decode_ids(F.col("piece_ids"), file_bytes(MODEL))).collect()
+        assert Counter((r.doc_id, r.decoded_sha256) for r in out if not r["sample"]) == want
+        assert all(r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and r.gives_back == (not r.n_marks) for r in out)
+    assert {(r.doc_id, r.gives_back, r.n_marks) for r in out} == {(1, False, 2), (2, True, 0), (3, True, 0)}
+    null = spark.range(1).select(gumbel_encode.decode_ids(F.lit(None).cast("array<int>"), file_bytes(MODEL)).alias("x"))
+    assert null.first().x is None
+
+
 def test_automaton_and_hashes_find_the_same_pieces(docs):
     v = Vocabulary(file_bytes(MODEL))
     units = sorted(set().union(*(v.units_of(r.text) for r in docs.limit(40).collect())))
