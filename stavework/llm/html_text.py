@@ -4,6 +4,7 @@ A page is a row of tokens. Words score by how much more often words of their con
 tags score below zero, the more the less often they stand inside content. The contiguous run of tokens with the greatest
 sum is the content region, found in one linear scan. Weights are log odds counted on labelled pages: pages that mark
 their article themselves. Inside the region, blocks of contexts that are never content (menus, adverts, forms, comments) are left out.
+Words of a class, id or role name such a context only where the element is not a wrapper of the page's text.
 """
 
 from __future__ import annotations
@@ -35,63 +36,94 @@ BLOCKS = frozenset("address article aside blockquote body br dd details div dl d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</\2\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
+#: Attributes one after another, each a name and perhaps a value; only whole names count.
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
 _SPACE = re.compile(r"[ \t\n\x0b\x0c\r\xa0]+")
 
 
-def _is_dropped(tag: str, attributes: str) -> bool:
+def _drops(tag: str, attributes: str) -> int:
+    """2: the element's tag or a hidden attribute says that it is never main text; 1: words of its class, id or role say so; 0: neither."""
     if tag in DROPPED:
-        return True
+        return 2
+    marked, seen = 0, set()
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+        name, value = (m[1] or "").lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+        if name in seen:
+            continue  # HTML takes the first of attributes with one name
+        seen.add(name)
+        if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
+            return 2
         if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and MARKED & set(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            marked = 1
+    return marked
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, str, bool, bool]]:
+def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     """(kind, what, context, dropped, labelled) of every token: kind is "tag" or "text"; context names the innermost block and whether a
-    link is open; dropped: inside a part that is never main text; labelled: inside an article or main element."""
-    open_: list[tuple[str, bool]] = []
+    link is open; dropped: inside a part that is never main text; labelled: inside an article or main element.
+
+    An element that words of its class, id or role mark is a wrapper, and not dropped for them, if it holds more than half
+    of the page's words: those in article and main elements if there are any, without what tags and hidden attributes drop.
+    """
+    found: list[tuple[str, str, str, bool, bool, int]] = []
+    open_: list[tuple[str, bool, int]] = []
+    # marked elements: the marked one around each, and their words, outside and inside article and main; 0 is the page
+    around, words = [0], [[0, 0]]
+
+    def state() -> tuple[bool, bool, int]:
+        return any(d for _, d, _ in open_), any(t in ("article", "main") for t, _, _ in open_), open_[-1][2] if open_ else 0
+
     for m in _TOKEN.finditer(page):
         text = m[1] if m[1] is not None else m[6]
         if text is None and m[4] is None:
             continue
+        dropped, inside, marked = state()
         if text is not None:
-            block = next((t for t, _ in reversed(open_) if t in BLOCKS), "")
-            context = block + (">a" if any(t == "a" for t, _ in open_) else "")
-            yield "text", text if m[1] is not None else html.unescape(text), context, any(d for _, d in open_), any(t in ("article", "main") for t, _ in open_)
+            block = _last_block(open_)
+            context = block + (">a" if any(t == "a" for t, _, _ in open_) else "")
+            text = text if m[1] is not None else html.unescape(text)
+            if not dropped:
+                words[marked][inside] += len(text.split())
+            found.append(("text", text, context, dropped, inside, marked))
             continue
         tag = m[4].lower()
         if m[3]:
             at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), -1)
-            inside = any(t in ("article", "main") for t, _ in open_)
-            dropped = any(d for _, d in open_)
             # a closing tag does not close a block around it that is still open, but for its own
             if at >= 0:
                 del open_[at:]
-            yield "tag", "/" + tag, "", dropped, inside
+            found.append(("tag", "/" + tag, "", dropped, inside, marked))
             continue
         while open_ and tag in ENDED_BY.get(_last_block(open_), ()):
             at = next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in BLOCKS)
             del open_[at:]
-        inside = any(t in ("article", "main") for t, _ in open_)
-        own = _is_dropped(tag, m[5])
-        dropped = own or any(d for _, d in open_)
+        dropped, inside, marked = state()
+        own = _drops(tag, m[5])
+        if own == 1:
+            around.append(marked)
+            words.append([0, 0])
+            marked = len(around) - 1
         if tag not in VOID and not m[5].rstrip().endswith("/"):
-            open_.append((tag, own))
-        yield "tag", tag, "", dropped, inside
+            open_.append((tag, own == 2, marked))
+        found.append(("tag", tag, "", dropped or own == 2, inside, marked))
+    for i in range(len(around) - 1, 0, -1):  # an element comes after those around it
+        for j in (0, 1):
+            words[around[i]][j] += words[i][j]
+    page_words = [sum(words[0]), words[0][1]]
+    gone = [False]
+    for i in range(1, len(around)):
+        wrapper = 2 * words[i][1] > page_words[1] if page_words[1] else 2 * sum(words[i]) > page_words[0]
+        gone.append(gone[around[i]] or not wrapper)
+    return [(kind, what, context, dropped or gone[marked], inside) for kind, what, context, dropped, inside, marked in found]
 
 
-def _last_block(open_: list[tuple[str, bool]]) -> str:
-    return next((t for t, _ in reversed(open_) if t in BLOCKS), "")
+def _last_block(open_: list[tuple[str, bool, int]]) -> str:
+    return next((t for t, _, _ in reversed(open_) if t in BLOCKS), "")
 
 
 def count_page(page: str) -> Counter:
     """Counts of (kind, tag or context, dropped, in content) of a labelled page; an unlabelled page counts nothing."""
-    seen = list(tokens(page))
+    seen = tokens(page)
     if not any(x[4] for x in seen):
         return Counter()
     out: Counter = Counter()
@@ -133,7 +165,7 @@ class Weights:
 
 def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks of the region with the greatest score, two newlines between."""
-    items = list(tokens(page or ""))
+    items = tokens(page or "")
     best, start, here, region = 0.0, 0, 0.0, (0, 0)
     inside = any(x[4] for x in items)
     for i, (kind, what, context, dropped, labelled) in enumerate(items):

@@ -233,6 +233,26 @@ def test_pages(spark):
     assert sorted(r.text for r in html_text.main_texts(odd).collect()) == ["", "", "a\n\nb"]
 
 
+@pytest.mark.parametrize(
+    "attributes",
+    ['style="overflow:hidden"', 'title="hidden gems"', 'data-id="search"', 'data-role=navigation', 'class="layout no-sidebar"', "class='has-header'", 'id="widget-area" class="x"', "title='class=\"ad\" hidden'", 'data-hidden=1', 'aria-hidden="false"'],
+)
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_wrappers_keep_the_text_of_a_page(spark, attributes, tag):
+    weights = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    page = f"<body><div {attributes}><{tag}><p>First words of the text are here.</p><div class=ad>buy</div><p>More words of it follow here.</p></{tag}><div class='sidebar'>see also</div></div></body>"
+    assert html_text.extract(page, weights) == "First words of the text are here.\n\nMore words of it follow here."
+
+
+def test_marked_and_hidden_parts_go(spark):
+    weights = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    for attributes in ["hidden", "HIDDEN=''", "x=1 hidden", "aria-hidden=true", "class='b  ad'", "id=comments", "role = 'navigation'"]:
+        page = f"<div><p>First words of the text are here.</p><div {attributes}><p>some other words</p></div><p>More words of it follow here.</p></div>"
+        assert html_text.extract(page, weights) == "First words of the text are here.\n\nMore words of it follow here."
+    related = "<main><p>First words of the text are here.</p></main><div class=related><article>one teaser</article><article>next teaser</article></div>"
+    assert html_text.extract(related, weights) == "First words of the text are here."
+
+
 def jaccard_classes(texts):
     sets = []
     for t in texts:
