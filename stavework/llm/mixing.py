@@ -20,6 +20,8 @@ from .common import WORD_CLASS, checkpointed, mix64
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents in a block, blocks whose rests meet in one node of the tree, and sources up to which their table is broadcast.
 BLOCK, FAN, FEW_SOURCES = 4096, 256, 10_000
+#: Parts in which rows that are alike are numbered.
+PARTS = 256
 _EPS = 1e-9
 _ROW = "r long, k {key}, source string, size long, source_size long, target double, whole long, part double, block long, draw long"
 
@@ -72,17 +74,31 @@ def _uniform(draw: pd.Series, level: int) -> np.ndarray:
     return ((mix64(x) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 5) -> DataFrame:
-    """One row per row of docs: r (its number in docs as read), key, size, source_size, target, taken, copies.
+def dealt(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (r, k, source, size, h, documents and others) with draw and block, both by a hash of the row's values and its number among
+    rows alike, so a key on many rows spreads over all blocks. Rows alike are numbered in PARTS parts, whose sums give what
+    comes before each; which of them has which number makes no difference.
+    """
+    rows = rows.withColumn("g", F.xxhash64(F.lit(seed), "source", "k", "size", "h")).withColumn("part_of", F.pmod(F.xxhash64("r"), F.lit(PARTS)))
+    counts = rows.groupBy("g", "part_of").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("g").orderBy("part_of").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("g", "part_of", F.sum("n").over(before).alias("offset")).where("offset > 0")
+    place = F.row_number().over(Window.partitionBy("g", "part_of").orderBy("r"))
+    numbered = rows.withColumn("place", place).join(offsets, ["g", "part_of"], "left").withColumn("nth", F.col("place") + F.coalesce("offset", F.lit(0)))
+    block = F.pmod(F.xxhash64(F.lit(seed + 1), "g", "nth"), F.ceil(F.col("documents") / BLOCK)).cast("long")
+    return numbered.withColumn("draw", F.xxhash64(F.lit(seed), "g", "nth")).withColumn("block", block).drop("g", "part_of", "place", "offset", "nth")
+
+
+def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 5, row: str | None = None) -> DataFrame:
+    """One row per row of docs: r (the column row, or its number in docs as read), key, size, source_size, target, taken, copies.
 
     Null texts have no words; a document without words is taken once if its source is due at all, which adds no words.
-    Documents are put in blocks and in order by a hash of the key and the seed, so results don't depend on
-    how the table is split, but for rows alike in key and size. Other columns are dropped. docs has to be a
-    table or another plan that gives its rows in the same order when it is read again.
+    Documents are put in blocks and in order by a hash of their values, their number among rows alike and the seed, so
+    results don't depend on how the table is split. Other columns are dropped. docs is read once.
     """
     kind = docs.schema[key].dataType.simpleString()
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_CLASS)), F.lit(0)).cast("long")
-    sized = checkpointed(docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(source).cast("string").alias("source"), words.alias("size")))
+    sized = checkpointed(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("r"), F.col(key).alias("k"), F.col(source).cast("string").alias("source"), words.alias("size"), F.xxhash64(text).alias("h")))
     targets = checkpointed(source_targets(sized))
     n_sources, largest = targets.agg(F.count("*"), F.max("documents")).first()
     if n_sources <= FEW_SOURCES:
@@ -91,7 +107,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rows = sized.alias("d").join(targets.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source"))).drop(F.col("s.source"))
     whole = F.floor(due + _EPS)
     rows = rows.withColumn("whole", whole.cast("long")).withColumn("part", F.greatest(due - whole, F.lit(0.0)))
-    rows = rows.withColumn("draw", F.xxhash64(F.lit(seed), F.col("k"))).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("k")), F.ceil(F.col("documents") / BLOCK)).cast("long"))
+    rows = dealt(rows, seed)
     rows = rows.select("r", "k", "source", "size", "source_size", "target", "whole", "part", "block", "draw")
     schema = _ROW.format(key=kind)
 

@@ -348,6 +348,18 @@ def test_mixing(docs):
     assert mixing.mix(docs).count() == sum(r.copies for r in rows)
 
 
+def test_a_key_on_many_rows_spreads_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    rows = [(i, None if i % 3 else 7, "s", i % 50, i if i < 6000 else 0, 9000) for i in range(8000)] + [(8000 + i, None, "s", 0, 42, 9000) for i in range(1000)]
+    table = spark.createDataFrame(rows, "r long, k long, source string, size long, h long, documents long")
+    out = mixing.dealt(table, 5).collect()
+    assert sorted(r.r for r in out) == list(range(9000)) and len({r.draw for r in out}) == 9000
+    blocks = Counter(r.block for r in out)
+    assert len(blocks) == 141 and max(blocks.values()) < 2 * 64
+    other = mixing.dealt(table.withColumn("r", F.lit(9000) - F.col("r")).repartition(7), 5).collect()
+    assert Counter((r.k, r["size"], r.h, r.draw, r.block) for r in other) == Counter((r.k, r["size"], r.h, r.draw, r.block) for r in out)
+
+
 def test_pivot_keeps_words_and_expectations():
     rng = np.random.default_rng(5)
     sizes, parts = rng.integers(1, 500, 60), rng.random(60)
