@@ -33,6 +33,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages. Near-duplicates and mixing write the rows that they get to the checkpoint folder once, with row numbers, and
+    use only these, so a stage's plan is run once and its order doesn't matter."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)

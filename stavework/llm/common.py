@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -25,19 +26,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the folder that the session names in spark.checkpoint.dir and read back from it.
-
-    Where the setting is absent (tests on one machine), a folder under the warehouse is used.
-    """
-    spark = df.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir; where the setting is absent (tests on one machine), a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder and read back from it."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once as Parquet to the checkpoint folder and read from there: each use reads its own columns, with the same values."""
+    path = f"{_checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, whatever the optimizer does with repeated references."""
     return F.element_at(F.transform(F.array(value), body), 1)

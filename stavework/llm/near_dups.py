@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buffers, checkpointed, mix64, text_chunks
+from .common import buffers, checkpointed, mix64, stored, text_chunks
 from .grams import PLAIN, word_grams
 
 SHINGLE, LEAST, ROWS, BANDS = 5, 0.8, 4, 14
@@ -287,17 +287,19 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of docs: r (its number in docs as read), key, class_id (least key of its class), class_size, kept
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """One row per row of docs: r (the column row, or its number in docs as read), key, class_id (least key of its class), class_size, kept
     (true for one row of each class, that of the least key).
 
     Equal texts are in one class; null and empty texts have no shingles and are alike among themselves only. Texts under
-    SHINGLE words have one shingle. Null keys come last when the least is taken. Other columns are dropped. docs has to be
-    a table or another plan that gives its rows in the same order when it is read again.
+    SHINGLE words have one shingle. Null keys come last when the least is taken. Other columns are dropped. docs is read
+    once, its rows numbered and stored, unless row names a column of distinct numbers; then it is read again for each use.
     """
     spark = docs.sparkSession
-    numbered = docs.select(F.monotonically_increasing_id().alias("r"), F.col(key).alias("k"), F.col(text).alias("t"))
-    n_docs = docs.count()
+    numbered = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("r"), F.col(key).alias("k"), F.col(text).alias("t"))
+    if row is None:
+        numbered = stored(numbered)
+    n_docs = numbered.count()
     model = spark.sparkContext.broadcast((document_frequencies(numbered, "t"), n_docs))
     signed = checkpointed(_signed(numbered, "t", model))
     nodes = checkpointed(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("weight").alias("weight"), F.first("brief").alias("brief"), F.first("bands").alias("bands")))
@@ -356,6 +358,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one row of each class of near-duplicates; all columns as they were."""
-    gone = near_duplicates(docs, key, text).where("NOT kept").select(F.col("r").alias("_r"))
-    return docs.withColumn("_r", F.monotonically_increasing_id()).join(gone, "_r", "left_anti").drop("_r")
+    """docs with one row of each class of near-duplicates; all columns as they were. docs is read once and stored with row numbers."""
+    rows = stored(docs.withColumn("_r", F.monotonically_increasing_id()))
+    gone = near_duplicates(rows, key, text, "_r").where("NOT kept").select(F.col("r").alias("_r"))
+    return rows.join(gone, "_r", "left_anti").drop("_r")

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -13,6 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
+import corpus_pipeline
 from stavework.llm import chat_format, fingerprints, gumbel_encode, html_text, licenses, mixing, near_dups, quality_rules, sharding, token_counts
 from stavework.llm.common import TOKENIZERS, file_bytes
 from stavework.llm.lattice import SENTINEL, Vocabulary
@@ -415,3 +417,40 @@ def test_chained_near_duplicates(spark):
                 root = [low if x == high else x for x in root]
     assert len(set(root)) > 5
     assert [r.class_id for r in out] == root
+
+
+def unsteady(docs, spark):
+    """docs with its rows in another order, and so with other row numbers, at each reading."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        read.add(1)
+        for b in batches:
+            yield b.take(np.random.default_rng(int.from_bytes(os.urandom(8), "little")).permutation(b.num_rows))
+
+    return docs.coalesce(1).mapInArrow(run, docs.schema), read
+
+
+def test_plans_in_another_order_at_each_reading(spark, docs):
+    rows = docs.orderBy("doc_id").collect()
+    root = dict(zip((r.doc_id for r in rows), jaccard_classes([r.text for r in rows]), strict=True))
+    for _ in range(2):
+        plan, read = unsteady(docs, spark)
+        kept = near_dups.keep_one(plan).collect()
+        assert sorted(root[r.doc_id] for r in kept) == sorted(set(root.values())) and read.value == 1
+        plan, read = unsteady(docs, spark)
+        assert near_dups.near_duplicates(plan).where("kept").count() == len(kept) and read.value == 1
+        want = Counter({r.doc_id: r.copies for r in mixing.decide(docs).collect() if r.copies})
+        plan, read = unsteady(docs, spark)
+        assert Counter(r.doc_id for r in mixing.mix(plan).collect()) == want and read.value == 1
+
+
+def test_pipeline(spark, docs):
+    good = sorted(quality_rules.keep_good(docs).collect(), key=lambda r: r.doc_id)
+    first = {}
+    for r, x in zip(good, jaccard_classes([r.text for r in good]), strict=True):
+        first.setdefault(x, r)
+    copies = {r.doc_id: r.copies for r in mixing.decide(spark.createDataFrame(list(first.values()), docs.schema)).collect() if r.copies}
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert Counter(r.doc_id for r in out if r["sample"] == 0) == copies
+    assert all(r.gives_back for r in out)
