@@ -27,10 +27,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that the session names in spark.checkpoint.dir; where the setting is absent (tests on one machine), a temporary one."""
+    """The folder that the session names in spark.checkpoint.dir. Where the setting is absent, a temporary one, and that only on one
+    machine: a cluster's executors don't share the driver's folders."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -48,6 +51,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """name, with as many underscores after it as it takes to be no column of the tables."""
+    while any(name.lower() == c.lower() for t in tables for c in t.columns):
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once per row, whatever the optimizer does with repeated references."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,11 +1,13 @@
 """Near-duplicates by improved consistent weighted sampling of TF-IDF word shingles, banded and verified.
 
 1. A count-min sketch of fixed size holds in how many documents each shingle of SHINGLE words stands, over all documents.
-2. A shingle weighs its count in the document times a mild inverse document frequency. Weighted samples agree
+2. A shingle weighs its count in the document times its smoothed inverse document frequency. Weighted samples agree
    for two documents with the probability of their weighted Jaccard similarity; ROWS samples make a band key.
 3. Equal texts are one node. In each bucket of nodes with a band key in common, members are compared with the bucket's leader,
-   the node with most neighbours, later with others in turn, until all pairs that no link joins yet have been compared, but for
-   those whose samples or summed weights show that they are unlike. Links need the exact weighted similarity. Nodes joined by links make a class.
+   the node with most neighbours.
+4. Pairs of a bucket that no link joins yet are found by a prefix filter on what members do not share with their leader, which
+   loses none (see `differences`), so a large group of copies of one text is never compared pair by pair.
+Links need the exact weighted similarity. Nodes joined by links make a class.
 """
 
 from __future__ import annotations
@@ -16,36 +18,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, checkpointed, mix64, stored, text_chunks
+from .common import buffers, fresh, mix64, stored, text_chunks
 from .grams import PLAIN, word_grams
 
 SHINGLE, LEAST, ROWS, BANDS = 5, 0.8, 4, 14
 #: Cells in each of the two rows of the sketch, and in a block of it that travels as one value.
 CELLS, CELL_BLOCK = 1 << 19, 1 << 14
-#: A shingle's weight is 1 for one in all documents and at most this much more for a rare one. A stronger weight would part
-#: near copies in large groups: what they share is frequent by that, and each edit is rare.
-RARE = 0.05
+#: Smoothing of the inverse document frequency, as a share of all documents: log((N + S) / (df + S)) with S = SMOOTH * N, in
+#: units of that of a shingle in no document. A shingle in few documents weighs 1, one in all of them nearly nothing.
+SMOOTH = 1.0
 #: Members compared with one leader in one task.
 SALT = 2000
-#: Leaders by place in their bucket are taken in ranges whose bounds grow by this factor.
-STRIDE = 8
-#: Later leaders and members meet block by block. A block holds at most BLOCK nodes of a bucket, and at most BLOCK_WEIGHT of summed
-#: weight or one node more; its texts are read once for all its pairs with another block.
-BLOCK, BLOCK_WEIGHT = 64, 200_000
-#: Largest table of weights (members by shingles) for a pair of blocks; beyond it pairs are compared one by one.
-DENSE_CELLS = 1 << 22
-#: Samples that may differ in a pair that is still compared. Each is kept to 4 bits, so at a similarity of 0.8 one differs with a
-#: probability of 0.1875, and more than this many of the 56 do with 0.0001.
+#: Samples that may differ in a pair that is still compared with its leader. Each is kept to 4 bits, so at a similarity of 0.8 one
+#: differs with a probability of 0.1875, and more than this many of the 56 do with 0.0001.
 DIFFER = 22
 _UNLIKE = " + ".join(f"bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & {0x1111111111111111}L)".replace("x", f"(brief[{i}] ^ b_brief[{i}])") for i in range(ROWS * BANDS // 16 + 1))
 #: Pairs worth an exact comparison. Two texts are at most as similar as the smaller of their summed weights is to the larger; a
 #: little is left for rounding.
-BOUND = f"least(weight, b_weight) >= {LEAST - 1e-4} * greatest(weight, b_weight) AND {_UNLIKE} <= {DIFFER}"
-#: Likewise by the weight of the shingles that some other open node has too (shared): two texts have no more than the smaller of theirs in common.
-SHARED = f"least(shared, b_shared) >= {LEAST - 1e-4} * (weight + b_weight - least(shared, b_shared))"
+BOUND = f"least(weight, b_weight) >= {LEAST - 1e-4} * greatest(weight, b_weight) AND unlike <= {DIFFER}"
+#: Samples that may differ between a node and its home; it decides only where pairs meet.
+ALIKE = 36
+#: Two texts are similar if the sum of their weights' differences is at most this share of the sum of their weights.
+GAP = (1 - LEAST) / (1 + LEAST)
+#: What turns the key of a shingle into that of its absence.
+_ABSENT = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = 1 << 16
 
 
@@ -95,10 +94,16 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.minimum(out.reshape(2, CELLS), np.iinfo(np.int32).max).astype(np.int32)
 
 
-def weights(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n_docs: int) -> np.ndarray:
+def frequencies(h: np.ndarray, sketch: np.ndarray, n_docs: int) -> np.ndarray:
+    """Documents that have each shingle; never too few."""
     a, b = _cells(h)
-    df = np.clip(np.minimum(sketch[0][a], sketch[1][b]), 1, max(n_docs, 1))
-    return tf * (1 + RARE * np.log(n_docs / df) / np.log(max(n_docs, 2)))
+    return np.clip(np.minimum(sketch[0][a], sketch[1][b]), 1, max(n_docs, 1))
+
+
+def weights(h: np.ndarray, tf: np.ndarray, sketch: np.ndarray, n_docs: int) -> np.ndarray:
+    smooth = SMOOTH * n_docs
+    idf = np.log((n_docs + 1 + smooth) / (frequencies(h, sketch, n_docs) + smooth)) if n_docs else np.ones(len(h))
+    return tf * idf / np.log((n_docs + 1 + smooth) / smooth if n_docs else np.e)
 
 
 class Sampler:
@@ -170,117 +175,113 @@ def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
     return docs.select("r", F.col(text).alias("t")).mapInArrow(run, "r long, digest binary, weight float, brief array<long>, bands array<long>")
 
 
-def _alone(texts: DataFrame, model: Broadcast) -> DataFrame:
-    """node and alone: summed weight of its shingles that no other node of texts (r and text) has. Counted by shingle with
-    partial counts in each task, so a shingle of all texts is no hot key."""
+def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) with a's text t, by b and salt, b's own text first (a = b): up to SALT partners of b meet it in a task, one after
+    another, and only b's shingles are held meanwhile. texts: r and t."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
+    salted = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"))
+    leaders = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+    rows = salted.unionByName(leaders).join(texts.withColumnRenamed("r", "a"), "a")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a").select("a", "b", "t")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n_docs = model.value
-        for b in text_chunks(batches, "t"):
-            text, h, tf = shingles(*buffers(b.column("t")))
-            node = np.asarray(b.column("r"))[text]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(h.view(np.int64)), pa.array(weights(h, tf, sketch, n_docs).astype(np.float32))], ["node", "h", "w"])
 
-    single = texts.select("r", "t").mapInArrow(run, "node long, h long, w float").groupBy("h").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("w").alias("w")).where("n = 1")
-    return single.groupBy("node").agg(F.sum("w").alias("alone"))
+Weighed = tuple[np.ndarray, np.ndarray]
 
 
-def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
-    """Those of pairs (a, b) whose weighted similarity is LEAST or more. texts: r and text.
+def _with_leader(batches: Iterator[pa.RecordBatch], model: tuple[np.ndarray, int]) -> Iterator[list[tuple[int, int, Weighed, Weighed]]]:
+    """From rows of _dealt, lists of (a, b, shingles and weights of a, those of b)."""
+    sketch, n_docs = model
+    held, leader = None, None
+    for batch in text_chunks(batches, "t"):
+        text, h, tf = shingles(*buffers(batch.column("t")))
+        w = weights(h, tf, sketch, n_docs)
+        cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
+        met = []
+        for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
+            own = h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
+            if a == b:
+                held, leader = (own[0].copy(), own[1].copy()), b
+            elif leader == b:
+                met.append((a, b, own, held))
+        yield met
 
-    b's text meets up to SALT of its partners in a task, one after another; only b's shingles are held meanwhile.
-    """
+
+def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
+    """Those of pairs (a, b) whose weighted similarity is LEAST or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n_docs = model.value
-        held, leader = None, None
-        for batch in text_chunks(batches, "t"):
-            text, h, tf = shingles(*buffers(batch.column("t")))
-            w = weights(h, tf, sketch, n_docs)
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            found: list[tuple[int, int]] = []
-            for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)):
-                own = h[cut[i] : cut[i + 1]], w[cut[i] : cut[i + 1]]
-                if a == b:
-                    held, leader = own, b
-                elif leader == b and weighted_jaccard(own, held) >= LEAST:
-                    found.append((a, b))
+        for met in _with_leader(batches, model.value):
+            found = [(a, b) for a, b, own, held in met if weighted_jaccard(own, held) >= LEAST]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
-    salted = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"))
-    leaders = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    rows = salted.unionByName(leaders).join(texts.withColumnRenamed("r", "a"), "a")
-    dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a")
-    return dealt.select("a", "b", "t").mapInArrow(run, "a long, b long")
-
-
-def _similar_in_group(group: dict[int, tuple[np.ndarray, np.ndarray, list[int]]]) -> list[tuple[int, int]]:
-    """Similar pairs of a group of nodes: for each its shingles, their weights and the nodes to compare it with."""
-    place = {node: i for i, node in enumerate(group)}
-    sizes = [len(h) for h, _, _ in group.values()]
-    distinct, column = np.unique(np.concatenate([h for h, _, _ in group.values()]), return_inverse=True)
-    found: list[tuple[int, int]] = []
-    if len(distinct) * len(group) > DENSE_CELLS:
-        for a, (h, w, others) in group.items():
-            found += [(a, b) for b in others if weighted_jaccard((h, w), group[b][:2]) >= LEAST]
-        return found
-    table = np.zeros((len(group), len(distinct)))
-    ends = np.cumsum(sizes)
-    for i, (_, w, _) in enumerate(group.values()):
-        table[i, column[ends[i] - sizes[i] : ends[i]]] = w
-    total = table.sum(axis=1)
-    for i, (a, (_, w, others)) in enumerate(group.items()):
-        if others:
-            at = np.array([place[b] for b in others])
-            both = np.minimum(table[np.ix_(at, column[ends[i] - sizes[i] : ends[i]])], w).sum(axis=1)
-            found += [(a, others[j]) for j in np.flatnonzero(both >= LEAST * (total[i] + total[at] - both))]
-    return found
-
-
-def _similar_in_blocks(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
-    """As _similar, for pairs (a, b, group) where a group holds pairs of one block of nodes with another: each text is sent and
-    cut into shingles once a group. A group is at most two blocks, so tasks hold little however large a bucket is."""
+    return _dealt(pairs, texts).mapInArrow(run, "a long, b long")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, n_docs = model.value
-        group: dict[int, tuple[np.ndarray, np.ndarray, list[int]]] = {}
-        held = None
 
-        def batch_of(found: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+def differences(own: Weighed, leader: Weighed) -> tuple[np.ndarray, np.ndarray, bool, float, float]:
+    """What tells a text from the leader of its group: keys, their amounts, near (similar to the leader), and two bounds.
 
-        for batch in text_chunks(batches, "t"):
-            text, h, tf = shingles(*buffers(batch.column("t")))
-            w = weights(h, tf, sketch, n_docs)
-            cut = np.searchsorted(text, np.arange(batch.num_rows + 1))
-            found: list[tuple[int, int]] = []
-            for i, (key, node, others) in enumerate(zip(batch.column("group").to_pylist(), batch.column("node").to_pylist(), batch.column("others").to_pylist(), strict=True)):
-                if key != held:
-                    if group:
-                        found += _similar_in_group(group)
-                    group, held = {}, key
-                group[node] = h[cut[i] : cut[i + 1]].copy(), w[cut[i] : cut[i + 1]].copy(), others
-            yield batch_of(found)
-        if group:
-            yield batch_of(_similar_in_group(group))
-
-    sides = pairs.select("group", F.col("a").alias("node"), F.col("b").alias("other")).unionByName(pairs.select("group", F.col("b").alias("node"), F.lit(None).cast("long").alias("other")).distinct())
-    rows = sides.groupBy("group", "node").agg(F.collect_list("other").alias("others")).join(texts.withColumnRenamed("r", "node"), "node")
-    dealt = rows.repartition("group").sortWithinPartitions("group")
-    return dealt.select("group", "node", "others", "t").mapInArrow(run, "a long, b long")
+    Let d(x) be the signed difference of x's weights to the leader's, |d(x)| the sum of its amounts, |x| that of x's weights and
+    O(x, y) the sum of the lesser amounts where d(x) and d(y) have one sign. The weights of x and y differ by |d(x)| + |d(y)| -
+    2 O(x, y), so they are similar if and only if O(x, y) >= (|d(x)| + |d(y)| - GAP (|x| + |y|)) / 2. Of a pair that the leader does not join,
+    one text at least is not near: |d(y)| > GAP (|y| + |leader|). Then O(x, y) is at least half of |d(x)| + GAP (|leader| - |x|), the first
+    bound of x, and at least half of |d(y)| - GAP (|leader| + |y|), the second one of y, as |x| <= |leader| + |d(x)|. With keys in one
+    order for all texts of the group, two such texts share a key that is in the last part of neither, where a last part is the most keys from
+    the end whose amounts add up to less than the bound. It holds with any order; with the keys of most texts last, few texts share one.
+    """
+    (h, w), (g, v) = own, leader
+    _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
+    d = w.copy()
+    d[i] -= v[j]
+    gone = np.ones(len(g), bool)
+    gone[j] = False
+    more, less = d > 0, d < 0
+    keys, amounts = np.concatenate([h[more], h[less] ^ _ABSENT, g[gone] ^ _ABSENT]), np.concatenate([d[more], -d[less], v[gone]])
+    total, sums, top = float(amounts.sum()), float(w.sum()), float(v.sum())
+    slack = 1e-5 * (sums + top)
+    return keys, amounts, total <= GAP * (sums + top), (total + GAP * (top - sums)) / 2 - slack, (total - GAP * (top + sums)) / 2 - slack
+
+
+_KEYED = pa.schema([("node", pa.int64()), ("leader", pa.int64()), ("near", pa.bool_()), ("first", pa.float64()), ("second", pa.float64()), ("key", pa.int64()), ("amount", pa.float64())])
+
+
+def _keyed(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
+    """For pairs (a, b) of a node and its leader a row for each of its differences; a near node has one with a null key as well.
+    Shingles of one document only are left out: no other text has the key, and it comes first in the order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch, n_docs = model.value
+        for met in _with_leader(batches, model.value):
+            columns: list[list[np.ndarray]] = [[] for _ in _KEYED]
+            close = []
+            for a, b, own, held in met:
+                rare = own[0][frequencies(own[0], sketch, n_docs) == 1]
+                keys, amounts, near, first, second = differences(own, held)
+                if near:
+                    close.append({"node": a, "leader": b, "near": True})
+                seen = ~np.isin(keys, rare)
+                n = int(seen.sum())
+                for column, x in zip(columns, (a, b, near, first, second), strict=False):
+                    column.append(np.repeat(x, n))
+                columns[5].append(keys[seen].view(np.int64))
+                columns[6].append(amounts[seen])
+            if met:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, _KEYED, strict=True)], schema=_KEYED)
+            if close:
+                yield pa.RecordBatch.from_pylist(close, _KEYED)
+
+    return _dealt(pairs, texts).mapInArrow(run, "node long, leader long, near boolean, first double, second double, key long, amount double")
 
 
 def components(links: DataFrame) -> DataFrame:
     """node and root (the least node joined to it) for every node of links (a, b), by rounds of least neighbour and of root's root."""
-    both = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("root"))
-    roots = checkpointed(roots)
+    roots = stored(roots)
     while True:
         near = both.join(roots.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         step = roots.join(near, F.col("node") == F.col("a")).select("node", "root", F.least("root", "near").alias("next"))
         up = roots.select(F.col("node").alias("next"), F.col("root").alias("over"))
-        new = checkpointed(step.join(up, "next", "left").select("node", F.col("root").alias("was"), F.coalesce(F.least("next", "over"), F.col("next")).alias("root")))
+        new = stored(step.join(up, "next", "left").select("node", F.col("root").alias("was"), F.coalesce(F.least("next", "over"), F.col("next")).alias("root")))
         moved = new.where("was <> root").limit(1).count()
         roots = new.select("node", "root")
         if not moved:
@@ -301,53 +302,50 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
         numbered = stored(numbered)
     n_docs = numbered.count()
     model = spark.sparkContext.broadcast((document_frequencies(numbered, "t"), n_docs))
-    signed = checkpointed(_signed(numbered, "t", model))
-    nodes = checkpointed(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("weight").alias("weight"), F.first("brief").alias("brief"), F.first("bands").alias("bands")))
+    signed = stored(_signed(numbered, "t", model))
+    nodes = stored(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("weight").alias("weight"), F.first("brief").alias("brief"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
-    members = checkpointed(members.join(sizes, ["band", "value"]))
+    members = stored(members.join(sizes, ["band", "value"]))
     # a bucket's leader is the member with most neighbours in all buckets: the text that others were made from, if it is there
     central = members.groupBy("node").agg((-F.sum("size")).alias("rank"))
-    members = members.join(central, "node").join(nodes.select("node", "weight", "brief"), "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node", "weight", "brief"))
-    leaders = members.groupBy("band", "value").agg(F.min("rank").alias("leader"))
-    members = checkpointed(members.join(leaders, ["band", "value"]).select("band", "value", "node", "weight", "brief", "rank", F.col("leader.node").alias("leader"), F.col("leader.weight").alias("b_weight"), F.col("leader.brief").alias("b_brief")))
-    texts = checkpointed(numbered.join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
-
-    pairs = members.where("node <> leader").where(BOUND).select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    links = checkpointed(_similar(pairs, texts, model))
+    ranked = members.join(central, "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node"))
+    leaders = ranked.groupBy("band", "value").agg(F.min("rank").alias("rank")).select("band", "value", "rank", F.col("rank.node").alias("leader"))
+    members = stored(members.join(leaders, ["band", "value"]))
+    texts = stored(numbered.join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
+
+    facts = nodes.select("node", "weight", "brief")
+    led = members.groupBy("node", "leader").agg(F.first("rank").alias("rank"))
+    led = led.join(facts, "node").join(facts.select(F.col("node").alias("leader"), F.col("weight").alias("b_weight"), F.col("brief").alias("b_brief")), "leader")
+    led = stored(led.select("node", "leader", "rank", "weight", "b_weight", F.expr(_UNLIKE).alias("unlike")))
+    links = stored(_similar(led.where("node <> leader").where(BOUND).select(F.col("node").alias("a"), F.col("leader").alias("b")), texts, model))
     roots = components(links)
-    low = 2
-    while True:
-        # buckets whose members are in more than one class: the next leaders by place are compared with later members of other classes
-        now = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count("*").alias("n")).where(f"x <> y AND n > {low}").select("band", "value")
-        open_ = now.join(mixed, ["band", "value"])
-        if low == 2:
-            # later rounds meet only nodes that are open now. One that shares too little with all the others has no further link
-            open_ = checkpointed(open_.select("band", "value", "node", "weight", "brief", "rank", "leader", "root"))
-            alone = _alone(texts.join(open_.select(F.col("node").alias("r")).distinct(), "r"), model)
-            shared = open_.join(alone, "node", "left").withColumn("shared", F.col("weight") - F.coalesce("alone", F.lit(0.0))).drop("alone")
-            # the bucket's leader keeps the first place: it has been compared already
-            open_ = checkpointed(shared.where(f"shared >= {LEAST - 1e-4} * weight OR node = leader").drop("leader"))
-            members = open_.drop("root")
-        order = "OVER (PARTITION BY band, value ORDER BY rank)"
-        placed = open_.selectExpr("*", f"row_number() {order} AS place", f"sum(CAST(weight AS DOUBLE)) {order} AS so_far")
-        # both grow with the place, so a block is a run of places
-        placed = checkpointed(placed.selectExpr("band", "value", "node", "weight", "shared", "brief", "root", "place", f"((place DIV {BLOCK}) << 32) + CAST(so_far / {BLOCK_WEIGHT} AS BIGINT) AS block"))
-        most = placed.agg(F.max("place")).first()[0]
-        if most is None:
-            break
-        leaders = placed.where(F.col("place").between(low, STRIDE * low - 1)).select("band", "value", F.col("node").alias("b"), *(F.col(c).alias(f"b_{c}") for c in ("weight", "shared", "brief", "root", "place", "block")))
-        met = placed.join(leaders, ["band", "value"]).where("place > b_place AND root <> b_root").where(f"{SHARED} AND {BOUND}")
-        # a pair that shares several buckets is compared in one of them
-        pairs = met.groupBy(F.col("node").alias("a"), "b").agg(F.min(F.struct("band", "value", "block", "b_block")).alias("where")).select("a", "b", F.xxhash64("where").alias("group"))
-        more = checkpointed(_similar_in_blocks(pairs, texts, model))
-        if more.limit(1).count():
-            # classes joined by the new links, then the classes of all nodes
-            joined = components(more.join(now.select(F.col("node").alias("a"), F.col("root").alias("ra")).distinct(), "a").join(now.select(F.col("node").alias("b"), F.col("root").alias("rb")).distinct(), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-            known = texts.select(F.col("r").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-            roots = checkpointed(known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        low *= STRIDE
+
+    # A node's home is the most central of its leaders that looks like it. Pairs with one home meet at their home, the others at
+    # the leaders of the buckets that they share. Buckets of two, or of one class, have nothing left to find.
+    homes = led.where(f"unlike <= {ALIKE}").groupBy("node").agg(F.min("rank").alias("home")).select("node", F.col("home.node").alias("home"))
+    now = members.join(roots, "node", "left").join(homes, "node", "left")
+    now = now.select("band", "value", "node", "leader", "size", F.coalesce("root", "node").alias("root"), F.coalesce("home", "node").alias("home"))
+    open_ = now.groupBy("band", "value").agg(F.min("root").alias("x"), F.max("root").alias("y"), (F.min("home") != F.max("home")).alias("strangers")).where("x <> y").select("band", "value", "strangers")
+    unlike = now.where("size > 2").join(open_, ["band", "value"]).select("node", F.explode(F.array("home", F.when(F.col("strangers"), F.col("leader")))).alias("leader"))
+    unlike = unlike.where("leader <> node").distinct().select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    known = now.select("node", "root", "home").distinct()
+    keyed = stored(_keyed(unlike, texts, model).join(known, "node"))
+    # keys of one node come first in the order, so the sums from its end don't need them
+    counts = keyed.where("key IS NOT NULL").groupBy("leader", "key").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y"), F.min("home").alias("p"), F.max("home").alias("q")).where("n > 1")
+    order = Window.partitionBy("leader", "node").orderBy(F.desc("n"), "key").rowsBetween(Window.unboundedPreceding, 0)
+    shown = keyed.join(counts, ["leader", "key"]).withColumn("rest", F.sum("amount").over(order)).withColumn("half", F.expr("rest >= first"))
+    shown = stored(shown.where("(half OR (NOT near AND rest >= second)) AND x <> y AND (p <> q OR p = leader)").select("leader", "key", "node", "root", "home", "near", "half", "rest", F.expr("first + second").alias("need")))
+    far = shown.where("NOT near").select("leader", "key", *(F.col(c).alias(f"b_{c}") for c in ("node", "root", "home", "half", "rest", "need")))
+    # at the first key that a pair shares, what each text has left must be enough for the O(x, y) that the pair needs
+    met = shown.where("half").join(far, ["leader", "key"]).where("root <> b_root AND (home <> b_home OR home = leader) AND (near OR b_half AND node < b_node) AND 2 * least(rest, b_rest) >= need + b_need")
+    found = _similar(met.select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct(), texts, model)
+    more = stored(found.unionByName(keyed.where("key IS NULL").select(F.col("node").alias("a"), F.col("leader").alias("b"))))
+    if more.limit(1).count():
+        # classes joined by the new links, then the classes of all nodes
+        joined = more.join(known.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(known.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b").where("ra <> rb")
+        joined = components(joined.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
+        roots = known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
     by_text = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     rows = numbered.select("r", "k").join(signed.select("r", "digest"), "r").join(by_text, "digest").select("r", "k", "root")
@@ -359,6 +357,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each class of near-duplicates; all columns as they were. docs is read once and stored with row numbers."""
-    rows = stored(docs.withColumn("_r", F.monotonically_increasing_id()))
-    gone = near_duplicates(rows, key, text, "_r").where("NOT kept").select(F.col("r").alias("_r"))
-    return rows.join(gone, "_r", "left_anti").drop("_r")
+    number = fresh("_r", docs)
+    rows = stored(docs.withColumn(number, F.monotonically_increasing_id()))
+    gone = near_duplicates(rows, key, text, number).where("NOT kept").select(F.col("r").alias(number))
+    return rows.join(gone, number, "left_anti").drop(number)

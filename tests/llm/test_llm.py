@@ -374,20 +374,40 @@ def test_pivot_keeps_words_and_expectations():
     assert np.abs(mean - parts).max() < 0.05
 
 
-def test_blocks_of_pairs(monkeypatch):
-    """Pairs of a group of nodes, by table and one by one, are those that brute force finds."""
+def test_differences_lose_no_pair():
+    """For texts around a leader, and any order of keys: a similar pair that the leader does not join shares a key that is in neither's last part."""
     rng = np.random.default_rng(5)
     pool = np.unique(rng.integers(1, 1 << 62, 400).astype(np.uint64))
-    group = {}
-    for node in range(12):
-        h = np.sort(rng.choice(pool[:150], 140, replace=False)) if node else np.zeros(0, np.uint64)
-        group[node] = h, rng.integers(1, 3, len(h)) + np.zeros(len(h)), list(range(node))
-    group[12] = (*group[5][:2], list(range(12)))
-    truth = {(a, b) for a, (h, w, others) in group.items() for b in others if near_dups.weighted_jaccard((h, w), group[b][:2]) >= near_dups.LEAST}
-    assert (12, 5) in truth
-    assert set(near_dups._similar_in_group(group)) == truth
-    monkeypatch.setattr(near_dups, "DENSE_CELLS", 0)
-    assert set(near_dups._similar_in_group(group)) == truth
+    weight = dict(zip(pool.tolist(), rng.choice([0.4, 0.9, 1.0], len(pool)), strict=True))
+    leader = np.sort(rng.choice(pool, 60, replace=False))
+
+    def weighed(h):
+        return h, np.array([weight[x] for x in h.tolist()]) * (1 + (h % np.uint64(7) == 0))
+
+    texts = [weighed(leader)]
+    for _ in range(150):
+        h = set(texts[rng.integers(len(texts))][0].tolist())
+        n = int(rng.integers(1, 12))
+        h -= set(rng.choice(sorted(h), min(n, len(h) - 1), replace=False).tolist())
+        texts.append(weighed(np.array(sorted(h | set(rng.choice(pool, int(rng.integers(0, 12))).tolist())), np.uint64)))
+    found = [near_dups.differences(x, texts[0]) for x in texts]
+    order = {k: rng.random() for f in found for k in f[0].tolist()}
+    parts = []
+    for keys, amounts, near, first, second in found:
+        place = np.argsort([order[k] for k in keys.tolist()]) if len(keys) else np.zeros(0, int)
+        rest = np.cumsum(amounts[place][::-1])[::-1]
+        parts.append(({k: r for k, r in zip(keys[place].tolist(), rest.tolist(), strict=True)}, near, first, second))
+    pairs = 0
+    for i, (x, x_near, x_first, x_second) in enumerate(parts):
+        assert x_near == (near_dups.weighted_jaccard(texts[i], texts[0]) >= near_dups.LEAST)
+        for j, (y, y_near, y_first, y_second) in enumerate(parts):
+            if i == j or y_near or near_dups.weighted_jaccard(texts[i], texts[j]) < near_dups.LEAST:
+                continue
+            pairs += 1
+            bound = y_second if x_near else y_first
+            need = (x_first + x_second + y_first + y_second) / 2
+            assert any(x[k] >= x_first and y[k] >= bound and min(x[k], y[k]) >= need for k in x.keys() & y.keys())
+    assert pairs > 50
 
 
 def test_chained_near_duplicates(spark):
