@@ -153,8 +153,8 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return both / total if total else 1.0
 
 
-def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
-    """r, digest (of the text), weight (the sum of its shingles'), brief (4 bits of each sample) and bands of every row."""
+def _signed(docs: DataFrame, model: Broadcast) -> DataFrame:
+    """Of rows r, k, t: r, k, digest (of the text), weight (the sum of its shingles'), brief (4 bits of each sample) and bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, n_docs = model.value
@@ -170,9 +170,10 @@ def _signed(docs: DataFrame, text: str, model: Broadcast) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(keys.ravel()))
             briefs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n // BANDS * short.shape[1])].astype(np.int32)), pa.array(short.ravel()))
             digests = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("r"), pa.array(digests, pa.binary()), pa.array(total), briefs, lists], ["r", "digest", "weight", "brief", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("r"), b.column("k"), pa.array(digests, pa.binary()), pa.array(total), briefs, lists], ["r", "k", "digest", "weight", "brief", "bands"])
 
-    return docs.select("r", F.col(text).alias("t")).mapInArrow(run, "r long, digest binary, weight float, brief array<long>, bands array<long>")
+    kind = docs.schema["k"].dataType.simpleString()
+    return docs.select("r", "k", "t").mapInArrow(run, f"r long, k {kind}, digest binary, weight float, brief array<long>, bands array<long>")
 
 
 def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -181,7 +182,7 @@ def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / SALT).cast("int").alias("parts"))
     salted = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("salt"))
     leaders = parts.select(F.col("b").alias("a"), "b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
-    rows = salted.unionByName(leaders).join(texts.withColumnRenamed("r", "a"), "a")
+    rows = salted.unionByName(leaders).hint("merge").join(texts.withColumnRenamed("r", "a"), "a")
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", F.col("a") != F.col("b"), "a").select("a", "b", "t")
 
 
@@ -302,7 +303,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
         numbered = stored(numbered)
     n_docs = numbered.count()
     model = spark.sparkContext.broadcast((document_frequencies(numbered, "t"), n_docs))
-    signed = stored(_signed(numbered, "t", model))
+    signed = stored(_signed(numbered, model))
     nodes = stored(signed.groupBy("digest").agg(F.min("r").alias("node"), F.first("weight").alias("weight"), F.first("brief").alias("brief"), F.first("bands").alias("bands")))
     members = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     sizes = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
@@ -312,7 +313,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
     ranked = members.join(central, "node").withColumn("rank", F.struct("rank", F.xxhash64("node"), "node"))
     leaders = ranked.groupBy("band", "value").agg(F.min("rank").alias("rank")).select("band", "value", "rank", F.col("rank.node").alias("leader"))
     members = stored(members.join(leaders, ["band", "value"]))
-    texts = stored(numbered.join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
+    # texts are merged, never joined by a broadcast, so that their joins are planned alike at every size
+    texts = stored(numbered.hint("merge").join(members.select(F.col("node").alias("r")).distinct(), "r").select("r", F.coalesce("t", F.lit("")).alias("t")))
 
     facts = nodes.select("node", "weight", "brief")
     led = members.groupBy("node", "leader").agg(F.first("rank").alias("rank"))
@@ -348,7 +350,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ro
         roots = known.join(joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
     by_text = nodes.join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    rows = numbered.select("r", "k").join(signed.select("r", "digest"), "r").join(by_text, "digest").select("r", "k", "root")
+    rows = signed.select("r", "k", "digest").join(by_text, "digest").select("r", "k", "root")
     first = F.struct(F.col("k").isNull().alias("null"), "k", "r")
     classes = rows.groupBy("root").agg(F.count("*").alias("class_size"), F.min(first).alias("first"))
     out = rows.join(classes, "root")
