@@ -12,7 +12,6 @@ All texts of a batch are walked together in numpy. Noise comes from a counter-ba
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +23,8 @@ from pyspark.sql import functions as F
 from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
-#: Units whose lattices a worker remembers at most; the store is emptied when it is full. It bounds memory, not results.
-STORE = 600_000
+#: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
+STORE = 2_500_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
@@ -39,7 +38,7 @@ class Lattices:
     def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_arcs = 0
-        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float32), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
+        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float64), ("leave", np.float64), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         a = self.arrays[name]
@@ -77,11 +76,22 @@ class Lattices:
         p = np.exp(logp)
         cum = np.cumsum(p)
         cum -= np.repeat(cum[heads] - p[heads], width)
+        # log of the probability to leave by another arc: of a node's likeliest arc, the sum over the others
+        top = np.repeat(np.maximum.reduceat(logp, heads), width) if len(heads) else logp
+        likeliest = np.zeros(len(start), bool)
+        if len(heads):
+            likeliest[np.minimum.reduceat(np.where(logp == top, np.arange(len(start)), len(start)), heads)] = True
+        others = np.where(likeliest, -np.inf, logp)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            second = np.maximum.reduceat(others, heads) if len(heads) else others
+            spread = np.where(likeliest | np.isneginf(np.repeat(second, width)), 0.0, np.exp(others - np.repeat(second, width)))
+            leave = np.where(likeliest, np.repeat(second + np.log(np.add.reduceat(spread, heads)) if len(heads) else second, width), np.log(-np.expm1(np.minimum(logp, 0))))
+        leave = np.where(np.isnan(leave), -np.inf, leave)
         self._put("head", self.n_nodes, head + self.n_arcs)
         self._put("degree", self.n_nodes, degree)
         self._put("target", self.n_arcs, end + self.n_nodes)
         self._put("source", self.n_arcs, start + self.n_nodes)
-        for name, values in (("logp", np.minimum(logp, 0)), ("cum", cum), ("id", ids)):
+        for name, values in (("logp", np.minimum(logp, 0)), ("leave", np.minimum(leave, 0)), ("cum", cum), ("id", ids)):
             self._put(name, self.n_arcs, values)
         self.base.update(zip(units, (first + self.n_nodes).tolist(), strict=True))
         self.n_nodes += nodes
@@ -89,7 +99,7 @@ class Lattices:
 
     def learn(self, units: set[str]) -> None:
         new = units - self.base.keys()
-        if len(self.base) + len(new) > self.store and self.base:
+        if new and self.n_arcs > self.store:
             self.clear()
             new = units
         if new:
@@ -132,14 +142,8 @@ class Lattices:
 
 def _truncated(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at location, given that they don't exceed bound; -inf where the location is."""
-    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
-        g = location - np.log(np.exp(location - bound) - np.log(u))
-    return np.where(np.isneginf(location), -np.inf, np.minimum(g, bound))
-
-
-def _truncated_one(location: float, bound: float, u: float) -> float:
-    gap = location - bound
-    return min(bound, location - math.log(math.exp(gap) - math.log(u))) if gap < 700 else bound
+    with np.errstate(divide="ignore"):
+        return np.minimum(-np.logaddexp(-bound, np.log(-np.log(u)) - location), bound)
 
 
 class _Path:
@@ -173,9 +177,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
         return mix64(seeds + np.uint64((stream * 0xD1B54A32D192ED03 + turn * 0x8CB92BA72F3D8DD7) % 2**64))
 
     def bounds(arcs: np.ndarray, before: np.ndarray, cap: np.ndarray, seed: np.ndarray, spot: np.ndarray) -> np.ndarray:
-        with np.errstate(divide="ignore"):
-            leave = before + np.log(-np.expm1(logp[arcs].astype(np.float64)))
-        return _truncated(leave, cap, uniform(seed + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        return _truncated(before + lattices.arrays["leave"][arcs], cap, uniform(seed + spot.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
     arcs, unit = lattices.walk(base, noise(_WALK, 0)[text_of], place)
     text = text_of[unit]
@@ -211,13 +213,14 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
                 head = int(lattices.arrays["head"][node])
                 spent = path.spent.setdefault(i, [int(path.arcs[i])])
                 options = np.array([x for x in range(head, head + int(degree[node])) if x not in spent])
-                p = np.exp(logp[options], dtype=np.float64)
+                p = np.exp(logp[options] - logp[options].max())
                 j = min(int((p.cumsum() < u_choice[t] * p.sum()).sum()), len(options) - 1)
                 pick = int(options[j])
                 spent.append(pick)
-                others = float(p.sum() - p[j]) if len(options) > 1 else 0.0
                 prefix = float(path.logs[:i].sum(dtype=np.float64))
-                path.bound[i] = _truncated_one(prefix + math.log(others), top, float(u_rest[t])) if others > 0 else -np.inf
+                others = logp[np.delete(options, j)]
+                rest = others.max() + np.log(np.exp(others - others.max()).sum()) if len(others) else -np.inf
+                path.bound[i] = _truncated(np.float64(prefix + rest), np.float64(top), u_rest[t])
                 chosen.append((t, path, i, pick, top, prefix))
         if not chosen:
             break
@@ -292,7 +295,7 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = hash(model.value), alpha, store
         lattices = _lattices.get(which) or _lattices.setdefault(which, Lattices(model.value, alpha, store))
-        for b in text_chunks(batches, "t", 2_000_000):
+        for b in text_chunks(batches, "t", 1_000_000):
             keys = np.asarray(b.column("s")).astype(np.int64).view(np.uint64)
             texts = [t or "" for t in b.column("t").to_pylist()]
             found = sample_texts(texts, keys, lattices, k)

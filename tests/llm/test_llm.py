@@ -131,6 +131,32 @@ def test_samples_follow_the_lattice():
             key = min(first, key=lambda k: abs(k - math.log(p)))
             same = sum(math.exp(alpha * t) / z for _, t in every if abs(alpha * (t - s)) < 1e-4)
             assert abs(first[key] / n - same) < 4 * math.sqrt(same / n)
+            # a segmentation's indicator over its inclusion probability has the mean 1
+            kept = min(weight, key=lambda k: abs(k - math.log(p)))
+            alike = sum(1 for _, t in every if abs(alpha * (t - s)) < 1e-4)
+            assert abs(weight[kept] / n - alike) < 0.35 * alike
+
+
+@pytest.mark.parametrize("alpha", [0.0005, 0.01, 0.1, 1.0])
+@pytest.mark.parametrize("word", ["there", "of", "interest"])
+def test_all_segmentations_are_found(alpha, word):
+    lattices = gumbel_encode.Lattices(file_bytes(MODEL), alpha)
+    every = paths(lattices.vocabulary, "▁" + word)
+    (own,) = gumbel_encode.sample_texts([word], np.array([7], np.uint64), lattices, len(every) + 3)
+    assert len({tuple(x[0].tolist()) for x in own}) == len(own) == len(every)
+    assert all(a[2] >= b[2] for a, b in zip(own, own[1:], strict=False)) and all(x[3] == 0 for x in own)
+    top = max(alpha * s for _, s in every)
+    z = top + math.log(math.fsum(math.exp(alpha * s - top) for _, s in every))
+    assert np.allclose(sorted(x[1] for x in own), sorted(alpha * s - z for _, s in every), atol=1e-6)
+
+
+def test_a_small_store_changes_nothing(docs):
+    texts = [r.text for r in docs.orderBy("doc_id").limit(30).collect()]
+    results = []
+    for store in (1000, 10**9):
+        lattices = gumbel_encode.Lattices(file_bytes(MODEL), 0.0005, store)
+        results.append([[(gumbel_encode.token_ids(lattices, x[0]).tolist(), *x[1:]) for x in own] for t in texts for own in gumbel_encode.sample_texts([t], np.array([3], np.uint64), lattices, 2)])
+    assert results[0] == results[1]
 
 
 def test_encoding_round_trip():
