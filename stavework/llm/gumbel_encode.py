@@ -24,7 +24,7 @@ from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
 #: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
-STORE = 2_500_000
+STORE = 5_000_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
@@ -49,8 +49,7 @@ class Lattices:
     def add(self, units: list[str]) -> None:
         a = self.vocabulary.arcs(units, automaton=False)
         first, size = a["first"], a["size"]
-        unit = np.searchsorted(first, a["start"], "right") - 1
-        left = (first + size)[unit] - a["start"]
+        left = np.repeat(first + size, size + 1)[a["start"]] - a["start"]
         order = np.argsort(((left * (int((size + 1).sum()) + 1) + a["start"]) << 5) + np.minimum(a["end"] - a["start"], 31))
         start, end, left = a["start"][order], a["end"][order], left[order]
         gain = self.alpha * self.vocabulary.arc_scores(a["id"][order])
@@ -76,17 +75,21 @@ class Lattices:
         p = np.exp(logp)
         cum = np.cumsum(p)
         cum -= np.repeat(cum[heads] - p[heads], width)
-        # log of the probability to leave by another arc: of a node's likeliest arc, the sum over the others
-        top = np.repeat(np.maximum.reduceat(logp, heads), width) if len(heads) else logp
-        likeliest = np.zeros(len(start), bool)
-        if len(heads):
-            likeliest[np.minimum.reduceat(np.where(logp == top, np.arange(len(start)), len(start)), heads)] = True
-        others = np.where(likeliest, -np.inf, logp)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            second = np.maximum.reduceat(others, heads) if len(heads) else others
-            spread = np.where(likeliest | np.isneginf(np.repeat(second, width)), 0.0, np.exp(others - np.repeat(second, width)))
-            leave = np.where(likeliest, np.repeat(second + np.log(np.add.reduceat(spread, heads)) if len(heads) else second, width), np.log(-np.expm1(np.minimum(logp, 0))))
-        leave = np.where(np.isnan(leave), -np.inf, leave)
+        # log of the probability to leave by another arc; of an arc likelier than all others together, their sum
+        leave = np.log(-np.expm1(np.minimum(logp, -1e-300)))
+        likely = np.flatnonzero(logp > -0.5)
+        if len(likely):
+            node = np.searchsorted(heads, likely, "right") - 1
+            wide = width[node] > 1
+            leave[likely[~wide]] = -np.inf
+            likely, node = likely[wide], node[wide]
+            size = width[node]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(heads[node], size)
+            others = np.where(at == np.repeat(likely, size), -np.inf, logp[at])
+            begins = np.cumsum(size) - size
+            if len(begins):
+                second = np.maximum.reduceat(others, begins)
+                leave[likely] = second + np.log(np.add.reduceat(np.exp(others - np.repeat(second, size)), begins))
         self._put("head", self.n_nodes, head + self.n_arcs)
         self._put("degree", self.n_nodes, degree)
         self._put("target", self.n_arcs, end + self.n_nodes)
@@ -295,7 +298,7 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = hash(model.value), alpha, store
         lattices = _lattices.get(which) or _lattices.setdefault(which, Lattices(model.value, alpha, store))
-        for b in text_chunks(batches, "t", 1_000_000):
+        for b in text_chunks(batches, "t", 2_000_000):
             keys = np.asarray(b.column("s")).astype(np.int64).view(np.uint64)
             texts = [t or "" for t in b.column("t").to_pylist()]
             found = sample_texts(texts, keys, lattices, k)
@@ -305,8 +308,7 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
             marks = [t.count(MARK) for t in texts]
             digests, same = [], []
-            for (i, *_), row in zip(flat, ids, strict=True):
-                decoded = lattices.vocabulary.decode(row)
+            for (i, *_), decoded in zip(flat, lattices.vocabulary.decode_rows(ids), strict=True):
                 same.append(decoded == texts[i])
                 digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             back = [pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array([marks[x[0]] for x in flat], pa.int64())]
