@@ -4,7 +4,8 @@ A page is a row of tokens. Words score by how much more often words of their con
 tags score below zero, the more the less often they stand inside content. The contiguous run of tokens with the greatest
 sum is the content region, found in one linear scan. Weights are log odds counted on labelled pages: pages that mark
 their article themselves. Inside the region, blocks of contexts that are never content (menus, adverts, forms, comments) are left out.
-Words of a class, id or role name such a context only where the element is not a wrapper of the page's text.
+Words of a class, id or role name such a context only where the element is not a wrapper of the page's text; a marking word
+that is part of a longer name is evidence with a fitted weight.
 """
 
 from __future__ import annotations
@@ -35,77 +36,167 @@ MARKED = frozenset(
 BLOCKS = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<(script|style|noscript|template|iframe|textarea|svg)\b[^>]*>.*?(?:</\2\s*>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.DOTALL | re.IGNORECASE)
+#: Elements whose content is not HTML, or never text of the page; it is passed over as a whole.
+RAW = frozenset("script style noscript template iframe textarea svg".split())
+_NAME = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*")
+_ENDS = re.compile("[>\"']")
+_CLOSES = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 #: Attributes one after another, each a name and perhaps a value; only whole names count.
-_ATTRIBUTE = re.compile(r"([^\s=\"'>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|\"[^\"]*\"|'[^']*'")
-_SPACE = re.compile(r"[ \t\n\x0b\x0c\r\xa0]+")
-
-
-def _drops(tag: str, attributes: str) -> int:
-    """2: the element's tag or a hidden attribute says that it is never main text; 1: words of its class, id or role say so; 0: neither."""
-    if tag in DROPPED:
-        return 2
-    marked, seen = 0, set()
-    for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
-        name, value = (m[1] or "").lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
+_ATTRIBUTE = re.compile(r"([^\s=\"'>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_SPACE = re.compile(r"\s+")
+
+
+class _Scanner:
+    """A page's texts and tags in one pass. What once was not found to the end of the page is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.quotes, self.cdata = page, True, True
+
+    def tag_end(self, at: int) -> int:
+        """Place of the > that ends a tag; quoted values may hold others. Once a quote is left open, quotes no longer count."""
+        page, i = self.page, at
+        while self.quotes:
+            m = _ENDS.search(page, i)
+            if m and m[0] == ">":
+                return m.start()
+            if not m:
+                self.quotes = False
+                break
+            before = m.start()
+            while before > at and page[before - 1].isspace():
+                before -= 1
+            if page[before - 1] == "=":
+                closing = page.find(m[0], m.end())
+                if closing < 0:
+                    self.quotes = False
+                    break
+                i = closing + 1
+            else:
+                i = m.end()
+        return page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """("text", text, ""), ("open", tag, attributes) and ("close", tag, "")."""
+        page, i, last = self.page, 0, self.page.rfind(">")
+        while i < len(page):
+            at = page.find("<", i)
+            if at < 0 or at > last:
+                yield "text", html.unescape(page[i:]), ""
+                return
+            if at > i:
+                yield "text", html.unescape(page[i:at]), ""
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                i = end + 3 if end >= 0 else len(page)
+                continue
+            if self.cdata and page.startswith("<![CDATA[", at):
+                end = page.find("]]>", at + 9)
+                if end >= 0:
+                    yield "text", page[at + 9 : end], ""
+                    i = end + 3
+                    continue
+                self.cdata = False
+            if page[at + 1 : at + 2] in ("!", "?"):
+                i = page.find(">", at) + 1
+                continue
+            name = _NAME.match(page, at)
+            end = self.tag_end(name.end()) if name else -1
+            if end < 0:
+                yield "text", "<", ""
+                i = at + 1
+                continue
+            i = end + 1
+            tag = name[0].lower().lstrip("</")
+            if name[0][1] == "/":
+                yield "close", tag, ""
+                continue
+            attributes = page[name.end() : end]
+            if tag in RAW and not attributes.endswith("/"):
+                close = _CLOSES[tag].search(page, i)
+                i = close.end() if close else len(page)
+                continue
+            yield "open", tag, attributes
+
+
+def _drops(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
+    """2: the element's tag or a hidden attribute says that it is never main text; 1: a word of its class, id or role says so (each of
+    its parts does); 0: neither. And a marking word that is only part of such a word: evidence that is weighed. The header of an
+    article is a part of it."""
+    if tag in DROPPED and not (tag == "header" and inside):
+        return 2, ""
+    marked, hint, seen = 0, "", set()
+    for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
+        name, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
         if name in seen:
             continue  # HTML takes the first of attributes with one name
         seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
-            return 2
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main") and MARKED & set(re.split(r"[^a-z]+", value)):
-            marked = 1
-    return marked
+            return 2, ""
+        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+            for word in value.split():
+                parts = [x for x in re.split(r"[^a-z]+", word) if x]
+                if parts and MARKED.issuperset(parts):
+                    marked = 1
+                hint = hint or next((x for x in parts if x in MARKED), "")
+    return marked, "" if marked else hint
 
 
 def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
-    """(kind, what, context, dropped, labelled) of every token: kind is "tag" or "text"; context names the innermost block and whether a
-    link is open; dropped: inside a part that is never main text; labelled: inside an article or main element.
+    """(kind, what, context, dropped, labelled) of every token: kind is "tag" or "text"; context names the innermost block, whether a
+    link is open, and the innermost hint; dropped: inside a part that is never main text; labelled: inside an article or main element.
 
     An element that words of its class, id or role mark is a wrapper, and not dropped for them, if it holds more than half
     of the page's words: those in article and main elements if there are any, without what tags and hidden attributes drop.
+    Work and memory grow in proportion to the page: counts of open elements take the place of walks over them.
     """
     found: list[tuple[str, str, str, bool, bool, int]] = []
-    open_: list[tuple[str, bool, int]] = []
+    open_: list[tuple[str, bool, int, str]] = []
+    blocks: list[int] = []  # places of open blocks
+    by_tag: Counter = Counter()
+    dropping = 0
     # marked elements: the marked one around each, and their words, outside and inside article and main; 0 is the page
     around, words = [0], [[0, 0]]
 
-    def state() -> tuple[bool, bool, int]:
-        return any(d for _, d, _ in open_), any(t in ("article", "main") for t, _, _ in open_), open_[-1][2] if open_ else 0
-
-    for m in _TOKEN.finditer(page):
-        text = m[1] if m[1] is not None else m[6]
-        if text is None and m[4] is None:
-            continue
-        dropped, inside, marked = state()
-        if text is not None:
-            block = _last_block(open_)
-            context = block + (">a" if any(t == "a" for t, _, _ in open_) else "")
-            text = text if m[1] is not None else html.unescape(text)
-            if not dropped:
-                words[marked][inside] += len(text.split())
-            found.append(("text", text, context, dropped, inside, marked))
+    def close_to(at: int) -> None:
+        nonlocal dropping
+        while len(open_) > at:
+            tag, drops, _, _ = open_.pop()
+            by_tag[tag] -= 1
+            dropping -= drops
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
+
+    for kind, what, attributes in _Scanner(page):
+        inside, (marked, hint) = bool(by_tag["article"] or by_tag["main"]), open_[-1][2:] if open_ else (0, "")
+        block = open_[blocks[-1]][0] if blocks else ""
+        if kind == "text":
+            if not dropping:
+                words[marked][inside] += len(what.split())
+            found.append(("text", what, block + (">a" if by_tag["a"] else "") + (f"~{hint}" if hint else ""), dropping > 0, inside, marked))
             continue
-        tag = m[4].lower()
-        if m[3]:
-            at = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == tag), -1)
-            # a closing tag does not close a block around it that is still open, but for its own
-            if at >= 0:
-                del open_[at:]
-            found.append(("tag", "/" + tag, "", dropped, inside, marked))
+        if kind == "close":
+            found.append(("tag", "/" + what, "", dropping > 0, inside, marked))
+            if by_tag[what]:
+                at = len(open_) - 1
+                while open_[at][0] != what:
+                    at -= 1
+                close_to(at)
             continue
-        while open_ and tag in ENDED_BY.get(_last_block(open_), ()):
-            at = next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in BLOCKS)
-            del open_[at:]
-        dropped, inside, marked = state()
-        own = _drops(tag, m[5])
+        while blocks and what in ENDED_BY.get(open_[blocks[-1]][0], ()):
+            close_to(blocks[-1])
+        inside, (marked, hint) = bool(by_tag["article"] or by_tag["main"]), open_[-1][2:] if open_ else (0, "")
+        own, own_hint = _drops(what, attributes, inside)
         if own == 1:
             around.append(marked)
             words.append([0, 0])
             marked = len(around) - 1
-        if tag not in VOID and not m[5].rstrip().endswith("/"):
-            open_.append((tag, own == 2, marked))
-        found.append(("tag", tag, "", dropped or own == 2, inside, marked))
+        found.append(("tag", what, "", dropping > 0 or own == 2, inside, marked))
+        if what not in VOID and not attributes.rstrip().endswith("/"):
+            open_.append((what, own == 2, marked, own_hint or hint))
+            by_tag[what] += 1
+            dropping += own == 2
+            if what in BLOCKS:
+                blocks.append(len(open_) - 1)
     for i in range(len(around) - 1, 0, -1):  # an element comes after those around it
         for j in (0, 1):
             words[around[i]][j] += words[i][j]
@@ -117,10 +208,6 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     return [(kind, what, context, dropped or gone[marked], inside) for kind, what, context, dropped, inside, marked in found]
 
 
-def _last_block(open_: list[tuple[str, bool, int]]) -> str:
-    return next((t for t, _, _ in reversed(open_) if t in BLOCKS), "")
-
-
 def count_page(page: str) -> Counter:
     """Counts of (kind, tag or context, dropped, in content) of a labelled page; an unlabelled page counts nothing."""
     seen = tokens(page)
@@ -152,10 +239,12 @@ class Weights:
         kind, what, dropped = key
         if dropped:
             return PRIOR * 50, PRIOR / 50
-        return (PRIOR * 4, PRIOR) if what.endswith(">a") or kind == "tag" else (PRIOR, PRIOR * 4)
+        return (PRIOR * 4, PRIOR) if ">a" in what or kind == "tag" else (PRIOR, PRIOR * 4)
 
     def score(self, kind: str, what: str, dropped: bool) -> float:
         found = self.known.get((kind, what, dropped))
+        if found is None and "~" in what:
+            return self.score(kind, what.partition("~")[0], dropped)  # a hint not seen on labelled pages says nothing
         if found is None:
             out, inside = self.prior((kind, what, dropped))
             found = math.log(inside / out)

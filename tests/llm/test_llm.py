@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -281,6 +282,38 @@ def test_marked_and_hidden_parts_go(spark):
     assert html_text.extract(related, weights) == "First words of the text are here."
 
 
+@pytest.mark.parametrize("page", ["<div>" * 200_000, '<a "' * 200_000, '<a "' * 200_000 + ">", "<a b='" * 200_001 + ">", "<![CDATA[" * 200_000, "<p><b>x" * 100_000, "<i>" * 100_000 + "</u>" * 100_000, "<" * 300_000, "<!-- " * 200_000, "</div>" * 200_000, "<p class='" + "ad " * 200_000 + "'>x", "<script>" * 200_000])
+def test_broken_and_nested_pages_take_linear_time(page):
+    start = time.process_time()
+    html_text.extract(page, html_text.Weights({}))
+    assert time.process_time() - start < 10
+    assert isinstance(html_text.extract(page[: len(page) // 50], html_text.Weights({})), str)
+
+
+def test_the_region_is_the_best_of_all():
+    """Scores of random token rows: no other contiguous run scores more than the one that extract takes."""
+    rng = random.Random(6)
+    weights = html_text.Weights({("text", "p", False, True): 500, ("text", "div", False, False): 500, ("tag", "p", False, True): 100, ("tag", "div", False, False): 100})
+    for _ in range(200):
+        parts = [f"<{t}>" + " ".join(f"w{i}x{k}" for k in range(rng.randrange(1, 12))) + f"</{t}>" for i, t in enumerate(rng.choices(["p", "div"], k=12))]
+        items = html_text.tokens("".join(parts))
+        gains = [weights.score("tag", what, dropped) if kind == "tag" else len(what.split()) * weights.score("text", context, dropped) for kind, what, context, dropped, _ in items]
+        best = max(sum(gains[i:j]) for i in range(len(gains)) for j in range(i + 1, len(gains) + 1))
+        kept = {w for w in html_text.extract("".join(parts), weights).split()}
+        if best <= 0:
+            assert not kept
+            continue
+        at = [i for i, (kind, what, *_) in enumerate(items) if kind == "text" and set(what.split()) & kept]
+        runs = (sum(gains[i:j]) for i in range(at[0] + 1) for j in range(at[-1] + 1, len(gains) + 1) if all(items[k][0] == "tag" for k in [*range(i, at[0]), *range(at[-1] + 1, j)]))
+        assert abs(max(runs) - best) < 1e-9
+
+
+def test_titles_histories_and_unicode_spaces(spark):
+    weights = html_text.fit(spark.read.parquet(f"{SF}/pages.parquet"))
+    page = "<header>Site</header><article><header><h1>The title of it</h1></header><div class='social-history'><p>A&emsp;&nbsp;history\u2009of words in it.</p></div><p>More words of it follow here.</p></article><div class='social'>share</div>"
+    assert html_text.extract(page, weights) == "The title of it\n\nA history of words in it.\n\nMore words of it follow here."
+
+
 def jaccard_classes(texts):
     sets = []
     for t in texts:
