@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_CLASS, checkpointed, mix64, stored
+from .common import WORD_CLASS, checkpointed, fresh, mix64, stored
 
 #: Weights of the sources in code point order, repeated, and how often a source can be taken in whole.
 WEIGHTS, MOST = (5, 2, 1), 3
@@ -141,6 +141,7 @@ def decide(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 5) -> DataFrame:
     """docs with every row as often as decide() takes it; all columns as they were. docs is read once and stored with row numbers. Texts go through one join."""
-    rows = stored(docs.withColumn("_r", F.monotonically_increasing_id()))
-    copies = decide(rows, key, text, source, seed, "_r").where("copies > 0").select(F.col("r").alias("_r"), F.col("copies").alias("_copies"))
-    return rows.join(copies, "_r").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    r, n, nth = (fresh(c, docs) for c in ("_r", "_copies", "_copy"))
+    rows = stored(docs.withColumn(r, F.monotonically_increasing_id()))
+    copies = decide(rows, key, text, source, seed, r).where("copies > 0").select(F.col("r").alias(r), F.col("copies").alias(n))
+    return rows.join(copies, r).withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

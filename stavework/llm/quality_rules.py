@@ -1,9 +1,11 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
-Each rule looks at one property of a text and votes good, votes bad or abstains. Rules are taken as independent given the unseen
-class of a text. Expectation-maximisation estimates how often each rule is right on either class; a text is kept if the
-posterior probability that it is good is at least one half. Only the counts
-of vote patterns enter the estimate: 3 ** len(RULES) rows at most, however large the corpus.
+Each rule looks at one property of a text and votes good, votes bad or abstains. Thresholds are loose: a rule alone is often
+wrong, and junk mostly breaks two rules or more. Rules are taken as independent given the unseen class of a text.
+Expectation-maximisation estimates the share of good texts and how often each rule is right on either class; a text is kept if
+the posterior probability that it is good is at least one half, so good votes can outweigh a bad one. Only the counts of vote
+patterns enter the estimate: 3 ** len(RULES) rows at most, however large the corpus. Rules on words take these to be
+parted by white space.
 """
 
 from __future__ import annotations
@@ -13,17 +15,14 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checkpointed, let
+from .common import SPACE_CLASS, checkpointed, fresh, let
 
 BAD, ABSTAIN, GOOD = 0, 1, 2
 #: Words in a window of the repetition count, iterations at most, and the change at which they end.
 WINDOW, ITERATIONS, TOLERANCE = 5, 100, 1e-9
-#: Pseudo-counts of (bad, good) votes as shares of the corpus, by class, and the share of good texts taken as given: with
-#: even classes only the votes decide.
-PRIOR_GOOD, PRIOR_BAD, SHARE = (0.0001, 0.0199), (0.006, 0.014), 0.5
-#: Thresholds are set so that a rule calls a good text bad this often at most; the estimate is held to it. Without this bound
-#: the likeliest two classes are "junk that several rules see" and all else, as kinds of junk seldom occur together.
-MOST_FALSE = 0.003
+#: Beliefs held before any text is seen, for bad texts and for good ones: the share of a rule's votes that are bad, and how much that
+#: weighs, as a share of the corpus. No rule is taken as infallible on good texts because it has not failed yet.
+PRIOR_BAD, PRIOR_GOOD = (0.2, 0.001), (0.02, 0.1)
 
 
 def _words(text: Column) -> Column:
@@ -62,8 +61,8 @@ def repeated_words(words: Column) -> Column:
     return F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(hashes, count))
 
 
-def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the base counts and the properties that rules look at, in one struct `_quality`. Null text counts as none."""
+def features(docs: DataFrame, text: str = "text", q: str = "_quality") -> DataFrame:
+    """docs with the base counts and the properties that rules look at, in one struct q. Null text counts as none."""
     content = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(content, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
 
@@ -77,9 +76,11 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
             F.regexp_count(content, F.lit(r"\p{Lu}{2,}")).cast("long").alias("n_shouted"),
             F.regexp_count(content, F.lit(r"[!?]{2,}")).cast("long").alias("n_exclaimed"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
+            F.regexp_count(content, F.lit(r"(?<![^\x20\x09-\x0D])[\p{L}\p{M}'\x{2019}-]+[.,;:!?]?(?![^\x20\x09-\x0D])")).cast("long").alias("n_plain"),
+            F.regexp_count(content, F.lit(r"[.!?](?![^\x20\x09-\x0D])")).cast("long").alias("n_stops"),
         )
 
-    return docs.withColumn("_quality", let(_words(content), measure))
+    return docs.withColumn(q, let(_words(content), measure))
 
 
 def votes(q: str = "_quality") -> dict[str, Column]:
@@ -93,47 +94,52 @@ def votes(q: str = "_quality") -> dict[str, Column]:
 
     return {
         "length": rule(x("n_words") < 10, x("n_words") >= 30),
-        "repetition": rule(x("n_repeat_words") * 5 > n, x("n_repeat_words") * 20 <= n),
-        "symbols": rule(x("n_symbols") * 8 > n, x("n_symbols") * 25 <= n),
-        "shouting": rule(x("n_shouted") * 4 > n, x("n_shouted") * 12 <= n),
-        "exclamation": rule(x("n_exclaimed") * 8 > n, x("n_exclaimed") * 40 <= n),
-        "word_length": rule((mean < 2) | (mean > 20), (mean >= 3) & (mean <= 12)),
-        "variety": rule((x("n_distinct") * 8 < n) & (n < 2000), x("n_distinct") * 4 >= n),
-        "lines": rule(x("n_dup_lines") * 15 > n, x("n_dup_lines") == 0),
+        "repetition": rule(x("n_repeat_words") * 8 > n, x("n_repeat_words") * 25 <= n),
+        "symbols": rule(x("n_symbols") * 20 > n, x("n_symbols") * 100 <= n),
+        "plain_words": rule(x("n_plain") * 10 < n * 8, x("n_plain") * 10 >= n * 9),
+        "shouting": rule(x("n_shouted") * 10 > n, x("n_shouted") * 30 <= n),
+        "exclamation": rule(x("n_exclaimed") * 20 > n, x("n_exclaimed") * 100 <= n),
+        "variety": rule((x("n_distinct") * 4 < n) & (n < 2000), x("n_distinct") * 2 >= n),
+        "lines": rule(x("n_dup_lines") * 40 > n, x("n_dup_lines") == 0),
+        "sentences": rule(x("n_stops") * 40 < n, x("n_stops") * 20 >= n),
+        "word_length": rule((mean < 3) | (mean > 9), (mean >= 4) & (mean <= 7)),
     }
 
 
-RULES = ("length", "repetition", "symbols", "shouting", "exclamation", "word_length", "variety", "lines")
+RULES = ("length", "repetition", "symbols", "plain_words", "shouting", "exclamation", "variety", "lines", "sentences", "word_length")
 
 
 def base_failed(q: str = "_quality") -> Column:
     return (F.col(f"{q}.n_words") < 10) | (F.col(f"{q}.n_repeat_words") * 100 > F.col(f"{q}.n_words") * 20)
 
 
-Model = list[tuple[float, float]]
+#: Share of good texts, and for each rule how often its votes are bad on bad texts and on good ones.
+Model = tuple[float, list[tuple[float, float]]]
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], int]]) -> Model:
-    """For each rule, how often its votes are bad on bad texts and on good texts, by expectation-maximisation.
+    """The share of good texts and the rules' error rates, by expectation-maximisation.
 
-    patterns: votes of all rules and how many texts cast them; an abstention says nothing. It starts from "bad if any
-    rule says so". Without texts the priors stand.
+    patterns: votes of all rules and how many texts cast them; an abstention says nothing. It starts from "probably bad if any
+    rule says so". Without texts the beliefs stand.
     """
     total = sum(c for _, c in patterns)
     if not total:
-        return [(PRIOR_BAD[0] / sum(PRIOR_BAD), min(MOST_FALSE, PRIOR_GOOD[0] / sum(PRIOR_GOOD)))] * len(RULES)
+        return 0.5, [(PRIOR_BAD[0], PRIOR_GOOD[0])] * len(RULES)
     patterns = sorted(patterns)
-    good = [0.02 if BAD in v else 0.98 for v, _ in patterns]
-    model: Model = []
+    good = [0.1 if BAD in v else 0.95 for v, _ in patterns]
+    model: Model = 0.5, []
     for _ in range(ITERATIONS):
-        model = []
+        share = (1 + math.fsum(c * g for (_, c), g in zip(patterns, good, strict=True))) / (2 + total)
+        rates = []
         for j in range(len(RULES)):
-            rates = []
-            for prior, side in ((PRIOR_BAD, False), (PRIOR_GOOD, True)):
+            pair = []
+            for (mean, weight), side in ((PRIOR_BAD, False), (PRIOR_GOOD, True)):
                 weights = [(v[j], c * (g if side else 1 - g)) for (v, c), g in zip(patterns, good, strict=True)]
-                bad, fine = (p * total + math.fsum(w for x, w in weights if x == vote) for p, vote in zip(prior, (BAD, GOOD), strict=True))
-                rates.append(bad / (bad + fine))
-            model.append((rates[0], min(rates[1], MOST_FALSE)))
+                bad, fine = (p * weight * total + math.fsum(w for x, w in weights if x == vote) for p, vote in zip((mean, 1 - mean), (BAD, GOOD), strict=True))
+                pair.append(bad / (bad + fine))
+            rates.append((pair[0], pair[1]))
+        model = share, rates
         new = [posterior(v, model) for v, _ in patterns]
         change = max(abs(a - b) for a, b in zip(good, new, strict=True))
         good = new
@@ -149,7 +155,8 @@ def _gains(rates: tuple[float, float]) -> dict[int, float]:
 
 
 def posterior(v: tuple[int, ...], model: Model) -> float:
-    odds = math.log(SHARE / (1 - SHARE)) + math.fsum(_gains(rates)[x] for x, rates in zip(v, model, strict=True))
+    share, rates = model
+    odds = math.log(share / (1 - share)) + math.fsum(_gains(r)[x] for x, r in zip(v, rates, strict=True))
     return 1 / (1 + math.exp(-odds))
 
 
@@ -160,11 +167,11 @@ def fit(measured: DataFrame) -> Model:
     return estimate([(tuple(x[r] for r in RULES), x["count"]) for x in counts])
 
 
-def good_probability(model: Model) -> Column:
+def good_probability(model: Model, q: str = "_quality") -> Column:
     """Posterior probability that a row is good, from its votes."""
-    cast = votes()
-    odds = F.lit(math.log(SHARE / (1 - SHARE)))
-    for r, rates in zip(RULES, model, strict=True):
+    cast = votes(q)
+    odds = F.lit(math.log(model[0] / (1 - model[0])))
+    for r, rates in zip(RULES, model[1], strict=True):
         gain = _gains(rates)
         odds = odds + F.when(cast[r] == BAD, gain[BAD]).when(cast[r] == ABSTAIN, gain[ABSTAIN]).otherwise(gain[GOOD])
     return 1 / (1 + F.exp(-odds))
@@ -195,6 +202,7 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     plain = docs.select(F.col(text).alias("t"))
     model = fit(features(plain, "t"))
-    out = features(docs, text)
-    return out.where(~base_failed() & (good_probability(model) >= 0.5)).drop("_quality")
+    q = fresh("_quality", docs)
+    out = features(docs, text, q)
+    return out.where(~base_failed(q) & (good_probability(model, q) >= 0.5)).drop(q)
 

@@ -249,6 +249,45 @@ def test_quality_rules(spark, docs, odd):
     assert sum(not kept for good, _, kept in verdicts if not good) >= 0.8 * sum(not good for good, _, _ in verdicts)
 
 
+def test_expectation_maximisation_finds_the_rates():
+    """Texts drawn from known rates: share, error rates and posteriors come out near the true ones."""
+    rng = np.random.default_rng(8)
+    on_bad, on_good = rng.uniform(0.5, 0.9, len(quality_rules.RULES)), rng.uniform(0.03, 0.15, len(quality_rules.RULES))
+    is_good = rng.random(20_000) < 0.8
+    votes = np.where(rng.random((20_000, len(on_bad))) < np.where(is_good[:, None], on_good, on_bad), quality_rules.BAD, quality_rules.GOOD)
+    votes[rng.random(votes.shape) < 0.1] = quality_rules.ABSTAIN
+    share, rates = quality_rules.estimate(list(Counter(map(tuple, votes.tolist())).items()))
+    assert abs(share - 0.8) < 0.01
+    assert np.abs(np.array(rates)[:, 0] - on_bad).max() < 0.03 and np.abs(np.array(rates)[:, 1] - on_good).max() < 0.03
+    for v in votes[:50].tolist():
+        likelihood = [share, 1 - share]
+        for x, (bad, good) in zip(v, rates, strict=True):
+            if x != quality_rules.ABSTAIN:
+                likelihood = [a * (r if x == quality_rules.BAD else 1 - r) for a, r in zip(likelihood, (good, bad), strict=True)]
+        assert math.isclose(quality_rules.posterior(v, (share, rates)), likelihood[0] / sum(likelihood), rel_tol=1e-9)
+
+
+def test_good_votes_can_outweigh_a_bad_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = quality_rules.assess(docs).collect()
+    saved = [r for r in out if str(quality_rules.BAD) in r.votes and r.kept]
+    lost = [r for r in out if str(quality_rules.BAD) in r.votes and not r.kept and not r.base_failed]
+    assert saved and lost
+    model = quality_rules.fit(quality_rules.features(docs))
+    for r in out[:300]:
+        assert math.isclose(r.p_good, quality_rules.posterior(tuple(map(int, r.votes)), model), rel_tol=1e-9, abs_tol=1e-12)
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    judged = [(labels[r.doc_id], r.kept) for r in out if r.doc_id in labels and not r.base_failed]
+    assert sum(kept for good, kept in judged if good) >= 0.98 * sum(good for good, _ in judged)
+    assert sum(not kept for good, kept in judged if not good) >= 0.95 * sum(not good for good, _ in judged)
+
+
+def test_a_column_of_an_inner_name_passes(docs):
+    for name, operator in (("_quality", quality_rules.keep_good), ("_r", near_dups.keep_one), ("_r", mixing.mix), ("_copies", mixing.mix), ("_copy", mixing.mix)):
+        out = operator(docs.withColumn(name, F.lit("own")))
+        assert out.columns == [*docs.columns, name] and {r[name] for r in out.collect()} == {"own"}
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     weights = html_text.fit(pages)
