@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 RAW = ("supplier", "lineitem", "events", "embeddings")
@@ -40,22 +42,32 @@ SQL = {
     "results": """SELECT CAST(day(ts) AS INT) AS batch_id, CAST(event_id AS BIGINT) AS file_id, event_type <> 'error' AS success, least(1.0, value / 200.0) AS overall_score,
   CASE event_type WHEN 'error' THEN CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'corrupt header' WHEN 1 THEN 'memory overflow' WHEN 2 THEN 'token not in vocabulary' ELSE 'bad tempo metadata' END END AS error_message,
   CAST(event_id % 37 AS INT) AS seconds FROM events""",
+    "files": """SELECT song_id, coalesce(key_signature, 'C') AS key, bpm, title, concat(coalesce(key_signature, 'C'), '-', bpm, 'bpm-remi-', lower(replace(title, '#', '-')),
+  CASE song_id % 3 WHEN 1 THEN '-transpose+2' WHEN 2 THEN '-transpose-3' ELSE '' END, '.json') AS name FROM songs""",
 }
 #: Score rows differ by engine in how a position is unnested.
 SCORES_SPARK = "SELECT vec_id AS row_id, pos AS token_id, CAST(val AS DOUBLE) AS score FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, val"
 SCORES_OTHER = "SELECT vec_id AS row_id, CAST(i AS INT) AS token_id, CAST(embedding[i + 1] AS DOUBLE) AS score FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) t"
-NEEDS = {"recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "tokens": ["notes"]}
+NEEDS = {"files": ["songs"], "recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "tokens": ["notes"]}
+
+
+_NAMES = re.compile(rf"\b(FROM|JOIN) ({'|'.join([*RAW, *SQL])})\b")
+
+
+def _private(text: str) -> str:
+    """text with its tables under names that no user's view has."""
+    return _NAMES.sub(r"\1 stavework__\2", text)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived table; raw tables are read from sf_dir as Parquet, with columns pruned by the plan."""
     for raw in RAW:
-        spark.read.parquet(f"{sf_dir}/{raw}.parquet").createOrReplaceTempView(raw)
+        spark.read.parquet(f"{sf_dir}/{raw}.parquet").createOrReplaceTempView(f"stavework__{raw}")
     if name == "scores":
-        return spark.sql(SCORES_SPARK)
+        return spark.sql(_private(SCORES_SPARK))
     for n in [*NEEDS.get(name, []), name]:
-        spark.sql(SQL[n]).createOrReplaceTempView(n)
-    return spark.table(name)
+        spark.sql(_private(SQL[n])).createOrReplaceTempView(f"stavework__{n}")
+    return spark.table(f"stavework__{name}")
 
 
 def with_views(names: str, body: str) -> str:
