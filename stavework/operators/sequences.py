@@ -53,3 +53,66 @@ def penalized(scores: DataFrame, history: DataFrame, penalty: float = 1.1) -> Da
     seen = history.select("row_id", "token_id").distinct().withColumn("seen", F.lit(True))
     low = F.when(F.col("score") > 0, F.col("score") / penalty).otherwise(F.col("score") * penalty)
     return scores.join(seen, ["row_id", "token_id"], "left").select("row_id", "token_id", F.when(F.col("seen"), low).otherwise(F.col("score")).alias("score"))
+
+
+def structural_coherence(tokens: DataFrame) -> DataFrame:
+    """Mean cosine of the token counts of up to ten equal segments of 20 tokens or more with those of the whole song; 1 with fewer than two."""
+    whole = Window.partitionBy("song_id")
+    t = tokens.select("song_id", "token_id", (F.row_number().over(song()) - 1).alias("i"), F.count("*").over(whole).alias("n"))
+    t = t.withColumn("k", F.least(F.lit(10), F.floor(F.col("n") / 20))).withColumn("part", F.when(F.col("k") > 1, F.least(F.floor(F.col("i") / F.floor(F.col("n") / F.col("k"))), F.col("k") - 1)).otherwise(0))
+    local = t.groupBy("song_id", "k", "part", "token_id").agg(F.count("*").alias("c"))
+    both = local.withColumn("g", F.sum("c").over(Window.partitionBy("song_id", "token_id")))
+    norm = local.groupBy("song_id", "token_id").agg(F.sum("c").alias("g")).groupBy("song_id").agg(F.sum(F.col("g") * F.col("g")).alias("gg"))
+    parts = both.groupBy("song_id", "k", "part").agg(F.sum(F.col("c") * F.col("g")).alias("cg"), F.sum(F.col("c") * F.col("c")).alias("cc")).join(norm, "song_id")
+    return parts.groupBy("song_id").agg(F.round(F.when(F.first("k") < 2, 1.0).otherwise(F.avg(F.col("cg") / F.sqrt(F.col("cc") * F.col("gg").cast("double")))), 6).alias("coherence"))
+
+
+def compression(tokens: DataFrame, notes: DataFrame, size: int = VOCABULARY) -> DataFrame:
+    """Tokens and bits a note, share saved against 24 bits a note, distinct tokens a token, and entropy over its maximum."""
+    s = _entropy(tokens.groupBy("song_id", "token_id").count(), "token").join(notes.groupBy("song_id").agg(F.count("*").alias("notes")), "song_id")
+    ratio = F.col("tokens") / F.col("notes")
+    bits = ratio * F.log2(F.lit(float(size)))
+    dense = F.col("token_kinds") / F.col("tokens")
+    values = {"ratio": ratio, "bits_per_note": bits, "effective": 1 - bits / 24, "density": dense, "redundancy": 1 - dense, "efficiency": F.col("token_entropy") / F.log2(F.lit(float(size)))}
+    return s.select("song_id", *(F.round(v, 6).alias(k) for k, v in values.items()))
+
+
+def repeated_patterns(tokens: DataFrame, least: int = 4, longest: int = 19, times: int = 2, k: int = 20) -> DataFrame:
+    """The k patterns of least to longest tokens of each song with the greatest count times length that stand times or more; earlier first places first among equals.
+
+    Patterns are compared by two 64-bit hashes, so a row has one size whatever the length. Lengths stop below half the song.
+    """
+    whole = Window.partitionBy("song_id")
+    ahead = F.array_compact(F.collect_list("token_id").over(song().rowsBetween(0, longest - 1)))
+    t = tokens.select("song_id", (F.row_number().over(song()) - 1).alias("i"), F.count("*").over(whole).alias("n"), ahead.alias("ahead"))
+    t = t.select("song_id", "i", "n", "ahead", F.explode(F.sequence(F.lit(least), F.lit(longest))).alias("length")).where((F.col("length") <= F.size("ahead")) & (F.col("length") < F.floor(F.col("n") / 2)))
+    gram = F.slice("ahead", 1, F.col("length"))
+    found = t.groupBy("song_id", "n", "length", F.xxhash64(gram).alias("h"), F.hash(gram).alias("g")).agg(F.count("*").alias("count"), F.min("i").alias("first")).where(F.col("count") >= times)
+    order = Window.partitionBy("song_id").orderBy(F.desc(F.col("count") * F.col("length")), "length", "first")
+    return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("song_id", "n", "place", "length", "count", "first")
+
+
+def has_structure(tokens: DataFrame, patterns: int = 5, times: int = 4) -> DataFrame:
+    """Whether more than `patterns` of a song's twenty best patterns stand `times` or more."""
+    p = repeated_patterns(tokens).groupBy("song_id").agg(F.count_if(F.col("count") >= times).alias("strong"))
+    return tokens.select("song_id").distinct().join(p, "song_id", "left").select("song_id", F.coalesce(F.col("strong") > patterns, F.lit(False)).alias("structured"))
+
+
+def phrase_coherence(tokens: DataFrame) -> DataFrame:
+    """Mean over phrase lengths of the share of the commonest 8 tokens at phrase beginnings; 0.5 where no length has two phrases."""
+    whole = Window.partitionBy("song_id")
+    opening = F.collect_list("token_id").over(song().rowsBetween(0, 7))
+    t = tokens.select("song_id", (F.row_number().over(song()) - 1).alias("i"), F.count("*").over(whole).alias("n"), opening.alias("o"))
+    t = t.withColumn("length", F.explode(F.array(*map(F.lit, (16, 32, 64, 128))))).where("n >= 2 * length AND i % length = 0 AND i < n - length")
+    shares = t.groupBy("song_id", "length", "o").count().groupBy("song_id", "length").agg((F.max("count") / F.sum("count")).alias("share"), F.sum("count").alias("phrases")).where("phrases > 1")
+    mean = shares.groupBy("song_id").agg(F.avg("share").alias("share"))
+    return tokens.select("song_id").distinct().join(mean, "song_id", "left").select("song_id", F.round(F.coalesce("share", F.lit(0.5)), 6).alias("coherence"))
+
+
+def motif_score(tokens: DataFrame) -> DataFrame:
+    """Score of what the ten best patterns of three tokens or more that stand three times or more cover; 0.5 without any, 1 for songs under 20 tokens."""
+    top = repeated_patterns(tokens, 3, 19, 3, 10).groupBy("song_id").agg((F.sum(F.col("count") * F.col("length")) / F.first("n")).alias("cover"))
+    n = tokens.groupBy("song_id").agg(F.count("*").alias("n")).join(top, "song_id", "left")
+    c = F.col("cover")
+    score = F.when(F.col("n") < 20, 1.0).when(c.isNull(), 0.5).when(c < 0.1, c * 5).when(c > 0.7, F.greatest(F.lit(0.0), 1.7 - c)).otherwise(1.0)
+    return n.select("song_id", F.round(score, 6).alias("motif"))

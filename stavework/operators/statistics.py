@@ -126,3 +126,64 @@ def groove_kept(a: DataFrame, b: DataFrame, top: int = 5, least: int = 3) -> Dat
 
     shared = gaps(a).join(gaps(b), ["song_id", "gap"]).groupBy("song_id").agg(F.count("*").alias("shared"))
     return a.select("song_id").distinct().join(shared, "song_id", "left").select("song_id", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) >= least).alias("kept"))
+
+
+def chi_square(a: DataFrame, b: DataFrame, value: str, most: int = 100, edges: int = 20) -> DataFrame:
+    """Chi-square statistic and degrees of freedom of counts by value on both sides; with over most values, by intervals between equal edges."""
+    h = histograms(a, b, value)
+    bounds = h.groupBy("song_id").agg(F.count("*").alias("kinds"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("original").alias("n"), F.sum("reconstructed").alias("m")).where("n > 0 AND m > 0")
+    cell = F.when(F.col("kinds") > most, F.floor((F.col("value") - F.col("lo")) * (edges - 1) / (F.col("hi") - F.col("lo")))).otherwise(F.col("value"))
+    bins = h.join(bounds, "song_id").groupBy("song_id", "n", "m", cell.alias("cell")).agg(F.sum("original").alias("x"), F.sum("reconstructed").alias("y"))
+    n, m, t = F.col("n"), F.col("m"), F.col("x") + F.col("y")
+    yates = F.when(F.count("*").over(Window.partitionBy("song_id")) == 2, 0.5).otherwise(0.0)
+    part = lambda o, side: F.pow(F.greatest(F.abs(o - t * side / (n + m)) - F.col("yates"), F.lit(0.0)), 2) / (t * side / (n + m))
+    cells = bins.withColumn("yates", yates)
+    return cells.groupBy("song_id").agg(F.round(F.sum(part(F.col("x"), n) + part(F.col("y"), m)), 6).alias("chi2"), (F.count("*") - 1).alias("dof"))
+
+
+def kendall(pairs: DataFrame, x: str = "pitch_a", y: str = "pitch_b") -> DataFrame:
+    """Kendall's tau-b by song. Pairs are counted by (x, y) first; concordant ones come from a join of these counts, at most 128 squared a song."""
+    c = pairs.groupBy("song_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    d = c.select("song_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("c").alias("e"))
+    met = c.join(d, "song_id").where("x < u").groupBy("song_id").agg(F.sum(F.when(F.col("y") < F.col("v"), F.col("c") * F.col("e")).when(F.col("y") > F.col("v"), -F.col("c") * F.col("e")).otherwise(0)).alias("s"))
+    ties = lambda k: c.groupBy("song_id", k).agg(F.sum("c").alias("c")).groupBy("song_id").agg((F.sum(F.col("c") * (F.col("c") - 1)) / 2).alias(f"t{k}"), F.sum("c").alias(f"n{k}"))
+    all_ = ties("x").join(ties("y"), "song_id").join(met, "song_id", "left")
+    whole = F.col("nx") * (F.col("nx") - 1) / 2
+    return all_.select("song_id", F.round(F.when((whole > F.col("tx")) & (whole > F.col("ty")), F.coalesce("s", F.lit(0)) / F.sqrt((whole - F.col("tx")) * (whole - F.col("ty")))).otherwise(0.0), 6).alias("tau"))
+
+
+def mutual_information(pairs: DataFrame, width: int = 5) -> DataFrame:
+    """Mutual information of paired pitches in bins, over the greater of both entropies; 0 where that is 0."""
+    cell = lambda c: F.floor(F.col(c) / width)
+    joint = pairs.groupBy("song_id", cell("pitch_a").alias("x"), cell("pitch_b").alias("y")).agg(F.count("*").alias("c"))
+    by = lambda *k: F.sum("c").over(Window.partitionBy("song_id", *k))
+    j = joint.select("song_id", "x", "y", "c", by().alias("n"), by("x").alias("cx"), by("y").alias("cy"))
+    p = lambda c: F.col(c) / F.col("n")
+    # a margin's entropy is summed over the joint cells: each adds its share of the margin's term
+    s = j.groupBy("song_id").agg(F.sum(p("c") * F.log(p("c") / (p("cx") * p("cy")))).alias("mi"), (-F.sum(p("c") * F.log(p("cx")))).alias("hx"), (-F.sum(p("c") * F.log(p("cy")))).alias("hy"))
+    top = F.greatest("hx", "hy")
+    return s.select("song_id", F.round(F.when(top > 1e-12, F.col("mi") / top).otherwise(0.0), 6).alias("information"))
+
+
+def cross_correlation(pairs: DataFrame, most: int = 50) -> DataFrame:
+    """Peak, by amount, of the correlation of paired z-scored pitches over lags of up to most either way, and its lag (the least among equals). Songs of 10 pairs or more."""
+    whole = Window.partitionBy("song_id")
+    z = lambda c: (F.col(c) - F.avg(c).over(whole)) / (F.stddev_pop(c).over(whole) + 1e-10)
+    t = pairs.select("song_id", "i", z("pitch_a").alias("x"), z("pitch_b").alias("y"), F.count("*").over(whole).alias("n")).where("n >= 10")
+    left = t.select("song_id", "n", "x", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i").withColumn("i", F.col("i") - F.col("lag"))
+    r = left.join(t.select("song_id", "i", "y"), ["song_id", "i"]).groupBy("song_id", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.first("n"), 6).alias("r"))
+    best = F.min_by(F.struct("r", "lag"), F.struct(-F.abs("r"), "lag"))
+    return r.groupBy("song_id").agg(best.alias("b")).select("song_id", F.col("b.r").alias("peak"), F.col("b.lag").alias("lag"))
+
+
+def majority(flags: list[Column]) -> Column:
+    """Whether more than half of the valid tests say so; null ones are not valid."""
+    valid = F.array_compact(F.array(*flags))
+    return F.size(F.filter(valid, lambda x: x)) * 2 > F.size(valid)
+
+
+def distribution_score(ks: Column, wasserstein: Column, divergence: Column, hellinger: Column, chi: Column) -> Column:
+    """Mean of the sub-scores that there are: p-values times ten, distances from 1; 0.5 without any."""
+    one = F.lit(1.0)
+    scores = F.array_compact(F.array(F.when(ks > 0, F.least(one, ks * 10)), F.greatest(F.lit(0.0), 1 - wasserstein / 100), F.greatest(F.lit(0.0), 1 - divergence), 1 - hellinger, F.when(chi > 0, F.least(one, chi * 10))))
+    return F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)).otherwise(0.5)
