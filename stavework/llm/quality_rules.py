@@ -76,7 +76,7 @@ def features(docs: DataFrame, text: str = "text", q: str = "_quality") -> DataFr
             F.regexp_count(content, F.lit(r"\p{Lu}{2,}")).cast("long").alias("n_shouted"),
             F.regexp_count(content, F.lit(r"[!?]{2,}")).cast("long").alias("n_exclaimed"),
             F.size(F.array_distinct(words)).cast("long").alias("n_distinct"),
-            F.regexp_count(content, F.lit(r"(?<![^\x20\x09-\x0D])[\p{L}\p{M}'\x{2019}-]+[.,;:!?]?(?![^\x20\x09-\x0D])")).cast("long").alias("n_plain"),
+            F.regexp_count(content, F.lit(r"[^\p{L}\p{M}\s.,;:!?'\x{2019}()\"-]++")).cast("long").alias("n_odd"),
             F.regexp_count(content, F.lit(r"[.!?](?![^\x20\x09-\x0D])")).cast("long").alias("n_stops"),
         )
 
@@ -96,7 +96,7 @@ def votes(q: str = "_quality") -> dict[str, Column]:
         "length": rule(x("n_words") < 10, x("n_words") >= 30),
         "repetition": rule(x("n_repeat_words") * 8 > n, x("n_repeat_words") * 25 <= n),
         "symbols": rule(x("n_symbols") * 20 > n, x("n_symbols") * 100 <= n),
-        "plain_words": rule(x("n_plain") * 10 < n * 8, x("n_plain") * 10 >= n * 9),
+        "odd_characters": rule(x("n_odd") * 5 > n, x("n_odd") * 10 <= n),
         "shouting": rule(x("n_shouted") * 10 > n, x("n_shouted") * 30 <= n),
         "exclamation": rule(x("n_exclaimed") * 20 > n, x("n_exclaimed") * 100 <= n),
         "variety": rule((x("n_distinct") * 4 < n) & (n < 2000), x("n_distinct") * 2 >= n),
@@ -106,7 +106,7 @@ def votes(q: str = "_quality") -> dict[str, Column]:
     }
 
 
-RULES = ("length", "repetition", "symbols", "plain_words", "shouting", "exclamation", "variety", "lines", "sentences", "word_length")
+RULES = ("length", "repetition", "symbols", "odd_characters", "shouting", "exclamation", "variety", "lines", "sentences", "word_length")
 
 
 def base_failed(q: str = "_quality") -> Column:
