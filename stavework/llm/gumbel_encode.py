@@ -24,7 +24,7 @@ from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
 #: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
-STORE = 5_000_000
+STORE = 2_000_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
@@ -298,7 +298,7 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         which = hash(model.value), alpha, store
         lattices = _lattices.get(which) or _lattices.setdefault(which, Lattices(model.value, alpha, store))
-        for b in text_chunks(batches, "t", 2_000_000):
+        for b in text_chunks(batches, "t", 600_000):
             keys = np.asarray(b.column("s")).astype(np.int64).view(np.uint64)
             texts = [t or "" for t in b.column("t").to_pylist()]
             found = sample_texts(texts, keys, lattices, k)
@@ -308,7 +308,8 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
             marks = [t.count(MARK) for t in texts]
             digests, same = [], []
-            for (i, *_), decoded in zip(flat, lattices.vocabulary.decode_rows(ids), strict=True):
+            for (i, *_), row in zip(flat, ids, strict=True):
+                decoded = lattices.vocabulary.decode(row)
                 same.append(decoded == texts[i])
                 digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             back = [pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array([marks[x[0]] for x in flat], pa.int64())]

@@ -62,11 +62,9 @@ class Vocabulary:
         self.length = np.array([len(p) for p in self.pieces])
         self.unknown_score = float(min(self.score[usable])) - UNKNOWN_PENALTY
         self.byte_id = np.array([sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
-        said = [p.replace(MARK, " ").encode() for p in self.pieces]
+        self.said = [p.replace(MARK, " ").encode() for p in self.pieces]
         for b, i in enumerate(self.byte_id.tolist()):
-            said[i] = bytes([b])
-        self.said_size = np.fromiter(map(len, said), np.int64, n)
-        self.said_at, self.said = np.cumsum(self.said_size) - self.said_size, np.frombuffer(b"".join(said), np.uint8)
+            self.said[i] = bytes([b])
         used = [self.pieces[i] for i in usable]
         if any("\n" in p for p in used):
             self.pattern = WHOLE
@@ -178,17 +176,7 @@ class Vocabulary:
         at = a["first"] + a["size"]
         return score[at], tokens[at]
 
-    def decode_rows(self, rows: list[np.ndarray]) -> list[str]:
-        """The texts of rows of token ids: marks become spaces, byte tokens bytes, the mark in front goes."""
-        ids = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
-        size = self.said_size[ids]
-        end = np.cumsum(size)
-        at = np.repeat((self.said_at[ids] - (end - size)).astype(np.int32), size)
-        at += np.arange(len(at), dtype=np.int32)
-        out = self.said[at].tobytes()
-        cut = np.r_[0, end][np.r_[0, np.cumsum([len(r) for r in rows], dtype=np.int64)]].tolist()
-        texts = (out[i:j].decode("utf-8", errors="replace").replace(MARK, " ") for i, j in zip(cut[:-1], cut[1:], strict=True))
-        return [t.removeprefix(" ") for t in texts]
-
     def decode(self, ids: np.ndarray | list[int]) -> str:
-        return self.decode_rows([np.asarray(ids)])[0]
+        """The text of a row of token ids: marks become spaces, byte tokens bytes, the mark in front goes."""
+        out = b"".join(map(self.said.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        return out.decode("utf-8", errors="replace").replace(MARK, " ").removeprefix(" ")
