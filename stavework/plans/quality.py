@@ -48,7 +48,7 @@ add("QUA05", "results", lambda r: scored(r).select("file_id", F.array_join(v.cri
     f"""{SC} SELECT file_id, array_to_string(list_filter([CASE WHEN round_trip > 0 AND round_trip < 0.8 THEN 'round trip' END, CASE WHEN musical > 0 AND musical < 0.7 THEN 'musical fidelity' END, CASE WHEN sequence > 0 AND sequence < 0.6 THEN 'sequence quality' END,
 CASE WHEN statistical > 0 AND statistical < 0.7 THEN 'statistics' END, CASE WHEN missing_ratio > 0.1 THEN 'missing notes' END, CASE WHEN timing < 0.9 THEN 'timing' END, CASE WHEN completeness < 0.5 THEN 'incomplete' END], lambda x: x IS NOT NULL), ',') AS issues FROM sc""")
 QUICK = """list_filter([CASE WHEN missing_ratio > 0.01 THEN 1 - missing_ratio * 2 END, CASE WHEN timing < 0.98 THEN timing END, CASE WHEN velocity < 0.95 THEN velocity * 1.05 END, CASE WHEN tokens > 2000 THEN 0.95 WHEN tokens < 500 THEN 1.02 END], lambda x: x IS NOT NULL)"""
-add("QUA06", "results", lambda r: scored(r).select("file_id", F.round(v.quick_score(), 4).alias("score")), f"{SC}, l AS (SELECT file_id, round_trip, {QUICK} AS ms FROM sc) SELECT file_id, round(least(1, greatest(0, round_trip * coalesce(list_avg(ms), 1))), 4)::DOUBLE AS score FROM l")
+add("QUA06", "results", lambda r: scored(r).select("file_id", r6("score", v.quick_score() + 1e-9)), f"{SC}, l AS (SELECT file_id, round_trip, {QUICK} AS ms FROM sc) SELECT file_id, round(least(1, greatest(0, round_trip * coalesce(list_avg(ms), 1))) + 1e-9, 6)::DOUBLE AS score FROM l")
 PROD = over(v.USE_CASES["production"])
 add("QUA14", "results", lambda r: scored(r).select("file_id", *(F.round(c, 6).alias(k) if k == "overall_score" else c.alias(k) for k, c in v.file_result().items())),
     f"{SC} SELECT file_id, round_trip >= 0.95 AS validation_passed, {PROD} >= 0.9 AS quality_passed, round((round_trip + {PROD}) / 2, 6) AS overall_score FROM sc")
