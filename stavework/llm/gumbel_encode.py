@@ -24,7 +24,7 @@ from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
 #: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
-STORE = 2_000_000
+STORE = 4_000_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
@@ -38,7 +38,7 @@ class Lattices:
     def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_arcs = 0
-        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float64), ("leave", np.float64), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
+        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float64), ("leave", np.float32), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         a = self.arrays[name]

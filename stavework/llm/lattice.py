@@ -80,8 +80,9 @@ class Vocabulary:
         self.piece_hashes = self._span_hashes(usable)
         self.sorted = np.argsort(self.piece_hashes)
         self.piece_hashes, self.sorted = self.piece_hashes[self.sorted], np.array(usable)[self.sorted]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.piece_hashes >> np.uint64(42)] = True
+        # place of a piece by the first bits of its hash; where pieces share them, a search finds the others
+        self.near = np.full(1 << 22, -1, np.int32)
+        self.near[self.piece_hashes >> np.uint64(42)] = np.arange(len(usable))
 
     def units_of(self, text: str | None) -> list[str]:
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
@@ -106,9 +107,13 @@ class Vocabulary:
             if not len(at):
                 break
             h = mix64((sums[at + n] - sums[at]) * down[at])
-            near = np.flatnonzero(self.seen[h >> np.uint64(42)])
-            place = np.minimum(np.searchsorted(self.piece_hashes, h[near]), len(self.sorted) - 1)
-            hit = self.piece_hashes[place] == h[near]
+            place = self.near[h >> np.uint64(42)]
+            near = np.flatnonzero(place >= 0)
+            place, h = place[near], h[near]
+            hit = self.piece_hashes[place] == h
+            if len(other := np.flatnonzero(~hit)):
+                place[other] = np.minimum(np.searchsorted(self.piece_hashes, h[other]), len(self.sorted) - 1)
+                hit[other] = self.piece_hashes[place[other]] == h[other]
             lasts.append(at[near[hit]] + n - 1)
             ids.append(self.sorted[place[hit]])
         empty = [np.zeros(0, np.int64)]
