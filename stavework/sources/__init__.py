@@ -1 +1 @@
-"""Readers and writers of documents, manifests and reports."""
+"""Files that a corpus is read from and written to."""
