@@ -108,7 +108,7 @@ def max_polyphony(notes: DataFrame) -> DataFrame:
 
 
 def track_statistics(notes: DataFrame, ppq: int = PPQ) -> DataFrame:
-    """Thirteen values by track. All steps share one exchange on the track."""
+    """Thirteen values by track: three aggregates (values, levels of polyphony, covered time), each of which reads the notes."""
     notes = notes.repartition(*KEY)
     order = Window.partitionBy(*KEY).orderBy("start_tick")
     length = (F.max("end_tick") - F.min("start_tick")) / ppq

@@ -66,7 +66,7 @@ def flagged(n: DataFrame) -> DataFrame:
 # notes
 add("FIL02", "notes", lambda n: notes.valid_notes(flagged(n)), f"SELECT {NC} FROM notes WHERE pitch BETWEEN 0 AND 127 AND velocity BETWEEN 0 AND 127 AND end_tick > start_tick")
 add("FIL04", "notes", lambda n: notes.drop_fragments(flagged(n), drum()), f"SELECT {NC} FROM notes WHERE track_idx = 4 OR (end_tick - start_tick >= 30 AND start_tick >= 0)")
-add("FIL05", "tracks notes", lambda t, n: notes.non_empty_tracks(t, n.where("pitch < 32")), "SELECT * FROM tracks t WHERE EXISTS (SELECT 1 FROM notes n WHERE n.song_id = t.song_id AND n.track_idx = t.track_idx AND n.pitch < 32)")
+add("FIL05", "tracks notes", lambda t, n: notes.non_empty_tracks(t.unionByName(t.withColumn("track_idx", (F.col("track_idx") + 7).cast("int"))), n), "SELECT * FROM tracks")
 add("FIL06", "tracks notes", lambda t, n: notes.without_bass(t, n), "SELECT t.* FROM tracks t LEFT JOIN (SELECT song_id, track_idx, avg(CASE WHEN pitch < 36 THEN 1.0 ELSE 0 END) AS low FROM notes GROUP BY 1, 2) l USING (song_id, track_idx) WHERE NOT regexp_matches(lower(name), 'bass|bajo|basso|contrabajo|tololoche|upright') AND coalesce(low, 0) <= 0.35 AND NOT is_drum")
 TRIM = "tr AS (SELECT song_id, track_idx, start_tick, pitch, velocity, CASE WHEN track_idx <> 4 AND nx < end_tick THEN greatest(least(end_tick, nx), start_tick + 30) ELSE end_tick END AS end_tick FROM (SELECT *, lead(start_tick) OVER (PARTITION BY song_id, track_idx, pitch ORDER BY start_tick, end_tick, velocity) AS nx FROM {src}) x)"
 add("WIN01", "notes", lambda n: notes.trim_overlaps(flagged(n), drum()), f", {TRIM.format(src='notes')} SELECT {NC} FROM tr")
@@ -75,7 +75,7 @@ add("SCA01", "notes", lambda n: notes.quantized(flagged(n), drum()), f"SELECT so
 STATS_SQL = "SELECT song_id, count(CASE WHEN track_idx <> 4 THEN 1 END) AS note_count, count(DISTINCT CASE WHEN track_idx = 4 THEN track_idx END) AS drum_tracks, count(DISTINCT CASE WHEN track_idx <> 4 THEN track_idx END) AS melodic_tracks, max(end_tick) AS duration_ticks, round(count(CASE WHEN track_idx <> 4 THEN 1 END) / (max(end_tick) / 480.0), 6) AS notes_per_beat, min(CASE WHEN track_idx <> 4 THEN pitch END) AS min_pitch, max(CASE WHEN track_idx <> 4 THEN pitch END) AS max_pitch, max(CASE WHEN track_idx <> 4 THEN pitch END) - min(CASE WHEN track_idx <> 4 THEN pitch END) AS pitch_span, count(CASE WHEN track_idx <> 4 AND end_tick - start_tick < 33 THEN 1 END) AS short_notes FROM {src} GROUP BY 1"
 add("AGG02", "notes", lambda n: rounded(notes.preprocessing_stats(n, drum())), STATS_SQL.format(src="notes"))
 add("AGG03", "notes", lambda n: notes.stats_delta(notes.preprocessing_stats(n, drum()), notes.preprocessing_stats(notes.drop_fragments(n, drum()), drum())), f", b AS ({STATS_SQL.format(src='notes')}), f AS (SELECT * FROM notes WHERE track_idx = 4 OR end_tick - start_tick >= 30), a AS ({STATS_SQL.format(src='f')}) SELECT b.song_id, b.note_count - coalesce(a.note_count, 0) AS notes_removed, b.melodic_tracks - coalesce(a.melodic_tracks, 0) AS tracks_removed FROM b LEFT JOIN a USING (song_id)")
-add("DAT11", "notes tracks", lambda n, t: notes.preprocessed(flagged(n), t, 16, False).drop("is_drum"), f", v AS (SELECT * FROM notes WHERE end_tick > start_tick AND (track_idx = 4 OR end_tick - start_tick >= 30)), {TRIM.format(src='v')} SELECT song_id, track_idx, pitch, velocity, {QUANT} FROM tr")
+add("DAT11", "notes tracks", lambda n, t: notes.preprocessed(flagged(n), t, 16, True).drop("is_drum"), f", v AS (SELECT * FROM notes WHERE end_tick > start_tick AND (track_idx = 4 OR end_tick - start_tick >= 30)), {TRIM.format(src='v')} SELECT song_id, track_idx, pitch, velocity, {QUANT} FROM tr WHERE track_idx NOT IN (2, 4) AND (song_id, track_idx) NOT IN (SELECT (song_id, track_idx) FROM v GROUP BY song_id, track_idx HAVING avg(CASE WHEN pitch < 36 THEN 1.0 ELSE 0 END) > 0.35)")
 add("FIL13", "songs", lambda s: s.select("song_id", F.when((F.col("bpm") * 3 <= 0) | (F.col("bpm") * 3 >= 360), 120).otherwise(F.col("bpm") * 3).alias("bpm")), "SELECT song_id, CASE WHEN bpm * 3 <= 0 OR bpm * 3 >= 360 THEN 120 ELSE bpm * 3 END AS bpm FROM songs")
 add("AGG04", "notes", lambda n: rounded(notes.track_statistics(n)), f", {STATS} SELECT song_id, track_idx, total_notes, unique_pitches, min_pitch, max_pitch, round(avg_pitch, 6) AS avg_pitch, round(avg_velocity, 6) AS avg_velocity, round(avg_duration, 6) AS avg_duration, round(total_duration, 6) AS total_duration, round(density, 6) AS density, round(note_onset_variance, 6) AS note_onset_variance, max_polyphony, round(avg_polyphony, 6) AS avg_polyphony, round(polyphony_ratio, 6) AS polyphony_ratio, round(empty_ratio, 6) AS empty_ratio FROM st")
 add("AGG05", "notes", notes.polyphony, f", {SWEEP} SELECT * FROM poly")
@@ -121,9 +121,9 @@ add("WIN06", "tokens", tokens.bars, "SELECT *, CAST(sum(CASE WHEN token_id = 4 T
 add("WIN07", "tokens", tokens.track_ids, f", {SECTIONS} SELECT * FROM sec")
 add("WIN10", "tokens", tokens.labels, "SELECT *, CASE WHEN token_id = 0 THEN -100 ELSE coalesce(lead(token_id) OVER (PARTITION BY song_id ORDER BY pos), -100) END AS label FROM tokens")
 add("WIN11", "tokens", lambda t: tokens.ngram_counts(t, 3), "SELECT song_id, t0, t1, t2, count(*) AS count FROM (SELECT song_id, token_id AS t0, lead(token_id, 1) OVER w AS t1, lead(token_id, 2) OVER w AS t2 FROM tokens WINDOW w AS (PARTITION BY song_id ORDER BY pos)) x WHERE t2 IS NOT NULL GROUP BY 1, 2, 3, 4")
-add("WIN12", "tokens", tokens.runs, "SELECT song_id, token_id, min(pos) AS first_pos, count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY pos) - row_number() OVER (PARTITION BY song_id, token_id ORDER BY pos) AS i FROM tokens) x GROUP BY song_id, token_id, i HAVING count(*) >= 2")
-add("WIN15", "tokens", tokens.grammar_violations, f"SELECT song_id, pos, class, before FROM (SELECT *, lag(class) OVER (PARTITION BY song_id ORDER BY pos) AS before FROM (SELECT song_id, pos, {CLASS} AS class FROM tokens) c WHERE class IN ('Pitch', 'Velocity', 'Duration')) x WHERE (before IS NOT NULL OR class <> 'Pitch') AND before IS DISTINCT FROM (CASE class WHEN 'Velocity' THEN 'Pitch' WHEN 'Duration' THEN 'Velocity' ELSE 'Duration' END)")
-add("WIN16", "tokens", tokens.polyphonic_melody, f", {SECTIONS} SELECT song_id, pos, token_id FROM (SELECT *, row_number() OVER (PARTITION BY song_id, segment ORDER BY pos) AS k FROM (SELECT *, {CLASS} AS class, sum(CASE WHEN {CLASS} IN ('Duration', 'ChordStart', 'MelodyStart', 'Bar') THEN 1 ELSE 0 END) OVER (PARTITION BY song_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM sec) s WHERE class = 'Pitch' AND section = 'M') x WHERE k > 1")
+add("WIN12", "broken", tokens.runs, "SELECT song_id, token_id, min(pos) AS first_pos, count(*) AS length FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY pos) - row_number() OVER (PARTITION BY song_id, token_id ORDER BY pos) AS i FROM broken) x GROUP BY song_id, token_id, i HAVING count(*) >= 2")
+add("WIN15", "broken", tokens.grammar_violations, f"SELECT song_id, pos, class, before FROM (SELECT *, lag(class) OVER (PARTITION BY song_id ORDER BY pos) AS before FROM (SELECT song_id, pos, {CLASS} AS class FROM broken) c WHERE class IN ('Pitch', 'Velocity', 'Duration')) x WHERE (before IS NOT NULL OR class <> 'Pitch') AND before IS DISTINCT FROM (CASE class WHEN 'Velocity' THEN 'Pitch' WHEN 'Duration' THEN 'Velocity' ELSE 'Duration' END)")
+add("WIN16", "broken", tokens.polyphonic_melody, f", {SECTIONS.replace("FROM tokens", "FROM broken")} SELECT song_id, pos, token_id FROM (SELECT *, row_number() OVER (PARTITION BY song_id, segment ORDER BY pos) AS k FROM (SELECT *, {CLASS} AS class, sum(CASE WHEN {CLASS} IN ('Duration', 'ChordStart', 'MelodyStart', 'Bar') THEN 1 ELSE 0 END) OVER (PARTITION BY song_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS segment FROM sec) s WHERE class = 'Pitch' AND section = 'M') x WHERE k > 1")
 add("WIN17", "tokens", tokens.bar_regularity, "SELECT song_id, round(CASE WHEN count(gap) < 2 THEN 0.5 ELSE greatest(0, 1 - stddev_samp(gap) / avg(gap)) END, 6) AS regularity FROM (SELECT song_id, lead(pos) OVER (PARTITION BY song_id ORDER BY pos) - pos AS gap FROM tokens WHERE token_id = 4) x GROUP BY 1")
 add("WIN20", "tokens", tokens.absolute_positions, "SELECT song_id, pos, bar * 48 + token_id - 157 AS place FROM (SELECT *, CAST(sum(CASE WHEN token_id = 4 THEN 1 ELSE 0 END) OVER (PARTITION BY song_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS bar FROM tokens) x WHERE token_id BETWEEN 157 AND 252")
 NAMES = "CASE WHEN token_id BETWEEN 5 AND 92 THEN 'Pitch_' || (token_id + 16) WHEN token_id BETWEEN 93 AND 108 THEN 'Velocity_' || (token_id - 93) WHEN token_id BETWEEN 109 AND 156 THEN 'Duration_' || (token_id - 109) WHEN token_id BETWEEN 157 AND 252 THEN 'Position_' || (token_id - 157) WHEN token_id = 4 THEN 'Bar_None' WHEN token_id = 531 THEN 'ChordStart_None' WHEN token_id = 532 THEN 'MelodyStart_None' ELSE '<UNK>' END"
@@ -173,6 +173,6 @@ add("SCA23", "scores", reports.entropy, f", {SOFT} SELECT row_id, round(-sum(p *
 # keys and splits
 CIRCLE = repr(keys.CIRCLE)
 MINOR_CIRCLE = repr([f"{k}m" for k in keys.CIRCLE])
-add("SCA02", "songs", lambda s: s.where("key_signature IS NOT NULL").select("song_id", keys.transposed_key(F.col("key_signature"), F.col("song_id") % 12 - 6).alias("key")), f"SELECT song_id, coalesce({CIRCLE}[(list_position({CIRCLE}, key_signature) - 1 + song_id % 12 + 6) % 12 + 1], {MINOR_CIRCLE}[(list_position({MINOR_CIRCLE}, key_signature) - 1 + song_id % 12 + 6) % 12 + 1], key_signature) AS key FROM songs WHERE key_signature IS NOT NULL")
+add("SCA02", "songs", lambda s: s.select("song_id", keys.transposed_key(F.col("key_signature"), F.col("song_id") % 12 - 6).alias("key")), f"SELECT song_id, coalesce({CIRCLE}[(list_position({CIRCLE}, key_signature) - 1 + song_id % 12 + 6) % 12 + 1], {MINOR_CIRCLE}[(list_position({MINOR_CIRCLE}, key_signature) - 1 + song_id % 12 + 6) % 12 + 1], key_signature) AS key FROM songs")
 add("DAT03", "songs", lambda s: keys.split_by_song(s.where("song_id IS NOT NULL")).groupBy("split").agg(F.count("*").alias("n")), "SELECT * FROM (SELECT 'train' AS split, n - greatest(floor(n * 0.1 + 1e-9), 1) * 2 AS n FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM songs) c UNION ALL SELECT 'val', greatest(floor(n * 0.1 + 1e-9), 1) FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM songs) c UNION ALL SELECT 'test', greatest(floor(n * 0.1 + 1e-9), 1) FROM (SELECT CAST(count(*) AS BIGINT) AS n FROM songs) c) x")
 add("SCA06", "songs", lambda s: s.select("song_id", keys.safe_name(F.col("title")).alias("name")), "SELECT song_id, lower(replace(title, '#', '')) AS name FROM songs")

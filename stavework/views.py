@@ -42,13 +42,14 @@ SQL = {
     "results": """SELECT CAST(day(ts) AS INT) AS batch_id, CAST(event_id AS BIGINT) AS file_id, event_type <> 'error' AS success, least(1.0, value / 200.0) AS overall_score,
   CASE event_type WHEN 'error' THEN CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'corrupt header' WHEN 1 THEN 'memory overflow' WHEN 2 THEN 'token not in vocabulary' ELSE 'bad tempo metadata' END END AS error_message,
   CAST(event_id % 37 AS INT) AS seconds FROM events""",
+    "broken": """SELECT song_id, pos, CASE WHEN pos BETWEEN 20 AND 60 AND song_id % 3 = 0 THEN CAST(40 + song_id % 2 * (pos % 3) AS INT) ELSE token_id END AS token_id FROM tokens""",
     "files": """SELECT song_id, coalesce(key_signature, 'C') AS key, bpm, title, concat(coalesce(key_signature, 'C'), '-', bpm, 'bpm-remi-', lower(replace(title, '#', '-')),
   CASE song_id % 3 WHEN 1 THEN '-transpose+2' WHEN 2 THEN '-transpose-3' ELSE '' END, '.json') AS name FROM songs""",
 }
 #: Score rows differ by engine in how a position is unnested.
 SCORES_SPARK = "SELECT vec_id AS row_id, pos AS token_id, CAST(val AS DOUBLE) AS score FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, val"
 SCORES_OTHER = "SELECT vec_id AS row_id, CAST(i AS INT) AS token_id, CAST(embedding[i + 1] AS DOUBLE) AS score FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) t"
-NEEDS = {"files": ["songs"], "recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "tokens": ["notes"]}
+NEEDS = {"broken": ["notes", "tokens"], "files": ["songs"], "recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "tokens": ["notes"]}
 
 
 _NAMES = re.compile(rf"\b(FROM|JOIN) ({'|'.join([*RAW, *SQL])})\b")
