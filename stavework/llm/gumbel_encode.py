@@ -24,7 +24,7 @@ from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
 #: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
-STORE = 4_000_000
+STORE = 2_500_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
