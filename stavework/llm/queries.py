@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import contract_sql
 from .chat_format import format_chats, read_back, tricky_conversation
 from .common import table
 from .fingerprints import compare_with_next
@@ -36,7 +38,7 @@ def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assess(table(spark, sf_dir, "documents"))
+    return assess(table(spark, sf_dir, "documents")).withColumn("p_good", F.round("p_good", 6))
 
 
 def op6_best_region(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +67,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return contract_sql.texts()
