@@ -1,4 +1,4 @@
-"""SQL for DuckDB that gives the rows of those queries which SQL can express: op2, op3, op4, op5 and op8.
+"""SQL for DuckDB that gives the rows of those queries which SQL can express: op2, op3, op4, op5, op8, op11 and op12.
 
 Each text follows the definition of its operator (in its module) on plain rows, without its distribution.
 """
@@ -120,25 +120,29 @@ def _xx_long(relation: str, source: str, column: str, seed: int) -> str:
     return _steps(f"(SELECT *, (CASE WHEN {source} < 0 THEN {source}::HUGEINT + 18446744073709551616::HUGEINT ELSE {source}::HUGEINT END)::UBIGINT AS x FROM {relation})", column, *steps)
 
 
-def op4(shards: int = 24, seed: int = 29) -> str:
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text's UTF-8 bytes."""
     table = []
     for i in range(8):
         c = 1 << i
         for _ in range(8):
             c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
         table.append(c)
-    index = "xor(acc, v)"
-    crc = "acc >> 8"
+    step = "acc >> 8"
     for i, c in enumerate(table):
-        crc = f"xor({crc}, (({index} >> {i}) & 1) * {c}::BIGINT)"
+        step = f"xor({step}, ((xor(acc, v) >> {i}) & 1) * {c}::BIGINT)"
+    return f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda v: ('0x' || v)::BIGINT), lambda acc, v: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def op4(shards: int = 24, seed: int = 29) -> str:
     rounds = "(SELECT *, y // b AS lo, y % b AS hi FROM walk WHERE step = 0 OR y >= rows)"
     for i in range(sharding.ROUNDS):
         moved, fixed, size = ("hi", "lo", "b") if i % 2 else ("lo", "hi", "a")
         hashed = _xx_long(rounds, fixed, "h", _xx_int(i, _xx_int(seed, _XX_SEED)))
         rounds = f"(SELECT * EXCLUDE (h, {moved}), (({moved} + (h % {size} + {size}) % {size}) % {size})::BIGINT AS {moved} FROM {hashed})"
     bucket = _xx_long("sized", "doc_id", "h", _XX_SEED)
-    return f"""WITH RECURSIVE raw AS (SELECT doc_id::BIGINT AS doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda v: ('0x' || v)::BIGINT) AS bytes FROM documents),
-sized AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda acc, v: {crc}, 4294967295::BIGINT), 4294967295::BIGINT) AS text_crc32 FROM raw),
+    return f"""WITH RECURSIVE raw AS (SELECT doc_id::BIGINT AS doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 8 AS size, coalesce(text, '') AS t FROM documents),
+sized AS (SELECT doc_id, size, {_crc32("t")} AS text_crc32 FROM raw),
 hashed AS (SELECT * FROM {bucket}),
 numbered AS (SELECT *, row_number() OVER (ORDER BY (h % {sharding.BUCKETS} + {sharding.BUCKETS}) % {sharding.BUCKETS}, doc_id NULLS FIRST, text_crc32, size) - 1 AS row_number, count(*) OVER () AS rows FROM hashed),
 digits AS (SELECT *, greatest(ceil(sqrt(rows)), 1)::BIGINT AS a FROM numbered),
@@ -207,5 +211,49 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || t || c
   sum({fixed} + {escaped(r"replace(replace(role, '\', '\\'), chr(10), '\n')")} + {escaped("t")})::BIGINT AS formatted_chars FROM turns GROUP BY conv_id"""
 
 
+# -- op11 -----------------------------------------------------------------------------------------------------------------------
+
+
+def op11(buckets: int = 10_000, least_words: int = 20, percent: int = 10, seed: int = 2024) -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    counts = "SELECT bucket, count(*)::BIGINT AS n, sum(count(*)) OVER ()::BIGINT AS total FROM {} JOIN hashed USING (w) GROUP BY bucket"
+    return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {words} AS ws FROM documents),
+words AS MATERIALIZED (SELECT r, unnest(ws) AS w FROM docs),
+aims AS MATERIALIZED (SELECT unnest({words}) AS w FROM benchmark),
+hashed AS MATERIALIZED (SELECT w, {_crc32("w")} % {buckets} AS bucket FROM (SELECT w FROM words UNION SELECT w FROM aims)),
+source AS ({counts.format("words")}), target AS ({counts.format("aims")}),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT max(total) FROM source), 0) + {buckets})::DOUBLE / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT max(total) FROM target), 0) + {buckets})::DOUBLE)))::BIGINT AS gain
+  FROM source s FULL JOIN target t USING (bucket)),
+weights AS (SELECT r, sum(gain)::BIGINT AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || left(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 8))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM docs LEFT JOIN weights USING (r)),
+ranked AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS place, {percent} * count(*) OVER () // 100 AS drawn FROM scored WHERE n_features >= {least_words})
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM scored LEFT JOIN ranked USING (r)"""
+
+
+# -- op12 -----------------------------------------------------------------------------------------------------------------------
+
+
+def op12(least: int = 24, times: int = 3) -> str:
+    """Places whose next words equal those q further on come from a join on grams as long as the shortest run needs."""
+    gram = 8
+    ahead = ", ".join(f"lead(w, {i}) OVER ahead" for i in range(1, gram))
+    return rf"""WITH raw AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, {_crc32("doc_id::VARCHAR")} AS h FROM documents),
+tails AS (SELECT *, len(ws) AS n, (h // 10) % nullif(len(ws), 0) AS a, h // 10 AS g FROM raw),
+docs AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN coalesce(h % 10 = 0, false) AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE ws END AS ws FROM tails),
+words AS (SELECT r, n, unnest(ws) AS w, unnest(range(n)) AS i FROM docs WHERE n > 0),
+grams AS MATERIALIZED (SELECT r, n, i, hash(w, {ahead}) AS h, [w, {ahead}] AS g, lead(i, {gram - 1}) OVER ahead IS NOT NULL AS whole FROM words WINDOW ahead AS (PARTITION BY r ORDER BY i)),
+equal_ AS (SELECT a.r, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.r = b.r AND a.h = b.h AND a.g = b.g AND b.i > a.i AND (b.i - a.i) * {times} <= a.n WHERE a.whole AND b.whole),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal_),
+stretches AS (SELECT r, min(i) AS start, count(*) + {gram - 1} + q AS length, q FROM islands GROUP BY r, q, island HAVING count(*) + {gram - 1} + q >= greatest({least}, {times} * q)),
+runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+listed AS (SELECT r, count(*) AS n_runs, list({{'start': start, 'length': length, 'period': period}} ORDER BY length / period::DOUBLE DESC, start, period) AS best,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1].start::BIGINT AS start, best[1].length::BIGINT AS length, best[1].period::BIGINT AS period, (1000 * best[1].length // best[1].period)::BIGINT AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256,
+  sha256(array_to_string(list_transform(list_filter(range(n), lambda i: len(list_filter(coalesce(best, []), lambda x: i >= x.start + x.period AND i < x.start + x.length)) = 0), lambda i: ws[i + 1]), ' ')) AS collapsed_sha256
+FROM docs LEFT JOIN listed USING (r)"""
+
+
 def texts() -> dict[str, str]:
-    return {"op2_prefix_fingerprints": op2(), "op3_license_diagonals": op3(), "op4_feistel_shards": op4(), "op5_weak_supervision": op5(), "op8_chat_bytes": op8()}
+    return {"op2_prefix_fingerprints": op2(), "op3_license_diagonals": op3(), "op4_feistel_shards": op4(), "op5_weak_supervision": op5(), "op8_chat_bytes": op8(), "op11_importance_resample": op11(), "op12_periodic_runs": op12()}

@@ -13,10 +13,12 @@ from .common import table
 from .fingerprints import compare_with_next
 from .gumbel_encode import sample_encode
 from .html_text import main_texts
+from .importance import resample
 from .licenses import scan_licenses
 from .mixing import decide
 from .near_dups import near_duplicates
 from .quality_rules import assess
+from .runs import periodic_runs, with_digests, with_repeated_tails
 from .sharding import shard
 from .token_counts import count_tokens
 
@@ -62,6 +64,14 @@ def op10_viterbi_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
