@@ -17,6 +17,7 @@ from .importance import resample
 from .licenses import scan_licenses
 from .mixing import decide
 from .near_dups import near_duplicates
+from .neighbours import nearest
 from .quality_rules import assess
 from .runs import periodic_runs, with_digests, with_repeated_tails
 from .sharding import shard
@@ -72,6 +73,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_digests(periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents"))))
 
 
+def op13_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
