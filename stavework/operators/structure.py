@@ -200,36 +200,6 @@ def vocabulary_differences(entries: DataFrame, reference: str) -> DataFrame:
     return out.where("missing + extra + renumbered > 0")
 
 
-def cut_points(notes: DataFrame, songs: DataFrame, targets: DataFrame, window: float = 4.0) -> DataFrame:
-    """The best place to cut near a target second: measures (3), silences (up to 2.5) and beats (1), each times its nearness to the target.
-
-    songs: song_id, ppq, bpm, ts_num, ts_den; targets: song_id, target. One row a target: song_id, target, cut (seconds; the target itself
-    where nothing lies in the window). Equal scores go to the higher kind, then to the earlier place. Only notes and grid lines of
-    the window are looked at.
-    """
-    last = notes.groupBy("song_id").agg(F.max("end_tick").alias("last"))
-    rate, half = F.col("ppq") * F.col("bpm") / 60.0, window / 2
-    spans = targets.join(songs, "song_id").join(last, "song_id", "left").select(
-        "song_id", "target", "ppq", rate.alias("rate"), F.floor(F.col("ppq") * 4 * F.col("ts_num") / F.col("ts_den")).alias("measure"),
-        F.ceil(F.greatest(F.lit(0.0), F.col("target") - half) * rate).alias("low"), F.least(F.ceil((F.col("target") + half) * rate), F.coalesce("last", F.lit(0))).alias("high"),
-    )
-
-    def grid(step: str, first: Column, priority: float) -> DataFrame:
-        numbers = F.when(first <= F.floor(F.col("high") / F.col(step)), F.sequence(first, F.floor(F.col("high") / F.col(step))))
-        return spans.select("song_id", "target", F.explode(numbers).alias("k"), step).select("song_id", "target", (F.col("k") * F.col(step)).alias("tick"), F.lit(priority).alias("priority"))
-
-    inside = lambda c: F.col(c).between(F.col("low"), F.col("high"))
-    near = notes.select("song_id", "start_tick", "end_tick").join(spans, "song_id").where(inside("start_tick") | inside("end_tick"))
-    after = F.lead("start_tick").over(Window.partitionBy("song_id", "target").orderBy("start_tick", "end_tick"))
-    pauses = near.withColumn("gap", after - F.col("end_tick")).where((F.col("gap") > F.col("ppq")) & inside("end_tick"))
-    pauses = pauses.select("song_id", "target", F.col("end_tick").alias("tick"), F.least(F.lit(2.5), F.col("gap") * 0.5 / F.col("ppq")).alias("priority"))
-    places = grid("measure", F.greatest(F.lit(1), F.ceil(F.col("low") / F.col("measure"))), 3.0).unionByName(grid("ppq", F.floor(F.col("low") / F.col("ppq")) + 1, 1.0)).unionByName(pauses)
-    scored = places.join(spans.select("song_id", "target", "rate"), ["song_id", "target"]).withColumn("time", F.col("tick") / F.col("rate"))
-    score = F.round(F.col("priority") * (1 - F.abs(F.col("time") - F.col("target")) / window), 9)
-    best = scored.groupBy("song_id", "target").agg(F.max_by("time", F.struct(score.alias("s"), "priority", (-F.col("tick")).alias("t"))).alias("time"))
-    return spans.select("song_id", "target").join(best, ["song_id", "target"], "left").select("song_id", "target", F.round(F.coalesce("time", "target"), 6).alias("cut"))
-
-
 def events_of_chunks(events: DataFrame, length: int, step: int) -> DataFrame:
     """Events copied into every chunk that holds them (chunk k: ticks k * step to k * step + length, both included), ticks counted
     from the chunk's start. Each event finds its chunks by arithmetic, so nothing is joined. Events need a column tick."""

@@ -67,13 +67,6 @@ add("JOI13", "tokens", lambda t: st.vocabulary_differences(
     """, v AS (SELECT DISTINCT song_id, token_id FROM tokens), r AS (SELECT token_id FROM v WHERE song_id = 1), d AS (SELECT DISTINCT song_id FROM v WHERE song_id <> 1), w AS (SELECT song_id, token_id FROM d, r),
 f AS (SELECT coalesce(w.song_id, v.song_id) AS s, w.token_id AS a, v.token_id AS b FROM w FULL JOIN (SELECT * FROM v WHERE song_id <> 1) v ON v.song_id = w.song_id AND v.token_id = w.token_id)
 SELECT CAST(s AS VARCHAR) AS doc, count_if(b IS NULL) AS missing, count_if(a IS NULL) AS extra, count_if(a = 4 AND b = 4 AND s % 5 = 0) AS renumbered FROM f GROUP BY s HAVING count_if(b IS NULL) + count_if(a IS NULL) + count_if(a = 4 AND b = 4 AND s % 5 = 0) > 0""")
-GRID = "SELECT song_id, target, rate, k * {step} AS tick, {p}::DOUBLE AS priority FROM (SELECT *, unnest(range({first}::BIGINT, (high // {step})::BIGINT + 1)) AS k FROM sp) x"
-add("TOP07", "notes songs", lambda n, s: st.cut_points(n, s, s.select("song_id", (F.col("song_id") % 7 + 8.0).alias("target"))),
-    f""", sp AS (SELECT song_id, target, ppq, rate, measure, ceil(greatest(0, target - 2) * rate)::BIGINT AS low, least(ceil((target + 2) * rate), mx)::BIGINT AS high FROM (SELECT song_id, (song_id % 7 + 8)::DOUBLE AS target, ppq, ppq * bpm / 60.0::DOUBLE AS rate, ppq * 4 * ts_num // ts_den AS measure FROM songs) s JOIN (SELECT song_id, max(end_tick) AS mx FROM notes GROUP BY 1) l USING (song_id)),
-pz AS (SELECT sp.*, start_tick, end_tick, lead(start_tick) OVER (PARTITION BY song_id ORDER BY start_tick, end_tick) - end_tick AS gap FROM notes JOIN sp USING (song_id) WHERE start_tick BETWEEN low AND high OR end_tick BETWEEN low AND high),
-pl AS ({GRID.format(step='measure', p=3, first='greatest(1, ceil(low / measure::DOUBLE))')} UNION ALL {GRID.format(step='ppq', p=1, first='low // ppq + 1')} UNION ALL SELECT song_id, target, rate, end_tick, least(2.5, gap * 0.5 / ppq)::DOUBLE FROM pz WHERE gap > ppq AND end_tick BETWEEN low AND high),
-rk AS (SELECT song_id, tick / rate AS t, row_number() OVER (PARTITION BY song_id ORDER BY round(priority * (1 - abs(tick / rate - target) / 4), 9) DESC, priority DESC, tick) AS p FROM pl)
-SELECT song_id, target, round(coalesce(t, target), 6) AS cut FROM sp LEFT JOIN (SELECT * FROM rk WHERE p = 1) b USING (song_id)""")
 EVENTS = lambda c, s: c.select("song_id", "tick", F.lit("tempo").alias("kind"), F.col("bpm").cast("string").alias("value")).unionByName(s.select("song_id", F.lit(0).cast("long").alias("tick"), F.lit("time signature").alias("kind"), F.concat_ws("/", "ts_num", "ts_den").alias("value"))).unionByName(s.where("key_signature IS NOT NULL").select("song_id", F.lit(0).cast("long").alias("tick"), F.lit("key").alias("kind"), F.col("key_signature").alias("value")))
 add("DAT08", "tempo_changes songs", lambda c, s: st.events_of_chunks(EVENTS(c, s), 5760, 3840),
     """, ev AS (SELECT song_id, tick, 'tempo' AS kind, bpm::VARCHAR AS value FROM tempo_changes UNION ALL SELECT song_id, 0, 'time signature', concat(ts_num, '/', ts_den) FROM songs UNION ALL SELECT song_id, 0, 'key', key_signature FROM songs WHERE key_signature IS NOT NULL)

@@ -29,6 +29,8 @@ SQL = {
   track_idx = 4 AS is_drum FROM (SELECT DISTINCT song_id, track_idx FROM notes) t""",
     "tempo_changes": """SELECT song_id, CAST(k * 7680 AS BIGINT) AS tick, CAST(bpm + k * 5 AS INT) AS bpm
   FROM songs CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE k <= song_id % 3""",
+    "signatures": """SELECT song_id, CAST(k * 9600 AS BIGINT) AS tick, CAST(CASE WHEN k = 0 THEN ts_num ELSE 2 + k END AS INT) AS num, CAST(CASE WHEN k = 0 THEN ts_den ELSE 4 END AS INT) AS den
+  FROM songs CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2) x WHERE k <= CAST(floor(song_id / 3.0) AS BIGINT) % 3""",
     "tokens": """SELECT song_id, CAST(row_number() OVER (PARTITION BY song_id ORDER BY bar, section, a, b, c, d, e, part) AS BIGINT) AS pos, CAST(token_id AS INT) AS token_id FROM (
   WITH n AS (SELECT song_id, CAST(floor(start_tick / 1920.0) AS BIGINT) AS bar, start_tick, end_tick, pitch, velocity, track_idx, CASE WHEN track_idx IN (1, 5) THEN 2 ELSE 4 END AS section
     FROM notes WHERE track_idx IN (0, 1, 5) AND pitch BETWEEN 36 AND 84),
@@ -49,7 +51,7 @@ SQL = {
 #: Score rows differ by engine in how a position is unnested.
 SCORES_SPARK = "SELECT vec_id AS row_id, pos AS token_id, CAST(val AS DOUBLE) AS score FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, val"
 SCORES_OTHER = "SELECT vec_id AS row_id, CAST(i AS INT) AS token_id, CAST(embedding[i + 1] AS DOUBLE) AS score FROM (SELECT vec_id, embedding, unnest(range(64)) AS i FROM embeddings) t"
-NEEDS = {"broken": ["notes", "tokens"], "files": ["songs"], "recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "tokens": ["notes"]}
+NEEDS = {"broken": ["notes", "tokens"], "files": ["songs"], "recon": ["notes"], "tracks": ["notes"], "tempo_changes": ["songs"], "signatures": ["songs"], "tokens": ["notes"]}
 
 
 _NAMES = re.compile(rf"\b(FROM|JOIN) ({'|'.join([*RAW, *SQL])})\b")
