@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import keys
 from ..operators import compare, notes, reports, songs, tokens, tracks
-from ..streaming.progress import progress
 from ..views import view, with_views
 from .registry import register
 
@@ -164,7 +163,6 @@ add("AGG18", "results", lambda r: reports.quality_trend(reports.batch_statistics
 add("AGG21", "results", reports.frequent_errors, "SELECT error_message, count(*) AS count FROM results WHERE error_message IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")
 add("QUA04", "results", reports.gated, "SELECT file_id, CASE WHEN overall_score >= 0.95 THEN 'production' WHEN overall_score >= 0.9 THEN 'standard' WHEN overall_score >= 0.8 THEN 'permissive' WHEN overall_score >= 0.6 THEN 'experimental' ELSE 'none' END AS gate FROM results")
 add("SCA20", "results", reports.error_kinds, "SELECT kind, count(*) AS n FROM (SELECT CASE WHEN error_message LIKE '%memory%' THEN 'memory' WHEN error_message LIKE '%token%' THEN 'tokenization' WHEN error_message LIKE '%corrupt%' THEN 'corrupt_file' WHEN error_message LIKE '%metadata%' THEN 'metadata' ELSE 'unknown' END AS kind FROM results WHERE error_message IS NOT NULL) x GROUP BY 1")
-add("STR01", "results", progress, "SELECT batch_id, count(*) AS completed, count(CASE WHEN success THEN 1 END) AS successful, count(CASE WHEN NOT success THEN 1 END) AS failed, round(avg(CASE WHEN success THEN 1.0 ELSE 0 END), 6) AS success_rate, round(avg(seconds), 6) AS avg_seconds FROM results GROUP BY 1")
 add("TOP08", "scores", reports.top_k, "SELECT * FROM (SELECT *, CAST(rank() OVER (PARTITION BY row_id ORDER BY score DESC) AS INT) AS place FROM scores) x WHERE place <= 5")
 SOFT = "sm AS (SELECT row_id, token_id, score, e / sum(e) OVER (PARTITION BY row_id) AS p FROM (SELECT *, exp(score - max(score) OVER (PARTITION BY row_id)) AS e FROM scores) x)"
 add("TOP09", "scores", reports.top_p, f", {SOFT} SELECT row_id, token_id FROM (SELECT *, sum(p) OVER (PARTITION BY row_id ORDER BY score DESC, token_id ROWS UNBOUNDED PRECEDING) - p AS before FROM sm) x WHERE before <= 0.9 - 1e-12")

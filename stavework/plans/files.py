@@ -9,14 +9,18 @@ from pyspark.sql import functions as F
 
 from ..operators import reports
 from ..sources import documents as d
+from ..streaming.progress import follow
 from ..views import view, with_views
 from .catalog import add
 from .registry import register
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that driver and executors share: spark.checkpoint.dir, else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder in the one that driver and executors share: spark.checkpoint.dir, else (on one machine only) the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/stavework-{uuid.uuid4().hex}"
 
 
@@ -95,3 +99,23 @@ def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("SNK07", sequences, with_views("tokens", "SELECT song_id, CAST(count(*) AS INT) AS sequence_length, md5(string_agg(token_id, ',' ORDER BY pos)) AS ids, CAST(count_if(token_id BETWEEN 5 AND 92) AS INT) AS pitches FROM tokens GROUP BY 1"))
+
+
+#: A result's status, and how many files a batch expects: some never arrive.
+STATUS = "CASE WHEN file_id % 11 = 0 THEN 'skipped' WHEN success THEN 'completed' ELSE 'failed' END"
+TOTAL = "count(*) + batch_id % 3"
+
+
+def followed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results arrive as files in a folder and are taken by a stream, two files a micro-batch."""
+    results = view(spark, sf_dir, "results").select("batch_id", F.expr(STATUS).alias("status"), "seconds")
+    base = scratch(spark)
+    results.repartition(4).write.parquet(f"{base}/incoming")
+    totals = results.groupBy("batch_id").agg(F.count("*").alias("n")).select("batch_id", (F.col("n") + F.col("batch_id") % 3).alias("total"))
+    return follow(spark, f"{base}/incoming", results.schema, totals, f"{base}/reports", f"{base}/state", 2)
+
+
+register("STR01", followed, with_views("results", f""", c AS (
+  SELECT batch_id, {TOTAL} AS total, count(*) AS done, count_if(status = 'completed') AS successful, count_if(status = 'failed') AS failed, count_if(status = 'skipped') AS skipped, sum(seconds)::DOUBLE AS seconds
+  FROM (SELECT *, {STATUS} AS status FROM results) r GROUP BY batch_id)
+SELECT batch_id, total, done, successful, failed, skipped, round(successful / done, 6) AS success_rate, round(100 * done / total, 6) AS percent, round(seconds / done, 6) AS avg_seconds, seconds AS elapsed, round(seconds / done * (total - done), 6) AS remaining FROM c"""))
