@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -22,87 +22,94 @@ TRACK = ["song_id", "track_idx"]
 _NOTE = ["start_tick", "end_tick", "pitch", "velocity"]
 
 
-def numbered(notes: DataFrame) -> DataFrame:
-    """Notes with their place in the track, in order of start and pitch; equal notes are interchangeable."""
-    return notes.select(*TRACK, *_NOTE, F.row_number().over(Window.partitionBy(*TRACK).orderBy("start_tick", "pitch", "end_tick", "velocity")).alias("note"))
+def _greedy(rows: Iterator[tuple], free: dict[int, int]) -> Iterator[tuple]:
+    """The serial rule on one track. rows: side, start, end, pitch, velocity in order of the time when they are due; an original is due
+    WINDOW ticks after its start, when all that it may take have come. free: reconstructed notes of each pitch in the whole track.
 
-
-def _greedy(rows: list[tuple], near: bool) -> list[tuple[int, int]]:
-    """Originals in order each take the free candidate with the lowest score, the first among equals. rows: side, start, end, pitch, velocity, note."""
-    ours, theirs = [r for r in rows if not r[0]], [r for r in rows if r[0]]
-    if near:  # candidates in order of pitch distance as tried, then place
-        pitches = sorted({r[3] for r in theirs})
-        by_pitch = {p: [r for r in theirs if r[3] == p] for p in pitches}
-    starts = [r[1] for r in theirs]
-    free, pairs = set(range(len(theirs))), []
-    place = {r[5]: i for i, r in enumerate(theirs)}
-    for _, start, end, pitch, velocity, note in sorted(ours, key=lambda r: r[5]):
-        if near:
-            candidates = [place[r[5]] for d in NEAR for r in by_pitch.get(pitch + d, ())]
-        else:
-            candidates = range(bisect_left(starts, start - WINDOW), bisect_right(starts, start + WINDOW))
+    Yields note, partner, and differences of start, length, velocity and pitch. Only notes near the present are held.
+    """
+    held: dict[int, list[tuple]] = {}
+    notes = partners = 0
+
+    def gone(before: float) -> Iterator[tuple]:
+        for waiting in held.values():
+            while waiting and waiting[0][0] < before:
+                yield None, waiting.pop(0)[1], None, None, None, None
+
+    swept = 0
+    for side, start, end, pitch, velocity in rows:
+        if side:
+            partners += 1
+            held.setdefault(pitch, []).append((start, partners, end - start, velocity))
+            continue
+        notes += 1
+        if start >= swept + WINDOW:
+            yield from gone(start - WINDOW)
+            swept = start
         best, least = None, float("inf")
-        for i in candidates:
-            _, s, e, p, v, _ = theirs[i]
-            if i in free and abs(s - start) <= WINDOW:
-                score = abs(s - start) + W_PITCH * abs(p - pitch) + W_VELOCITY * abs(v - velocity) + W_LENGTH * abs((e - s) - (end - start))
-                if score < least:
-                    best, least = i, score
-        if best is not None:
-            free.discard(best)
-            pairs.append((note, theirs[best][5]))
-    return pairs
-
-
-def _matched(sides: DataFrame, near: bool) -> DataFrame:
-    """Pairs (note, partner) among rows with side 0 (original) and 1. Rows are dealt by track (and pitch, unless near) in order of start and worked off in
-    runs: where no two neighbours are within WINDOW of each other nothing can match across, so a task holds one run at a time."""
-    by = TRACK if near else [*TRACK, "pitch"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        key, last = None, 0
-        for b in batches:
-            out: list[tuple] = []
-            for song, track, pitch, side, start, end, velocity, note in zip(*(b.column(c).to_pylist() for c in ("song_id", "track_idx", "pitch", "side", "start_tick", "end_tick", "velocity", "note")), strict=True):
-                here = (song, track) if near else (song, track, pitch)
-                if held and (here != key or start - last > WINDOW):
-                    out += [(key[0], key[1], *p) for p in _greedy(held, near)]
-                    held = []
-                key, last = here, start
-                held.append((side, start, end, pitch, velocity, note))
-            yield batch(out)
-        if held:
-            yield batch([(key[0], key[1], *p) for p in _greedy(held, near)])
-
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["song_id", "track_idx", "note", "partner"])
-
-    rows = sides.select(F.col("song_id").cast("long").alias("song_id"), F.col("track_idx").cast("int").alias("track_idx"), "pitch", "side", "start_tick", "end_tick", "velocity", "note")
-    return rows.repartition(*by).sortWithinPartitions(*by, "start_tick", "note").mapInArrow(run, "song_id long, track_idx int, note int, partner int")
+        for p in (pitch,) if free.get(pitch) else [pitch + d for d in NEAR]:
+            for place, (s, _, length, v) in enumerate(held.get(p, ())):
+                score = abs(s - start) + W_PITCH * abs(p - pitch) + W_VELOCITY * abs(v - velocity) + W_LENGTH * abs(length - (end - start))
+                if abs(s - start) <= WINDOW and score < least:
+                    best, least = (p, place), score
+        if best is None:
+            yield notes, None, None, None, None, None
+        else:
+            p, place = best
+            s, partner, length, v = held[p].pop(place)
+            free[p] -= 1
+            yield notes, partner, abs(s - start), abs(length - (end - start)), abs(v - velocity), abs(p - pitch)
+    yield from gone(float("inf"))
 
 
 def matches(original: DataFrame, reconstructed: DataFrame) -> DataFrame:
     """One row a note: pairs of an original and its partner, originals without one (missing) and reconstructed ones that nobody took (extra), with differences.
 
-    Originals in order of (start, pitch) each take the free note of their pitch with the lowest score (start difference + 10 pitch + 0.1
-    velocity + 0.5 length) within WINDOW ticks. An original left over, of whose pitch no free note is left in the track, then looks one or two semitones away.
+    Originals in order of (start, pitch, end, velocity) each take the free note with the lowest score (start difference + 10 pitch + 0.1
+    velocity + 0.5 length) within WINDOW ticks: one of their pitch while the track has a free one of it anywhere, else one that is
+    one or two semitones away (below first, at equal scores). note and partner number both sides in that order.
+
+    Both sides are shuffled once, by track, and read in order of time; a task holds the notes of a track within WINDOW ticks and its
+    number of free notes a pitch. The rule is serial in a track, so a track is one task's work. Null ticks, pitches or
+    velocities aren't notes; such rows are left out.
     """
-    a, b = numbered(original), numbered(reconstructed)
-    sides = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1)))
-    first = _matched(sides, False)
-    left = a.join(first.select(*TRACK, "note"), [*TRACK, "note"], "left_anti")
-    free = b.join(first.select(*TRACK, F.col("partner").alias("note")), [*TRACK, "note"], "left_anti")
-    bare = left.join(free.select(*TRACK, "pitch").distinct(), [*TRACK, "pitch"], "left_anti")
-    second = _matched(bare.withColumn("side", F.lit(0)).unionByName(free.withColumn("side", F.lit(1))), True)
-    pairs = first.unionByName(second)
-    x = a.select(*TRACK, "note", *(F.col(c).alias(f"{c}_a") for c in _NOTE)).join(pairs, [*TRACK, "note"], "left")
-    y = b.select(*TRACK, F.col("note").alias("partner"), *(F.col(c).alias(f"{c}_b") for c in _NOTE))
-    out = x.join(y, [*TRACK, "partner"], "full")
-    length = (F.col("end_tick_b") - F.col("start_tick_b")) - (F.col("end_tick_a") - F.col("start_tick_a"))
-    kind = F.when(F.col("pitch_b").isNull(), "missing").when(F.col("pitch_a").isNull(), "extra").otherwise("pair")
-    return out.select(*TRACK, "note", "partner", kind.alias("kind"), F.abs(F.col("start_tick_b") - F.col("start_tick_a")).alias("start_diff"), F.abs(length).alias("length_diff"), F.abs(F.col("velocity_b") - F.col("velocity_a")).alias("velocity_diff"), F.abs(F.col("pitch_b") - F.col("pitch_a")).alias("pitch_diff"))
+    sides = [n.select(F.col("song_id").cast("long").alias("song_id"), F.col("track_idx").cast("int").alias("track_idx"), *_NOTE).dropna() for n in (original, reconstructed)]
+    rows = sides[0].withColumn("side", F.lit(0)).withColumn("due", F.col("start_tick") + WINDOW).unionByName(sides[1].withColumn("side", F.lit(1)).withColumn("due", F.col("start_tick")))
+    # how many there are of each pitch comes first, as rows of side 2
+    counts = sides[1].groupBy(*TRACK, "pitch").agg(F.count("*").alias("start_tick"))
+    heads = counts.select(*TRACK, "start_tick", F.lit(0).cast("long").alias("end_tick"), "pitch", F.lit(0).alias("velocity"), F.lit(2).alias("side"), F.lit(None).cast("long").alias("due"))
+    order = [*TRACK, F.col("due").asc_nulls_first(), F.col("side").desc(), "start_tick", "pitch", "end_tick", "velocity"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple]:
+            for b in batches:
+                yield from zip(*(b.column(c).to_pylist() for c in (*TRACK, "side", *_NOTE)), strict=True)
+
+        out: list[tuple] = []
+        for track, own in groupby(read(), key=lambda r: r[:2]):
+            free: dict[int, int] = {}
+            first = next(own)
+            while first and first[2] == 2:
+                free[first[5]] = first[3]
+                first = next(own, None)
+            for found in _greedy((r[2:] for r in chain([first] if first else [], own)), free):
+                out.append((*track, *found))
+                if len(out) >= 10_000:
+                    yield batch(out)
+                    out = []
+        yield batch(out)
+
+    names = [*TRACK, "note", "partner", "start_diff", "length_diff", "velocity_diff", "pitch_diff"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    dealt = rows.unionByName(heads).repartition(*TRACK).sortWithinPartitions(*order).select(*TRACK, "side", *_NOTE)
+    found = dealt.mapInArrow(run, "song_id long, track_idx int, note int, partner int, start_diff long, length_diff long, velocity_diff int, pitch_diff int")
+    kind = F.when(F.col("partner").isNull(), "missing").when(F.col("note").isNull(), "extra").otherwise("pair")
+    return found.select(*TRACK, "note", "partner", kind.alias("kind"), "start_diff", "length_diff", "velocity_diff", "pitch_diff")
 
 
 def match_score() -> Column:
@@ -117,7 +124,7 @@ def track_errors(matched: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") != "extra").alias("original"), F.count_if(F.col("kind") != "missing").alias("reconstructed"), F.count_if(F.col("kind") == "missing").alias("missing"), F.count_if(F.col("kind") == "extra").alias("extra"),
         F.count_if(F.col("start_diff") > START).alias("timing_errors"), F.count_if(F.col("velocity_diff") > VELOCITY).alias("velocity_errors"), F.count_if(pair & (F.col("pitch_diff") == 0)).alias("_same"),
     )
-    return t.withColumn("accuracy", F.round(F.col("_same") / F.greatest("original", "reconstructed", F.lit(1)), 6)).drop("_same")
+    return t.withColumn("accuracy", F.col("_same") / F.greatest("original", "reconstructed", F.lit(1))).drop("_same")
 
 
 def song_metrics(tracks: DataFrame) -> DataFrame:
@@ -128,7 +135,7 @@ def song_metrics(tracks: DataFrame) -> DataFrame:
     some = F.col("original") > 0
     errors = F.col("missing") + F.col("extra") + F.col("timing_errors") + F.col("velocity_errors")
     values = {"missing_ratio": F.col("missing") / n, "extra_ratio": F.col("extra") / n, "timing": 1 - F.col("timing_errors") / n, "velocity": 1 - F.col("velocity_errors") / n, "overall": 1 - errors / (4 * n)}
-    return s.select("*", *(F.round(F.when(some, v).otherwise(0.0), 6).alias(k) for k, v in values.items()))
+    return s.select("*", *(F.when(some, v).otherwise(0.0).alias(k) for k, v in values.items()))
 
 
 def difference_statistics(matched: DataFrame) -> DataFrame:

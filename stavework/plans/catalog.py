@@ -54,6 +54,11 @@ def add(name: str, needs: str, build: Callable[..., DataFrame], body: str | None
     register(name, run, with_views(needs, body) if body else None)
 
 
+def recursive(needs: str, body: str) -> str:
+    """SQL as of add, where tables of body may refer to themselves."""
+    return with_views(needs, body).replace("WITH", "WITH RECURSIVE", 1)
+
+
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*(F.round(F.col(c), 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes if not columns or c in columns))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import chunks as ch
-from ..views import view, with_views
-from .catalog import add
+from ..views import view
+from .catalog import add, recursive
 from .registry import register
 
 #: Seconds: a chunk's aim, overlap and least length, and the width of the search for a boundary.
@@ -82,7 +82,7 @@ cuts AS (
 def add_recursive(name: str, needs: str, build: Callable[..., DataFrame], body: str) -> None:
     """As add, where body's tables after the views may refer to themselves."""
     views = needs.split()
-    register(name, lambda spark, sf_dir: build(*(view(spark, sf_dir, n) for n in views)), with_views(needs, body).replace("WITH", "WITH RECURSIVE", 1))
+    register(name, lambda spark, sf_dir: build(*(view(spark, sf_dir, n) for n in views)), recursive(needs, body))
 
 
 def _cuts(notes: DataFrame, songs: DataFrame, changes: DataFrame, signatures: DataFrame) -> DataFrame:
