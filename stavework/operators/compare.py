@@ -30,31 +30,18 @@ def cosine(h: DataFrame) -> DataFrame:
     return h.groupBy("song_id").agg(F.round(F.sum(x * y) / F.sqrt(F.sum(x * x) * F.sum(y * y).cast("double")), 6).alias("similarity"))
 
 
-def distribution_distances(h: DataFrame) -> DataFrame:
-    """Kolmogorov-Smirnov statistic and Wasserstein distance by song, from running shares over the values that occur."""
-    order = Window.partitionBy("song_id").orderBy("value")
-    whole = Window.partitionBy("song_id")
-    share = lambda c: F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.sum(c).over(whole)
-    gap = h.select("song_id", F.abs(share("original") - share("reconstructed")).alias("d"), (F.lead("value").over(order) - F.col("value")).alias("width"))
-    return gap.groupBy("song_id").agg(F.round(F.max("d"), 6).alias("ks"), F.round(F.coalesce(F.sum(F.col("d") * F.col("width")), F.lit(0.0)), 6).alias("wasserstein"))
-
-
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """The i-th note of one side with the i-th of the other, by song, cut to the shorter."""
     n = F.row_number().over(Window.partitionBy("song_id").orderBy(*ORDER))
-    pick = lambda df, s: df.select("song_id", n.alias("n"), *(F.col(c).alias(f"{c}_{s}") for c in ("start_tick", "pitch", "velocity")))
+    pick = lambda df, s: df.select("song_id", n.alias("n"), *(F.col(c).alias(f"{c}_{s}") for c in ("start_tick", "end_tick", "pitch", "velocity")))
     return pick(a, "a").join(pick(b, "b"), ["song_id", "n"])
 
 
 def correlations(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("song_id").agg(F.round(F.corr("pitch_a", "pitch_b"), 6).alias("pitch"), F.round(F.corr("velocity_a", "velocity_b"), 6).alias("velocity"), F.round(F.corr("start_tick_a", "start_tick_b"), 6).alias("onset"))
-
-
-def paired_t(pairs: DataFrame) -> DataFrame:
-    """Mean difference of paired velocities over its standard error; 0 where differences do not vary."""
-    d = F.col("velocity_a") - F.col("velocity_b")
-    s = F.stddev_samp(d)
-    return pairs.groupBy("song_id").agg(F.round(F.when(s > 0, F.avg(d) / (s / F.sqrt(F.count("*")))).otherwise(0.0), 6).alias("t"))
+    """Pearson's r of paired pitches, velocities, durations and onsets by song; null where a side doesn't vary."""
+    sides = {n: [F.col(f"{c}_{x}") for x in "ab"] for n, c in (("pitch", "pitch"), ("velocity", "velocity"), ("onset", "start_tick"))}
+    sides["duration"] = [F.col(f"end_tick_{x}") - F.col(f"start_tick_{x}") for x in "ab"]
+    return pairs.groupBy("song_id").agg(*(F.round(F.corr(*sides[n]), 6).alias(n) for n in ("pitch", "velocity", "duration", "onset")))
 
 
 def pitch_range_kept(a: DataFrame, b: DataFrame, slack: int = 2) -> DataFrame:

@@ -24,18 +24,6 @@ def binned_distances(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
     )
 
 
-def mann_whitney(h: DataFrame) -> DataFrame:
-    """U of the original side and its normal score with tie and continuity correction, from counts by value (original, reconstructed)."""
-    before = F.coalesce(F.sum("reconstructed").over(Window.partitionBy("song_id").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = F.col("original") + F.col("reconstructed")
-    u = h.select("*", (F.col("original") * (before + F.col("reconstructed") / 2)).alias("u"), (t * t * t - t).cast("double").alias("ties")).groupBy("song_id")
-    s = u.agg(F.sum("u").alias("u"), F.sum("ties").alias("ties"), F.sum("original").cast("double").alias("n"), F.sum("reconstructed").cast("double").alias("m"))
-    n, m = F.col("n"), F.col("m")
-    s = s.withColumn("sd", F.sqrt(n * m / 12 * (n + m + 1 - F.col("ties") / ((n + m) * (n + m - 1)))))
-    far = F.greatest(F.col("u"), n * m - F.col("u")) - n * m / 2
-    return s.select("song_id", F.col("u"), F.round(F.when(F.col("sd") > 0, (far - 0.5) / F.col("sd")).otherwise(0.0), 6).alias("z"))
-
-
 def mean_rank(value: Column | str, *by: str) -> Column:
     """Rank of a value within by, ties at their mean."""
     return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
@@ -46,21 +34,6 @@ def spearman(pairs: DataFrame) -> DataFrame:
     return ranks.groupBy("song_id").agg(F.round(F.corr("pitch_a", "pitch_b"), 6).alias("pitch"), F.round(F.corr("velocity_a", "velocity_b"), 6).alias("velocity"))
 
 
-def wilcoxon(pairs: DataFrame) -> DataFrame:
-    """Smaller rank sum of paired velocity differences, zeros left out; 0 with fewer than two differences."""
-    d = pairs.select("song_id", (F.col("velocity_a") - F.col("velocity_b")).alias("d"), F.abs(F.col("velocity_a") - F.col("velocity_b")).alias("size"))
-    ranked = d.where("d <> 0").select("song_id", "d", mean_rank("size", "song_id").alias("r")).groupBy("song_id")
-    sums = ranked.agg(F.count("*").alias("n"), F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("up"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("down"))
-    return pairs.select("song_id").distinct().join(sums, "song_id", "left").select("song_id", F.coalesce(F.when(F.col("n") > 1, F.least("up", "down")), F.lit(0.0)).alias("w"))
-
-
-def variance_ratio(a: DataFrame, b: DataFrame) -> DataFrame:
-    """F statistic of pitch variances and its degrees of freedom; 1 where a side does not vary. Songs with two notes or more on both sides."""
-    side = lambda df, s: df.groupBy("song_id").agg(F.var_samp("pitch").alias(f"v{s}"), (F.count("*") - 1).alias(f"df{s}")).where(f"df{s} > 0")
-    varied = (F.col("v1") > 1e-10) & (F.col("v2") > 1e-10)
-    return side(a, 1).join(side(b, 2), "song_id").select("song_id", F.round(F.when(varied, F.col("v1") / F.col("v2")).otherwise(1.0), 6).alias("f"), "df1", "df2")
-
-
 def _marked(notes: DataFrame) -> DataFrame:
     """Place of each note in its song, and whether its pitch is an outlier by 1.5 interquartile ranges or by more than 3 deviations."""
     limits = notes.groupBy("song_id").agg(F.percentile("pitch", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.avg("pitch").alias("mean"), F.stddev_pop("pitch").alias("sd"))
@@ -128,19 +101,6 @@ def groove_kept(a: DataFrame, b: DataFrame, top: int = 5, least: int = 3) -> Dat
     return a.select("song_id").distinct().join(shared, "song_id", "left").select("song_id", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) >= least).alias("kept"))
 
 
-def chi_square(a: DataFrame, b: DataFrame, value: str, most: int = 100, edges: int = 20) -> DataFrame:
-    """Chi-square statistic and degrees of freedom of counts by value on both sides; with over most values, by intervals between equal edges."""
-    h = histograms(a, b, value)
-    bounds = h.groupBy("song_id").agg(F.count("*").alias("kinds"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("original").alias("n"), F.sum("reconstructed").alias("m")).where("n > 0 AND m > 0")
-    cell = F.when(F.col("kinds") > most, F.floor((F.col("value") - F.col("lo")) * (edges - 1) / (F.col("hi") - F.col("lo")))).otherwise(F.col("value"))
-    bins = h.join(bounds, "song_id").groupBy("song_id", "n", "m", cell.alias("cell")).agg(F.sum("original").alias("x"), F.sum("reconstructed").alias("y"))
-    n, m, t = F.col("n"), F.col("m"), F.col("x") + F.col("y")
-    yates = F.when(F.count("*").over(Window.partitionBy("song_id")) == 2, 0.5).otherwise(0.0)
-    part = lambda o, side: F.pow(F.greatest(F.abs(o - t * side / (n + m)) - F.col("yates"), F.lit(0.0)), 2) / (t * side / (n + m))
-    cells = bins.withColumn("yates", yates)
-    return cells.groupBy("song_id").agg(F.round(F.sum(part(F.col("x"), n) + part(F.col("y"), m)), 6).alias("chi2"), (F.count("*") - 1).alias("dof"))
-
-
 def kendall(pairs: DataFrame, x: str = "pitch_a", y: str = "pitch_b") -> DataFrame:
     """Kendall's tau-b by song. Pairs are counted by (x, y) first; concordant ones come from a join of these counts, at most 128 squared a song."""
     c = pairs.groupBy("song_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
@@ -176,12 +136,6 @@ def cross_correlation(pairs: DataFrame, most: int = 50) -> DataFrame:
     return r.groupBy("song_id").agg(best.alias("b")).select("song_id", F.col("b.r").alias("peak"), F.col("b.lag").alias("lag"))
 
 
-def majority(flags: list[Column]) -> Column:
-    """Whether more than half of the valid tests say so; null ones are not valid."""
-    valid = F.array_compact(F.array(*flags))
-    return F.size(F.filter(valid, lambda x: x)) * 2 > F.size(valid)
-
-
 def distribution_score(ks: Column, wasserstein: Column, divergence: Column, hellinger: Column, chi: Column) -> Column:
     """Mean of the sub-scores that there are: p-values times ten, distances from 1; 0.5 without any."""
     one = F.lit(1.0)

@@ -146,14 +146,7 @@ add("SEQ06", "tokens", tokens.smoothness, "SELECT song_id, round(1 - avg(s) / ma
 add("WIN02", "notes", compare.intervals, "SELECT song_id, step, gap FROM (SELECT song_id, pitch - lag(pitch) OVER w AS step, start_tick - lag(start_tick) OVER w AS gap FROM notes WINDOW w AS (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity)) x WHERE step IS NOT NULL")
 add("WIN03", "notes", compare.interval_histogram, "SELECT song_id, interval, count(*) AS count FROM (SELECT song_id, abs(pitch - lag(pitch) OVER (PARTITION BY song_id, track_idx ORDER BY start_tick, pitch)) AS interval FROM notes) x WHERE interval IS NOT NULL GROUP BY 1, 2")
 HIST = "hs AS (SELECT song_id, v AS value, count(CASE WHEN s = 0 THEN 1 END) AS original, count(CASE WHEN s = 1 THEN 1 END) AS reconstructed FROM (SELECT song_id, {v} AS v, 0 AS s FROM notes UNION ALL SELECT song_id, {v}, 1 FROM recon) u GROUP BY 1, 2)"
-add("AGG28", "notes recon", lambda a, b: compare.histograms(a, b, "pitch"), f", {HIST.format(v='pitch')} SELECT * FROM hs")
-add("MUS01", "notes recon", lambda a, b: compare.cosine(compare.histograms(a, b, "pitch")), f", {HIST.format(v='pitch')} SELECT song_id, round(sum(original * reconstructed) / sqrt(CAST(sum(original * original) AS DOUBLE) * CAST(sum(reconstructed * reconstructed) AS DOUBLE)), 6) AS similarity FROM hs GROUP BY 1")
-DIST = "SELECT song_id, round(max(d), 6) AS ks, round(coalesce(sum(d * w), 0), 6) AS wasserstein FROM (SELECT song_id, abs(sum(original) OVER (PARTITION BY song_id ORDER BY value) * 1.0 / sum(original) OVER (PARTITION BY song_id) - sum(reconstructed) OVER (PARTITION BY song_id ORDER BY value) * 1.0 / sum(reconstructed) OVER (PARTITION BY song_id)) AS d, lead(value) OVER (PARTITION BY song_id ORDER BY value) - value AS w FROM hs) x GROUP BY 1"
-add("STA01", "notes recon", lambda a, b: compare.distribution_distances(compare.histograms(a, b, "velocity")).select("song_id", "ks"), f", {HIST.format(v='velocity')} SELECT song_id, ks FROM ({DIST}) z")
-add("STA02", "notes recon", lambda a, b: compare.distribution_distances(compare.histograms(a, b, "velocity")).select("song_id", "wasserstein"), f", {HIST.format(v='velocity')} SELECT song_id, wasserstein FROM ({DIST}) z")
-PAIRS = "pr AS (SELECT a.song_id, a.pitch AS pa, b.pitch AS pb, a.velocity AS va, b.velocity AS vb, a.start_tick AS sa, b.start_tick AS sb FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM notes) a JOIN (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM recon) b ON a.song_id = b.song_id AND a.k = b.k)"
-add("STA08", "notes recon", lambda a, b: compare.correlations(compare.paired(a, b)), f", {PAIRS} SELECT song_id, round(corr(pa, pb), 6) AS pitch, round(corr(va, vb), 6) AS velocity, round(corr(sa, sb), 6) AS onset FROM pr GROUP BY 1")
-add("STA15", "notes recon", lambda a, b: compare.paired_t(compare.paired(a, b)), f", {PAIRS} SELECT song_id, round(CASE WHEN stddev_samp(va - vb) > 0 THEN avg(va - vb) / (stddev_samp(va - vb) / sqrt(count(*))) ELSE 0 END, 6) AS t FROM pr GROUP BY 1")
+PAIRS = "pr AS (SELECT a.song_id, a.pitch AS pa, b.pitch AS pb, a.velocity AS va, b.velocity AS vb, a.start_tick AS sa, b.start_tick AS sb, a.end_tick - a.start_tick AS da, b.end_tick - b.start_tick AS db FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM notes) a JOIN (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM recon) b ON a.song_id = b.song_id AND a.k = b.k)"
 add("JOI10", "notes recon", compare.paired, f", {PAIRS.replace('SELECT a.song_id', 'SELECT a.song_id, a.k')} SELECT song_id, CAST(k AS INT) AS n, sa AS start_tick_a, pa AS pitch_a, va AS velocity_a, sb AS start_tick_b, pb AS pitch_b, vb AS velocity_b FROM pr")
 SIDES = "FROM (SELECT song_id, {f} FROM notes GROUP BY 1) a JOIN (SELECT song_id, {f} FROM recon GROUP BY 1) b USING (song_id)"
 add("MUS02", "notes recon", compare.pitch_range_kept, "SELECT song_id, abs(a.lo - b.lo) <= 2 AND abs(a.hi - b.hi) <= 2 AS range_kept, round(b.mn - a.mn, 6) AS shift " + SIDES.format(f="min(pitch) AS lo, max(pitch) AS hi, avg(pitch) AS mn"))

@@ -83,10 +83,6 @@ SELECT item, count(*) AS count FROM i GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
 add("SET06", "files", lambda f: f.select("song_id", F.array_join(v.collected(F.array("key", F.concat(F.lit("t"), F.col("song_id") % 3), "key", F.lit("past three")), F.array(F.lit("t1"), "key", F.lit("z"))), ",").alias("warnings")),
     "SELECT song_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS warnings FROM (SELECT song_id, [key, concat('t', song_id % 3), key, 't1', key, 'z'] AS l FROM files) y")
 
-HIST = ", u AS (SELECT song_id, pitch AS v, 0 AS s FROM notes UNION ALL SELECT song_id, pitch, 1 FROM recon), h AS (SELECT song_id, v, count_if(s = 0) AS x, count_if(s = 1) AS y FROM u GROUP BY 1, 2)"
-CHI = """, k AS (SELECT *, sum(x) OVER w AS n, sum(y) OVER w AS m FROM h WINDOW w AS (PARTITION BY song_id))
-SELECT song_id, round(sum((x - (x + y) * n / (n + m)::DOUBLE) ** 2 / ((x + y) * n / (n + m)::DOUBLE) + (y - (x + y) * m / (n + m)::DOUBLE) ** 2 / ((x + y) * m / (n + m)::DOUBLE)), 6) AS chi2, count(*) - 1 AS dof FROM k GROUP BY 1"""
-add("STA06", "notes recon", lambda a, b: statistics.chi_square(a, b, "pitch"), f"{HIST}{CHI}")
 add("STA10", "notes recon", lambda a, b: statistics.kendall(compare.paired(a, b)), f""", {PAIRS}, c AS (SELECT song_id, pa, pb, count(*) AS c FROM pr GROUP BY 1, 2, 3), s AS (SELECT a.song_id, sum(sign(a.pa - b.pa) * sign(a.pb - b.pb) * a.c * b.c) / 2 AS s FROM c a JOIN c b ON a.song_id = b.song_id GROUP BY 1),
 t AS (SELECT song_id, sum(c) AS n FROM c GROUP BY 1), x AS (SELECT song_id, sum(c * (c - 1) / 2) AS t FROM (SELECT song_id, pa, sum(c) AS c FROM c GROUP BY 1, 2) q GROUP BY 1), y AS (SELECT song_id, sum(c * (c - 1) / 2) AS t FROM (SELECT song_id, pb, sum(c) AS c FROM c GROUP BY 1, 2) q GROUP BY 1)
 SELECT t.song_id, round(s.s / sqrt((n * (n - 1) / 2 - x.t) * (n * (n - 1) / 2 - y.t)), 6) AS tau FROM t JOIN s USING (song_id) JOIN x USING (song_id) JOIN y USING (song_id)""")
@@ -98,8 +94,6 @@ r AS (SELECT a.song_id, l.l AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS
 SELECT song_id, r AS peak, CAST(lag AS INT) AS lag FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY abs(r) DESC, lag) AS p FROM r) q WHERE p = 1""")
 add("STA07", "results", lambda r: scored(r).select("file_id", r6("score", statistics.distribution_score(F.col("missing_ratio"), F.col("tokens") / 10, 1 - F.col("timing"), 1 - F.col("velocity"), F.col("musical")))),
     f"{SC} SELECT file_id, round(list_avg(list_filter([CASE WHEN missing_ratio > 0 THEN least(1, missing_ratio * 10) END, greatest(0, 1 - tokens / 10.0 / 100), greatest(0, timing), velocity, CASE WHEN musical > 0 THEN least(1, musical * 10) END], lambda x: x IS NOT NULL)), 6) AS score FROM sc")
-add("STA17", "results", lambda r: scored(r).select("file_id", statistics.majority([F.when(F.col("missing_ratio") > 0, F.col("missing_ratio") < 0.05), F.col("timing") < 0.9, F.when(F.col("musical") > 0, F.col("musical") < 0.3)]).alias("significant")),
-    f"{SC}, l AS (SELECT file_id, list_filter([CASE WHEN missing_ratio > 0 THEN missing_ratio < 0.05 END, timing < 0.9, CASE WHEN musical > 0 THEN musical < 0.3 END], lambda x: x IS NOT NULL) AS f FROM sc) SELECT file_id, len(list_filter(f, lambda x: x)) * 2 > len(f) AS significant FROM l")
 
 ROWS = ", n AS (SELECT song_id, token_id, row_number() OVER (PARTITION BY song_id ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY song_id) AS n FROM tokens)"
 add("SEQ05", "tokens", sequences.structural_coherence, f"""{ROWS}, p AS (SELECT *, least(10, n // 20) AS k FROM n), q AS (SELECT *, CASE WHEN k > 1 THEN least(i // (n // k), k - 1) ELSE 0 END AS part FROM p), l AS (SELECT song_id, k, part, token_id, count(*) AS c FROM q GROUP BY 1, 2, 3, 4), g AS (SELECT song_id, token_id, count(*) AS g FROM n GROUP BY 1, 2),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import compare, scores, statistics
 from ..views import view, with_views
-from . import catalog, quality, structure, training  # noqa: F401  (the queries combined here)
+from . import catalog, quality, significance, structure, training  # noqa: F401  (the queries combined here)
 from . import statistics as combined
 from .catalog import HIST, PAIRS
 from .registry import Query, _queries, _sql, register
@@ -84,10 +84,6 @@ add("SEQ14", [SEQUENCE], scores.sequence_advice, f"SELECT song_id, {listed(WARNE
 COSINE = "SELECT song_id, round(sum(original * reconstructed) / sqrt(CAST(sum(original * original) AS DOUBLE) * CAST(sum(reconstructed * reconstructed) AS DOUBLE)), 6) AS similarity FROM hs GROUP BY 1"
 
 
-def cosine(spark_value: str, other_value: str) -> Part:
-    return part("notes recon", lambda a, b: compare.cosine(compare.histograms(a.withColumn("v", F.expr(spark_value)), b.withColumn("v", F.expr(spark_value)), "v")), f", {HIST.format(v=other_value)} {COSINE}")
-
-
 STEPS = "SELECT song_id, abs(pitch - lag(pitch) OVER (PARTITION BY song_id, track_idx ORDER BY start_tick, pitch)) AS v FROM {t}"
 
 
@@ -109,7 +105,7 @@ add("MUS08", [HARMONY], scores.harmony, "SELECT song_id, chords, intervals, voic
 DRIFT = part("notes recon", lambda a, b: compare.paired(a, b).groupBy("song_id").agg(F.round(F.avg(F.abs(F.col("start_tick_a") - F.col("start_tick_b"))), 6).alias("drift")), f", {PAIRS} SELECT song_id, round(avg(abs(sa - sb)), 6) AS drift FROM pr GROUP BY 1")
 FEATURES = by_song(
     [
-        (known("MUS01"), {"pitches": "max(similarity)"}), (cosine("pitch % 12", "pitch % 12"), {"classes": "max(similarity)"}), (cosine("floor(pitch / 12)", "pitch // 12"), {"octaves": "max(similarity)"}),
+        (known("MUS01"), {n: f"max(CASE WHEN feature = '{f}' THEN similarity END)" for n, f in (("pitches", "pitch"), ("classes", "pitch_class"), ("octaves", "octave"))}),
         (known("MUS03"), {"rhythms": "max(similarity)"}), (known("MUS05"), {"tempo": "max(stability)"}), (known("SET05"), {"groove": "max(kept)"}), (known("MUS02"), {"range_kept": "max(range_kept)", "shift": "max(shift)"}),
         (known("MUS08"), {"chords": "max(chords)", "intervals": "max(intervals)", "polyphony": "max(polyphony)", "voicing": "max(voicing)"}), (DRIFT, {"drift": "max(drift)"}),
     ], flags="groove range_kept voicing",
@@ -135,24 +131,14 @@ def _recon(name: str, first: str) -> str:
 
 OUTLIERS = part("recon", lambda n: statistics.outliers(n.withColumn("pitch", F.expr(combined.CUBE))), "")[0], _recon("STA18", "cubed")
 STATIONARY = part("recon", statistics.stationary, "")[0], _recon("WIN21", "hf")
-LENGTH = "end_tick - start_tick"
-DURATIONS = part("notes recon",
-    lambda a, b: compare.paired(a.withColumn("velocity", F.expr(LENGTH)), b.withColumn("velocity", F.expr(LENGTH))).groupBy("song_id").agg(F.round(F.corr("velocity_a", "velocity_b"), 6).alias("r")),
-    f", nd AS (SELECT * REPLACE ({LENGTH} AS velocity) FROM notes), rd AS (SELECT * REPLACE ({LENGTH} AS velocity) FROM recon), {PAIRS.replace('FROM notes', 'FROM nd').replace('FROM recon', 'FROM rd')} SELECT song_id, round(corr(va, vb), 6) AS r FROM pr GROUP BY 1")
-SIZES = part("notes recon", lambda a, b: a.groupBy("song_id").agg(F.count("*").alias("n1")).join(b.groupBy("song_id").agg(F.count("*").alias("n2")), "song_id"), "SELECT * FROM (SELECT song_id, count(*) AS n1 FROM notes GROUP BY 1) x JOIN (SELECT song_id, count(*) AS n2 FROM recon GROUP BY 1) y USING (song_id)")
-#: p-value of a Kolmogorov-Smirnov distance, by the first term of its limit, which suffices for small ones.
-KS_P = "least(1, 2 * exp(-2 * ks * ks * n1 * n2 / greatest(n1 + n2, 1)))"
-#: Two-sided p-value of a normal deviate, by a public rational approximation of the error function (error below 2e-7).
-TAIL = "1 / (1 + CAST(0.3275911 AS DOUBLE) * abs(z) / sqrt(CAST(2 AS DOUBLE)))"
-P_VALUE = "exp(-z * z / 2) * t * (CAST(0.254829592 AS DOUBLE) + t * (CAST(-0.284496736 AS DOUBLE) + t * (CAST(1.421413741 AS DOUBLE) + t * (CAST(-1.453152027 AS DOUBLE) + t * CAST(1.061405429 AS DOUBLE)))))".replace("t *", f"({TAIL}) *")
 STATISTICS = by_song(
     [
-        (known("STA01"), {"ks": "max(ks)"}), (known("STA02"), {"wasserstein": "max(wasserstein)"}), (known("STA03"), {"divergence": "max(jensen_shannon)"}), (known("STA04"), {"hellinger": "max(hellinger)"}),
-        (known("STA08"), {"pitch_r": "max(pitch)", "velocity_r": "max(velocity)"}), (DURATIONS, {"duration_r": "max(r)"}), (SIZES, {"n1": "max(n1)", "n2": "max(n2)"}), (known("STA11"), {"information": "max(information)"}), (known("STA13"), {"z": "max(z)"}), (known("STA18"), {"outliers_original": "max(ratio)"}),
+        (known("STA01"), {"ks_p": "min(p)"}), (known("STA02"), {"wasserstein": "max(CASE WHEN feature = 'velocity' THEN wasserstein END)"}), (known("STA03"), {"divergence": "max(jensen_shannon)"}), (known("STA04"), {"hellinger": "max(hellinger)"}),
+        (known("STA08"), {"pitch_r": "max(pitch)", "velocity_r": "max(velocity)", "duration_r": "max(duration)"}), (known("STA11"), {"information": "max(information)"}), (known("STA17"), {"p_value": "max(mean_p)", "significant": "max(differs)"}), (known("STA18"), {"outliers_original": "max(ratio)"}),
         (OUTLIERS, {"outliers_reconstructed": "max(ratio)"}), (known("STA19"), {"outliers_kept": "max(kept)"}), (known("WIN21"), {"stationary_original": "max(stationary)"}), (STATIONARY, {"stationary_reconstructed": "max(stationary)"}),
         (known("STA20"), {"trend": "max(similarity)"}), (known("STA21"), {"warping": "max(warping)"}),
     ],
-    {"distribution": "(greatest(0, 1 - wasserstein / 100) + greatest(0, 1 - divergence) + 1 - hellinger) / 3", "p_value": P_VALUE, "significant": f"{P_VALUE} < 0.05", "ks_p": KS_P}, "stationary_original stationary_reconstructed",
+    {"distribution": "(greatest(0, 1 - wasserstein / 100) + greatest(0, 1 - divergence) + 1 - hellinger) / 3"}, "significant stationary_original stationary_reconstructed",
 )
 GAP = "abs(outliers_original - outliers_reconstructed)"
 add("STA22", [STATISTICS], scores.statistical_similarity, f"""SELECT song_id, round(least(1, greatest(0, distribution * 0.2 + 0.3 * (abs(pitch_r) * 0.4 + abs(velocity_r) * 0.2 + abs(duration_r) * 0.2 + information * 0.2) + 0.2 * CASE WHEN significant THEN least(1, p_value * 10) ELSE 1 END

@@ -21,12 +21,6 @@ for name, column, body in (
 
 RANK = "rank() OVER (PARTITION BY song_id ORDER BY {c}) + (count(*) OVER (PARTITION BY song_id, {c}) - 1) / 2.0 AS {c}"
 add("STA09", "notes recon", lambda a, b: statistics.spearman(compare.paired(a, b)), f", {PAIRS} SELECT song_id, round(corr(pa, pb), 6) AS pitch, round(corr(va, vb), 6) AS velocity FROM (SELECT song_id, {', '.join(RANK.format(c=c) for c in ('pa', 'pb', 'va', 'vb'))} FROM pr) r GROUP BY 1")
-add("STA13", "notes recon", lambda a, b: statistics.mann_whitney(compare.histograms(a, b, "pitch")), """, u AS (SELECT song_id, s, rank() OVER (PARTITION BY song_id ORDER BY pitch) + (count(*) OVER (PARTITION BY song_id, pitch) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY song_id, pitch) AS t FROM (SELECT song_id, pitch, 0 AS s FROM notes UNION ALL SELECT song_id, pitch, 1 FROM recon) x),
- w AS (SELECT song_id, CAST(count(CASE WHEN s = 0 THEN 1 END) AS DOUBLE) AS n, CAST(count(CASE WHEN s = 1 THEN 1 END) AS DOUBLE) AS m, sum(CASE WHEN s = 0 THEN r END) AS rs, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM u GROUP BY 1),
- v AS (SELECT song_id, CAST(rs - n * (n + 1) / 2 AS DOUBLE) AS u, n, m, sqrt(n * m / 12 * (n + m + 1 - ties / ((n + m) * (n + m - 1)))) AS sd FROM w)
- SELECT song_id, u, round(CASE WHEN sd > 0 THEN (greatest(u, n * m - u) - n * m / 2 - 0.5) / sd ELSE 0 END, 6) AS z FROM v""")
-add("STA14", "notes recon", lambda a, b: statistics.wilcoxon(compare.paired(a, b)), f", {PAIRS}, d AS (SELECT song_id, va - vb AS d, rank() OVER (PARTITION BY song_id ORDER BY abs(va - vb)) + (count(*) OVER (PARTITION BY song_id, abs(va - vb)) - 1) / 2.0 AS r FROM pr WHERE va <> vb) SELECT song_id, CAST(coalesce(w, 0) AS DOUBLE) AS w FROM (SELECT DISTINCT song_id FROM pr) p LEFT JOIN (SELECT song_id, CASE WHEN count(*) > 1 THEN least(coalesce(sum(r) FILTER (d > 0), 0), coalesce(sum(r) FILTER (d < 0), 0)) END AS w FROM d GROUP BY 1) x USING (song_id)")
-add("STA16", "notes recon", statistics.variance_ratio, "SELECT song_id, round(CASE WHEN a.v > 1e-10 AND b.v > 1e-10 THEN a.v / b.v ELSE 1 END, 6) AS f, a.n - 1 AS df1, b.n - 1 AS df2 FROM (SELECT song_id, var_samp(pitch) AS v, count(*) AS n FROM notes GROUP BY 1) a JOIN (SELECT song_id, var_samp(pitch) AS v, count(*) AS n FROM recon GROUP BY 1) b USING (song_id) WHERE a.n > 1 AND b.n > 1")
 MARK = "mk_{t} AS (SELECT song_id, k, pitch < lo - 1.5 * (hi - lo) OR pitch > hi + 1.5 * (hi - lo) AS iqr, abs(pitch - mean) > 3 * sd AS z FROM (SELECT *, " + NUMBERED + " FROM {t}) x JOIN (SELECT song_id, quantile_cont(pitch, 0.25) AS lo, quantile_cont(pitch, 0.75) AS hi, avg(pitch) AS mean, stddev_pop(pitch) AS sd FROM {t} GROUP BY 1) l USING (song_id))"
 # pitches are evenly spread and have no outliers; cubed distances from the middle have
 CUBE = "(pitch - 60) * (pitch - 60) * (pitch - 60)"
