@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .compare import ORDER, histograms
 
@@ -101,15 +104,30 @@ def groove_kept(a: DataFrame, b: DataFrame, top: int = 5, least: int = 3) -> Dat
     return a.select("song_id").distinct().join(shared, "song_id", "left").select("song_id", F.coalesce("shared", F.lit(0)).alias("shared"), (F.coalesce("shared", F.lit(0)) >= least).alias("kept"))
 
 
+def _tau(x: pd.Series, y: pd.Series, count: pd.Series) -> pd.Series:
+    """Tau-b of each row's contingency table: places x and y, and how often they occur together."""
+    out = np.zeros(len(x))
+    for row, (u, v, c) in enumerate(zip(x, y, count, strict=True)):
+        (_, i), (_, j) = np.unique(u, return_inverse=True), np.unique(v, return_inverse=True)
+        table = np.zeros((i.max() + 1, j.max() + 1))
+        np.add.at(table, (i, j), c)
+        before = np.zeros((table.shape[0] + 1, table.shape[1] + 1))
+        before[1:, 1:] = table.cumsum(axis=0).cumsum(axis=1)
+        # of the pairs with a smaller x, those with a smaller y less those with a greater one
+        sign = before[:-1, :-1] + before[:-1, 1:] - before[:-1, -1:]
+        n, a, b = table.sum(), table.sum(axis=1), table.sum(axis=0)
+        whole, tied_x, tied_y = n * (n - 1) / 2, (a * (a - 1)).sum() / 2, (b * (b - 1)).sum() / 2
+        if whole > tied_x and whole > tied_y:
+            out[row] = (table * sign).sum() / np.sqrt((whole - tied_x) * (whole - tied_y))
+    return pd.Series(out)
+
+
 def kendall(pairs: DataFrame, x: str = "pitch_a", y: str = "pitch_b") -> DataFrame:
-    """Kendall's tau-b by song. Pairs are counted by (x, y) first; concordant ones come from a join of these counts, at most 128 squared a song."""
-    c = pairs.groupBy("song_id", F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    d = c.select("song_id", F.col("x").alias("u"), F.col("y").alias("v"), F.col("c").alias("e"))
-    met = c.join(d, "song_id").where("x < u").groupBy("song_id").agg(F.sum(F.when(F.col("y") < F.col("v"), F.col("c") * F.col("e")).when(F.col("y") > F.col("v"), -F.col("c") * F.col("e")).otherwise(0)).alias("s"))
-    ties = lambda k: c.groupBy("song_id", k).agg(F.sum("c").alias("c")).groupBy("song_id").agg((F.sum(F.col("c") * (F.col("c") - 1)) / 2).alias(f"t{k}"), F.sum("c").alias(f"n{k}"))
-    all_ = ties("x").join(ties("y"), "song_id").join(met, "song_id", "left")
-    whole = F.col("nx") * (F.col("nx") - 1) / 2
-    return all_.select("song_id", F.round(F.when((whole > F.col("tx")) & (whole > F.col("ty")), F.coalesce("s", F.lit(0)) / F.sqrt((whole - F.col("tx")) * (whole - F.col("ty")))).otherwise(0.0), 6).alias("tau"))
+    """Kendall's tau-b by song, 0 where a side doesn't vary. Pairs are counted by (x, y) first, at most 128 squared counts a song for pitches; concordant
+    ones are then summed by two-dimensional prefix sums of these counts, so nothing is joined."""
+    c = pairs.groupBy("song_id", F.col(x).cast("long").alias("x"), F.col(y).cast("long").alias("y")).agg(F.count("*").alias("c"))
+    lists = c.groupBy("song_id").agg(F.collect_list(F.struct("x", "y", "c")).alias("t"))
+    return lists.select("song_id", F.round(F.pandas_udf(_tau, DoubleType())("t.x", "t.y", "t.c"), 6).alias("tau"))
 
 
 def mutual_information(pairs: DataFrame, width: int = 5) -> DataFrame:
@@ -125,15 +143,59 @@ def mutual_information(pairs: DataFrame, width: int = 5) -> DataFrame:
     return s.select("song_id", F.round(F.when(top > 1e-12, F.col("mi") / top).otherwise(0.0), 6).alias("information"))
 
 
-def cross_correlation(pairs: DataFrame, most: int = 50) -> DataFrame:
-    """Peak, by amount, of the correlation of paired z-scored pitches over lags of up to most either way, and its lag (the least among equals). Songs of 10 pairs or more."""
-    whole = Window.partitionBy("song_id")
-    z = lambda c: (F.col(c) - F.avg(c).over(whole)) / (F.stddev_pop(c).over(whole) + 1e-10)
-    t = pairs.select("song_id", "i", z("pitch_a").alias("x"), z("pitch_b").alias("y"), F.count("*").over(whole).alias("n")).where("n >= 10")
-    left = t.select("song_id", "n", "x", F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"), "i").withColumn("i", F.col("i") - F.col("lag"))
-    r = left.join(t.select("song_id", "i", "y"), ["song_id", "i"]).groupBy("song_id", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")) / F.first("n"), 6).alias("r"))
-    best = F.min_by(F.struct("r", "lag"), F.struct(-F.abs("r"), "lag"))
-    return r.groupBy("song_id").agg(best.alias("b")).select("song_id", F.col("b.r").alias("peak"), F.col("b.lag").alias("lag"))
+def sequence(notes: DataFrame, value: str = "pitch") -> DataFrame:
+    """song_id, x: a song's values in note order, as one array of 8 bytes a note."""
+    ordered = F.array_sort(F.collect_list(F.struct(*ORDER, F.col(value).cast("double").alias("x"))))
+    return notes.groupBy("song_id").agg(F.transform(ordered, lambda e: e["x"]).alias("x"))
+
+
+def _peak(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+    """Peak and lag of each row's two arrays, cut to the shorter; null under 10 values."""
+    peaks, lags = [], []
+    for u, v in zip(x, y, strict=True):
+        n = min(len(u), len(v))
+        if n < 10:
+            peaks.append(None)
+            lags.append(None)
+            continue
+        a, b = ((w[:n] - w[:n].mean()) / (w[:n].std() + 1e-10) for w in (u, v))
+        size = 1 << (2 * n - 1).bit_length()
+        full = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size) / n
+        lag = np.arange(-(n // 2), n - n // 2)
+        r = np.round(full[lag], 6)
+        best = int(np.argmax(np.abs(r)))
+        peaks.append(float(r[best]))
+        lags.append(int(lag[best]))
+    return pd.DataFrame({"peak": pd.array(peaks, "Float64"), "lag": pd.array(lags, "Int32")})
+
+
+def cross_correlation(a: DataFrame, b: DataFrame, value: str = "pitch") -> DataFrame:
+    """Peak, by amount, of the correlation of both sides' z-scored values over all lags of up to half their number, and its lag (the least among equals
+    in six places). Songs with 10 notes or more on both sides; the longer is cut to the shorter. A song's two arrays meet once and are
+    correlated by a Fourier transform, so nothing is paired lag by lag."""
+    both = sequence(a, value).join(sequence(b, value).withColumnRenamed("x", "y"), "song_id")
+    return both.select("song_id", F.pandas_udf(_peak, "peak double, lag int")("x", "y").alias("r")).where("r.lag IS NOT NULL").select("song_id", "r.peak", "r.lag")
+
+
+def _lagged(x: pd.Series, most: pd.Series) -> pd.Series:
+    """Pearson correlation of each array with itself at lags 0, 1, ...; 0 where undefined."""
+
+    def one(u: np.ndarray, top: int) -> list[float]:
+        out = []
+        for lag in range(max(min(top, len(u) // 2), 1)):
+            a, b = u[: len(u) - lag], u[lag:]
+            a, b = a - a.mean(), b - b.mean()
+            spread = np.sqrt((a * a).sum() * (b * b).sum())
+            out.append(float((a * b).sum() / spread) if spread > 0 else 0.0)
+        return out
+
+    return pd.Series([one(u, t) for u, t in zip(x, most, strict=True)])
+
+
+def autocorrelation(notes: DataFrame, value: str = "pitch", most: int = 50) -> DataFrame:
+    """Pearson correlation of a song's values with those lag places on, for lags up to most and below half its length; 0 where undefined."""
+    lists = sequence(notes, value).select("song_id", F.pandas_udf(_lagged, "array<double>")("x", F.lit(most)).alias("r"))
+    return lists.select("song_id", F.posexplode("r").alias("lag", "r")).withColumn("r", F.round("r", 6))
 
 
 def distribution_score(ks: Column, wasserstein: Column, divergence: Column, hellinger: Column, chi: Column) -> Column:

@@ -105,17 +105,6 @@ def silent_gaps(notes: DataFrame, ppq: int = PPQ) -> DataFrame:
     return notes.select("song_id", F.col("end_tick").alias("tick"), gap.alias("gap")).where(F.col("gap") > ppq).withColumn("priority", F.round(F.least(F.lit(2.5), F.col("gap") * 0.5 / ppq), 6))
 
 
-def autocorrelation(notes: DataFrame, value: str = "pitch", most: int = 50) -> DataFrame:
-    """Pearson correlation of a song's values with those lag places on, for lags up to most and below half its length; 0 where undefined."""
-    order = Window.partitionBy("song_id").orderBy(*compare.ORDER)
-    x = notes.select("song_id", F.row_number().over(order).alias("i"), F.col(value).alias("x")).withColumn("n", F.count("*").over(Window.partitionBy("song_id")))
-    lags = F.sequence(F.lit(0), F.greatest(F.least(F.lit(most), F.floor(F.col("n") / 2).cast("int")) - 1, F.lit(0)))
-    left = x.select("song_id", F.explode(lags).alias("lag"), "x", "i").withColumn("i", F.col("i") + F.col("lag"))
-    right = x.select("song_id", "i", F.col("x").alias("y"))
-    r = left.join(right, ["song_id", "i"]).groupBy("song_id", "lag").agg(F.corr("x", "y").alias("r"))
-    return r.select("song_id", "lag", F.round(F.when(F.isnan("r") | F.col("r").isNull(), 0.0).otherwise(F.col("r")), 6).alias("r"))
-
-
 def restored(tokens: DataFrame) -> DataFrame:
     """Tokens with programs before pitches and without section markers; a chord section's first pitch gets position 0. Places are numbered anew."""
     marker = F.when(F.col("token_id") == T.CHORD_START, "C").when(F.col("token_id") == T.MELODY_START, "M")
@@ -191,12 +180,15 @@ def chord_track(tracks: DataFrame, polyphony: DataFrame) -> DataFrame:
 
 
 def vocabulary_differences(entries: DataFrame, reference: str) -> DataFrame:
-    """Vocabularies of documents (doc, name, id) against that of one document: missing, extra and renumbered tokens; no row where they agree."""
+    """Vocabularies of documents (doc, name, id) against that of one document: missing, extra and renumbered tokens; no row where they agree.
+
+    Each entry meets the reference's entry of its name, in one join by name; what a document misses is the number of names that its
+    entries didn't meet, so documents and reference are never crossed.
+    """
     ref = entries.where(F.col("doc") == reference).select("name", F.col("id").alias("ref_id"))
-    docs = entries.select("doc").distinct().where(F.col("doc") != reference)
-    want = docs.join(F.broadcast(ref))
-    pairs = want.join(entries.where(F.col("doc") != reference), ["doc", "name"], "full")
-    out = pairs.groupBy("doc").agg(F.count_if(F.col("id").isNull()).alias("missing"), F.count_if(F.col("ref_id").isNull()).alias("extra"), F.count_if(F.col("id") != F.col("ref_id")).alias("renumbered"))
+    met = entries.where(F.col("doc") != reference).join(ref, "name", "left")
+    out = met.groupBy("doc").agg(F.count("ref_id").alias("met"), F.count_if(F.col("ref_id").isNull()).alias("extra"), F.count_if(F.col("id") != F.col("ref_id")).alias("renumbered"))
+    out = out.join(F.broadcast(ref.agg(F.count("*").alias("names")))).select("doc", (F.col("names") - F.col("met")).alias("missing"), "extra", "renumbered")
     return out.where("missing + extra + renumbered > 0")
 
 

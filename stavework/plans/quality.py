@@ -89,8 +89,9 @@ SELECT t.song_id, round(s.s / sqrt((n * (n - 1) / 2 - x.t) * (n * (n - 1) / 2 -
 add("STA11", "notes recon", lambda a, b: statistics.mutual_information(compare.paired(a, b)), f""", {PAIRS}, j AS (SELECT song_id, pa // 5 AS x, pb // 5 AS y, count(*) AS c FROM pr GROUP BY 1, 2, 3), jx AS (SELECT song_id, x, sum(c) AS c FROM j GROUP BY 1, 2), jy AS (SELECT song_id, y, sum(c) AS c FROM j GROUP BY 1, 2), t AS (SELECT song_id, sum(c) AS n FROM j GROUP BY 1),
 mi AS (SELECT j.song_id, sum(j.c / n * ln(j.c * n / (jx.c * jy.c)::DOUBLE)) AS v FROM j JOIN t USING (song_id) JOIN jx USING (song_id, x) JOIN jy USING (song_id, y) GROUP BY 1), hx AS (SELECT song_id, -sum(c / n * ln(c / n)) AS v FROM jx JOIN t USING (song_id) GROUP BY 1), hy AS (SELECT song_id, -sum(c / n * ln(c / n)) AS v FROM jy JOIN t USING (song_id) GROUP BY 1)
 SELECT song_id, round(mi.v / greatest(hx.v, hy.v), 6) AS information FROM mi JOIN hx USING (song_id) JOIN hy USING (song_id)""")
-add("STA12", "notes recon", lambda a, b: statistics.cross_correlation(compare.paired(a, b).withColumnRenamed("n", "i"), 20), f""", {PAIRS.replace('SELECT a.song_id', 'SELECT a.song_id, a.k')}, z AS (SELECT song_id, k, (pa - avg(pa) OVER w) / (stddev_pop(pa) OVER w + 1e-10) AS x, (pb - avg(pb) OVER w) / (stddev_pop(pb) OVER w + 1e-10) AS y, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY song_id)),
-r AS (SELECT a.song_id, l.l AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a JOIN (SELECT unnest(range(-20, 21)) AS l) l ON true JOIN z b ON b.song_id = a.song_id AND b.k = a.k - l.l WHERE a.n >= 10 GROUP BY 1, 2)
+add("STA12", "notes recon", statistics.cross_correlation, f""", {PAIRS.replace('SELECT a.song_id', 'SELECT a.song_id, a.k')},
+z AS (SELECT song_id, k, (pa - avg(pa) OVER w) / (stddev_pop(pa) OVER w + 1e-10) AS x, (pb - avg(pb) OVER w) / (stddev_pop(pb) OVER w + 1e-10) AS y, count(*) OVER w AS n FROM pr WINDOW w AS (PARTITION BY song_id)),
+r AS (SELECT a.song_id, a.k - b.k AS lag, round(sum(a.x * b.y) / any_value(a.n), 6) AS r FROM z a JOIN z b ON b.song_id = a.song_id AND a.k - b.k BETWEEN -(a.n // 2) AND a.n - a.n // 2 - 1 WHERE a.n >= 10 GROUP BY 1, 2)
 SELECT song_id, r AS peak, CAST(lag AS INT) AS lag FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY abs(r) DESC, lag) AS p FROM r) q WHERE p = 1""")
 add("STA07", "results", lambda r: scored(r).select("file_id", r6("score", statistics.distribution_score(F.col("missing_ratio"), F.col("tokens") / 10, 1 - F.col("timing"), 1 - F.col("velocity"), F.col("musical")))),
     f"{SC} SELECT file_id, round(list_avg(list_filter([CASE WHEN missing_ratio > 0 THEN least(1, missing_ratio * 10) END, greatest(0, 1 - tokens / 10.0 / 100), greatest(0, timing), velocity, CASE WHEN musical > 0 THEN least(1, musical * 10) END], lambda x: x IS NOT NULL)), 6) AS score FROM sc")

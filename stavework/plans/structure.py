@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import statistics
 from ..operators import structure as st
 from ..operators import tokens as T
 from ..operators.notes import max_polyphony, track_statistics
@@ -34,7 +35,7 @@ q AS (SELECT song_id, count_if(song_id % 5 <> 0 OR tick = 0) = any_value(n) AS s
 add("JOI11", "tempo_changes", lambda c: st.change_comparison(c, MOVED(c)).withColumn("drift", F.round("drift", 6)), f"{CHANGED} SELECT song_id, same_count, CASE WHEN same_count THEN late END AS late, CASE WHEN same_count THEN changed END AS changed, CASE WHEN same_count THEN round(drift, 6) END AS drift FROM q")
 add("MUS05", "tempo_changes", lambda c: st.tempo_stability(c, MOVED(c)), f"{CHANGED} SELECT song_id, round(CASE WHEN same_count THEN greatest(0, 1 - drift) ELSE 0.5 END, 6)::DOUBLE AS stability FROM q")
 add("WIN19", "notes", st.silent_gaps, f"SELECT song_id, end_tick AS tick, gap, round(least(2.5, gap * 0.5 / 480), 6)::DOUBLE AS priority FROM (SELECT song_id, end_tick, lead(start_tick) OVER (PARTITION BY song_id ORDER BY {ORDER}) - end_tick AS gap FROM notes) x WHERE gap > 480")
-add("WIN18", "notes", st.autocorrelation, f""", x AS (SELECT song_id, pitch, row_number() OVER w AS i, count(*) OVER (PARTITION BY song_id) AS n FROM notes WINDOW w AS (PARTITION BY song_id ORDER BY {ORDER}))
+add("WIN18", "notes", statistics.autocorrelation, f""", x AS (SELECT song_id, pitch, row_number() OVER w AS i, count(*) OVER (PARTITION BY song_id) AS n FROM notes WINDOW w AS (PARTITION BY song_id ORDER BY {ORDER}))
 SELECT a.song_id, CAST(l.lag AS INT) AS lag, round(CASE WHEN isnan(coalesce(corr(a.pitch, b.pitch), 'nan'::DOUBLE)) THEN 0 ELSE corr(a.pitch, b.pitch) END, 6) AS r FROM x a JOIN (SELECT unnest(range(50)) AS lag) l ON l.lag < least(50, a.n // 2) JOIN x b ON b.song_id = a.song_id AND b.i = a.i + l.lag GROUP BY 1, 2""")
 add("WIN09", "tokens", st.restored, """, m AS (SELECT *, last_value(CASE token_id WHEN 531 THEN 'C' WHEN 532 THEN 'M' END IGNORE NULLS) OVER w AS s, count_if(token_id = 531) OVER w AS part FROM tokens WINDOW w AS (PARTITION BY song_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
 n AS (SELECT *, row_number() OVER (PARTITION BY song_id, part, s, token_id BETWEEN 5 AND 92 ORDER BY pos) AS k FROM m),
