@@ -91,7 +91,7 @@ def fidelity(m: DataFrame) -> DataFrame:
         "drift": c("drift") > 10, "chords": c("chords") < 0.7, "voicing": ~c("voicing"), "polyphony": c("polyphony") < 0.8,
     }
     overall = within(weighted(*((x, 0.25) for x in parts.values())))
-    return known(m).select("song_id", *(F.round(x, 6).alias(n) for n, x in parts.items()), F.round(overall, 6).alias("overall"), labels(rules).alias("warnings"))
+    return known(m).select("song_id", *(x.alias(n) for n, x in parts.items()), overall.alias("overall"), labels(rules).alias("warnings"))
 
 
 def statistical_similarity(m: DataFrame) -> DataFrame:

@@ -39,19 +39,19 @@ def over(weights):  # noqa: ANN001, ANN201
     return OVER.format(s=" + ".join(f"CASE WHEN {c} > 0 THEN {c} * {w} ELSE 0 END" for c, w in zip(NAMES, weights, strict=True)), w=" + ".join(f"CASE WHEN {c} > 0 THEN {w} ELSE 0 END" for c, w in zip(NAMES, weights, strict=True))).replace("WHEN CASE", "WHEN (CASE", 1).replace(" > 0 THEN least", ") > 0 THEN least", 1)
 
 
-add("QUA02", "results", lambda r: scored(r).select("file_id", *(r6(u, v.overall(w)) for u, w in v.USE_CASES.items())), f"{SC} SELECT file_id, {', '.join(f'round({over(w)}, 6)::DOUBLE AS {u}' for u, w in v.USE_CASES.items())} FROM sc")
-add("QUA03", "results", lambda r: scored(r).select("file_id", *(r6(k, c) for k, c in v.categories().items()), r6("confidence", v.confidence())),
+add("QUA02", "results", lambda r: scored(r).select("file_id", *(v.overall(w).alias(u) for u, w in v.USE_CASES.items())), f"{SC} SELECT file_id, {', '.join(f'({over(w)})::DOUBLE AS {u}' for u, w in v.USE_CASES.items())} FROM sc")
+add("QUA03", "results", lambda r: scored(r).select("file_id", *(c.alias(k) for k, c in v.categories().items()), r6("confidence", v.confidence())),
     f"""{SC}, l AS (SELECT *, list_filter([round_trip, musical, sequence, statistical], lambda x: x > 0) AS xs FROM sc), m AS (SELECT *, coalesce(list_aggregate(xs, 'stddev_samp'), 0) AS sd FROM l)
-SELECT file_id, round(round_trip * 0.6 + statistical * 0.4, 6) AS accuracy, round(musical * 0.7 + sequence * 0.3, 6) AS musicality, round(sequence * 0.5 + statistical * 0.5, 6) AS technical, round(round_trip * 0.5 + musical * 0.5, 6) AS preservation,
+SELECT file_id, round_trip * 0.6 + statistical * 0.4 AS accuracy, musical * 0.7 + sequence * 0.3 AS musicality, sequence * 0.5 + statistical * 0.5 AS technical, round_trip * 0.5 + musical * 0.5 AS preservation,
 round(completeness * CASE level WHEN 'very_complex' THEN 0.9 WHEN 'minimal' THEN 0.95 ELSE 1 END * CASE WHEN sd > 0.2 THEN 1 - sd ELSE 1 END, 6) AS confidence FROM m""")
 add("QUA05", "results", lambda r: scored(r).select("file_id", F.array_join(v.critical_issues(), ",").alias("issues")),
     f"""{SC} SELECT file_id, array_to_string(list_filter([CASE WHEN round_trip > 0 AND round_trip < 0.8 THEN 'round trip' END, CASE WHEN musical > 0 AND musical < 0.7 THEN 'musical fidelity' END, CASE WHEN sequence > 0 AND sequence < 0.6 THEN 'sequence quality' END,
 CASE WHEN statistical > 0 AND statistical < 0.7 THEN 'statistics' END, CASE WHEN missing_ratio > 0.1 THEN 'missing notes' END, CASE WHEN timing < 0.9 THEN 'timing' END, CASE WHEN completeness < 0.5 THEN 'incomplete' END], lambda x: x IS NOT NULL), ',') AS issues FROM sc""")
 QUICK = """list_filter([CASE WHEN missing_ratio > 0.01 THEN 1 - missing_ratio * 2 END, CASE WHEN timing < 0.98 THEN timing END, CASE WHEN velocity < 0.95 THEN velocity * 1.05 END, CASE WHEN tokens > 2000 THEN 0.95 WHEN tokens < 500 THEN 1.02 END], lambda x: x IS NOT NULL)"""
-add("QUA06", "results", lambda r: scored(r).select("file_id", r6("score", v.quick_score() + 1e-9)), f"{SC}, l AS (SELECT file_id, round_trip, {QUICK} AS ms FROM sc) SELECT file_id, round(least(1, greatest(0, round_trip * coalesce(list_avg(ms), 1))) + 1e-9, 6)::DOUBLE AS score FROM l")
+add("QUA06", "results", lambda r: scored(r).select("file_id", v.quick_score().alias("score")), f"{SC}, l AS (SELECT file_id, round_trip, {QUICK} AS ms FROM sc) SELECT file_id, least(1, greatest(0, round_trip * coalesce(list_avg(ms), 1)))::DOUBLE AS score FROM l")
 PROD = over(v.USE_CASES["production"])
-add("QUA14", "results", lambda r: scored(r).select("file_id", *(F.round(c, 6).alias(k) if k == "overall_score" else c.alias(k) for k, c in v.file_result().items())),
-    f"{SC} SELECT file_id, round_trip >= 0.95 AS validation_passed, {PROD} >= 0.9 AS quality_passed, round((round_trip + {PROD}) / 2, 6) AS overall_score FROM sc")
+add("QUA14", "results", lambda r: scored(r).select("file_id", *(c.alias(k) for k, c in v.file_result().items())),
+    f"{SC} SELECT file_id, round_trip >= 0.95 AS validation_passed, {PROD} >= 0.9 AS quality_passed, (round_trip + {PROD}) / 2 AS overall_score FROM sc")
 add("QUA13", "results", v.history_advice, """, n AS (SELECT batch_id, count_if(contains(lower(error_message), 'memory')) AS m, count_if(contains(lower(error_message), 'token')) AS t, count_if(contains(lower(error_message), 'corrupt')) AS c FROM results GROUP BY 1)
 SELECT batch_id, a AS advice FROM (SELECT batch_id, m > 2 AS ok, unnest(['max_seq_length=1024', 'chunk_size_seconds=20', 'enable_chunking=true']) AS a FROM n UNION ALL SELECT batch_id, t > 3, unnest(['tokenization=REMI', 'simplify_vocabulary=true']) FROM n UNION ALL SELECT batch_id, c > 5, unnest(['strict_validation=false', 'skip_corrupted=true']) FROM n) x WHERE ok""")
 RECS = """, w AS (SELECT avg(q) AS q, coalesce(stddev_samp(q), 0) AS s, avg(seconds) AS t, max(batch_id) AS last FROM (SELECT *, CASE WHEN success THEN overall_score END AS q FROM results) x),

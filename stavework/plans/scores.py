@@ -113,7 +113,7 @@ FEATURES = by_song(
 FAITHFUL = {
     "pitch": "pitches < 0.8", "tessitura": "abs(shift) > 3", "range": "NOT range_kept", "rhythm": "rhythms < 0.7", "groove": "NOT groove", "tempo": "tempo < 0.9", "drift": "drift > 10", "chords": "chords < 0.7", "voicing": "NOT voicing", "polyphony": "polyphony < 0.8",
 }
-add("MUS09", [FEATURES], scores.fidelity, f"""SELECT song_id, round(p, 6) AS pitch, round(r, 6) AS rhythm, round(h, 6) AS harmony, round(s, 6)::DOUBLE AS structure, round(least(1, greatest(0, (p + r + h + s) / 4)), 6)::DOUBLE AS overall, w AS warnings FROM (SELECT song_id, pitches * 0.4 + classes * 0.4 + octaves * 0.2 AS p,
+add("MUS09", [FEATURES], scores.fidelity, f"""SELECT song_id, p AS pitch, r AS rhythm, h AS harmony, s::DOUBLE AS structure, least(1, greatest(0, (p + r + h + s) / 4))::DOUBLE AS overall, w AS warnings FROM (SELECT song_id, pitches * 0.4 + classes * 0.4 + octaves * 0.2 AS p,
  rhythms * 0.4 + tempo * 0.3 + CASE WHEN groove THEN 0.3 ELSE 0.21 END AS r, chords * 0.4 + intervals * 0.3 + polyphony * 0.3 AS h, CASE WHEN range_kept THEN 0.5 ELSE 0.25 END + CASE WHEN voicing THEN 0.5 ELSE 0.35 END AS s, {listed(FAITHFUL)} AS w FROM a) x""")
 
 # -- statistics

@@ -57,9 +57,14 @@ def normal_p(z: str) -> str:
     return upper_gamma("0.5::DOUBLE", f"({z} * {z} / 2)")
 
 
+def _rounded(df: DataFrame) -> DataFrame:
+    """Values whose last bits depend on the order of a sum, to six places."""
+    return df.withColumns({c: F.round(c, 6) for c in ("p", "chi2", "z", "similarity", "wasserstein") if c in df.columns})
+
+
 add("AGG28", "notes recon", lambda a, b: sg.value_counts(a, b, HISTOGRAMS), f"{counts(HISTOGRAMS)} SELECT * FROM counts")
-add("MUS01", "notes recon", lambda a, b: sg.cosines(sg.value_counts(a, b, SIMILAR)), f"""{counts(SIMILAR)}
-SELECT song_id, feature, CASE WHEN sum(original) > 0 AND sum(reconstructed) > 0 THEN sum(original::DOUBLE * reconstructed) / sqrt(sum(original::DOUBLE * original) * sum(reconstructed::DOUBLE * reconstructed)) ELSE 0 END AS similarity FROM counts GROUP BY 1, 2""")
+add("MUS01", "notes recon", lambda a, b: _rounded(sg.cosines(sg.value_counts(a, b, SIMILAR))), f"""{counts(SIMILAR)}
+SELECT song_id, feature, round(CASE WHEN sum(original) > 0 AND sum(reconstructed) > 0 THEN sum(original::DOUBLE * reconstructed) / sqrt(sum(original::DOUBLE * original) * sum(reconstructed::DOUBLE * reconstructed)) ELSE 0 END, 6) AS similarity FROM counts GROUP BY 1, 2""")
 
 DISTANCES = f"""{counts(COMPARED)},
 shares AS (
@@ -71,11 +76,7 @@ distances AS (
 limits AS (
   SELECT *, CASE WHEN scaled < 0.05 THEN 1 ELSE greatest(0, least(1, list_sum(list_transform(range(1, 101), lambda k: CASE WHEN k % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * k * k * scaled * scaled))))) END AS p FROM distances)"""
 add("STA01", "notes recon", lambda a, b: _rounded(sg.distribution_tests(sg.value_counts(a, b, COMPARED)).drop("wasserstein")), f"{DISTANCES} SELECT song_id, feature, total_a AS n, total_b AS m, ks, round(p, 6) AS p, p > {sg.ALPHA} AS identical FROM limits")
-add("STA02", "notes recon", lambda a, b: sg.distribution_tests(sg.value_counts(a, b, COMPARED)).select("song_id", "feature", "wasserstein"), f"{DISTANCES} SELECT song_id, feature, wasserstein FROM limits")
-
-
-def _rounded(df: DataFrame) -> DataFrame:
-    return df.withColumn("p", F.round("p", 6))
+add("STA02", "notes recon", lambda a, b: _rounded(sg.distribution_tests(sg.value_counts(a, b, COMPARED))).select("song_id", "feature", "wasserstein"), f"{DISTANCES} SELECT song_id, feature, round(wasserstein, 6) AS wasserstein FROM limits")
 
 
 add("STA06", "notes recon", lambda a, b: _rounded(sg.chi_square(sg.value_counts(a, b, CATEGORIES))), f"""{counts(CATEGORIES)},
@@ -85,7 +86,7 @@ cells AS (
 offs AS (SELECT *, abs(x - (x + y) * n / (n + m)) AS off, (x + y) * n / (n + m) AS ex, (x + y) * m / (n + m) AS ey, count(*) OVER (PARTITION BY song_id, feature) = 2 AS few FROM cells),
 sums AS (
   SELECT song_id, feature, sum((CASE WHEN few THEN greatest(off - 0.5, 0) ELSE off END) ** 2 / ex + (CASE WHEN few THEN greatest(off - 0.5, 0) ELSE off END) ** 2 / ey) AS chi2, count(*) - 1 AS dof FROM offs GROUP BY 1, 2)
-SELECT song_id, feature, chi2, dof, round(CASE WHEN dof > 0 THEN {upper_gamma("(dof / 2)", "(chi2 / 2)")} ELSE 1 END, 6) AS p FROM sums""")
+SELECT song_id, feature, round(chi2, 6) AS chi2, dof, round(CASE WHEN dof > 0 THEN {upper_gamma("(dof / 2)", "(chi2 / 2)")} ELSE 1 END, 6) AS p FROM sums""")
 
 add("STA08", "notes recon", lambda a, b: compare.correlations(compare.paired(a, b)), f", {PAIRS} SELECT song_id, round(corr(pa, pb), 6) AS pitch, round(corr(va, vb), 6) AS velocity, round(corr(da, db), 6) AS duration, round(corr(sa, sb), 6) AS onset FROM pr GROUP BY 1")
 
@@ -96,7 +97,7 @@ us AS (SELECT song_id, feature, sum(original * (below + reconstructed / 2))::DOU
 deviations AS (SELECT *, sqrt(n * m / 12 * (n + m + 1 - ties / greatest((n + m) * (n + m - 1), 1))) AS sd FROM us WHERE n > 0 AND m > 0),
 zs AS (SELECT *, CASE WHEN sd > 0 THEN (greatest(u, n * m - u) - n * m / 2 - 0.5) / sd ELSE 0 END AS z FROM deviations),
 ranked AS (SELECT song_id, feature, u, z, CASE WHEN z > 0 THEN {normal_p("z")} ELSE 1 END AS p FROM zs)"""
-add("STA13", "notes recon", lambda a, b: _rounded(sg.mann_whitney(sg.value_counts(a, b, RANKED))), f"{RANKS} SELECT song_id, feature, u, z, round(p, 6) AS p FROM ranked")
+add("STA13", "notes recon", lambda a, b: _rounded(sg.mann_whitney(sg.value_counts(a, b, RANKED))), f"{RANKS} SELECT song_id, feature, u, round(z, 6) AS z, round(p, 6) AS p FROM ranked")
 
 SIGNED = f""", {PAIRS},
 pv AS (SELECT song_id, unnest(['pitch', 'velocity']) AS feature, unnest([pa, va])::BIGINT AS a, unnest([pb, vb])::BIGINT AS b FROM pr),
