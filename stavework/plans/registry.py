@@ -20,7 +20,7 @@ def register(name: str, query: Query, sql: str | None = None) -> None:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog, chunks, files, quality, roundtrip, scores, significance, statistics, structure, training  # noqa: F401  (register on import)
+    from . import catalog, chunks, corpus, files, quality, roundtrip, scores, significance, statistics, structure, training  # noqa: F401  (register on import)
 
     return _queries
 
