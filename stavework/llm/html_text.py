@@ -32,18 +32,26 @@ MARKED = frozenset(
     "cookie cookies consent notice alert popup modal newsletter subscribe signup login share social related comment comments respond reply replies disqus pagination pager widget "
     "complementary contentinfo toolbar search".split()
 )
+#: Words in class or id of reader comments; one of them as a part of a word is enough.
+COMMENTS = frozenset("comment comments respond reply replies disqus".split())
+#: Elements that show where a page has its content; the first of each kind counts.
+CONTENT = ("h1", "main", "article")
 #: Elements that end the block they stand in; void elements; elements that HTML closes by itself before these.
 BLOCKS = frozenset("address article aside blockquote body br dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ENDED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Elements whose content is not HTML, or never text of the page; it is passed over as a whole.
 RAW = frozenset("script style noscript template iframe textarea svg".split())
+#: Elements that aren't HTML, which a slash at the end of their tag closes.
+FOREIGN = frozenset(("svg", "math"))
 _NAME = re.compile(r"</?[A-Za-z][A-Za-z0-9:-]*")
 _ENDS = re.compile("[>\"']")
 _CLOSES = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in RAW}
 #: Attributes one after another, each a name and perhaps a value; only whole names count.
 _ATTRIBUTE = re.compile(r"([^\s=\"'>/][^\s=>/]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile(r"\s+")
+#: Attributes that end in a slash which is no part of a value. It closes elements that aren't HTML; HTML elements ignore it.
+_SLASH = re.compile(r"(?:^|[\s\"'])/$")
 
 
 class _Scanner:
@@ -111,7 +119,7 @@ class _Scanner:
                 yield "close", tag, ""
                 continue
             attributes = page[name.end() : end]
-            if tag in RAW and not attributes.endswith("/"):
+            if tag in RAW and not (tag in FOREIGN and _SLASH.search(attributes)):
                 close = _CLOSES[tag].search(page, i)
                 i = close.end() if close else len(page)
                 continue
@@ -119,8 +127,8 @@ class _Scanner:
 
 
 def _drops(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
-    """2: the element's tag or a hidden attribute says that it is never main text; 1: a word of its class, id or role says so (each of
-    its parts does); 0: neither. And a marking word that is only part of such a word: evidence that is weighed. The header of an
+    """2: the element's tag or a hidden attribute says that it is never main text; 3: a part of a word of its class or id says that it holds
+    reader comments; 1: a word of its class, id or role says that it isn't main text (each of its parts does); 0: none of these. And a marking word that is only part of such a word: evidence that is weighed. The header of an
     article is a part of it."""
     if tag in DROPPED and not (tag == "header" and inside):
         return 2, ""
@@ -132,9 +140,13 @@ def _drops(tag: str, attributes: str, inside: bool) -> tuple[int, str]:
         seen.add(name)
         if name == "hidden" or (name == "aria-hidden" and value.strip() == "true"):
             return 2, ""
-        if name in ("class", "id", "role") and tag not in ("body", "html", "article", "main"):
+        if name in ("class", "id", "role") and tag not in ("body", "html", "main") and (inside or tag != "article"):
             for word in value.split():
                 parts = [x for x in re.split(r"[^a-z]+", word) if x]
+                if name != "role" and not COMMENTS.isdisjoint(parts):
+                    return 3, ""
+                if tag == "article":
+                    continue
                 if parts and MARKED.issuperset(parts):
                     marked = 1
                 hint = hint or next((x for x in parts if x in MARKED), "")
@@ -146,7 +158,9 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     link is open, and the innermost hint; dropped: inside a part that is never main text; labelled: inside an article or main element.
 
     An element that words of its class, id or role mark is a wrapper, and not dropped for them, if it holds more than half
-    of the page's words: those in article and main elements if there are any, without what tags and hidden attributes drop.
+    of the page's words: those in article and main elements if there are any, without what tags and hidden attributes drop. One
+    marked as reader comments is a wrapper only if it holds the page's first h1, main or article element, however long it is.
+    An article inside an article can be a comment; the outer one can't.
     Work and memory grow in proportion to the page: counts of open elements take the place of walks over them.
     """
     found: list[tuple[str, str, str, bool, bool, int]] = []
@@ -156,6 +170,7 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     dropping = 0
     # marked elements: the marked one around each, and their words, outside and inside article and main; 0 is the page
     around, words = [0], [[0, 0]]
+    comments, holds, seen = {}, set(), set()  # marked elements of comments, those that hold content, and kinds of content seen
 
     def close_to(at: int) -> None:
         nonlocal dropping
@@ -186,12 +201,19 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
             close_to(blocks[-1])
         inside, (marked, hint) = bool(by_tag["article"] or by_tag["main"]), open_[-1][2:] if open_ else (0, "")
         own, own_hint = _drops(what, attributes, inside)
-        if own == 1:
+        if own in (1, 3):
             around.append(marked)
             words.append([0, 0])
             marked = len(around) - 1
+            comments[marked] = own == 3
+        if what in CONTENT and what not in seen and own not in (2, 3) and not dropping:
+            seen.add(what)
+            holder = marked
+            while holder:
+                holds.add(holder)
+                holder = around[holder]
         found.append(("tag", what, "", dropping > 0 or own == 2, inside, marked))
-        if what not in VOID and not attributes.rstrip().endswith("/"):
+        if what not in VOID and not (what in FOREIGN and _SLASH.search(attributes)):
             open_.append((what, own == 2, marked, own_hint or hint))
             by_tag[what] += 1
             dropping += own == 2
@@ -203,7 +225,10 @@ def tokens(page: str) -> list[tuple[str, str, str, bool, bool]]:
     page_words = [sum(words[0]), words[0][1]]
     gone = [False]
     for i in range(1, len(around)):
-        wrapper = 2 * words[i][1] > page_words[1] if page_words[1] else 2 * sum(words[i]) > page_words[0]
+        if comments[i]:
+            wrapper = i in holds
+        else:
+            wrapper = 2 * words[i][1] > page_words[1] if page_words[1] else 2 * sum(words[i]) > page_words[0]
         gone.append(gone[around[i]] or not wrapper)
     return [(kind, what, context, dropped or gone[marked], inside) for kind, what, context, dropped, inside, marked in found]
 
@@ -289,7 +314,8 @@ def extract(page: str | None, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from at most sample pages: labelled ones, those with the least hash of their key. Pages are counted in tasks."""
+    """Weights from at most sample pages: labelled ones, those with the least hash of key and text, equal rows once. Pages are counted in tasks.
+    Keys may be null or repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -300,10 +326,10 @@ def fit(pages: DataFrame, key: str = "page_id", text: str = "html", sample: int
         yield pa.RecordBatch.from_pylist([dict(zip(("kind", "what", "dropped", "inside", "n"), r, strict=True)) for r in rows], schema)
 
     schema = pa.schema([("kind", pa.string()), ("what", pa.string()), ("dropped", pa.bool_()), ("inside", pa.bool_()), ("n", pa.int64())])
-    labelled = pages.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").rlike("(?i)<(article|main)\\b"))
-    # keys first: pages themselves don't meet in one task; the keys are at most `sample`
-    keys = labelled.select("k").orderBy(F.xxhash64("k"), "k").limit(sample)
-    chosen = labelled.join(F.broadcast(keys), "k", "left_semi")
+    labelled = pages.select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t")).where(F.col("t").rlike("(?i)<(article|main)\\b"))
+    # hashes first: pages themselves don't meet in one task, and the greatest hash taken says which pages are
+    taken = labelled.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    chosen = labelled.where(F.col("h") <= F.lit(taken)).groupBy("h").agg(F.any_value("t").alias("t")).select("t")
     counts = chosen.mapInArrow(run, "kind string, what string, dropped boolean, inside boolean, n long").groupBy("kind", "what", "dropped", "inside").agg(F.sum("n").alias("n")).collect()
     return Weights({(r["kind"], r["what"], r["dropped"], r["inside"]): r["n"] for r in counts})
 
