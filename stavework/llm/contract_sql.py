@@ -77,10 +77,11 @@ template AS (SELECT template, label, base, string_split(phrase, ' ') AS ws, len(
 pairs AS (SELECT *, lead(w) OVER (PARTITION BY r ORDER BY pos) AS w2 FROM (SELECT r, unnest(ws) AS w, unnest(range(len(ws))) AS pos FROM docs)),
 places AS (SELECT *, lead(w) OVER (PARTITION BY template ORDER BY place) AS w2 FROM (SELECT template, label, base, size, unnest(ws) AS w, unnest(range(size)) AS place FROM template)),
 votes AS (SELECT p.r, q.template, q.label, q.base, q.size, q.place, p.pos - q.place AS diagonal FROM pairs p JOIN places q ON p.w = q.w AND p.w2 = q.w2),
-apart AS (SELECT *, (diagonal - lag(diagonal) OVER along > CASE WHEN size < {licenses.LONG} THEN 0 ELSE {licenses.DRIFT} END)::INT AS cut FROM votes WINDOW along AS (PARTITION BY r, template ORDER BY diagonal, place)),
-runs AS (SELECT *, sum(coalesce(cut, 0)) OVER (PARTITION BY r, template ORDER BY diagonal, place ROWS UNBOUNDED PRECEDING) AS run FROM apart),
-covered AS (SELECT r, template, run, label, base, size, diagonal, place FROM runs UNION ALL SELECT r, template, run, label, base, size, diagonal, place + 1 FROM runs),
-spans AS (SELECT r, template, run, label, base, min(diagonal) AS diagonal, count(DISTINCT place) / any_value(size)::DOUBLE AS share FROM covered GROUP BY r, template, run, label, base)
+lines AS (SELECT DISTINCT r, template, label, base, size, diagonal FROM votes),
+matched AS (SELECT DISTINCT l.r, l.template, l.label, l.base, l.size, l.diagonal, v.place + unnest([0, 1]) AS word, v.diagonal AS own FROM lines l JOIN votes v ON v.r = l.r AND v.template = l.template AND v.diagonal BETWEEN l.diagonal AND l.diagonal + CASE WHEN l.size < {licenses.LONG} THEN 0 ELSE {licenses.DRIFT} END),
+chains AS (SELECT r, template, label, base, any_value(size) AS size, diagonal, count(DISTINCT word) AS covered, list([own + word] ORDER BY word, own DESC) AS ats FROM (SELECT DISTINCT * FROM matched) m GROUP BY r, template, label, base, diagonal),
+spans AS (SELECT r, template, label, base, diagonal, CASE WHEN covered >= size * {licenses.LEAST_SHARE} THEN
+  len(list_reduce(ats, lambda ends, e: list_concat(list_filter(ends, lambda x: x < e[1]), e, ends[len(list_filter(ends, lambda x: x < e[1])) + 2:]), []::BIGINT[])) ELSE 0 END / size::DOUBLE AS share FROM chains)
 SELECT doc_id, len(any_value(ws))::BIGINT AS n_words, count(*) FILTER (WHERE base AND share = 1) AS n_base, (min(diagonal) FILTER (WHERE base AND share = 1))::BIGINT AS first_word, (max(diagonal) FILTER (WHERE base AND share = 1))::BIGINT AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base AND share = 1), '') AS base_labels,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE share >= {licenses.LEAST_SHARE} AND (NOT base OR share = 1)), '') AS labels,

@@ -1,8 +1,9 @@
 """License scan by diagonal voting.
 
 Every rolling k-gram of words of every document is joined, by its hash, to the places where the same k-gram stands in a template. A hit
-votes for the diagonal (place in the document less place in the template). Votes are checked word for word, counted by
-document, template and diagonal, and runs of neighbouring diagonals are merged, which bridges inserted or missing words.
+votes for the diagonal (place in the document less place in the template). Votes are checked word for word and gathered by
+document, template and diagonal. Neighbouring diagonals, at most DRIFT apart in all, are merged, which bridges inserted or missing
+words, and a merged span is verified: what counts is the words that stand in the template's order.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import buffers, text_chunks
@@ -19,7 +20,7 @@ from .grams import FOLDED_ASCII, word_grams
 
 #: Words in a k-gram. The shortest template has two.
 GRAM = 2
-#: Diagonals this close belong to one place in templates of LONG words or more (in shorter ones, one word more or less is another
+#: Diagonals of a place are at most this far apart, all together, in templates of LONG words or more (in shorter ones, one word more or less is another
 #: license); the share of a notice's words that must be found.
 DRIFT, LONG, LEAST_SHARE = 3, 10, 0.9
 #: The phrases of the base rule and their labels.
@@ -59,12 +60,27 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
     return spark.createDataFrame(rows, "gram long, template int, place int, words string, size int, label string, base boolean")
 
 
+def _in_order(merged: str) -> Column:
+    """How many of a template's words stand in their order in a span: the longest chain of matched words that rises both in template and document.
+
+    Words by template place (the last in the document first) are folded into the least ends of chains of each length.
+    """
+    words = F.flatten(F.transform(merged, lambda d: F.flatten(F.transform(d["places"], lambda p: F.transform(F.sequence(p, p + GRAM - 1), lambda w: F.struct(w.alias("word"), (-(d["diagonal"] + w)).alias("at")))))))
+
+    def longer(ends: Column, word: Column) -> Column:
+        at = -word["at"]
+        below = F.filter(ends, lambda e: e < at)
+        return F.concat(below, F.array(at), F.slice(ends, F.size(below) + 2, F.size(ends)))
+
+    return F.size(F.aggregate(F.array_sort(F.array_distinct(words)), F.array().cast("array<bigint>"), longer))
+
+
 def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phrases: dict[str, str] = BASE_PHRASES, notices: dict[str, str] = NOTICES) -> DataFrame:
     """One row per row of docs: key, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base counts all places where a base phrase's words stand one after another; first_word and last_word are the
     least and greatest of their starts (null if none). labels adds those of notices of which LEAST_SHARE of the words or
-    more are found on neighbouring diagonals. score is the best share found of any template. Phrases have GRAM words
+    more are found in order on neighbouring diagonals. score is the best share found of any template. Phrases have GRAM words
     or more. Null and empty texts have no words. Null and repeated keys stay rows of their own; other columns are dropped.
     """
     key_type = docs.schema[key].dataType.simpleString()
@@ -95,15 +111,15 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", phra
     hits = hits.select("r", "k", "n_words", "template", "place", "size", "label", "base", (F.col("at") - 1 - F.col("place")).cast("long").alias("diagonal"), F.when(F.col("template") < 0, F.lit(True)).otherwise(said == F.col("words")).alias("same"))
     votes = hits.where("same").drop("same").repartition("r")
 
-    # base phrases: a place needs all its votes on one diagonal
-    along = Window.partitionBy("r", "template").orderBy("diagonal", "place")
-    apart = F.col("diagonal") - F.lag("diagonal").over(along) > F.when(F.col("size") < LONG, 0).otherwise(DRIFT)
-    runs = votes.withColumn("run", F.sum(F.coalesce(apart.cast("int"), F.lit(0))).over(along))
-    spans = runs.groupBy("r", "template", "run", "k", "n_words", "size", "label", "base").agg(
-        F.collect_set("place").alias("places"), F.min("diagonal").alias("diagonal"),
-    )
-    found = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + GRAM - 1)))))
-    spans = spans.withColumn("share", F.when(F.col("size") > 0, found / F.col("size")).otherwise(0.0))
+    # votes by diagonal, and for long templates those of the diagonals within DRIFT after it
+    by = ["r", "template", "k", "n_words", "size", "label", "base"]
+    lines = votes.groupBy(*by, "diagonal").agg(F.collect_set("place").alias("places"))
+    near = Window.partitionBy("r", "template").orderBy("diagonal").rangeBetween(0, DRIFT)
+    own = F.struct("diagonal", "places")
+    spans = lines.withColumn("merged", F.when(F.col("size") < LONG, F.array(own)).otherwise(F.collect_list(own).over(near)))
+    covered = F.size(F.array_distinct(F.flatten(F.transform(F.flatten("merged.places"), lambda p: F.sequence(p, p + GRAM - 1)))))
+    spans = spans.withColumn("found", F.when(covered >= F.col("size") * LEAST_SHARE, _in_order("merged")).otherwise(0))
+    spans = spans.withColumn("share", F.when(F.col("size") > 0, F.col("found") / F.col("size")).otherwise(0.0))
     is_base = F.col("base") & (F.col("share") == 1)
     labelled = (F.col("share") >= LEAST_SHARE) & (F.col("template") >= 0) & (~F.col("base") | is_base)
     joined = lambda x: F.array_join(F.array_sort(F.collect_set(x)), ",")
