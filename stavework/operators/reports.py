@@ -15,6 +15,43 @@ def batch_statistics(results: DataFrame) -> DataFrame:
     )
 
 
+#: What a word in an error message says about its kind, in this order.
+ERRORS = {"corrupt": "corrupted_file", "memory": "memory_error", "token": "tokenization_error"}
+
+
+def coordinator_statistics(results: DataFrame, most: int = 10) -> DataFrame:
+    """By batch, over results of files (status, overall_score, tokens, strategy, issues, error_message, seconds): counts by status, quality of completed
+    files and its buckets, tokens, times, and as text in order: error kinds of failed files, success rate by strategy, and the most frequent issues.
+
+    A score of 0 is no quality. Of each completed file the first two issues count. Kinds, strategies and issues are counted in long form, one
+    row each, and only these counts come together by batch. Issues as frequent as others go by name.
+    """
+    done, bad = F.col("status") == "completed", F.col("status") == "failed"
+    q = F.when(done & (F.col("overall_score") > 0), F.col("overall_score"))
+    counts = results.groupBy("batch_id").agg(
+        F.count("*").alias("files"), F.count_if(done).alias("completed"), F.count_if(bad).alias("failed"), F.count_if(~F.coalesce(done | bad, F.lit(False))).alias("skipped"),
+        F.round(F.avg(q), 6).alias("avg_quality"), F.min(q).alias("min_quality"), F.max(q).alias("max_quality"),
+        F.count_if(q >= 0.95).alias("excellent"), F.count_if((q >= 0.9) & (q < 0.95)).alias("good"), F.count_if((q >= 0.8) & (q < 0.9)).alias("fair"), F.count_if(q < 0.8).alias("poor"),
+        F.sum(F.when(done, F.col("tokens"))).alias("tokens"), F.avg(F.when(done, F.col("tokens"))).alias("avg_tokens"), F.sum("seconds").alias("seconds"), F.avg("seconds").alias("avg_seconds"),
+    )
+    kind = F.lit("other")
+    for word, name in reversed(ERRORS.items()):
+        kind = F.when(F.lower("error_message").contains(word), name).otherwise(kind)
+    none = F.lit(None).cast("string")
+    said = F.array_compact(F.concat(
+        F.array(F.when(bad & F.col("error_message").isNotNull(), F.struct(F.lit("error").alias("what"), kind.alias("name"), F.lit(1).alias("good")))),
+        F.array(F.when(done, F.struct(F.lit("strategy").alias("what"), F.coalesce("strategy", F.lit("unknown")).alias("name"), F.col("success").cast("int").alias("good")))),
+        F.transform(F.when(done, F.slice("issues", 1, 2)).otherwise(F.array(none)), lambda x: F.when(x.isNotNull(), F.struct(F.lit("issue").alias("what"), x.alias("name"), F.lit(1).alias("good")))),
+    ))
+    long = results.select("batch_id", F.explode(said).alias("s")).groupBy("batch_id", "s.what", "s.name").agg(F.count("*").alias("n"), F.avg("s.good").alias("rate"))
+    place = F.row_number().over(Window.partitionBy("batch_id", "what").orderBy(F.desc("n"), "name"))
+    line = F.concat("name", F.lit("="), F.when(F.col("what") == "strategy", F.format_number("rate", 4)).otherwise(F.col("n").cast("string")))
+    kept = long.withColumn("place", place).where((F.col("what") != "issue") | (F.col("place") <= most)).withColumn("key", F.when(F.col("what") == "issue", F.lpad(F.col("place").cast("string"), 6, "0")).otherwise(F.col("name")))
+    of = lambda what: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct("key", line.alias("line"))))), lambda x: x["line"]), ",")
+    texts = kept.groupBy("batch_id").agg(of("error").alias("error_kinds"), of("strategy").alias("strategies"), of("issue").alias("top_issues"))
+    return counts.join(texts, "batch_id", "left").na.fill("", ["error_kinds", "strategies", "top_issues"])
+
+
 def merged(batches: DataFrame) -> DataFrame:
     """Statistics of all batches from their partial ones: sums, and quality weighted by successes."""
     n = F.col("successful")

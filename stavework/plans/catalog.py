@@ -154,7 +154,25 @@ add("MUS04", "notes recon", compare.syncopation_kept, "SELECT song_id, round(a.x
 
 # reports and score tables
 BATCH = "bt AS (SELECT batch_id, count(*) AS files, count(CASE WHEN success THEN 1 END) AS successful, round(avg(CASE WHEN success THEN 1.0 ELSE 0 END), 6) AS success_rate, round(avg(q), 6) AS avg_quality, round(min(q), 6) AS min_quality, round(max(q), 6) AS max_quality, count(CASE WHEN q >= 0.95 THEN 1 END) AS excellent, count(CASE WHEN q >= 0.9 AND q < 0.95 THEN 1 END) AS good, count(CASE WHEN q >= 0.8 AND q < 0.9 THEN 1 END) AS fair, count(CASE WHEN q < 0.8 THEN 1 END) AS poor, CAST(sum(seconds) AS BIGINT) AS total_seconds FROM (SELECT *, CASE WHEN success THEN overall_score END AS q FROM results) r GROUP BY 1)"
-add("AGG14", "results", reports.batch_statistics, f", {BATCH} SELECT * FROM bt")
+#: What the results table lacks, by file number, in text that both engines read.
+RESULT = [
+    "*", "CASE WHEN file_id % 11 = 0 THEN 'skipped' WHEN success THEN 'completed' ELSE 'failed' END AS status", "CAST(100 + file_id % 900 AS BIGINT) AS tokens", "CASE file_id % 3 WHEN 0 THEN 'REMI' WHEN 1 THEN 'TSD' END AS strategy",
+    "CASE WHEN file_id % 5 > 0 THEN concat('issue ', file_id % 13) END AS first_issue", "CASE WHEN file_id % 5 > 1 THEN concat('issue ', file_id % 7) END AS second_issue",
+]
+COORDINATOR = f""", r AS (SELECT {", ".join(RESULT)} FROM results), x AS (SELECT *, CASE WHEN status = 'completed' AND overall_score > 0 THEN overall_score END AS q FROM r),
+c AS (
+  SELECT batch_id, count(*) AS files, count_if(status = 'completed') AS completed, count_if(status = 'failed') AS failed, count_if(status = 'skipped') AS skipped, round(avg(q), 6) AS avg_quality, min(q) AS min_quality, max(q) AS max_quality,
+    count_if(q >= 0.95) AS excellent, count_if(q >= 0.9 AND q < 0.95) AS good, count_if(q >= 0.8 AND q < 0.9) AS fair, count_if(q < 0.8) AS poor, sum(tokens) FILTER (status = 'completed') AS tokens, avg(tokens) FILTER (status = 'completed') AS avg_tokens,
+    sum(seconds) AS seconds, avg(seconds) AS avg_seconds FROM x GROUP BY 1),
+e AS (SELECT batch_id, string_agg(k || '=' || n, ',' ORDER BY k) AS error_kinds FROM (
+  SELECT batch_id, CASE WHEN contains(lower(error_message), 'corrupt') THEN 'corrupted_file' WHEN contains(lower(error_message), 'memory') THEN 'memory_error' WHEN contains(lower(error_message), 'token') THEN 'tokenization_error' ELSE 'other' END AS k, count(*) AS n
+  FROM r WHERE status = 'failed' AND error_message IS NOT NULL GROUP BY 1, 2) k GROUP BY 1),
+s AS (SELECT batch_id, string_agg(k || '=' || format('{{:.4f}}', v), ',' ORDER BY k) AS strategies FROM (SELECT batch_id, coalesce(strategy, 'unknown') AS k, avg(success::INT) AS v FROM r WHERE status = 'completed' GROUP BY 1, 2) k GROUP BY 1),
+i AS (SELECT batch_id, string_agg(k || '=' || n, ',' ORDER BY p) AS top_issues FROM (
+  SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY n DESC, k) AS p FROM (
+    SELECT batch_id, k, count(*) AS n FROM (SELECT batch_id, unnest([first_issue, second_issue]) AS k FROM r WHERE status = 'completed') u WHERE k IS NOT NULL GROUP BY 1, 2) g) k WHERE p <= 10 GROUP BY 1)
+SELECT c.*, coalesce(error_kinds, '') AS error_kinds, coalesce(strategies, '') AS strategies, coalesce(top_issues, '') AS top_issues FROM c LEFT JOIN e USING (batch_id) LEFT JOIN s USING (batch_id) LEFT JOIN i USING (batch_id)"""
+add("AGG14", "results", lambda r: reports.coordinator_statistics(r.selectExpr(*RESULT).withColumn("issues", F.array_compact(F.array("first_issue", "second_issue")))), COORDINATOR)
 add("AGG15", "results", lambda r: reports.merged(reports.batch_statistics(r)), f", {BATCH} SELECT CAST(sum(files) AS BIGINT) AS files, CAST(sum(successful) AS BIGINT) AS successful, round(sum(avg_quality * successful) / sum(successful), 4) AS avg_quality, min(min_quality) AS min_quality, max(max_quality) AS max_quality FROM bt")
 add("AGG17", "results", reports.dashboard, "SELECT round(h, 4) AS health, CASE WHEN h >= 90 THEN 'excellent' WHEN h >= 75 THEN 'good' WHEN h >= 60 THEN 'fair' ELSE 'poor' END AS status FROM (SELECT 40 * avg(q) + 40 * avg(CASE WHEN success THEN 1.0 ELSE 0 END) + 20 * (1 - least(coalesce(stddev_samp(q), 0), 0.3) / 0.3) AS h FROM (SELECT *, CASE WHEN success THEN overall_score END AS q FROM results) r) x")
 add("AGG18", "results", lambda r: reports.quality_trend(reports.batch_statistics(r)), f", {BATCH} SELECT round((b - a) / a * 100, 4) AS change_rate, CASE WHEN (b - a) / a * 100 > 5 THEN 'improving' WHEN (b - a) / a * 100 < -5 THEN 'declining' ELSE 'stable' END AS direction FROM (SELECT avg(CASE WHEN k <= floor(al / 2) THEN avg_quality END) AS a, avg(CASE WHEN k > floor(al / 2) THEN avg_quality END) AS b FROM (SELECT avg_quality, row_number() OVER (ORDER BY batch_id) AS k, count(*) OVER () AS al FROM bt WHERE avg_quality > 0) o) x")

@@ -48,8 +48,19 @@ register("SCA26", lambda spark, sf: flat(documents(spark, sf)), with_views(NEEDS
 register("SNK01", lambda spark, sf: flat(d.read_documents(spark, written(spark, sf))), with_views(NEEDS, FLAT))
 register("SRC01", lambda spark, sf: flat(d.read_documents(spark, written(spark, sf, False))), with_views(NEEDS, FLAT))
 register("FIL01", lambda spark, sf: d.schema_issues(documents(spark, sf)).select("source_file", F.array_join("issues", ",").alias("issues"), "valid"), with_views("songs", "SELECT concat(song_id, '.mid') AS source_file, CASE WHEN key_signature IS NULL THEN 'missing metadata.key_signature' ELSE '' END AS issues, key_signature IS NOT NULL AS valid FROM songs"))
-register("SRC02", lambda spark, sf: d.files(spark, written(spark, sf)).select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes"), None)
-register("SRC03", lambda spark, sf: d.file_facts(spark, written(spark, sf), "*.json*"), None)
+
+
+def each(spark: SparkSession, sf_dir: str) -> str:
+    """Every song's title in a file of its own."""
+    path = scratch(spark)
+    d.write_each(view(spark, sf_dir, "songs").select(F.concat(F.lit("song-"), "song_id", F.lit(".json")).alias("name"), F.expr(CONTENT).alias("text")), path)
+    return path
+
+
+CONTENT = """'{"song_id":' || song_id || ',"title":"' || title || '"}'"""
+FILES = f"(SELECT concat('song-', song_id, '.json') AS name, {CONTENT} || chr(10) AS content FROM songs) f"
+register("SRC02", lambda spark, sf: d.files(spark, each(spark, sf), "part-*").select("name", "bytes"), with_views("songs", f"SELECT name, strlen(content) AS bytes FROM {FILES}"))
+register("SRC03", lambda spark, sf: d.file_facts(spark, each(spark, sf), "part-*", 36e-6).drop("path"), with_views("songs", f"SELECT name, strlen(content) / 1048576 AS mb, md5(content) AS md5, CASE WHEN strlen(content) / 1048576 > 36e-6 THEN 'chunk' ELSE 'whole' END AS verdict FROM {FILES}"))
 add("SRC05", "files", lambda f: d.corpus_listing(f, F.col("name"), F.length("name") * 1000), "SELECT count_if(song_id % 3 = 0) AS originals, count_if(song_id % 3 <> 0) AS copies, round(sum(length(name) * 1000) / 1048576.0, 6)::DOUBLE AS mb, count_if(song_id % 3 = 0) * 12 AS potential FROM files")
 add("SNK05", "files", lambda f: d.without_augmented(f).select("song_id", "name"), "SELECT song_id, name FROM files WHERE name NOT LIKE '%-transpose%'")
 add("SNK04", "files", lambda f: d.not_yet_written(f.select("song_id", F.explode(F.array(F.lit(-1), F.lit(1), F.lit(2))).alias("offset")), f.where("song_id % 3 = 1").select("song_id", F.lit(2).alias("offset")), ["song_id", "offset"]), 'SELECT song_id, o AS "offset" FROM files, (SELECT unnest([-1, 1, 2]) AS o) x WHERE NOT (song_id % 3 = 1 AND o = 2)')

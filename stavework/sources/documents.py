@@ -55,17 +55,31 @@ def schema_issues(docs: DataFrame) -> DataFrame:
     return docs.select("source_file", F.array_compact(F.array(*rules)).alias("issues")).withColumn("valid", F.size("issues") == 0)
 
 
+def write_each(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+    """One text file a document, in a folder of its name (name=...): its file's own name is Spark's, its content the text and a newline.
+
+    Documents are dealt by name, so a task writes whole files; repeated names share a file, one line each.
+    """
+    docs.select(F.col(name).alias("name"), F.col(text).alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """name: that of the folder that write_each made, else the file's own."""
+    folder = F.regexp_extract("path", "/name=([^/]*)/[^/]*$", 1)
+    return found.withColumn("name", F.when(folder != "", folder).otherwise(F.element_at(F.split("path", "/"), -1)))
+
+
 def files(spark: SparkSession, path: str, pattern: str = "*.json*", recursive: bool = True) -> DataFrame:
-    """Files below a folder whose names fit a pattern: path and size. Contents are not read."""
+    """Files below a folder whose own names fit a pattern: path, size and name. Contents are not read."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive).load(path)
-    return found.select("path", F.col("length").alias("bytes"))
+    return _named(found).select("path", F.col("length").alias("bytes"), "name")
 
 
 def file_facts(spark: SparkSession, path: str, pattern: str = "*", large_mb: float = LARGE_MB) -> DataFrame:
     """Size in MB, MD5 of the bytes and what to do with each file."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     mb = F.col("length") / (1024 * 1024)
-    return found.select("path", F.round(mb, 6).alias("mb"), F.md5("content").alias("md5"), F.when(mb > large_mb, "chunk").otherwise("whole").alias("verdict"))
+    return _named(found).select("path", "name", mb.alias("mb"), F.md5("content").alias("md5"), F.when(mb > large_mb, "chunk").otherwise("whole").alias("verdict"))
 
 
 def corpus_listing(listing: DataFrame, name: Column, size: Column) -> DataFrame:
@@ -74,16 +88,22 @@ def corpus_listing(listing: DataFrame, name: Column, size: Column) -> DataFrame:
     return listing.agg(F.count_if(~copy).alias("originals"), F.count_if(copy).alias("copies"), F.round(F.sum(size) / (1024 * 1024), 6).alias("mb"), (F.count_if(~copy) * FACTOR).alias("potential"))
 
 
-def write_manifest(splits: DataFrame, path: str, name: str = "name") -> None:
-    """The manifest (one JSON row with three sorted lists) and one list a split (split=.../). The lists are the names of files, which the manifest holds by its nature."""
-    lists = {s: F.sort_array(F.collect_list(F.when(F.col("split") == s, F.col(name)))).alias(s) for s in ("train", "val", "test")}
-    splits.agg(*lists.values()).write.mode("overwrite").json(f"{path}/manifest")
+def write_manifest(splits: DataFrame, path: str, name: str = "name", single: bool = False) -> None:
+    """The manifest (JSON rows of split and name) and one list a split (split=.../). With single, also one JSON row of three sorted
+    lists, as small corpora are exchanged: it holds every name in one task, about 50 bytes each, so up to some ten million."""
+    rows = splits.select("split", F.col(name).alias("name"))
+    rows.write.mode("overwrite").json(f"{path}/manifest")
     splits.select(name, "split").write.mode("overwrite").partitionBy("split").text(f"{path}/lists")
+    if single:
+        lists = {s: F.sort_array(F.collect_list(F.when(F.col("split") == s, F.col("name")))).alias(s) for s in ("train", "val", "test")}
+        rows.agg(*lists.values()).write.mode("overwrite").json(f"{path}/single")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """split and name of every file of a manifest."""
-    m = spark.read.schema(MANIFEST).json(f"{path}/manifest")
+def read_manifest(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
+    """split and name of every file of a manifest, from its rows or from its single one."""
+    if not single:
+        return spark.read.schema("split string, name string").json(f"{path}/manifest")
+    m = spark.read.schema(MANIFEST).json(f"{path}/single")
     return m.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, ("train", "val", "test"))), F.array("train", "val", "test"))).alias("split", "names")).select("split", F.explode("names").alias("name"))
 
 
