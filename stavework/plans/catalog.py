@@ -147,7 +147,7 @@ add("WIN02", "notes", compare.intervals, "SELECT song_id, step, gap FROM (SELECT
 add("WIN03", "notes", compare.interval_histogram, "SELECT song_id, interval, count(*) AS count FROM (SELECT song_id, abs(pitch - lag(pitch) OVER (PARTITION BY song_id, track_idx ORDER BY start_tick, pitch)) AS interval FROM notes) x WHERE interval IS NOT NULL GROUP BY 1, 2")
 HIST = "hs AS (SELECT song_id, v AS value, count(CASE WHEN s = 0 THEN 1 END) AS original, count(CASE WHEN s = 1 THEN 1 END) AS reconstructed FROM (SELECT song_id, {v} AS v, 0 AS s FROM notes UNION ALL SELECT song_id, {v}, 1 FROM recon) u GROUP BY 1, 2)"
 PAIRS = "pr AS (SELECT a.song_id, a.pitch AS pa, b.pitch AS pb, a.velocity AS va, b.velocity AS vb, a.start_tick AS sa, b.start_tick AS sb, a.end_tick - a.start_tick AS da, b.end_tick - b.start_tick AS db FROM (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM notes) a JOIN (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY start_tick, pitch, track_idx, end_tick, velocity) AS k FROM recon) b ON a.song_id = b.song_id AND a.k = b.k)"
-add("JOI10", "notes recon", compare.paired, f", {PAIRS.replace('SELECT a.song_id', 'SELECT a.song_id, a.k')} SELECT song_id, CAST(k AS INT) AS n, sa AS start_tick_a, pa AS pitch_a, va AS velocity_a, sb AS start_tick_b, pb AS pitch_b, vb AS velocity_b FROM pr")
+add("JOI10", "notes recon", compare.paired, f", {PAIRS.replace('SELECT a.song_id', 'SELECT a.song_id, a.k')} SELECT song_id, CAST(k AS INT) AS n, sa AS start_tick_a, sa + da AS end_tick_a, pa AS pitch_a, va AS velocity_a, sb AS start_tick_b, sb + db AS end_tick_b, pb AS pitch_b, vb AS velocity_b FROM pr")
 SIDES = "FROM (SELECT song_id, {f} FROM notes GROUP BY 1) a JOIN (SELECT song_id, {f} FROM recon GROUP BY 1) b USING (song_id)"
 add("MUS02", "notes recon", compare.pitch_range_kept, "SELECT song_id, abs(a.lo - b.lo) <= 2 AND abs(a.hi - b.hi) <= 2 AS range_kept, round(b.mn - a.mn, 6) AS shift " + SIDES.format(f="min(pitch) AS lo, max(pitch) AS hi, avg(pitch) AS mn"))
 add("MUS04", "notes recon", compare.syncopation_kept, "SELECT song_id, round(a.x, 6) AS original, round(b.x, 6) AS reconstructed, abs(a.x - b.x) < 0.2 AS kept " + SIDES.format(f="avg(CASE WHEN start_tick % 480 <> 0 THEN 1.0 ELSE 0 END) AS x"))
