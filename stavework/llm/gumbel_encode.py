@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,22 +24,28 @@ from pyspark.sql import functions as F
 from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
-#: Arcs that a worker remembers: beyond them the store is emptied before it learns more. It bounds memory, not results.
+#: Arcs that a worker remembers: beyond them it forgets all units but those met in most batches, at most half of the store, before it
+#: learns more. It bounds memory, not results.
 STORE = 2_500_000
 _WALK, _SETS, _REST, _CHOICE = 1, 2, 3, 4
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the spans, one span after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
 class Lattices:
     """Lattices of units with arcs' probabilities given their start node."""
 
     def __init__(self, model: bytes, alpha: float, store: int = STORE) -> None:
         self.vocabulary, self.alpha, self.store = Vocabulary(model), alpha, store
-        self.clear()
-
-    def clear(self) -> None:
         self.base: dict[str, int] = {}
         self.n_nodes = self.n_arcs = 0
-        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("target", np.int32), ("logp", np.float64), ("leave", np.float32), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
+        # of nodes (length and batches met are those of the unit that starts there)
+        self.arrays = {k: np.zeros(1 << 16, t) for k, t in (("head", np.int32), ("degree", np.int16), ("length", np.int32), ("met", np.int32))}
+        # of arcs
+        self.arrays |= {k: np.zeros(1 << 16, t) for k, t in (("target", np.int32), ("logp", np.float64), ("leave", np.float32), ("cum", np.float32), ("id", np.int32), ("source", np.int32))}
 
     def _put(self, name: str, at: int, values: np.ndarray) -> None:
         a = self.arrays[name]
@@ -92,6 +99,10 @@ class Lattices:
                 leave[likely] = second + np.log(np.add.reduceat(np.exp(others - np.repeat(second, size)), begins))
         self._put("head", self.n_nodes, head + self.n_arcs)
         self._put("degree", self.n_nodes, degree)
+        length = np.zeros(nodes, np.int64)
+        length[first] = a["size"]
+        self._put("length", self.n_nodes, length)
+        self._put("met", self.n_nodes, np.zeros(nodes, np.int64))
         self._put("target", self.n_arcs, end + self.n_nodes)
         self._put("source", self.n_arcs, start + self.n_nodes)
         for name, values in (("logp", np.minimum(logp, 0)), ("leave", np.minimum(leave, 0)), ("cum", cum), ("id", ids)):
@@ -100,13 +111,47 @@ class Lattices:
         self.n_nodes += nodes
         self.n_arcs += len(start)
 
-    def learn(self, units: set[str]) -> None:
-        new = units - self.base.keys()
-        if new and self.n_arcs > self.store:
-            self.clear()
-            new = units
-        if new:
-            self.add(list(new))
+    def nodes_of(self, units: list[str]) -> np.ndarray:
+        """The start node of each unit; units not yet known are learned."""
+        at = self._look(units)
+        missing = np.flatnonzero(at < 0)
+        if len(missing) and self.n_arcs > self.store:
+            self.forget()
+            at = self._look(units)
+            missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [units[i] for i in missing.tolist()]
+            self.add(list(dict.fromkeys(new)))
+            at[missing] = self._look(new)
+        self.arrays["met"][at] += 1  # once a batch, however often a unit stands in it
+        return at
+
+    def _look(self, units: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.base.get, units, repeat(-1)), np.int64, len(units))
+
+    def forget(self) -> None:
+        """Keeps the units met in most batches, in two at least, as far as half of the store holds their arcs."""
+        a, units = self.arrays, list(self.base)
+        first = self._look(units)
+        arcs = np.add.reduceat(a["degree"][: self.n_nodes], first, dtype=np.int64)
+        often = np.argsort(-a["met"][first], kind="stable")
+        often = often[(np.cumsum(arcs[often]) <= self.store // 2) & (a["met"][first[often]] > 1)]
+        often.sort()
+        nodes = _spans(first[often], a["length"][first[often]] + 1)
+        degree = a["degree"][nodes].astype(np.int64)
+        kept = _spans(a["head"][nodes].astype(np.int64), degree)
+        place = np.zeros(self.n_nodes, np.int32)
+        place[nodes] = np.arange(len(nodes))
+        for name in ("logp", "leave", "cum", "id"):
+            a[name][: len(kept)] = a[name][kept]
+        for name in ("target", "source"):
+            a[name][: len(kept)] = place[a[name][kept]]
+        for name in ("degree", "length"):
+            a[name][: len(nodes)] = a[name][nodes]
+        a["head"][: len(nodes)] = np.cumsum(degree) - degree
+        a["met"][: len(nodes)] = a["met"][nodes] // 2
+        self.base = dict(zip([units[i] for i in often.tolist()], place[first[often]].tolist(), strict=True))
+        self.n_nodes, self.n_arcs = len(nodes), len(kept)
 
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to the end of its unit by random arcs: the arcs in order, and the row that each belongs to.
@@ -163,12 +208,11 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
     """For each text up to k segmentations in descending perturbed score: (arcs, log probability, perturbed score,
     log inclusion score), fewer where the lattice has fewer paths. keys: uint64 for each text."""
     rows = [lattices.vocabulary.units_of(t) for t in texts]
-    lattices.learn(set().union(*rows))
     per_text = np.fromiter(map(len, rows), np.int64, len(rows))
     text_end = np.cumsum(per_text)
     flat = [u for r in rows for u in r]
-    base = np.fromiter(map(lattices.base.__getitem__, flat), np.int64, len(flat))
-    chars = np.fromiter(map(len, flat), np.int64, len(flat))
+    base = lattices.nodes_of(flat)
+    chars = lattices.arrays["length"][base].astype(np.int64)
     text_of = np.repeat(np.arange(len(rows)), per_text)
     place = np.cumsum(chars) - chars
     place -= np.repeat(place[(text_end - per_text)[per_text > 0]], per_text[per_text > 0])
@@ -306,10 +350,10 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
             ids = [token_ids(lattices, x[2]) for x in flat]
             sizes = np.fromiter(map(len, ids), np.int64, len(ids))
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32)))
+            decoded_texts = lattices.vocabulary.decode_lists(lists)
             marks = [t.count(MARK) for t in texts]
             digests, same = [], []
-            for (i, *_), row in zip(flat, ids, strict=True):
-                decoded = lattices.vocabulary.decode(row)
+            for (i, *_), decoded in zip(flat, decoded_texts, strict=True):
                 same.append(decoded == texts[i])
                 digests.append(hashlib.sha256(decoded.encode()).hexdigest())
             back = [pa.array(digests, pa.string()), pa.array(same, pa.bool_()), pa.array([marks[x[0]] for x in flat], pa.int64())]

@@ -10,10 +10,13 @@ newlines. Units recur, so each is worked out once per worker while it stays in a
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import chain
 
 import ahocorasick
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 
 from .common import mix64
@@ -183,5 +186,14 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         """The text of a row of token ids: marks become spaces, byte tokens bytes, the mark in front goes."""
-        out = b"".join(map(self.said.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        return self._text(b"".join(map(self.said.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)))
+
+    def decode_lists(self, lists: pa.ListArray) -> Iterator[str]:
+        """decode() of every list, one after another; the bytes are put together by Arrow."""
+        said = pa.array(self.said, pa.large_binary()).take(lists.flatten())
+        for row in pc.binary_join(pa.ListArray.from_arrays(lists.offsets, said), pa.scalar(b"", pa.large_binary())):
+            yield self._text(row.as_py())
+
+    @staticmethod
+    def _text(out: bytes) -> str:
         return out.decode("utf-8", errors="replace").replace(MARK, " ").removeprefix(" ")
