@@ -53,7 +53,8 @@ class Lattices:
             a = self.arrays[name] = np.concatenate([a[:at], np.zeros(at // 2 + 2 * len(values), a.dtype)])
         a[at : at + len(values)] = values
 
-    def add(self, units: list[str]) -> None:
+    def add(self, units: list[str]) -> np.ndarray:
+        """Learns distinct units and returns their start nodes."""
         a = self.vocabulary.arcs(units, automaton=False)
         first, size = a["first"], a["size"]
         left = np.repeat(first + size, size + 1)[a["start"]] - a["start"]
@@ -107,12 +108,14 @@ class Lattices:
         self._put("source", self.n_arcs, start + self.n_nodes)
         for name, values in (("logp", np.minimum(logp, 0)), ("leave", np.minimum(leave, 0)), ("cum", cum), ("id", ids)):
             self._put(name, self.n_arcs, values)
-        self.base.update(zip(units, (first + self.n_nodes).tolist(), strict=True))
+        first = first + self.n_nodes
+        self.base.update(zip(units, first.tolist(), strict=True))
         self.n_nodes += nodes
         self.n_arcs += len(start)
+        return first
 
     def nodes_of(self, units: list[str]) -> np.ndarray:
-        """The start node of each unit; units not yet known are learned."""
+        """The start node of each of a batch's distinct units; those not yet known are learned."""
         at = self._look(units)
         missing = np.flatnonzero(at < 0)
         if len(missing) and self.n_arcs > self.store:
@@ -121,9 +124,8 @@ class Lattices:
             missing = np.flatnonzero(at < 0)
         if len(missing):
             new = [units[i] for i in missing.tolist()]
-            self.add(list(dict.fromkeys(new)))
-            at[missing] = self._look(new)
-        self.arrays["met"][at] += 1  # once a batch, however often a unit stands in it
+            at[missing] = self.add(new)
+        self.arrays["met"][at] += 1
         return at
 
     def _look(self, units: list[str]) -> np.ndarray:
@@ -207,13 +209,11 @@ class _Path:
 def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k segmentations in descending perturbed score: (arcs, log probability, perturbed score,
     log inclusion score), fewer where the lattice has fewer paths. keys: uint64 for each text."""
-    rows = [lattices.vocabulary.units_of(t) for t in texts]
-    per_text = np.fromiter(map(len, rows), np.int64, len(rows))
+    codes, units, per_text = lattices.vocabulary.coded_units(texts)
     text_end = np.cumsum(per_text)
-    flat = [u for r in rows for u in r]
-    base = lattices.nodes_of(flat)
+    base = lattices.nodes_of(units)[codes]
     chars = lattices.arrays["length"][base].astype(np.int64)
-    text_of = np.repeat(np.arange(len(rows)), per_text)
+    text_of = np.repeat(np.arange(len(texts)), per_text)
     place = np.cumsum(chars) - chars
     place -= np.repeat(place[(text_end - per_text)[per_text > 0]], per_text[per_text > 0])
     logp, target, degree = lattices.arrays["logp"], lattices.arrays["target"], lattices.arrays["degree"]
@@ -228,7 +228,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
 
     arcs, unit = lattices.walk(base, noise(_WALK, 0)[text_of], place)
     text = text_of[unit]
-    count = np.bincount(text, minlength=len(rows))
+    count = np.bincount(text, minlength=len(texts))
     ends = np.cumsum(count)
     sums = np.cumsum(logp[arcs], dtype=np.float64)
     start = np.repeat(np.where(ends > count, np.r_[0.0, sums][ends - count], 0.0), count)
@@ -237,7 +237,7 @@ def sample_texts(texts: list[str | None], keys: np.ndarray, lattices: Lattices,
     bound = bounds(arcs, before, root[text], noise(_SETS, 0)[text], spot)
     paths = [[_Path(arcs[e - c : e], unit[e - c : e], logp[arcs[e - c : e]], bound[e - c : e])] for e, c in zip(ends.tolist(), count.tolist(), strict=True)]
     scores = [[float(g)] for g in root]
-    kappa = np.full(len(rows), -np.inf)
+    kappa = np.full(len(texts), -np.inf)
 
     def best(own: list[_Path]) -> tuple[float, _Path | None, int]:
         top, path, i = -np.inf, None, -1

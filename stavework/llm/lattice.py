@@ -90,6 +90,33 @@ class Vocabulary:
     def units_of(self, text: str | None) -> list[str]:
         return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def coded_units(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The units of all texts as places in a list of distinct units, that list, and how many units each text has.
+
+        Where units end at marks and newlines only, these are looked for in the texts' bytes (with a space for each mark), and
+        Arrow numbers the distinct ones; else the pattern finds them."""
+        if self.pattern is not UNITS:
+            rows = [self.units_of(t) for t in texts]
+            number: dict[str, int] = {}
+            codes = np.fromiter((number.setdefault(u, len(number)) for r in rows for u in r), np.int64)
+            return codes, list(number), np.fromiter(map(len, rows), np.int64, len(rows))
+        parts = [(" " + t.replace(MARK, " ")).encode() if t else b"" for t in texts]
+        size = np.fromiter(map(len, parts), np.int64, len(parts))
+        end = np.cumsum(size)
+        joined = b"".join(parts)
+        data = np.frombuffer(joined, np.uint8)
+        starts = data == 32
+        starts[1:] &= ~starts[:-1]  # of a run of spaces the first
+        newline = data == 10
+        starts |= newline
+        starts[1:] |= newline[:-1]
+        starts[(end - size)[size > 0]] = True
+        cuts = np.append(np.flatnonzero(starts), len(data))
+        units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(joined)).dictionary_encode()
+        distinct = pc.replace_substring(units.dictionary, " ", MARK).to_numpy(zero_copy_only=False).tolist()
+        per_text = np.searchsorted(cuts[:-1], end) - np.searchsorted(cuts[:-1], end - size)
+        return np.asarray(units.indices).astype(np.int64), distinct, per_text
+
     def _span_hashes(self, usable: list[int]) -> np.ndarray:
         points = np.frombuffer("".join(self.pieces[i] for i in usable).encode("utf-32-le"), np.uint32)
         end = np.cumsum(self.length[usable])
