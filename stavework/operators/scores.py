@@ -16,6 +16,10 @@ USE_CASES = {
     "research": (1.0, 0.5), "production": (0.98, 0.7), "education": (0.95, 1.0), "generation": (0.93, 1.2), "analysis": (0.96, 0.8), "archival": (0.99, 0.6), "real_time": (0.90, 1.5), "demo": (0.85, 2.0),
 }
 LEVELS = {"minimal": (1.05, 0.5), "simple": (1.02, 0.7), "moderate": (1.0, 1.0), "complex": (0.97, 1.3), "very_complex": (0.94, 1.6)}
+#: How strict genres are about timing, pitch and dynamics.
+GENRES = {
+    "classical": (1.2, 1.1, 1.3), "jazz": (0.8, 1.0, 1.1), "electronic": (1.5, 1.2, 0.9), "folk": (0.9, 0.95, 0.85), "orchestral": (1.1, 1.0, 1.4), "custom": (1.0, 1.0, 0.3),
+}
 #: The use case that suits a level of complexity.
 SUITED = {"minimal": "research", "simple": "archival", "moderate": "production", "complex": "generation", "very_complex": "real_time"}
 #: Least target accuracy of a use case, and the accuracy expected of it.
@@ -175,35 +179,75 @@ def strategy_advice(tracks: DataFrame, songs: DataFrame) -> DataFrame:
     return known(m).select("song_id", advice.alias("strategy"))
 
 
-def _by(table: dict[str, tuple[float, float]], key: Column, i: int) -> Column:
+def _by(table: dict[str, tuple[float, ...]], key: Column, i: int) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for name, pair in table.items() for x in (name, pair[i]))), key)
 
 
-def adaptive_thresholds(m: DataFrame, use_case: Column) -> DataFrame:
+def adaptive_thresholds(m: DataFrame, use_case: Column, genre: Column | None = None, custom: dict[str, float] | None = None) -> DataFrame:
     """Tolerances and least qualities for songs (columns of complexity()) under a use case: base values times its multipliers and those of the
-    level; tolerances in ticks and bins are cut to whole numbers after each, and all are held in range."""
+    level, then those of the genre; tolerances in ticks and bins are cut to whole numbers after each. custom overrides values by name. All
+    are held in range at the end.
+
+    genre: in any case; null and unknown ones change nothing. Names in custom that aren't thresholds are passed over.
+    """
     q, t = (_by(USE_CASES, use_case, i) for i in (0, 1))
     ql, tl = (_by(LEVELS, F.col("level"), i) for i in (0, 1))
-    whole = lambda base: F.floor(F.floor(base * t) * tl)
-    at_least_one = lambda x: F.greatest(F.lit(1).cast("long"), x.cast("long"))
+    known_genre = F.lower(F.lit(None).cast("string") if genre is None else genre)
+    timing, pitch, dynamics = (F.coalesce(_by(GENRES, known_genre, i), F.lit(1.0)) for i in range(3))
+    whole = lambda base, strict: F.floor(F.floor(F.floor(base * t) * tl) * (1.0 / strict)).cast("double")
+    one = F.lit(1.0)
+    ticks = {
+        "note_start_tick": whole(1, timing), "note_duration": F.floor(F.floor(2 * t) * tl) * F.when(F.col("rhythm") > 0.7, 1.5).otherwise(1.0), "velocity_bin": whole(1, dynamics),
+    }
+    ratios = {"missing_notes_ratio": 0.01 * t * tl, "extra_notes_ratio": 0.01 * t * tl}
+    qualities = {
+        "overall_quality": 0.95 * q * ql, "timing_accuracy": 0.98 * q * F.when(F.col("overall") > 0.9, 0.95).otherwise(one) * timing,
+        "velocity_accuracy": 0.95 * q * F.when(F.col("polyphony") > 5, 0.97).otherwise(one) * dynamics, "pitch_accuracy": 0.99 * q * pitch,
+        "musical_fidelity": 0.90 * q, "sequence_quality": 0.85 * q, "statistical_similarity": 0.85 * q,
+    }
+    asked = {name: F.lit(float(x)) for name, x in (custom or {}).items()}
     held = lambda x, low, high: F.greatest(F.lit(low), F.least(F.lit(high), x))
-    quality = lambda x, name: F.round(held(x, 0.5, 1.0), 6).alias(name)
-    return m.select(
-        "song_id", use_case.alias("use_case"), "level", "overall",
-        at_least_one(whole(1)).alias("note_start_tick"), F.greatest(F.lit(1.0), whole(2) * F.when(F.col("rhythm") > 0.7, 1.5).otherwise(1.0)).alias("note_duration"), at_least_one(whole(1)).alias("velocity_bin"),
-        F.round(held(0.01 * t * tl, 0.001, 0.5), 6).alias("missing_notes_ratio"), F.round(held(0.01 * t * tl, 0.001, 0.5), 6).alias("extra_notes_ratio"), F.round(t, 6).alias("tempo_bpm_diff"),
-        quality(0.95 * q * ql, "overall_quality"), quality(0.98 * q * F.when(F.col("overall") > 0.9, 0.95).otherwise(1.0), "timing_accuracy"), quality(0.95 * q * F.when(F.col("polyphony") > 5, 0.97).otherwise(1.0), "velocity_accuracy"),
-        quality(0.99 * q, "pitch_accuracy"), quality(0.90 * q, "musical_fidelity"), quality(0.85 * q, "sequence_quality"), quality(0.85 * q, "statistical_similarity"),
-    )
+    out = {name: F.greatest(one, asked.get(name, x)) for name, x in ticks.items()}
+    out |= {name: F.round(held(asked.get(name, x), 0.001, 0.5), 6) for name, x in ratios.items()}
+    out["tempo_bpm_diff"] = F.round(asked.get("tempo_bpm_diff", t), 6)
+    out |= {name: F.round(held(asked.get(name, x), 0.5, 1.0), 6) for name, x in qualities.items()}
+    for name in ("note_start_tick", "velocity_bin"):
+        if name not in asked:
+            out[name] = out[name].cast("long")
+    return m.select("song_id", use_case.alias("use_case"), "level", "overall", *(x.alias(name) for name, x in out.items()))
 
 
 def recommended_thresholds(m: DataFrame, target: float) -> DataFrame:
     """The use case that suits a target accuracy of 0 to 1, some of its thresholds, how sure that is, and warnings."""
+    return _recommended(m, target).select("song_id", "use_case", "note_duration", "overall_quality", "confidence", "warnings")
+
+
+def _recommended(m: DataFrame, target: float) -> DataFrame:
     name, expected = next((n, e) for n, least, e in TARGETS if target >= least)
     c = F.col("overall")
     sure = F.when(c > 0.8, 0.85).when(c < 0.2, 0.95).otherwise(1.0) * (1 - abs(target - expected)) * F.when((c > 0.6) & F.lit(target > 0.98), 0.8).otherwise(1.0)
     warnings = labels({"high complexity": c > 0.8, "target hard to reach": (c > 0.7) & F.lit(target > 0.98)})
-    return adaptive_thresholds(m, F.lit(name)).select("song_id", "use_case", "note_duration", "overall_quality", F.round(within(sure), 6).alias("confidence"), warnings.alias("warnings"))
+    return adaptive_thresholds(m, F.lit(name)).withColumns({"confidence": F.round(within(sure), 6), "warnings": warnings})
+
+
+def constrained_thresholds(m: DataFrame, target: float, seconds: Column | None = None, memory_mb: Column | None = None, real_time: Column | None = None) -> DataFrame:
+    """recommended_thresholds() under limits on processing, with the reasons: under a second, ticks double and the least overall quality is
+    eased; under 100 MB the statistical one; in real time the overall and the sequence one. A limit that is null or not given changes nothing."""
+    def no(kind: str) -> Column:
+        return F.lit(None).cast(kind)
+
+    quick = F.coalesce((no("double") if seconds is None else seconds) < 1, F.lit(False))
+    small = F.coalesce((no("double") if memory_mb is None else memory_mb) < 100, F.lit(False))
+    live = F.coalesce(no("boolean") if real_time is None else real_time, F.lit(False))
+    limits = m.select("song_id", quick.alias("quick"), small.alias("small"), live.alias("live"))
+    times = lambda flag, x: F.when(F.col(flag), x).otherwise(1.0)
+    t = _recommended(m, target).join(limits, "song_id")
+    return t.select(
+        "song_id", "use_case", (F.col("note_start_tick") * F.when(F.col("quick"), 2).otherwise(1)).alias("note_start_tick"), (F.col("note_duration") * times("quick", 2.0)).alias("note_duration"),
+        (F.col("overall_quality") * times("quick", 0.95) * times("live", 0.92)).alias("overall_quality"), (F.col("sequence_quality") * times("live", 0.88)).alias("sequence_quality"),
+        (F.col("statistical_similarity") * times("small", 0.9)).alias("statistical_similarity"), "confidence", "warnings",
+        labels({"fast processing": F.col("quick"), "little memory": F.col("small"), "real time": F.col("live")}).alias("reasons"),
+    )
 
 
 def content_thresholds(m: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -23,11 +23,15 @@ def so_far() -> WindowSpec:
     return song().rowsBetween(Window.unboundedPreceding, 0)
 
 
+def entries() -> list[tuple[str, int, str]]:
+    """Name, id and class of the 533 tokens."""
+    numbered = [(f"{k}_{i - lo + first}", i, k) for k, (lo, hi, first) in RANGES.items() for i in range(lo, hi + 1)]
+    return [(n, i, n.split("_")[0]) for i, n in NAMED.items()] + numbered
+
+
 def vocabulary(spark: SparkSession) -> DataFrame:
     """name, id, class of the 533 tokens: fixed in size, so it may be broadcast."""
-    rows = [(n, i, n.split("_")[0]) for i, n in NAMED.items()]
-    rows += [(f"{k}_{i - lo + first}", i, k) for k, (lo, hi, first) in RANGES.items() for i in range(lo, hi + 1)]
-    return spark.createDataFrame(rows, "name string, id int, class string")
+    return spark.createDataFrame(entries(), "name string, id int, class string")
 
 
 def token_class(token: Column) -> Column:
@@ -155,6 +159,37 @@ def top_tokens(tokens: DataFrame, k: int = 20) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _first(counts: DataFrame, k: int, *by: Column | str) -> DataFrame:
+    """The first k rows of each song in the order given, with their place from 1."""
+    return counts.withColumn("place", F.row_number().over(Window.partitionBy("song_id").orderBy(*by))).where(F.col("place") <= k)
+
+
+def least_tokens(tokens: DataFrame, k: int = 20) -> DataFrame:
+    """The k rarest tokens of each song that has more than k distinct ones, rarest first, lower ids first among equals."""
+    counts = tokens.groupBy("song_id", "token_id").count()
+    many = counts.withColumn("distinct", F.count("*").over(Window.partitionBy("song_id"))).where(F.col("distinct") > k)
+    return _first(many.drop("distinct"), k, "count", "token_id")
+
+
+def top_ngrams(tokens: DataFrame, n: int = 2, k: int = 20) -> DataFrame:
+    """The k most frequent runs of n tokens of each song, in the order of their ids among equals. Songs of fewer than n tokens have none."""
+    ids = [f"t{i}" for i in range(n)]
+    return _first(ngram_counts(tokens, n), k, F.desc("count"), *ids)
+
+
+def top_pitches(notes: DataFrame, k: int = 10) -> DataFrame:
+    """The k most frequent pitches of each song, lower ones first among equals."""
+    return _first(notes.groupBy("song_id", "pitch").count(), k, F.desc("count"), "pitch")
+
+
+def type_distribution(tokens: DataFrame) -> DataFrame:
+    """How many tokens of each class a song has, and their share of its tokens. Ids out of the vocabulary have no class: they count
+    in the whole only."""
+    counts = tokens.groupBy("song_id", token_class(F.col("token_id")).alias("class")).count()
+    share = F.col("count") / F.sum("count").over(Window.partitionBy("song_id"))
+    return counts.withColumn("share", share).where("class <> 'Unknown'")
+
+
 def vocabulary_usage(tokens: DataFrame, size: int = VOCABULARY) -> DataFrame:
     """Distinct tokens, coverage and entropy in bits by song."""
     counts = tokens.groupBy("song_id", "token_id").count()

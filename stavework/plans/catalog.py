@@ -138,6 +138,18 @@ add("SET07", "tokens", lambda t: t.select("token_id").distinct(), "SELECT DISTIN
 add("SET03", "tokens", lambda t: tokens.unused(t).select("id"), "SELECT CAST(i AS INT) AS id FROM range(533) r(i) WHERE i NOT IN (SELECT token_id FROM tokens)")
 add("AGG22", "tokens", tokens.dataset_statistics, ", l AS (SELECT song_id, count(*) AS n FROM tokens GROUP BY 1) SELECT count(*) AS sequences, min(n) AS min_length, max(n) AS max_length, round(avg(n), 6) AS avg_length, list_sort(list(n))[CAST(floor(count(*) / 2) AS INT) + 1] AS median_length, (SELECT count(DISTINCT token_id) FROM tokens) AS used, round((SELECT count(DISTINCT token_id) FROM tokens) * 100.0 / 533, 6) AS coverage FROM l")
 add("TOP04", "tokens", tokens.top_tokens, "SELECT * FROM (SELECT song_id, token_id, count(*) AS count, CAST(row_number() OVER (PARTITION BY song_id ORDER BY count(*) DESC, token_id) AS INT) AS place FROM tokens GROUP BY 1, 2) x WHERE place <= 20")
+add("TOP04_least", "tokens", tokens.least_tokens, """, c AS (SELECT song_id, token_id, count(*) AS count FROM tokens GROUP BY 1, 2),
+r AS (SELECT *, count(*) OVER (PARTITION BY song_id) AS n, CAST(row_number() OVER (PARTITION BY song_id ORDER BY count, token_id) AS INT) AS place FROM c)
+SELECT song_id, token_id, count, place FROM r WHERE n > 20 AND place <= 20""")
+GRAMS = """, g AS (SELECT song_id, token_id AS t0, lead(token_id) OVER w AS t1, lead(token_id, 2) OVER w AS t2 FROM tokens WINDOW w AS (PARTITION BY song_id ORDER BY pos)),
+c AS (SELECT song_id, {ids}, count(*) AS count FROM g WHERE {last} IS NOT NULL GROUP BY ALL)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY song_id ORDER BY count DESC, {ids}) AS INT) AS place FROM c) x WHERE place <= 20"""
+add("TOP04_bigrams", "tokens", tokens.top_ngrams, GRAMS.format(ids="t0, t1", last="t1"))
+add("TOP04_trigrams", "tokens", lambda t: tokens.top_ngrams(t, 3), GRAMS.format(ids="t0, t1, t2", last="t2"))
+add("TOP04_pitches", "notes", tokens.top_pitches, """SELECT * FROM (SELECT song_id, pitch, count(*) AS count, CAST(row_number() OVER (PARTITION BY song_id ORDER BY count(*) DESC, pitch) AS INT) AS place
+FROM notes GROUP BY 1, 2) x WHERE place <= 10""")
+add("SEQ01_types", "tokens", tokens.type_distribution, f"""SELECT song_id, class, count(*) AS count, count(*) / sum(count(*)) OVER (PARTITION BY song_id) AS share
+FROM (SELECT song_id, {CLASS} AS class FROM tokens) x GROUP BY 1, 2""")
 add("SEQ01", "tokens", tokens.vocabulary_usage, "SELECT song_id, count(*) AS used, round(count(*) / 533.0, 6) AS coverage, round(-sum(p * log2(p)), 6) AS entropy FROM (SELECT song_id, n * 1.0 / sum(n) OVER (PARTITION BY song_id) AS p FROM (SELECT song_id, token_id, count(*) AS n FROM tokens GROUP BY 1, 2) c) x GROUP BY 1")
 add("SEQ03", "tokens", tokens.perplexity, ", b AS (SELECT song_id, a, b, count(*) AS c FROM (SELECT song_id, token_id AS a, lead(token_id) OVER (PARTITION BY song_id ORDER BY pos) AS b FROM tokens) x WHERE b IS NOT NULL GROUP BY 1, 2, 3), u AS (SELECT song_id, token_id AS a, count(*) AS n FROM tokens GROUP BY 1, 2) SELECT song_id, round(pow(2.0, -sum(c * log2(c * 1.0 / n)) / sum(c)), 6) AS perplexity FROM b JOIN u USING (song_id, a) GROUP BY 1")
 add("SEQ06", "tokens", tokens.smoothness, "SELECT song_id, round(1 - avg(s) / max(s), 6) AS smoothness FROM (SELECT song_id, abs(token_id - lag(token_id) OVER (PARTITION BY song_id ORDER BY pos)) AS s FROM tokens) x GROUP BY 1")

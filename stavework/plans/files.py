@@ -50,6 +50,32 @@ register("SRC01", lambda spark, sf: flat(d.read_documents(spark, written(spark,
 register("FIL01", lambda spark, sf: d.schema_issues(documents(spark, sf)).select("source_file", F.array_join("issues", ",").alias("issues"), "valid"), with_views("songs", "SELECT concat(song_id, '.mid') AS source_file, CASE WHEN key_signature IS NULL THEN 'missing metadata.key_signature' ELSE '' END AS issues, key_signature IS NOT NULL AS valid FROM songs"))
 
 
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with vocabulary and processing; every fourth song has no processing."""
+    runs = view(spark, sf_dir, "songs").where("song_id % 4 <> 0").select(
+        F.concat("song_id", F.lit(".mid")).alias("source_file"), F.lit("2024-05-01T10:00:00").alias("timestamp"), (F.col("song_id") / 7).alias("seconds"), F.col("key_signature").isNotNull().alias("passed"),
+        (F.col("song_id") % 11 / 11).alias("quality"), F.when(F.col("key_signature").isNull(), F.array(F.lit("no key"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+    )
+    return d.with_processing(d.with_vocabulary(documents(spark, sf_dir)), runs)
+
+
+def reread(spark: SparkSession, sf_dir: str, indent: bool) -> DataFrame:
+    """The documents as they come back from a file each, with their vocabularies' size and sum of ids."""
+    path = scratch(spark)
+    d.write_each_document(explained(spark, sf_dir), path, indent=indent, compress=not indent)
+    back = d.read_documents(spark, path, multi_line=True)
+    ids = F.aggregate(F.map_values("vocabulary"), F.lit(0), lambda s, x: s + x)
+    extra = back.select("source_file", "vocabulary_size", F.size("vocabulary").alias("entries"), ids.alias("id_sum"), F.element_at("vocabulary", "Pitch_60").alias("middle_c"), F.col("processing.timestamp").alias("made"), "processing.processing_time_seconds", "processing.validation_passed", "processing.quality_score", F.array_join("processing.warnings", ",").alias("warnings"))
+    return flat(back).join(extra, "source_file")
+
+
+RUN = "CASE WHEN s.song_id % 4 <> 0 THEN {} END AS {}"
+EXPLAINED = FLAT.replace("SELECT concat(s.song_id", f"""SELECT 533 AS vocabulary_size, 533 AS entries, 141778 AS id_sum, 44 AS middle_c, {RUN.format("'2024-05-01T10:00:00'", 'made')}, {RUN.format('round(s.song_id / 7.0::DOUBLE, 3)', 'processing_time_seconds')},
+ {RUN.format('key_signature IS NOT NULL', 'validation_passed')}, {RUN.format('round(s.song_id % 11 / 11.0::DOUBLE, 4)', 'quality_score')}, {RUN.format("CASE WHEN key_signature IS NULL THEN 'no key' END", 'warnings')}, concat(s.song_id""")
+register("SNK01_each", lambda spark, sf: reread(spark, sf, False), with_views(NEEDS, EXPLAINED))
+register("SRC01_each", lambda spark, sf: reread(spark, sf, True), with_views(NEEDS, EXPLAINED))
+
+
 def each(spark: SparkSession, sf_dir: str) -> str:
     """Every song's title in a file of its own."""
     path = scratch(spark)

@@ -191,6 +191,43 @@ add("QUA07", [known("AGG27")], lambda m: scores.adaptive_thresholds(m.withColumn
 add("QUA08", [known("AGG27")], lambda m: scores.recommended_thresholds(m, 0.99), f"""SELECT song_id, use_case, note_duration, overall_quality, round(CASE WHEN overall > 0.8 THEN 0.85 WHEN overall < 0.2 THEN 0.95 ELSE 1 END * 0.99 * CASE WHEN overall > 0.6 THEN 0.8 ELSE 1 END, 6)::DOUBLE AS confidence,
  {listed({'high complexity': 'overall > 0.8', 'target hard to reach': 'overall > 0.7'})} AS warnings FROM ({THRESHOLDS.format(cases="(SELECT *, 'research' AS use_case FROM a) u")}) x""")
 
+GENRE_OF = ["classical", "Jazz", "electronic", "folk", "orchestral", "custom", "polka", None]
+CUSTOM = {"velocity_accuracy": 0.4, "missing_notes_ratio": 0.7, "extra_notes_ratio": 0.02, "note_duration": 0.5, "no_such_threshold": 3}
+
+
+def _genres(m: DataFrame) -> DataFrame:
+    """Every use case and a genre by song."""
+    m = m.withColumn("u", F.explode(F.array(*map(F.lit, scores.USE_CASES))))
+    return m.withColumn("genre", F.get(F.array(*map(F.lit, GENRE_OF)), (F.col("song_id") % len(GENRE_OF)).cast("int")))
+
+
+def _strict() -> str:
+    rows = ", ".join(f"({i}, {t}::DOUBLE, {p}::DOUBLE, {d}::DOUBLE)" for i, g in enumerate(GENRE_OF) for t, p, d in [scores.GENRES.get((g or "").lower(), (1.0, 1.0, 1.0))])
+    return f"JOIN (VALUES {rows}) w(place, strict_timing, strict_pitch, strict_dynamics) ON place = song_id % {len(GENRE_OF)}"
+
+
+add("QUA07_genre", [known("AGG27")], lambda m: scores.adaptive_thresholds(_genres(m), F.col("u"), F.col("genre")), f"""SELECT song_id, use_case, level, overall, greatest(1, floor(floor(floor(t) * tl) * (1.0::DOUBLE / strict_timing)))::BIGINT AS note_start_tick,
+ greatest(1, floor(floor(2 * t) * tl) * CASE WHEN rhythm > 0.7 THEN 1.5 ELSE 1 END)::DOUBLE AS note_duration, greatest(1, floor(floor(floor(t) * tl) * (1.0::DOUBLE / strict_dynamics)))::BIGINT AS velocity_bin,
+ {RATIO} AS missing_notes_ratio, {RATIO} AS extra_notes_ratio, t AS tempo_bpm_diff, {HELD.format(x='0.95 * q * ql', n='overall_quality')},
+ {HELD.format(x='0.98::DOUBLE * q * CASE WHEN overall > 0.9 THEN 0.95 ELSE 1 END * strict_timing', n='timing_accuracy')}, {HELD.format(x='0.95::DOUBLE * q * CASE WHEN polyphony > 5 THEN 0.97 ELSE 1 END * strict_dynamics', n='velocity_accuracy')},
+ {HELD.format(x='0.99::DOUBLE * q * strict_pitch', n='pitch_accuracy')}, {HELD.format(x='0.9 * q', n='musical_fidelity')}, {HELD.format(x='0.85 * q', n='sequence_quality')}, {HELD.format(x='0.85 * q', n='statistical_similarity')}
+ FROM {EVERY} {factors('use_case', scores.USE_CASES, ('q', 't'))} {factors('level', scores.LEVELS, ('ql', 'tl'))} {_strict()}""")
+add("QUA07_custom", [known("AGG27")], lambda m: scores.adaptive_thresholds(m.withColumn("u", F.explode(F.array(*map(F.lit, scores.USE_CASES)))), F.col("u"), custom=CUSTOM),
+ f"SELECT * REPLACE (1.0::DOUBLE AS note_duration, 0.5::DOUBLE AS missing_notes_ratio, 0.02::DOUBLE AS extra_notes_ratio, 0.5::DOUBLE AS velocity_accuracy) FROM ({THRESHOLDS.format(cases=EVERY)}) x")
+
+
+def _constrained(m: DataFrame) -> DataFrame:
+    k = F.col("song_id")
+    return scores.constrained_thresholds(m, 0.96, F.when(k % 2 == 0, 0.5).when(k % 3 == 0, 4.0), F.when(k % 3 == 0, 64.0).otherwise(512.0), k % 5 == 0)
+
+
+QUICK, SMALL, LIVE = "song_id % 2 = 0", "song_id % 3 = 0", "song_id % 5 = 0"
+add("QUA08_constraints", [known("AGG27")], _constrained, f"""SELECT song_id, use_case, note_start_tick * CASE WHEN {QUICK} THEN 2 ELSE 1 END AS note_start_tick, note_duration * CASE WHEN {QUICK} THEN 2.0::DOUBLE ELSE 1 END AS note_duration,
+ overall_quality * CASE WHEN {QUICK} THEN 0.95::DOUBLE ELSE 1 END * CASE WHEN {LIVE} THEN 0.92::DOUBLE ELSE 1 END AS overall_quality, sequence_quality * CASE WHEN {LIVE} THEN 0.88::DOUBLE ELSE 1 END AS sequence_quality,
+ statistical_similarity * CASE WHEN {SMALL} THEN 0.9::DOUBLE ELSE 1 END AS statistical_similarity, round(CASE WHEN overall > 0.8 THEN 0.85::DOUBLE WHEN overall < 0.2 THEN 0.95 ELSE 1 END * 0.99, 6)::DOUBLE AS confidence,
+ {listed({'high complexity': 'overall > 0.8'})} AS warnings, {listed({'fast processing': QUICK, 'little memory': SMALL, 'real time': LIVE})} AS reasons
+ FROM ({THRESHOLDS.format(cases="(SELECT *, 'production' AS use_case FROM a) u")}) x""")
+
 
 def _content(m: DataFrame, tracks: DataFrame, seconds: DataFrame) -> DataFrame:
     return scores.content_thresholds(m, tracks.join(seconds, "song_id").withColumn("density", F.col("notes") / F.col("seconds")))

@@ -12,7 +12,8 @@ from ..operators.training import originals
 FACTOR, LARGE_MB = 12, 10.0
 #: Schema of a token document. Schemas are given, never inferred.
 DOCUMENT = """version string, source_file string, tokenization string, metadata struct<ppq: int, key_signature: string, note_count: bigint, track_count: int, tempo_changes: array<struct<tick: bigint, bpm: double>>>,
-tracks array<struct<index: int, name: string, program: int, is_drum: boolean>>, global_tokens array<int>, sequence_length int"""
+tracks array<struct<index: int, name: string, program: int, is_drum: boolean>>, global_tokens array<int>, sequence_length int, vocabulary map<string, int>, vocabulary_size int,
+processing struct<timestamp: string, processing_time_seconds: double, validation_passed: boolean, quality_score: double, warnings: array<string>>"""
 MANIFEST = "train array<string>, val array<string>, test array<string>"
 #: Fields that a document must have, and those of its metadata.
 REQUIRED, REQUIRED_METADATA = ("version", "source_file", "tokenization", "metadata", "global_tokens"), ("ppq", "key_signature", "note_count", "track_count")
@@ -30,6 +31,32 @@ def assembled(songs: DataFrame, tracks: DataFrame, tempo_changes: DataFrame, not
     return d.select(F.lit("1.0").alias("version"), F.concat(F.col("song_id").cast("string"), F.lit(".mid")).alias("source_file"), F.lit(tokenization).alias("tokenization"), metadata.alias("metadata"), "tracks", "global_tokens", F.size(F.coalesce("global_tokens", F.array())).alias("sequence_length"))
 
 
+def with_vocabulary(docs: DataFrame) -> DataFrame:
+    """Documents with the vocabulary, names to ids, and its size. It is the same in all, and each carries it, so that a file explains itself."""
+    names, ids, _ = zip(*T.entries(), strict=True)
+    return docs.withColumns({"vocabulary": F.map_from_arrays(F.lit(list(names)), F.lit(list(ids))), "vocabulary_size": F.lit(len(ids))})
+
+
+def with_processing(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """Documents with how they were made; null where runs has none.
+
+    runs: source_file, timestamp, seconds, passed, quality, warnings; of several for a file the last by timestamp is taken. Seconds are
+    rounded to three places, quality to four; without warnings the field is null.
+    """
+    run = F.struct(
+        F.col("timestamp").cast("string").alias("timestamp"), F.round(F.col("seconds").cast("double"), 3).alias("processing_time_seconds"), F.col("passed").alias("validation_passed"),
+        F.round(F.col("quality").cast("double"), 4).alias("quality_score"), F.when(F.size("warnings") > 0, F.col("warnings")).alias("warnings"),
+    )
+    last = runs.select("source_file", run.alias("processing")).groupBy("source_file").agg(F.max("processing").alias("processing"))
+    return docs.join(last, "source_file", "left")
+
+
+def write_each_document(docs: DataFrame, path: str, indent: bool = False, compress: bool = True) -> None:
+    """One JSON file a document, in a folder of its source file's name, its fields in the order of their names; indented or on one line."""
+    text = F.to_json(F.struct(*sorted(docs.columns)), {"pretty": str(indent).lower(), "ignoreNullFields": "false"})
+    write_each(docs.select(F.col("source_file").alias("name"), text.alias("text")), path, compress=compress)
+
+
 def write_documents(docs: DataFrame, path: str, compress: bool = True) -> None:
     """Documents as JSON, one a line; gzip unless compress is off. What is there is replaced."""
     docs.write.mode("overwrite").option("compression", "gzip" if compress else "none").option("ignoreNullFields", "false").json(path)
@@ -55,12 +82,12 @@ def schema_issues(docs: DataFrame) -> DataFrame:
     return docs.select("source_file", F.array_compact(F.array(*rules)).alias("issues")).withColumn("valid", F.size("issues") == 0)
 
 
-def write_each(docs: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
+def write_each(docs: DataFrame, path: str, name: str = "name", text: str = "text", compress: bool = False) -> None:
     """One text file a document, in a folder of its name (name=...): its file's own name is Spark's, its content the text and a newline.
 
     Documents are dealt by name, so a task writes whole files; repeated names share a file, one line each.
     """
-    docs.select(F.col(name).alias("name"), F.col(text).alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+    docs.select(F.col(name).alias("name"), F.col(text).alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").option("compression", "gzip" if compress else "none").text(path)
 
 
 def _named(found: DataFrame) -> DataFrame:
