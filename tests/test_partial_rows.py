@@ -70,3 +70,14 @@ def test_a_file_each_with_vocabulary(spark, tmp_path):
         p = back["a.mid"].processing
         assert (p.timestamp, p.processing_time_seconds, p.validation_passed, p.quality_score, p.warnings) == ("2", 1.235, False, 0.9877, ["w"])
         assert back["b c.mid"].processing is None and back["b c.mid"].global_tokens is None and back["a.mid"].global_tokens == [4, 20]
+
+
+def test_small_documents_are_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "each")
+    docs = spark.createDataFrame([("a:b.json", "x"), ("a:b.json", None), ("_c=100%+.json", "y"), (None, "z")] + [(f"{i}.json", "w") for i in range(60)], "name string, text string")
+    before = {j for j in spark.sparkContext.statusTracker().getJobIdsForGroup(None)}
+    d.write_each(docs, path)
+    d.write_each(docs, path)  # what is there is replaced
+    jobs = [spark.sparkContext.statusTracker().getJobInfo(j) for j in set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before]
+    assert max(spark.sparkContext.statusTracker().getStageInfo(s).numTasks for j in jobs for s in j.stageIds if spark.sparkContext.statusTracker().getStageInfo(s)) == 8
+    assert {r.name: r.bytes for r in d.files(spark, path, "part-*").collect()} == {"a:b.json": 3, "_c=100%+.json": 2, d.NO_NAME: 2} | {f"{i}.json": 2 for i in range(60)}
