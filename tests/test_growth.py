@@ -2,9 +2,7 @@
 
 import random
 
-from pyspark.sql import functions as F
-
-from stavework.operators import sequences, structure
+from stavework.operators import sequences, structure, training
 
 
 def test_equal_notes_keep_their_positions(spark):
@@ -35,3 +33,13 @@ def test_patterns_equal_brute_force_and_are_not_shuffled(spark):
         assert {s: [tuple(r)[2:] for r in rows if r.song_id == s] for s in songs} == {s: brute(ids, *args) for s, ids in songs.items()}
         plan = p._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate" not in plan and "xxhash64" not in plan
+
+
+def test_copies_are_not_shuffled(spark):
+    t = spark.createDataFrame([(1, 1, 4), (1, 3, 90), (1, 2, 20)], "song_id long, pos long, token_id int")
+    files = spark.createDataFrame([(1, "C", "C-90bpm-remi-a.json")], "song_id long, key string, name string")
+    out = training.augmented(t, files, (1, 2))
+    assert sorted((r.offset, r.n_tokens, r.moved, r.kept, r.success) for r in out.collect()) == [(1, 3, 1, 1, False), (2, 3, 1, 1, False)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("Generate")[0]
+    assert "Generate" in plan and "Aggregate" not in above
