@@ -2,7 +2,9 @@
 
 import random
 
-from stavework.operators import sequences, structure, training
+import pandas as pd
+
+from stavework.operators import scores, sequences, structure, training
 
 
 def test_equal_notes_keep_their_positions(spark):
@@ -43,3 +45,18 @@ def test_copies_are_not_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     above = plan.split("Generate")[0]
     assert "Generate" in plan and "Aggregate" not in above
+
+
+def test_warping_of_a_batch_of_songs(spark):
+    rng = random.Random(8)
+    sides = [[[rng.randrange(40, 80) for _ in range(rng.randrange(1, 9))] for _ in range(50)] for _ in range(2)]
+    best = []
+    for x, y in zip(*sides, strict=True):
+        t = {(-1, -1): 0}
+        for i, p in enumerate(x):
+            for j, q in enumerate(y):
+                t[i, j] = abs(p - q) + min(t.get(k, float("inf")) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+        best.append(t[len(x) - 1, len(y) - 1])
+    assert scores._warped(*(pd.Series(s) for s in sides)).tolist() == best
+    notes = spark.createDataFrame([(1, 0, 0, 5, 60, 64)], "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int")
+    assert "ArrowEvalPython" in scores.warping_distance(notes, notes)._jdf.queryExecution().optimizedPlan().toString()
