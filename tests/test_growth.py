@@ -5,6 +5,7 @@ import random
 import pandas as pd
 
 from stavework.operators import scores, sequences, structure, training
+from stavework.plans import scores as plans
 
 
 def test_equal_notes_keep_their_positions(spark):
@@ -60,3 +61,13 @@ def test_warping_of_a_batch_of_songs(spark):
     assert scores._warped(*(pd.Series(s) for s in sides)).tolist() == best
     notes = spark.createDataFrame([(1, 0, 0, 5, 60, 64)], "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int")
     assert "ArrowEvalPython" in scores.warping_distance(notes, notes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parts_of_a_song_meet_without_joins(spark):
+    first = spark.createDataFrame([(1, 2.0), (1, 3.0), (2, None), (None, 5.0)], "song_id long, x double")
+    other = spark.createDataFrame([(1, True), (3, True), (None, True)], "song_id long, y boolean")
+    run, _ = plans.by_song([((lambda *_: first, "a"), {"x": "max(x)"}), ((lambda *_: other, "b"), {"y": "max(y)"})], {"z": "x + 1"}, "y")
+    out = run(spark, "")
+    assert {(x, y, z) for _, x, y, z in out.collect()} == {(3.0, True, 4.0), (0.0, False, 1.0), (5.0, False, 6.0)} and out.count() == 3
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.split("Union")[0].count("Exchange") == 1
