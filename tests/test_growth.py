@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from stavework.operators import scores, sequences, structure, training
+from stavework.operators import scores, sequences, statistics, structure, training
 from stavework.plans import scores as plans
 
 
@@ -59,8 +59,8 @@ def test_warping_of_a_batch_of_songs(spark):
                 t[i, j] = abs(p - q) + min(t.get(k, float("inf")) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
         best.append(t[len(x) - 1, len(y) - 1])
     assert scores._warped(*(pd.Series(s) for s in sides)).tolist() == best
-    notes = spark.createDataFrame([(1, 0, 0, 5, 60, 64)], "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int")
-    assert "ArrowEvalPython" in scores.warping_distance(notes, notes)._jdf.queryExecution().optimizedPlan().toString()
+    few = spark.createDataFrame([(1, 0, 0, 5, 60, 64)], NOTE)
+    assert "ArrowEvalPython" in scores.warping_distance(few, few)._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_parts_of_a_song_meet_without_joins(spark):
@@ -71,3 +71,15 @@ def test_parts_of_a_song_meet_without_joins(spark):
     assert {(x, y, z) for _, x, y, z in out.collect()} == {(3.0, True, 4.0), (0.0, False, 1.0), (5.0, False, 6.0)} and out.count() == 3
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.split("Union")[0].count("Exchange") == 1
+
+
+NOTE = "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int"
+
+
+def test_ranks_take_one_sort_a_value(spark):
+    pairs = spark.createDataFrame([(1, p, q, v, v) for p, q, v in ((60, 70, 1), (60, 65, 2), (62, 65, 2), (None, 70, 2), (64, 71, 5))], "song_id long, pitch_a int, pitch_b int, velocity_a int, velocity_b int")
+    ranks = pairs.select("pitch_a", statistics.mean_rank("pitch_a", "song_id").alias("r"))
+    assert sorted((r.pitch_a or 0, r.r) for r in ranks.collect()) == [(0, 1.0), (60, 2.5), (60, 2.5), (62, 4.0), (64, 5.0)]
+    out = statistics.spearman(pairs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 4 and out.first().velocity == 1.0
