@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from stavework.operators import scores, sequences, statistics, structure, training
+from stavework.operators import notes, scores, sequences, statistics, structure, training
 from stavework.plans import scores as plans
 
 
@@ -83,3 +83,16 @@ def test_ranks_take_one_sort_a_value(spark):
     out = statistics.spearman(pairs)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window ") == 4 and out.first().velocity == 1.0
+
+
+def test_track_statistics_keep_parts_apart(spark):
+    # two notes end where two start, one lasts no time
+    rows = [(1, 0, 0, 10, 60, 1), (1, 0, 0, 10, 60, 1), (1, 0, 10, 30, 61, 1), (1, 0, 10, 20, 62, 1), (1, 0, 40, 40, 63, 1), (1, 1, 5, 9, 60, 1)]
+    t = spark.createDataFrame(rows, NOTE)
+    levels = notes.polyphony(t)
+    assert sorted(map(tuple, levels.collect())) == [(1, 0, 1, 10), (1, 0, 2, 20), (1, 1, 1, 4)]
+    assert "Aggregate" not in levels._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    out = notes.track_statistics(t)
+    found = {r.track_idx: r for r in out.collect()}
+    assert (found[0].max_polyphony, found[0].total_notes, found[0].unique_pitches, found[0].empty_ratio) == (2, 6 - 1, 4, 0.25) and found[1].max_polyphony == 1
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
