@@ -4,7 +4,7 @@ import random
 
 import pandas as pd
 
-from stavework.operators import notes, scores, sequences, statistics, structure, training
+from stavework.operators import notes, roundtrip, scores, sequences, statistics, structure, training
 from stavework.plans import scores as plans
 
 
@@ -96,3 +96,34 @@ def test_track_statistics_keep_parts_apart(spark):
     found = {r.track_idx: r for r in out.collect()}
     assert (found[0].max_polyphony, found[0].total_notes, found[0].unique_pitches, found[0].empty_ratio) == (2, 6 - 1, 4, 0.25) and found[1].max_polyphony == 1
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_round_trip_is_one_pass(spark):
+    rng = random.Random(5)
+    rows = []
+    for song in (1, 2, 3, 4):
+        for _ in range(60):
+            start = rng.randrange(0, 9000, 7) + (30_000 if rng.random() < 0.1 else 0)
+            rows.append((song, rng.randrange(3), start, start + rng.randrange(1, 2500), rng.choice((10, 60, 61, 64, 108, 120)), rng.randrange(1, 128)))
+    t = spark.createDataFrame(rows + rows[:20] + [(1, 0, None, 5, 60, 1), (1, 0, 5, 9, None, 1)], NOTE)
+    programs = spark.createDataFrame([(s, k, (0, 0, 33)[k]) for s in (1, 2, 3, 4) for k in range(3)], "song_id long, track_idx int, program int")
+    # song 3 has no row, song 4 has two
+    songs = spark.createDataFrame([(1, 4, 4), (2, 6, 8), (4, 3, 4), (4, 3, 4)], "song_id long, ts_num int, ts_den int")
+    out = roundtrip.round_trip(t, programs, songs)
+    sides = t.join(programs, ["song_id", "track_idx"]).drop("track_idx").withColumnRenamed("program", "track_idx")
+    back = roundtrip.decoded(roundtrip.encoded(t, programs, songs), songs.distinct()).withColumnRenamed("program", "track_idx")
+    metrics = roundtrip.song_metrics(roundtrip.track_errors(roundtrip.matches(sides, back)))
+    long_way = metrics.join(roundtrip.tolerance_verdict(metrics), "song_id").select(*out.columns)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, long_way.collect()))
+    assert {r.song_id: r.reconstructed for r in out.collect()}[3] == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("Window ") == 3
+
+
+def test_names_are_made_after_a_song_is_sorted(spark):
+    t = spark.createDataFrame([(1, 0, 4000, 4100, 60, 64), (1, 0, 4000, 4100, 60, 64)], NOTE)
+    out = roundtrip.encoded(t, spark.createDataFrame([(1, 0, 5)], "song_id long, track_idx int, program int"), spark.createDataFrame([(1, 4, 4)], "song_id long, ts_num int, ts_den int"))
+    own = ["Program_5", "Pitch_60", "Velocity_7", "Duration_2"]
+    assert [r.token for r in out.orderBy("pos").collect()] == ["Bar_None"] * 3 + ["Position_4", *own, *own]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan.split("Generate")[0] and "Union" not in plan
