@@ -66,3 +66,8 @@ def test_a_rule_met_twice_and_other_settings(spark):
     rows = [(1, *({**CALM, "notes": 6000.0, "polyphony": 9.0, "timing": 0.5}).values())]
     got = {(r.rule, r.suggested) for r in corpus.suggestions(spark.createDataFrame(rows, schema), {"beat_resolution": 8.0}).collect()}
     assert got == {("complexity", 4096.0), ("timing", 8.0)}
+
+
+def test_documents_are_read_twice_and_compared_once(spark):
+    plan = corpus.validated(spark.createDataFrame([("x", json.dumps(document(1)))], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.count("LogicalRDD") == 2
