@@ -4,7 +4,8 @@ import random
 
 import pandas as pd
 
-from stavework.operators import notes, roundtrip, scores, sequences, statistics, structure, training
+from stavework.operators import compare, notes, roundtrip, scores, sequences, statistics, structure, training
+from stavework.plans import registry
 from stavework.plans import scores as plans
 
 
@@ -127,3 +128,23 @@ def test_names_are_made_after_a_song_is_sorted(spark):
     assert [r.token for r in out.orderBy("pos").collect()] == ["Bar_None"] * 3 + ["Position_4", *own, *own]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan.split("Generate")[0] and "Union" not in plan
+
+
+def test_pairs_are_counted_in_one_sort(spark, monkeypatch):
+    rng = random.Random(9)
+    make = lambda n, songs: [(s, rng.randrange(2), rng.randrange(40), 50 + rng.randrange(9), rng.randrange(50, 50 + s), rng.randrange(1, 5)) for s in songs for _ in range(n * s)]
+    a, b = make(30, (1, 2, 3, 5, 8)), make(25, (1, 2, 3, 5, 9))
+    a, b = (spark.createDataFrame(x + [(None, 0, 1, 2, 60, 1), (6, 0, 1, 2, 60, 1)], NOTE) for x in (a, b))
+    wanted = sorted(map(tuple, statistics.kendall(compare.paired(a, b)).collect()))
+    out = statistics.kendall_of_sides(a, b)
+    assert sorted(map(tuple, out.collect())) == wanted and len(wanted) == 5
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan and "Aggregate" not in plan
+    monkeypatch.setattr(statistics, "MOST_PENDING", 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert sorted(map(tuple, statistics.kendall_of_sides(a, b).collect())) == wanted
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    registered = registry.queries()["STA10"](spark, "/root/testdata/sf0.001")
+    assert "Join" not in registered._jdf.queryExecution().optimizedPlan().toString()
