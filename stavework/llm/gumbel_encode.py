@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, file_bytes, mix64, text_chunks, uniform
+from .common import TOKENIZERS, file_bytes, mix64, releasing, text_chunks, uniform
 from .lattice import MARK, Vocabulary
 
 #: Arcs that a worker remembers: beyond them it forgets all units but those met in most batches, at most half of the store, before it
@@ -155,6 +155,14 @@ class Lattices:
         self.base = dict(zip([units[i] for i in often.tolist()], place[first[often]].tolist(), strict=True))
         self.n_nodes, self.n_arcs = len(nodes), len(kept)
 
+    def rest(self) -> None:
+        """Keeps no more than half of the store, in arrays of its size: what a worker holds while it has no task."""
+        if self.n_arcs > self.store // 2:
+            self.forget()
+        for name, a in self.arrays.items():
+            used = self.n_nodes if name in ("head", "degree", "length", "met") else self.n_arcs
+            self.arrays[name] = a[: max(used, 1)].copy()
+
     def walk(self, node: np.ndarray, seed: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """From each node to the end of its unit by random arcs: the arcs in order, and the row that each belongs to.
 
@@ -361,9 +369,10 @@ def sample_encode(docs: DataFrame, k: int = 2, alpha: float = 0.0005, seed: int
                 [b.column("k").take(pa.array([x[0] for x in flat])), pa.array([x[1] for x in flat], pa.int32()), pa.array(sizes), *(pa.array([x[i] for x in flat], pa.float64()) for i in (3, 4, 5)), lists, *back],
                 ["k", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "piece_ids", "decoded_sha256", "gives_back", "n_marks"],
             )
+        lattices.rest()
 
     read = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.lit(seed), F.col(key)).alias("s"))
-    out = read.mapInArrow(run, f"k {key_type}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, piece_ids array<int>, decoded_sha256 string, gives_back boolean, n_marks long")
+    out = read.mapInArrow(releasing(run), f"k {key_type}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, piece_ids array<int>, decoded_sha256 string, gives_back boolean, n_marks long")
     return out.withColumnRenamed("k", key)
 
 

@@ -21,7 +21,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import buffers, fresh, mix64, stored, text_chunks
+from .common import buffers, fresh, mix64, releasing, stored, text_chunks
 from .grams import PLAIN, word_grams
 
 SHINGLE, LEAST, ROWS, BANDS = 5, 0.8, 4, 14
@@ -85,7 +85,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> np.ndarray:
                 sums[block] = sums.get(block, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    blocks = docs.select(F.col(text).alias("t")).mapInArrow(count, "block int, counts binary")
+    blocks = docs.select(F.col(text).alias("t")).mapInArrow(releasing(count), "block int, counts binary")
     # first within each task's neighbours, then by block
     partial = blocks.repartition(F.col("block"), F.pmod(F.spark_partition_id(), F.lit(16))).mapInArrow(add, "block int, counts binary")
     out = np.zeros((2 * CELLS // CELL_BLOCK, CELL_BLOCK), np.int64)
@@ -173,7 +173,7 @@ def _signed(docs: DataFrame, model: Broadcast) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("r"), b.column("k"), pa.array(digests, pa.binary()), pa.array(total), briefs, lists], ["r", "k", "digest", "weight", "brief", "bands"])
 
     kind = docs.schema["k"].dataType.simpleString()
-    return docs.select("r", "k", "t").mapInArrow(run, f"r long, k {kind}, digest binary, weight float, brief array<long>, bands array<long>")
+    return docs.select("r", "k", "t").mapInArrow(releasing(run), f"r long, k {kind}, digest binary, weight float, brief array<long>, bands array<long>")
 
 
 def _dealt(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -215,7 +215,7 @@ def _similar(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
             found = [(a, b) for a, b, own, held in met if weighted_jaccard(own, held) >= LEAST]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
-    return _dealt(pairs, texts).mapInArrow(run, "a long, b long")
+    return _dealt(pairs, texts).mapInArrow(releasing(run), "a long, b long")
 
 
 def differences(own: Weighed, leader: Weighed) -> tuple[np.ndarray, np.ndarray, bool, float, float]:
@@ -270,7 +270,7 @@ def _keyed(pairs: DataFrame, texts: DataFrame, model: Broadcast) -> DataFrame:
             if close:
                 yield pa.RecordBatch.from_pylist(close, _KEYED)
 
-    return _dealt(pairs, texts).mapInArrow(run, "node long, leader long, near boolean, first double, second double, key long, amount double")
+    return _dealt(pairs, texts).mapInArrow(releasing(run), "node long, leader long, near boolean, first double, second double, key long, amount double")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stavework.llm import gumbel_encode
+from stavework.llm import common, gumbel_encode
 from stavework.llm.common import TOKENIZERS, file_bytes
 from stavework.llm.lattice import Vocabulary
 
@@ -43,3 +43,22 @@ def test_forgetting_keeps_frequent_units_as_they_were():
     lattices.forget()
     assert not lattices.base and lattices.n_arcs == lattices.n_nodes == 0
     assert len(lattices.nodes_of(["▁of"])) == 1
+
+
+def test_a_store_at_rest_is_small_and_samples_stay_the_same():
+    lattices = gumbel_encode.Lattices(MODEL, 0.0005, store=300)
+    texts, keys = ["there is of interesting", "elsewhere of 日 there\nthere"], np.array([3, 4], np.uint64)
+    sample = lambda: [[(gumbel_encode.token_ids(lattices, p[0]).tolist(), *p[1:]) for p in own] for own in gumbel_encode.sample_texts(texts, keys, lattices, 2)]
+    before = sample()
+    assert len(lattices.arrays["logp"]) > lattices.n_arcs
+    lattices.rest()
+    assert lattices.n_arcs <= 150 and all(len(a) <= max(1, lattices.n_arcs, lattices.n_nodes) for a in lattices.arrays.values())
+    assert sample() == before
+    lattices.rest()
+    assert sample() == before
+
+
+def test_memory_is_released_after_the_last_batch(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda name: type("Library", (), {"malloc_trim": lambda self, n: freed.append(n)})())
+    assert list(common.releasing(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and freed == [0]
