@@ -169,32 +169,33 @@ class Lattices:
         seed: the noise of each row's text; place: the character position of its node in that text.
         """
         head, degree, target, cum = (self.arrays[k] for k in ("head", "degree", "target", "cum"))
-        rows, at, origin = np.arange(len(node)), node, place - node
+        turn = np.uint64(0x9E3779B97F4A7C15)
+        rows, at, key = np.arange(len(node)), node, seed + (place - node).astype(np.uint64) * turn
+        count = np.zeros(len(node), np.int64)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        live = degree[at] > 0
-        rows, at, origin, seed = rows[live], at[live], origin[live], seed[live]
-        while len(rows):
-            u = uniform(seed + (at + origin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        while True:
+            wide = degree[at]
+            live = np.flatnonzero(wide)
+            if len(live) < len(rows):
+                rows, at, key, wide = rows[live], at[live], key[live], wide[live]
+            if not len(rows):
+                break
+            u = uniform(key + at.astype(np.uint64) * turn)
             arc = head[at].astype(np.int64)
-            last = arc + degree[at] - 1
-            more = np.flatnonzero((u > cum[arc]) & (arc < last))
+            more = np.flatnonzero((u > cum[arc]) & (wide > 1))
+            noise, place_, last = u[more], arc[more], arc[more] + wide[more] - 1
             while len(more):
-                arc[more] += 1
-                more = more[(u[more] > cum[arc[more]]) & (arc[more] < last[more])]
+                place_ += 1
+                on = (noise > cum[place_]) & (place_ < last)
+                arc[more] = place_
+                more, noise, place_, last = more[on], noise[on], place_[on], last[on]
             steps.append((rows, arc))
+            count[rows] = len(steps)
             at = target[arc].astype(np.int64)
-            live = degree[at] > 0
-            rows, at, origin, seed = rows[live], at[live], origin[live], seed[live]
-        if not steps:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        count = np.zeros(len(node), np.int64)
-        for r, _ in steps:
-            count[r] += 1
         offset = np.cumsum(count) - count
-        arcs, seen = np.empty(int(count.sum()), np.int64), np.zeros(len(node), np.int64)
-        for r, arc in steps:
-            arcs[offset[r] + seen[r]] = arc
-            seen[r] += 1
+        arcs = np.empty(int(count.sum()), np.int64)
+        for i, (r, arc) in enumerate(steps):
+            arcs[offset[r] + i] = arc
         return arcs, np.repeat(np.arange(len(node)), count)
 
 

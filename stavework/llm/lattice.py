@@ -122,7 +122,7 @@ class Vocabulary:
         end = np.cumsum(self.length[usable])
         sums, down = _prefix(points)
         start = end - self.length[usable]
-        return mix64((sums[end] - sums[start]) * down[start])
+        return (sums[end] - sums[start]) * down[start]
 
     def _by_hash(self, points: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and last character of every piece in the text, and its id, by hashes of all short spans.
@@ -136,7 +136,7 @@ class Vocabulary:
             at = at[room[at] >= n]
             if not len(at):
                 break
-            h = mix64((sums[at + n] - sums[at]) * down[at])
+            h = (sums[at + n] - sums[at]) * down[at]
             place = self.near[h >> np.uint64(42)]
             near = np.flatnonzero(place >= 0)
             place, h = place[near], h[near]
