@@ -10,6 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from stavework.operators import scores, songwise
+from stavework.plans import registry
 from stavework.plans import scores as plans
 
 LINES = pa.schema([("l_orderkey", pa.int64()), ("l_partkey", pa.int64()), ("l_suppkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_quantity", pa.float64()), ("l_extendedprice", pa.float64()), ("l_shipdate", pa.date32())])
@@ -67,6 +68,12 @@ def test_statistics_shuffle_notes_once(spark, odd):
     check(spark, odd, plans.STATISTICS, plans.STATISTICS_APART)
 
 
+@pytest.mark.parametrize("name", ["STA22", "STA23"])
+def test_scores_are_made_of_one_shuffle(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and not any(x in plan for x in ("Window", "Join", "Aggregate"))
+
+
 def test_pieces_give_notes_back():
     rng = random.Random(3)
     values = [-(1 << 40), -129, -128, -1, 0, 127, 128, 32767, 40000, 1 << 33, None]
