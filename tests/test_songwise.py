@@ -3,13 +3,14 @@
 import datetime
 import math
 import random
+import types
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from stavework.operators import scores, songwise
+from stavework.operators import scores, song_metrics, songwise
 from stavework.plans import registry
 from stavework.plans import scores as plans
 
@@ -68,12 +69,35 @@ def test_statistics_shuffle_notes_once(spark, odd):
     check(spark, odd, plans.STATISTICS, plans.STATISTICS_APART)
 
 
-@pytest.mark.parametrize("name", ["STA22", "STA23"])
+def test_harmony_shuffles_notes_once(spark, odd):
+    check(spark, odd, plans.HARMONY, plans.HARMONY_APART)
+
+
+@pytest.mark.parametrize("name", ["STA22", "STA23", "MUS08"])
 def test_scores_are_made_of_one_shuffle(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1 and not any(x in plan for x in ("Window", "Join", "Aggregate"))
 
 
+def test_chords_and_pairs_equal_brute_force(monkeypatch):
+    rng = random.Random(4)
+    notes = sorted((rng.randrange(0, 400, rng.choice((1, 3, 12))), rng.choice((40, 41, 44, 52, 60, 63))) for _ in range(150))
+    notes = np.array(notes, float)
+    side = types.SimpleNamespace(start_tick=notes[:, 0], pitch=notes[:, 1])
+    chords, first = [], None
+    for t, p in notes:
+        if first is None or t - first > 10:
+            first = t
+            chords.append(0)
+        chords[-1] |= 1 << int(p) % 12
+    assert song_metrics._chords(side).tolist() == chords
+    ends = notes[:, 0] + np.array([rng.choice((0, -5, 1, 30, 90)) for _ in notes])
+    pairs = [abs(notes[i, 1] - notes[j, 1]) for i in range(len(notes)) for j in range(i + 1, len(notes)) if notes[j, 0] < ends[i]]
+    for most in (1 << 18, 3):
+        monkeypatch.setattr(song_metrics, "MOST_PAIRS", most)
+        assert song_metrics._overlap(notes[:, 0], ends, notes[:, 1]) == (len(pairs), sum(pairs))
+
+
 def test_pieces_give_notes_back():
     rng = random.Random(3)
     values = [-(1 << 40), -129, -128, -1, 0, 127, 128, 32767, 40000, 1 << 33, None]
