@@ -11,7 +11,9 @@ import pyarrow.parquet as pq
 import pytest
 
 from stavework.operators import scores, song_metrics, songwise
-from stavework.plans import registry
+from stavework.operators import tracks as kinds
+from stavework.operators.notes import track_statistics
+from stavework.plans import corpus, registry
 from stavework.plans import scores as plans
 
 LINES = pa.schema([("l_orderkey", pa.int64()), ("l_partkey", pa.int64()), ("l_suppkey", pa.int64()), ("l_linenumber", pa.int32()), ("l_quantity", pa.float64()), ("l_extendedprice", pa.float64()), ("l_shipdate", pa.date32())])
@@ -78,12 +80,17 @@ def test_features_shuffle_notes_once(spark, odd):
     check(spark, odd, plans.FEATURES, plans.FEATURES_APART)
 
 
-@pytest.mark.parametrize("name", ["STA22", "STA23", "MUS08", "MUS09"])
+def test_quality_shuffles_notes_once(spark, odd):
+    # tracks are the third to read lines, for their numbers only
+    check(spark, odd, corpus.METRICS, corpus.METRICS_APART, reads=3)
+
+
+@pytest.mark.parametrize("name", ["STA22", "STA23", "MUS08", "MUS09", "QUA11"])
 def test_scores_are_made_of_one_shuffle(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1
-    # MUS09's tempos are a table of their own, of some rows a song
-    assert name == "MUS09" or not any(x in plan for x in ("Window", "Join", "Aggregate"))
+    # MUS09's and QUA11's tempos are a table of their own, of some rows a song
+    assert name in ("MUS09", "QUA11") or not any(x in plan for x in ("Window", "Join", "Aggregate"))
 
 
 def test_chords_and_pairs_equal_brute_force(monkeypatch):
@@ -105,6 +112,35 @@ def test_chords_and_pairs_equal_brute_force(monkeypatch):
         assert song_metrics._overlap(notes[:, 0], ends, notes[:, 1]) == (len(pairs), sum(pairs))
 
 
+def test_statistics_of_tracks(spark):
+    rng = random.Random(6)
+    notes = []
+    for song in range(1, 6):
+        for _ in range(rng.randrange(1, 60)):
+            start = rng.randrange(0, 3000, 20)
+            notes.append([song, rng.randrange(3), start, start + rng.choice((0, -40, 20, 90, 400)), rng.randrange(30, 90), rng.randrange(1, 128)])
+            if song > 3 and rng.random() < 0.2:
+                notes[-1][rng.randrange(1, 5)] = None
+    t = spark.createDataFrame([tuple(r) for r in notes], "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int")
+    wanted = {(r.song_id, r.track_idx): [r[c] for c in song_metrics.TRACK[1:]] for r in track_statistics(t).collect() if r.track_idx is not None}
+    out = songwise.each_song(t, t, (", ".join(f"{c} array<double>" for c in song_metrics.TRACK), song_metrics._of_tracks)).collect()
+    found = {(r.song_id, int(track)): values for r in out for track, *values in zip(*(r[c] for c in song_metrics.TRACK), strict=True)}
+    assert found.keys() == wanted.keys()
+    assert [(k, f, w) for k in found for f, w in zip(found[k], wanted[k], strict=True) if f != w and not (f is not None and w is not None and math.isclose(f, w, rel_tol=1e-9))] == []
+
+
+def test_drums_follow_from_names_too(spark):
+    # an unsure name counts unless statistics are sure: the second song's track is sure to be a melody by them
+    kind = "song_id long, track_idx int, start_tick long, end_tick long, pitch int, velocity int"
+    rows = [(s, 0, i * 960, i * 960 + 480, 62 + i % 2 * 14 if s == 2 else 50 + i % 2, 64) for s in (1, 2, 3) for i in range(20)]
+    t = spark.createDataFrame(rows, kind)
+    tempo = spark.createDataFrame([(1, 1.0)], "song_id long, stability double")
+    tracks = spark.createDataFrame([(1, 0, "Bater 1", False), (1, 1, "no notes", False), (2, 0, "Bater 2", False), (3, 0, "Synth", True)], "song_id long, track_idx int, name string, is_drum boolean")
+    found = {r.song_id: (r.drums, r.notes, r.overall, r.polyphony) for r in song_metrics.quality(t, t, tempo, tracks).collect()}
+    wanted = {s: max(r.type == "drums" for r in kinds.classified(tracks, track_statistics(t)).where(f"song_id = {s}").collect()) for s in (1, 2, 3)}
+    assert found == {s: (int(w), 20, 1.0, 1.0) for s, w in wanted.items()} and wanted[1] and not wanted[2] and wanted[3]
+
+
 def test_pieces_give_notes_back():
     rng = random.Random(3)
     values = [-(1 << 40), -129, -128, -1, 0, 127, 128, 32767, 40000, 1 << 33, None]
